@@ -1,0 +1,95 @@
+"""The weighted, expiring intent graph and the analytics on it.
+
+Edges are rows ``(uuid, relation, target_type, target, weight, ts,
+expires_at)``; all graph work is group-by / window / equi-join on those
+rows.  Only G1–G3 and G5 semantics come from the client documentation; the
+rest are our definitions (stated per function)."""
+
+from __future__ import annotations
+
+from itertools import chain
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from footfall.sources import lookups as L
+
+
+def _map_lit(d: dict) -> Column:
+    return F.create_map(*chain.from_iterable((F.lit(k), F.lit(v)) for k, v in d.items()))
+
+
+def intent_edges(df: DataFrame) -> DataFrame:
+    """G1: event -> edge.  Relation and weight come from a fixed map;
+    ``expires_at = ts + ttl`` (the event's stamped TTL is the truth).
+    Events of other types produce no edge; ``unfavorite`` is kept as a
+    zero-weight cancel edge for G2."""
+    rel = _map_lit({k: v[0] for k, v in L.EDGE_RELATIONS.items()} | {"unfavorite": "unfavorited"})
+    ttype = _map_lit({k: v[1] for k, v in L.EDGE_RELATIONS.items()} | {"unfavorite": "entity"})
+    weight = _map_lit({k: v[2] for k, v in L.EDGE_RELATIONS.items()} | {"unfavorite": 0.0})
+    et = F.col("event_type")
+    ctx = F.col("context")
+    target = (
+        F.when(et == "search", F.coalesce(F.lower(F.trim(ctx["search_query"])), F.col("entity_id")))
+        .when(et == "tag_interaction", F.coalesce(ctx["tag_id"], F.col("entity_id")))
+        .when(et.startswith("map_"), F.coalesce(ctx["area"], F.col("entity_id")))
+        .when(et == "impression", F.coalesce(ctx["content_id"], F.col("entity_id")))
+        .otherwise(F.col("entity_id"))
+    )
+    return (
+        df.where(F.element_at(rel, et).isNotNull())
+        .select(
+            "uuid",
+            "event_type",
+            F.element_at(rel, et).alias("relation"),
+            F.element_at(ttype, et).alias("target_type"),
+            target.alias("target"),
+            F.element_at(weight, et).alias("weight"),
+            F.coalesce(ctx["category"], F.lit("unknown")).alias("category"),
+            "ts",
+            F.timestamp_add("SECOND", F.col("ttl"), F.col("ts")).alias("expires_at"),
+        )
+        .where(F.col("target").isNotNull())
+    )
+
+
+def edge_weights(edges: DataFrame, as_of: Column) -> DataFrame:
+    """Σ weight of live edges per (user, relation, target), last seen.
+
+    Live = ``ts <= as_of < expires_at``.  An ``unfavorite`` cancels the
+    same user's earlier favourites of that target (our rule).  The cancel
+    list is the small side of an equi-join with a range condition; the sum
+    is a partial + final aggregate (map-side combine), so a hot user only
+    costs one row per target after the partial step."""
+    live = edges.where((F.col("ts") <= as_of) & (F.col("expires_at") > as_of))
+    cancels = (
+        live.where(F.col("event_type") == "unfavorite")
+        .groupBy("uuid", "target")
+        .agg(F.max("ts").alias("cancel_ts"))
+    )
+    favs = live.where(F.col("relation") == "favorited").alias("f")
+    kept_favs = favs.join(
+        cancels.alias("c"),
+        (F.col("f.uuid") == F.col("c.uuid")) & (F.col("f.target") == F.col("c.target"))
+        & (F.col("f.ts") < F.col("c.cancel_ts")),
+        "left_anti",
+    )
+    others = live.where(~F.col("relation").isin("favorited", "unfavorited"))
+    kept = others.unionByName(kept_favs)
+    return kept.groupBy("uuid", "relation", "target_type", "target").agg(
+        F.sum("weight").alias("weight"),
+        F.count(F.lit(1)).alias("n_edges"),
+        F.max("ts").alias("last_seen"),
+        F.max_by("category", "ts").alias("category"),
+    )
+
+
+def adjacency_topk(weights: DataFrame, k: int) -> DataFrame:
+    """The k strongest targets per user (ties: target name).
+
+    ``row_number() <= k`` is planned as a window-group limit, applied
+    partially before the shuffle, so a hot user ships at most k rows per
+    task."""
+    w = Window.partitionBy("uuid").orderBy(F.col("weight").desc(), F.col("relation"), F.col("target"))
+    return weights.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
