@@ -107,3 +107,55 @@ end) * 86400"""
 DUCK_TTL = f"cast({DUCK_TTL} as integer)"
 
 DUCK_SESSION = "concat(uuid, '-', cast(ts_us // 86400000000 as varchar))"
+
+
+# ---- frame-time helpers ---------------------------------------------------
+FRAME_AS_OF_US = 1704070800000000  # 2024-01-01T01:00:00Z on the compressed frame clock
+
+
+def frame_clock(us_col: str = "ts_us") -> F.Column:
+    """The fx_frame time compression applied to any fx_base row."""
+    return F.lit(fx.EPOCH_2024_US) + F.floor((F.col(us_col) - F.lit(fx.EPOCH_2024_US)) / F.lit(600.0)).cast("bigint")
+
+
+DUCK_FRAME_CLOCK = "1704067200000000 + cast(floor((ts_us - 1704067200000000) / 600e0) as bigint)"
+
+
+def mode_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Privacy-mode switches per billboard: every signup row of fx_base
+    switches its billboard to strict / balanced / minimal by k % 3."""
+    b = fx.fx_base(spark, sf_dir).where(F.col("src") == "signup")
+    return b.select(
+        F.concat(F.lit("bb_"), (F.col("user_id") % 5).cast("string")).alias("billboard_id"),
+        ts_of(frame_clock()).alias("ts"),
+        F.element_at(F.array(F.lit("strict"), F.lit("balanced"), F.lit("minimal")), (F.col("k") % 3 + 1).cast("int"))
+        .alias("mode"),
+        F.col("event_id").alias("frame_id"),
+    )
+
+
+DUCK_MODES = f"""modes as (select 'bb_' || cast(user_id % 5 as varchar) as billboard_id, {DUCK_FRAME_CLOCK} as ts_us,
+  case k % 3 when 0 then 'strict' when 1 then 'balanced' else 'minimal' end as mode, event_id
+  from fx_base where src = 'signup')"""
+
+
+def weather_obs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weather observations per billboard location: every error row of
+    fx_base reports sunny / cloudy / rainy / snowy by k % 4."""
+    b = fx.fx_base(spark, sf_dir).where(F.col("src") == "error")
+    return b.select(
+        F.concat(F.lit("bb_"), (F.col("user_id") % 5).cast("string")).alias("billboard_id"),
+        ts_of(frame_clock()).alias("ts"),
+        F.element_at(F.array(*[F.lit(x) for x in ("sunny", "cloudy", "rainy", "snowy")]),
+                     (F.col("k") % 4 + 1).cast("int")).alias("condition"),
+    )
+
+
+DUCK_WEATHER = f"""wobs as (select 'bb_' || cast(user_id % 5 as varchar) as billboard_id, {DUCK_FRAME_CLOCK} as ts_us,
+  case k % 4 when 0 then 'sunny' when 1 then 'cloudy' when 2 then 'rainy' else 'snowy' end as condition
+  from fx_base where src = 'error')"""
+
+
+def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """fx_frame with a TIMESTAMP ``ts``."""
+    return fx.fx_frame(spark, sf_dir).withColumn("ts", ts_of("ts_us"))
