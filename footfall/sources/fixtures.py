@@ -316,7 +316,7 @@ from pages p left join pages q on q.page_id = p.page_id - 1""",
 }
 
 
-def duck_with(*views: str) -> str:
+def duck_with(*views: str, recursive: bool = False) -> str:
     """``WITH`` clause defining the requested views and their dependencies."""
     order: list[str] = []
 
@@ -329,13 +329,17 @@ def duck_with(*views: str) -> str:
 
     for v in views:
         visit(v)
-    return "with " + ",\n".join(f"{v} as (\n{DUCK_VIEWS[v][0]}\n)" for v in order) + "\n"
+    return ("with recursive " if recursive else "with ") + ",\n".join(f"{v} as (\n{DUCK_VIEWS[v][0]}\n)" for v in order) + "\n"
 
 
-def duck_sql(views: list[str] | tuple[str, ...], ctes: str, body: str) -> str:
+def duck_sql(views: list[str] | tuple[str, ...], ctes: str, body: str, recursive: bool = False) -> str:
     """Oracle text: fixture views, then extra CTEs (``name as (...)`` list
     without leading comma, may be empty), then the final select."""
-    head = duck_with(*views)
+    if not views:
+        if not ctes.strip():
+            return body
+        return ("with recursive " if recursive else "with ") + ctes.strip() + "\n" + body
+    head = duck_with(*views, recursive=recursive)
     if ctes.strip():
         head = head.rstrip() + ",\n" + ctes.strip() + "\n"
     return head + body
