@@ -6,6 +6,7 @@ from footfall.functions.jsmath import (  # noqa: F401
     truthy_num,
     safe_div,
     round6,
+    exact_sum,
 )
 from footfall.functions.timeparts import (  # noqa: F401
     micros_of,

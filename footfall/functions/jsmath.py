@@ -40,5 +40,16 @@ def safe_div(a, b) -> Column:
 
 
 def round6(x) -> Column:
-    """Doubles are compared across engines at 6 decimals."""
-    return F.round(_c(x).cast("double"), 6)
+    """Doubles are compared across engines at 6 decimals.
+
+    Rounds ``x * 1e6`` half away from zero and scales back — the same
+    double arithmetic DuckDB's ``round(x, 6)`` performs, so a value lying
+    on a rounding tie lands on the same side in both engines."""
+    return F.round(_c(x).cast("double") * F.lit(1e6), 0) / F.lit(1e6)
+
+
+def exact_sum(x) -> Column:
+    """Order-independent sum: accumulate in DECIMAL(38,12) (exact for the
+    decimal inputs of the data), so partial sums combined in any order give
+    the same total; cast back to DOUBLE by the caller."""
+    return F.sum(_c(x).cast("decimal(38,12)"))
