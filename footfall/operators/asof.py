@@ -76,3 +76,24 @@ def asof_last(
             .withColumn(f"{n}_ts", F.when(fresh, F.col(f"_got_{n}.t")))
     drop = ["_bkt", "_ord"] + [c for n in values for c in (f"_val_{n}", f"_carry_{n}", f"_got_{n}")]
     return out.drop(*drop)
+
+
+def prev_row(df: DataFrame, key: str | list[str], ts: str, order: list[str], cols: list[str],
+             bucket_us: int = DEFAULT_BUCKET_US) -> DataFrame:
+    """``lag`` by one row within a key, without putting the whole key in
+    one window partition: the lag runs inside (key, time bucket) and the
+    first row of a bucket takes the last row of the previous non-empty
+    bucket from a per-bucket summary.  Adds ``prev_{c}`` for each column
+    (NULL for the key's first row)."""
+    keys = [key] if isinstance(key, str) else list(key)
+    b = df.withColumn("_bkt", F.floor(F.unix_micros(F.col(ts)) / F.lit(bucket_us)).cast("bigint"))
+    ord_struct = F.struct(*[F.col(o) for o in order])
+    summary = b.groupBy(*keys, "_bkt").agg(F.max_by(F.struct(*[F.col(c) for c in cols]), ord_struct).alias("_last"))
+    wk = Window.partitionBy(*keys).orderBy("_bkt")
+    carry = summary.select(*keys, "_bkt", F.lag("_last").over(wk).alias("_carry"))
+    j = b.join(carry, [*keys, "_bkt"], "left")
+    w = Window.partitionBy(*keys, "_bkt").orderBy(*order)
+    rn = F.row_number().over(w)
+    for c in cols:
+        j = j.withColumn(f"prev_{c}", F.when(rn == 1, F.col("_carry")[c]).otherwise(F.lag(F.col(c)).over(w)))
+    return j.drop("_bkt", "_carry")

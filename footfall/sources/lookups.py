@@ -94,23 +94,25 @@ DEFAULT_MAX_RANGE = 50.0
 DEFAULT_FOV = 40.0
 
 # ---- Fixed values: content schedule (pos, id, priority, minCrowd, maxCrowd,
-# minEngagement, lowEngagement, timeOfDay, revenue) -------------------------
-# 0 premium_fashion high 8 - 0.6 - - 500
-# 1 tech_startup medium 5 - - - - 200
-# 2 local_restaurant medium 3 - - - morning,afternoon 100
-# 3 public_service low 1 - - - - 0
-# 4 attention_grabber medium - 3 - true - 50
+# minEngagement, lowEngagement, timeOfDay, revenue, duration ms) ------------
+# 0 premium_fashion high 8 - 0.6 - - 500 15000
+# 1 tech_startup medium 5 - - - - 200 12000
+# 2 local_restaurant medium 3 - - - morning,afternoon 100 10000
+# 3 public_service low 1 - - - - 0 8000
+# 4 attention_grabber medium - 3 - true - 50 20000
 CONTENT_SCHEDULE = [
-    (0, "premium_fashion", "high", 8, None, 0.6, None, None, 500.0),
-    (1, "tech_startup", "medium", 5, None, None, None, None, 200.0),
-    (2, "local_restaurant", "medium", 3, None, None, None, ["morning", "afternoon"], 100.0),
-    (3, "public_service", "low", 1, None, None, None, None, 0.0),
-    (4, "attention_grabber", "medium", None, 3, None, True, None, 50.0),
+    (0, "premium_fashion", "high", 8, None, 0.6, None, None, 500.0, 15000),
+    (1, "tech_startup", "medium", 5, None, None, None, None, 200.0, 12000),
+    (2, "local_restaurant", "medium", 3, None, None, None, ["morning", "afternoon"], 100.0, 10000),
+    (3, "public_service", "low", 1, None, None, None, None, 0.0, 8000),
+    (4, "attention_grabber", "medium", None, 3, None, True, None, 50.0, 20000),
 ]
 CONTENT_SCHEMA = (
     "pos int, content_id string, priority string, min_crowd int, max_crowd int, "
-    "min_engagement double, low_engagement boolean, time_of_day array<string>, revenue double"
+    "min_engagement double, low_engagement boolean, time_of_day array<string>, revenue double, duration_ms int"
 )
+# revenue estimate per impression used by the performance summary
+REVENUE_PER_IMPRESSION = 150
 
 
 def ttl_table(spark: SparkSession) -> DataFrame:
