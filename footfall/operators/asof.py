@@ -97,3 +97,22 @@ def prev_row(df: DataFrame, key: str | list[str], ts: str, order: list[str], col
     for c in cols:
         j = j.withColumn(f"prev_{c}", F.when(rn == 1, F.col("_carry")[c]).otherwise(F.lag(F.col(c)).over(w)))
     return j.drop("_bkt", "_carry")
+
+
+def next_row(df: DataFrame, key: str | list[str], ts: str, order: list[str], cols: list[str],
+             bucket_us: int = DEFAULT_BUCKET_US) -> DataFrame:
+    """``lead`` by one row within a key, bucketed like :func:`prev_row`:
+    the last row of a bucket takes the first row of the next non-empty
+    bucket.  Adds ``next_{c}``."""
+    keys = [key] if isinstance(key, str) else list(key)
+    b = df.withColumn("_bkt", F.floor(F.unix_micros(F.col(ts)) / F.lit(bucket_us)).cast("bigint"))
+    ord_struct = F.struct(*[F.col(o) for o in order])
+    summary = b.groupBy(*keys, "_bkt").agg(F.min_by(F.struct(*[F.col(c) for c in cols]), ord_struct).alias("_first"))
+    wk = Window.partitionBy(*keys).orderBy("_bkt")
+    carry = summary.select(*keys, "_bkt", F.lead("_first").over(wk).alias("_carry"))
+    j = b.join(carry, [*keys, "_bkt"], "left")
+    w = Window.partitionBy(*keys, "_bkt").orderBy(*order)
+    nxt_exists = F.lead(F.lit(1)).over(w).isNotNull()
+    for c in cols:
+        j = j.withColumn(f"next_{c}", F.when(nxt_exists, F.lead(F.col(c)).over(w)).otherwise(F.col("_carry")[c]))
+    return j.drop("_bkt", "_carry")

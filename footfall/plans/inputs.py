@@ -12,6 +12,8 @@ operators run on their real input shape.  Context keys per event type:
   k % 2 = 0 else the tag id string
 * map_move: interaction_type = move/zoom/filter/center/pan by k % 5,
   zoom_level = k % 18, center_lat = lat, center_lng = lng
+* javascript_error: error_message = 'Error ' || k % 5, error_filename =
+  'app' || k % 3 || '.js', error_line = k % 50, page_url = entity_id
 * purchase: currency 'USD', item_count = k % 4 (0 = absent), items = JSON
   array of k % 3 + 1 items (sku_i, price 1.5 i)
 """
@@ -64,6 +66,10 @@ def envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
         "currency": F.when(et == "purchase", F.lit("USD")),
         "item_count": F.when((et == "purchase") & (k % 4 != 0), k % 4),
         "items": F.when(et == "purchase", items),
+        "error_message": F.when(et == "javascript_error", F.concat(F.lit("Error "), (k % 5).cast("string"))),
+        "error_filename": F.when(et == "javascript_error", F.concat(F.lit("app"), (k % 3).cast("string"), F.lit(".js"))),
+        "error_line": F.when(et == "javascript_error", k % 50),
+        "page_url": F.when(et == "javascript_error", F.col("entity_id")),
     }
     ctx = F.create_map(*[x for key, v in entries.items() for x in (F.lit(key), v.cast("string"))])
     day = F.floor(F.col("ts_us") / F.lit(86400000000)).cast("bigint")
