@@ -30,7 +30,14 @@ from footfall.sources import fixtures as fx
 AS_OF_US = 1709251200000000  # 2024-03-01T00:00:00Z, the fixed "now" of the checks
 
 
+def ensure_utc(spark: SparkSession) -> None:
+    """Dates and ISO texts of the checks are rendered in UTC."""
+    if spark.conf.get("spark.sql.session.timeZone", "UTC") != "UTC":
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ensure_utc(spark)
     e = fx.fx_envelope(spark, sf_dir)
     k, et = F.col("k"), F.col("event_type")
     n_items = (k % 3 + 1).cast("int")

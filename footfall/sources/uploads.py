@@ -150,15 +150,19 @@ def export_batches(
         .withColumn("_rn", F.row_number().over(w))
         .withColumn("batch_no", F.floor((F.col("_rn") - 1) / F.lit(n)).cast("bigint"))
     )
-    payload = F.struct(*[F.col(c) for c in df.columns if c != client_col])
+    # each event is rendered to JSON before grouping, so the batch list
+    # sorts on (row number, text) — maps inside events need no ordering
+    event_json = F.to_json(F.struct(*[F.col(c) for c in df.columns if c != client_col]))
     grouped = numbered.groupBy(client_col, "_bucket", "batch_no").agg(
-        F.sort_array(F.collect_list(F.struct(F.col("_rn"), payload.alias("e")))).alias("_items")
+        F.sort_array(F.collect_list(F.struct(F.col("_rn"), event_json.alias("j")))).alias("_items")
     )
+    client_json = F.regexp_replace(F.to_json(F.struct(F.col(client_col).alias("c"))), r'^\{"c":|\}$', "")
+    body = F.concat(F.lit('{"client_id":'), client_json, F.lit(',"events":['),
+                    F.array_join(F.transform("_items", lambda x: x["j"]), ","), F.lit("]}"))
     return grouped.select(
         F.col(client_col).alias("client_id"),
         F.col("_bucket").alias("bucket"),
         "batch_no",
         F.size("_items").alias("n_events"),
-        F.to_json(F.struct(F.col(client_col).alias("client_id"),
-                           F.transform("_items", lambda x: x["e"]).alias("events"))).alias("payload"),
+        body.alias("payload"),
     )
