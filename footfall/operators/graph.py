@@ -93,3 +93,186 @@ def adjacency_topk(weights: DataFrame, k: int) -> DataFrame:
     task."""
     w = Window.partitionBy("uuid").orderBy(F.col("weight").desc(), F.col("relation"), F.col("target"))
     return weights.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def intent_score(weights: DataFrame) -> DataFrame:
+    """G4 (ours): per user and category, the live weight and its share of
+    the user's total live weight.  The per-user window runs over the
+    already aggregated (user, category) rows — at most one row per
+    category."""
+    per = weights.groupBy("uuid", "category").agg(F.sum("weight").alias("weight"))
+    tot = F.sum("weight").over(Window.partitionBy("uuid"))
+    return per.withColumn("score", F.col("weight") / tot)
+
+
+def intent_stage(df: DataFrame) -> DataFrame:
+    """G5 (thresholds ours): per (user, entity) the highest stage reached —
+    shared (any share) > explored (>= 2 distinct event types) > returned
+    (>= 2 distinct sessions) > discovered (viewed) > touched."""
+    views = ("view_venue", "view_event", "view_content")
+    g = df.where(F.col("entity_id").isNotNull()).groupBy("uuid", "entity_id").agg(
+        F.min(F.when(F.col("event_type").isin(*views), F.col("ts"))).alias("first_view"),
+        F.count_distinct("session_id").alias("sessions"), F.count_distinct("event_type").alias("types"),
+        F.max(F.when(F.col("event_type") == "share", F.lit(1)).otherwise(F.lit(0))).alias("shared"))
+    stage = (F.when(F.col("shared") == 1, "shared").when(F.col("types") >= 2, "explored")
+             .when(F.col("sessions") >= 2, "returned").when(F.col("first_view").isNotNull(), "discovered")
+             .otherwise("touched"))
+    return g.withColumn("stage", stage)
+
+
+def audience_segment(scores: DataFrame, tiers: tuple[float, float, float] = (5.0, 20.0, 50.0)) -> DataFrame:
+    """G6 (ours): dominant category (largest share; tie: the alphabetically
+    last) and an activity tier from fixed total-weight thresholds (casual <
+    light < regular < heavy) — no global sort or quantile pass is needed."""
+    g = scores.groupBy("uuid").agg(
+        F.max_by("category", F.struct(F.col("score"), F.col("category"))).alias("dominant_category"),
+        F.sum("weight").alias("total_weight"))
+    t = F.col("total_weight")
+    tier = F.when(t >= tiers[2], "heavy").when(t >= tiers[1], "regular").when(t >= tiers[0], "light") \
+        .otherwise("casual")
+    return g.withColumn("activity_tier", tier)
+
+
+# Fixed values (ours): purchase-intent weights per event type
+PURCHASE_INTENT = {"add_to_cart": 1.0, "checkout_started": 2.0, "purchase": 3.0}
+
+
+def intent_trigger(df: DataFrame, threshold: float = 3.0, window_days: int = 7,
+                   weights: dict[str, float] | None = None, rule: str = "high_purchase_intent") -> DataFrame:
+    """G7 (ours): users whose trailing ``window_days`` intent weight
+    reaches ``threshold``; a row is emitted only on the crossing (the
+    previous event of the user was below)."""
+    wmap = weights or PURCHASE_INTENT
+    m = F.create_map(*[x for k, v in wmap.items() for x in (F.lit(k), F.lit(v))])
+    ev = df.where(F.col("event_type").isin(list(wmap))).withColumn("_w", F.element_at(m, F.col("event_type"))) \
+        .withColumn("_s", F.unix_micros("ts"))
+    w = Window.partitionBy("uuid").orderBy("_s").rangeBetween(-window_days * 86_400_000_000 + 1, 0)
+    ev = ev.withColumn("trailing_weight", F.sum("_w").over(w))
+    wo = Window.partitionBy("uuid").orderBy("_s", "event_id")
+    prev = F.lag("trailing_weight").over(wo)
+    return ev.withColumn("_prev", prev).where((F.col("trailing_weight") >= threshold) &
+                                              (F.col("_prev").isNull() | (F.col("_prev") < threshold))) \
+        .withColumn("rule", F.lit(rule)).drop("_w", "_s", "_prev")
+
+
+def geo_cell(c: Column, size_deg: float = 0.1) -> Column:
+    """City-level cell: the coordinate rounded to ``size_deg``."""
+    return F.round(c / F.lit(size_deg), 0) * F.lit(size_deg)
+
+
+def heatmap(df: DataFrame, k_anon: int = 3, size_deg: float = 0.1) -> DataFrame:
+    """Events by geo cell × hour × category, published only when at
+    least ``k_anon`` distinct users fall in the cell (k-anonymity floor)."""
+    from footfall.functions.timeparts import hour_of_us
+    g = df.where(F.col("geo.lat").isNotNull()).groupBy(
+        geo_cell(F.col("geo.lat"), size_deg).alias("cell_lat"), geo_cell(F.col("geo.lng"), size_deg).alias("cell_lng"),
+        hour_of_us(F.unix_micros("ts")).alias("hour"), F.col("context")["category"].alias("category")) \
+        .agg(F.count(F.lit(1)).alias("events"), F.count_distinct("uuid").alias("users"))
+    return g.where(F.col("users") >= k_anon)
+
+
+def geo_trending(df: DataFrame, k: int = 3, size_deg: float = 0.1, window: str = "1 day") -> DataFrame:
+    """G9 (ours): per tumbling window, the k (cell, category) with the
+    highest growth over the previous window of the same cell and category
+    (cells new in a window have no growth and are not ranked)."""
+    g = df.where(F.col("geo.lat").isNotNull()).groupBy(
+        F.window("ts", window).alias("w"), geo_cell(F.col("geo.lat"), size_deg).alias("cell_lat"),
+        geo_cell(F.col("geo.lng"), size_deg).alias("cell_lng"), F.col("context")["category"].alias("category")) \
+        .agg(F.count(F.lit(1)).alias("events"))
+    wl = Window.partitionBy("cell_lat", "cell_lng", "category").orderBy("w.start")
+    g = g.withColumn("prev_start", F.lag("w.start").over(wl)).withColumn("prev_events", F.lag("events").over(wl))
+    dur = F.col("w.end").cast("long") - F.col("w.start").cast("long")
+    consecutive = (F.col("w.start").cast("long") - F.col("prev_start").cast("long")) == dur
+    g = g.withColumn("prev_events", F.when(consecutive, F.col("prev_events")).otherwise(F.lit(0)))
+    g = g.withColumn("growth", F.try_divide((F.col("events") - F.col("prev_events")).cast("double"),
+                                            F.col("prev_events"))).where(F.col("growth").isNotNull())
+    wr = Window.partitionBy("w").orderBy(F.col("growth").desc(), "cell_lat", "cell_lng", "category")
+    return g.withColumn("rank", F.row_number().over(wr)).where(F.col("rank") <= k)
+
+
+def cohort_retention(df: DataFrame) -> DataFrame:
+    """First-seen week cohort × week offset: active users."""
+    wk = F.floor((F.unix_micros("ts") / F.lit(86_400_000_000) + 3) / 7).cast("bigint")  # Monday-based weeks
+    e = df.select("uuid", wk.alias("week"))
+    first = e.groupBy("uuid").agg(F.min("week").alias("cohort_week"))
+    return e.join(first, "uuid").groupBy("cohort_week", (F.col("week") - F.col("cohort_week")).alias("week_offset")) \
+        .agg(F.count_distinct("uuid").alias("active_users"))
+
+
+def funnel(df: DataFrame, steps: list[str], within_days: int = 7) -> DataFrame:
+    """Per user, the first time each step is reached after the
+    previous one (strictly later, all within ``within_days`` of step 1).
+    One partial aggregate per step, chained by joins on the user — no
+    per-user list is gathered.  Returns (uuid, step_1_ts, ..., steps_done)."""
+    users = df.where(F.col("event_type") == steps[0]).groupBy("uuid").agg(F.min("ts").alias("step_1_ts"))
+    out = users
+    for i, step in enumerate(steps[1:], start=2):
+        prev = f"step_{i - 1}_ts"
+        cand = df.where(F.col("event_type") == step).select("uuid", F.col("ts").alias("_t"))
+        j = out.select("uuid", prev, "step_1_ts").join(cand, "uuid").where(
+            (F.col("_t") > F.col(prev)) &
+            (F.col("_t") <= F.timestamp_add("DAY", F.lit(within_days), F.col("step_1_ts"))))
+        reached = j.groupBy("uuid").agg(F.min("_t").alias(f"step_{i}_ts"))
+        out = out.join(reached, "uuid", "left")
+    done = sum((F.col(f"step_{i}_ts").isNotNull().cast("int") for i in range(1, len(steps) + 1)), F.lit(0))
+    return out.withColumn("steps_done", done)
+
+
+def funnel_counts(per_user: DataFrame, steps: list[str]) -> DataFrame:
+    """G11 report: users reaching each step."""
+    aggs = [F.count(F.col(f"step_{i}_ts")).alias(f"n{i}") for i in range(1, len(steps) + 1)]
+    row = per_user.agg(*aggs)
+    return row.select(F.explode(F.array(*[F.struct(F.lit(i).alias("step_no"), F.lit(s).alias("step"),
+                                                   F.col(f"n{i}").alias("users"))
+                                          for i, s in enumerate(steps, start=1)])).alias("x")).select("x.*")
+
+
+def attribution(df: DataFrame, lookback_days: int = 7, model: str = "last") -> DataFrame:
+    """Each purchase is credited to the last (``model='last'``) or
+    first (``'first'``) utm touch of the same user within the lookback.
+    Last touch uses the bucketed as-of helper with the lookback as age
+    limit; first touch is a range-window ``min_by``."""
+    from footfall.operators.asof import asof_last
+    utm = F.col("context")["utm_source"]
+    rel = df.where((F.col("event_type") == "purchase") | utm.isNotNull()).withColumn("_utm", utm)
+    if model == "last":
+        got = asof_last(rel, "uuid", "ts", ["ts", "event_id"], {"touch": F.col("_utm")},
+                        max_age_us=lookback_days * 86_400_000_000)
+        return got.where(F.col("event_type") == "purchase").select(
+            "event_id", "uuid", "ts", F.col("touch").alias("credited_source"), F.col("touch_ts"))
+    w = Window.partitionBy("uuid").orderBy(F.unix_micros("ts")).rangeBetween(-lookback_days * 86_400_000_000, 0)
+    first = F.min_by(F.struct(F.col("_utm").alias("s"), F.col("ts").alias("t")),
+                     F.when(F.col("_utm").isNotNull(), F.struct("ts", "event_id"))).over(w)
+    got = rel.withColumn("_f", first)
+    return got.where(F.col("event_type") == "purchase").select(
+        "event_id", "uuid", "ts", F.col("_f.s").alias("credited_source"), F.col("_f.t").alias("touch_ts"))
+
+
+def lookalike(scores: DataFrame, seeds: DataFrame, k: int = 10) -> DataFrame:
+    """G13 (ours): users (not seeds) most similar, by cosine, to the mean
+    category-share vector of the seed users (a seed without a category
+    counts 0 there).  Vectors stay as rows (user, category, score); the
+    mean vector has one row per category, the seed count and its norm are
+    scalar subqueries, and the ranking is a global top-k."""
+    seed_ids = seeds.select("uuid").distinct()
+    s = scores.join(seed_ids, "uuid", "left_semi")
+    n_seeds = s.select(F.count_distinct("uuid")).scalar()
+    mean = s.groupBy("category").agg((F.sum("score") / n_seeds).alias("m"))
+    norm_mean = mean.select(F.sqrt(F.sum(F.col("m") * F.col("m")))).scalar()
+    cand = scores.join(seed_ids, "uuid", "left_anti")
+    dots = cand.join(mean, "category", "left").groupBy("uuid").agg(
+        F.sum(F.col("score") * F.coalesce(F.col("m"), F.lit(0.0))).alias("dot"),
+        F.sqrt(F.sum(F.col("score") * F.col("score"))).alias("nu"))
+    sim = dots.withColumn("similarity", F.try_divide(F.col("dot"), F.col("nu") * norm_mean))
+    return sim.orderBy(F.col("similarity").desc(), "uuid").limit(k).select("uuid", "similarity")
+
+
+def temporal_profile(df: DataFrame, by: str = "category") -> DataFrame:
+    """Hour-of-day usage per category, split weekday / weekend; one
+    pivot with the 24 known hour values (no extra pass to find them)."""
+    from footfall.functions.timeparts import dow0_of_us, hour_of_us
+    us = F.unix_micros("ts")
+    d = df.select(F.col("context")[by].alias(by) if by == "category" else F.col(by),
+                  F.when(dow0_of_us(us).isin(0, 6), "weekend").otherwise("weekday").alias("day_type"),
+                  hour_of_us(us).alias("hour"))
+    return d.groupBy(by, "day_type").pivot("hour", list(range(24))).count().na.fill(0)
