@@ -143,23 +143,24 @@ def rolling_history(frames: DataFrame, kind: str, key: str = "billboard_id", ts:
     dur, slide = WINDOW_KINDS[kind]
     length = dur + slide if compat else dur
     win = F.window(F.col(ts), f"{length} seconds", f"{slide} seconds")
-    w = frames.select(key, ts, tie, *METRICS, win.alias("w"))
-    per_dir = w.groupBy(key, "w", F.coalesce(F.col("flow_direction"), F.lit("unknown")).alias("dir")).agg(
-        F.count(F.lit(1)).alias("c"), F.min(F.struct(F.col(ts), F.col(tie))).alias("first"),
-        exact_sum(_z(F.col("cluster_count"))).alias("s_cc"), exact_sum(_z(F.col("avg_density"))).alias("s_dn"),
-        exact_sum(_z(F.col("dwell_avg"))).alias("s_dw"), exact_sum(_z(F.col("engagement"))).alias("s_en"),
-    )
-    agg = per_dir.groupBy(key, "w").agg(
-        F.sum("c").alias("n"),
-        F.sum("s_cc").alias("s_cc"), F.sum("s_dn").alias("s_dn"), F.sum("s_dw").alias("s_dw"),
-        F.sum("s_en").alias("s_en"),
-        F.max_by("dir", F.struct(F.col("c"), F.col("first"))).alias("flow_direction"),
-    )
+    flow = F.coalesce(F.col("flow_direction"), F.lit("unknown"))
+    flow = F.when(flow.isin(DIRECTION_VALUES), flow).otherwise(F.lit("unknown"))
+    order_key = F.struct(F.col(ts), F.col(tie))
+    aggs = [F.count(F.lit(1)).alias("n"),
+            exact_sum(_z(F.col("cluster_count"))).alias("s_cc"), exact_sum(_z(F.col("avg_density"))).alias("s_dn"),
+            exact_sum(_z(F.col("dwell_avg"))).alias("s_dw"), exact_sum(_z(F.col("engagement"))).alias("s_en")]
+    for i, d in enumerate(DIRECTION_VALUES):
+        aggs += [F.count_if(flow == d).alias(f"c{i}"), F.min(F.when(flow == d, order_key)).alias(f"f{i}")]
+    # one aggregation (so the same plan also runs as a streaming aggregate);
+    # the mode is a projection: most frequent, tie -> latest first appearance
+    agg = frames.groupBy(key, win.alias("w")).agg(*aggs)
+    mode = F.array_max(F.array(*[F.struct(F.col(f"c{i}").alias("c"), F.col(f"f{i}").alias("f"), F.lit(d).alias("d"))
+                                 for i, d in enumerate(DIRECTION_VALUES)]))["d"]
     return agg.select(
         key, F.lit(kind).alias("window_type"), F.col("w.end").alias("ts"), F.lit(length * 1000).alias("duration_ms"),
         "n", *[(F.col(f"s_{a}").cast("double") / F.col("n")).alias(b) for a, b in
                (("cc", "cluster_count"), ("dn", "avg_density"), ("dw", "dwell_avg"), ("en", "engagement"))],
-        "flow_direction",
+        mode.alias("flow_direction"),
     )
 
 

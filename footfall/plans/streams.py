@@ -1 +1,193 @@
-"""(filled below)"""
+"""Streaming queries (T1–T10), each checked against its batch twin.
+
+The input is derived from the driver tables and arrives in four time
+slices; after each slice lands, the query runs with ``availableNow`` on
+the same checkpoint, so state really crosses micro-batches.  Windowed
+append-mode queries get a final end-of-input marker row (a far-future
+event of a marker key) that moves the watermark past the data, so the
+last windows close; the marker's own window never closes."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from footfall.functions.jsmath import round6
+from footfall.operators import governance as GV
+from footfall.plans import inputs as I
+from footfall.plans.context import duck_recent, frames_on, _HIST_SELECT, duck_history, _hist_out
+from footfall.plans.registry import register
+from footfall.session import scratch_path
+from footfall.sources import fixtures as fx
+from footfall.sources import uploads as UP
+from footfall.sources.fixtures import duck_sql
+from footfall.streaming import jobs as ST
+
+US = F.unix_micros
+MARKER = "~end-of-input"
+
+
+def run_incremental(spark, name: str, batch_df: DataFrame, build, ts: str = "ts", slices: int = 4,
+                    marker: DataFrame | None = None, sink: str = "parquet", foreach=None) -> str:
+    """Stage ``batch_df`` in time slices and run the stream once per slice.
+    Returns the sink path (or the base path for ``foreach`` sinks)."""
+    base = scratch_path(spark, name)
+    src, out, ck = f"{base}/in", f"{base}/out", f"{base}/ck"
+    lo, hi = batch_df.agg(F.min(US(ts)), F.max(US(ts))).first()
+    width = (hi - lo) // slices + 1
+    parts = [batch_df.where((US(ts) >= lo + i * width) & (US(ts) < lo + (i + 1) * width)) for i in range(slices)]
+    if marker is not None:
+        parts.append(marker.select(*batch_df.columns))
+    for part in parts:
+        part.write.mode("append").parquet(src)
+        stream = spark.readStream.schema(batch_df.schema).parquet(src)
+        w = build(stream).writeStream.option("checkpointLocation", ck).trigger(availableNow=True)
+        if foreach is not None:
+            q = w.foreachBatch(foreach(base)).start()
+        else:
+            q = w.format(sink).option("path", out).outputMode("append").start()
+        q.awaitTermination()
+    return base if foreach is not None else out
+
+
+def _marker_like(df: DataFrame, ts: str, key: str, hours: int = 24) -> DataFrame:
+    """One row shaped like ``df`` with the marker key, ``hours`` after the
+    last event."""
+    last = df.agg(F.max(ts).alias("_m"))
+    cols = []
+    for f in df.schema.fields:
+        if f.name == ts:
+            cols.append(F.timestamp_add("HOUR", F.lit(hours), F.col("_m")).alias(ts))
+        elif f.name == key:
+            cols.append(F.lit(MARKER).cast(f.dataType).alias(key))
+        else:
+            cols.append(F.lit(None).cast(f.dataType).alias(f.name))
+    return last.select(*cols)
+
+
+# ------------------------------------------------------------------ T1
+@register("stream_dedup", duck_sql(["fx_envelope"], "", """
+select event_id, uuid, event_type, ts_us from fx_envelope"""))
+def q_stream_dedup(spark, sf_dir):
+    env = I.envelopes(spark, sf_dir).select("event_id", "uuid", "event_type", "ts", "ingest_ts", "k")
+    dups = env.where(F.col("k") % 7 == 0).withColumn("ingest_ts", F.timestamp_add("SECOND", F.lit(60),
+                                                                                  F.col("ingest_ts")))
+    both = env.unionByName(dups).drop("k")
+    out = run_incremental(spark, "stream-dedup", both, lambda s: ST.stream_dedup(s, "event_id", "ingest_ts"),
+                          ts="ingest_ts")
+    return spark.read.parquet(out).select("event_id", "uuid", "event_type", US("ts").alias("ts_us"))
+
+
+# ------------------------------------------------------------------ T2
+@register("stream_tumbling", duck_sql(["fx_base", "fx_frame"], "", """
+select billboard_id, (ts_us // 5000000) * 5000000 as window_start_us, count(*) as frames, sum(total_people) as people,
+  max(cluster_count) as peak_crowd, arg_max(cluster_count, {'t': ts_us, 'f': frame_id}) as last_crowd
+from fx_frame group by billboard_id, ts_us // 5000000"""))
+def q_stream_tumbling(spark, sf_dir):
+    fr = frames_on(spark, sf_dir, "ts_us").select("billboard_id", "frame_id", "ts", "total_people", "cluster_count")
+    out = run_incremental(spark, "stream-tumbling", fr, lambda s: ST.stream_tumbling(s, "5 seconds"),
+                          marker=_marker_like(fr, "ts", "billboard_id"))
+    r = spark.read.parquet(out).where(F.col("billboard_id") != MARKER)
+    return r.select("billboard_id", US("w.start").alias("window_start_us"), "frames", "people", "peak_crowd",
+                    "last_crowd")
+
+
+# ------------------------------------------------------------------ T3
+@register("stream_sliding_short", duck_sql(["fx_base", "fx_frame"], duck_history("short", "ts_us"),
+                                           _HIST_SELECT.format(p="h_short")))
+def q_stream_sliding_short(spark, sf_dir):
+    fr = frames_on(spark, sf_dir, "ts_us").select("billboard_id", "frame_id", "ts", "cluster_count", "avg_density",
+                                                  "flow_direction", "dwell_avg", "engagement", "attention")
+    out = run_incremental(spark, "stream-sliding", fr, lambda s: ST.stream_sliding(s, "short"),
+                          marker=_marker_like(fr, "ts", "billboard_id"))
+    r = spark.read.parquet(out).where(F.col("billboard_id") != MARKER)
+    return _hist_out(r)
+
+
+# ------------------------------------------------------------------ T4
+@register("stream_sessions", duck_sql(["fx_envelope"], """
+l as (select *, lag(ts_us) over (partition by uuid order by ts_us, event_id) as pts from fx_envelope),
+f as (select *, case when pts is null or ts_us - pts >= 1800000000 then 1 else 0 end as st from l),
+g as (select *, sum(st) over (partition by uuid order by ts_us, event_id rows between unbounded preceding and current row)
+  as sn from f)""", """
+select uuid, min(ts_us) as session_start_us, max(ts_us) + 1800000000 as session_end_us, count(*) as events
+from g group by uuid, sn"""))
+def q_stream_sessions(spark, sf_dir):
+    env = I.envelopes(spark, sf_dir).select("event_id", "uuid", "ts")
+    out = run_incremental(spark, "stream-sessions", env, lambda s: ST.stream_sessions(s, "30 minutes"),
+                          marker=_marker_like(env, "ts", "uuid", hours=48))
+    r = spark.read.parquet(out).where(F.col("uuid") != MARKER)
+    return r.select("uuid", US("s.start").alias("session_start_us"), US("s.end").alias("session_end_us"), "events")
+
+
+# ------------------------------------------------------------------ T5
+_CONSENT_AT = ("coalesce((select arg_max(c.change, c.ts_us) from fx_consent c "
+               "where c.uuid = e.uuid and c.ts_us <= e.ts_us), 'opt_in')")
+
+
+@register("stream_consent", duck_sql(["fx_envelope", "fx_consent"], "", f"""
+select e.event_id, e.uuid, e.event_type, e.ts_us from fx_envelope e where {_CONSENT_AT} <> 'opt_out'"""))
+def q_stream_consent(spark, sf_dir):
+    env = I.envelopes(spark, sf_dir).select("event_id", "uuid", "event_type", "ts")
+    log = fx.fx_consent(spark, sf_dir).select("uuid", I.ts_of("ts_us").alias("ts"), "change")
+    out = run_incremental(spark, "stream-consent", env, lambda s: ST.stream_consent(s, log))
+    return spark.read.parquet(out).select("event_id", "uuid", "event_type", US("ts").alias("ts_us"))
+
+
+# ------------------------------------------------------------------ T6
+@register("stream_current_content", duck_sql(["fx_base", "fx_play"], """
+m as (select *, case event_type when 'content_start' then content_id when 'content_end' then '' end as mk from fx_play),
+f as (select *, last_value(mk ignore nulls) over (partition by device_id order by ts_us, event_id
+  rows between unbounded preceding and current row) as cur from m)""", """
+select cast(event_id as varchar) as event_id, device_id, nullif(cur, '') as current_content from f
+where event_type = 'interaction'"""))
+def q_stream_current_content(spark, sf_dir):
+    play = fx.fx_play(spark, sf_dir).select("device_id", "event_id", I.ts_of("ts_us").alias("ts"), "event_type",
+                                           "content_id")
+    out = run_incremental(spark, "stream-content", play, ST.stream_current_content)
+    return spark.read.parquet(out).select("event_id", "device_id", "current_content")
+
+
+# ------------------------------------------------------------------ T7
+@register("stream_ttl", duck_sql(["fx_envelope"], f"ev as (select *, {I.DUCK_TTL} as ttl from fx_envelope)", f"""
+select event_id, event_type, platform, ttl from ev where ts_us + cast(ttl as bigint) * 1000000 > {I.AS_OF_US}"""))
+def q_stream_ttl(spark, sf_dir):
+    env = I.envelopes(spark, sf_dir).select("event_id", "event_type", "platform", "ts", "ttl")
+    out = run_incremental(spark, "stream-ttl", env, lambda s: ST.stream_ttl(s, I.as_of()))
+    return spark.read.parquet(out).select("event_id", "event_type", "platform", "ttl")
+
+
+# ------------------------------------------------------------------ T8
+@register("stream_recent_context", duck_sql(["fx_base", "fx_frame"], duck_recent("ts_us"), """
+select frame_id, n_recent, ctx_cluster_count, round(ctx_avg_density, 6) as ctx_avg_density,
+  round(ctx_dwell_avg, 6) as ctx_dwell_avg, round(ctx_engagement, 6) as ctx_engagement,
+  round(ctx_attention, 6) as ctx_attention, ctx_flow_direction from rc"""))
+def q_stream_recent_context(spark, sf_dir):
+    fr = frames_on(spark, sf_dir, "ts_us").select("billboard_id", "frame_id", "ts", "cluster_count", "avg_density",
+                                                  "flow_direction", "dwell_avg", "engagement", "attention")
+    out = run_incremental(spark, "stream-context", fr, ST.stream_recent_context)
+    r = spark.read.parquet(out)
+    return r.select("frame_id", F.col("n_recent").cast("bigint").alias("n_recent"), "ctx_cluster_count",
+                    *[round6(c).alias(c) for c in ("ctx_avg_density", "ctx_dwell_avg", "ctx_engagement",
+                                                   "ctx_attention")], "ctx_flow_direction")
+
+
+# ------------------------------------------------------------------ T9
+@register("stream_late_policy", duck_sql(["fx_envelope"], "", """
+select event_id, uuid, ts_us, ingest_us from fx_envelope where ingest_us - ts_us > 3600000000"""))
+def q_stream_late_policy(spark, sf_dir):
+    env = I.envelopes(spark, sf_dir).select("event_id", "uuid", "ts", "ingest_ts")
+    base = run_incremental(spark, "stream-late", env, lambda s: s, ts="ingest_ts",
+                           foreach=lambda b: ST.late_split(f"{b}/main", f"{b}/late", 3600))
+    late = spark.read.parquet(f"{base}/late")
+    return late.select("event_id", "uuid", US("ts").alias("ts_us"), US("ingest_ts").alias("ingest_us"))
+
+
+# ------------------------------------------------------------------ T10
+@register("stream_sink", duck_sql(["fx_envelope"], "", "select event_id, event_type, ts_us from fx_envelope"))
+def q_stream_sink(spark, sf_dir):
+    env = I.envelopes(spark, sf_dir).select("event_id", "event_type", "uuid", "ts")
+    base = run_incremental(spark, "stream-sink", env, lambda s: s,
+                           foreach=lambda b: UP.write_events_batch(f"{b}/store"))
+    store = spark.read.parquet(f"{base}/store")
+    return store.select("event_id", "event_type", US("ts").alias("ts_us"))
