@@ -18,7 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from footfall.functions.jsmath import exact_sum, js_round, safe_div
+from footfall.functions.jsmath import js_round, q9, qsum9, safe_div
+from footfall.session import materialize
 from footfall.functions.timeparts import TOD_DENSITY, dow0_of_us, hour_of_us, local_us, time_of_day
 
 METRICS = ("cluster_count", "avg_density", "flow_direction", "dwell_avg", "engagement", "attention")
@@ -147,8 +148,8 @@ def rolling_history(frames: DataFrame, kind: str, key: str = "billboard_id", ts:
     flow = F.when(flow.isin(DIRECTION_VALUES), flow).otherwise(F.lit("unknown"))
     order_key = F.struct(F.col(ts), F.col(tie))
     aggs = [F.count(F.lit(1)).alias("n"),
-            exact_sum(_z(F.col("cluster_count"))).alias("s_cc"), exact_sum(_z(F.col("avg_density"))).alias("s_dn"),
-            exact_sum(_z(F.col("dwell_avg"))).alias("s_dw"), exact_sum(_z(F.col("engagement"))).alias("s_en")]
+            qsum9(_z(F.col("cluster_count"))).alias("s_cc"), qsum9(_z(F.col("avg_density"))).alias("s_dn"),
+            qsum9(_z(F.col("dwell_avg"))).alias("s_dw"), qsum9(_z(F.col("engagement"))).alias("s_en")]
     for i, d in enumerate(DIRECTION_VALUES):
         aggs += [F.count_if(flow == d).alias(f"c{i}"), F.min(F.when(flow == d, order_key)).alias(f"f{i}")]
     # one aggregation (so the same plan also runs as a streaming aggregate);
@@ -158,7 +159,7 @@ def rolling_history(frames: DataFrame, kind: str, key: str = "billboard_id", ts:
                                  for i, d in enumerate(DIRECTION_VALUES)]))["d"]
     return agg.select(
         key, F.lit(kind).alias("window_type"), F.col("w.end").alias("ts"), F.lit(length * 1000).alias("duration_ms"),
-        "n", *[(F.col(f"s_{a}").cast("double") / F.col("n")).alias(b) for a, b in
+        "n", *[(F.col(f"s_{a}") / F.lit(1e9) / F.col("n")).alias(b) for a, b in
                (("cc", "cluster_count"), ("dn", "avg_density"), ("dw", "dwell_avg"), ("en", "engagement"))],
         mode.alias("flow_direction"),
     )
@@ -175,7 +176,7 @@ def all_history(frames: DataFrame, compat: bool = False, **kw) -> DataFrame:
 
 # ------------------------------------------------------------------ X8
 def _q9(c: Column) -> Column:
-    return (F.round(c * F.lit(1e9), 0) / F.lit(1e9)).cast("decimal(38,12)")
+    return q9(c)
 
 
 KIND_RANK = {"immediate": 0, "short": 1, "medium": 2, "long": 3}
@@ -214,7 +215,12 @@ def historical_baseline(ctx: DataFrame, hist: DataFrame, key: str = "billboard_i
     hh = h.withColumn("_tie", F.lit(None).cast("string"))
     u = c.unionByName(hh.drop(tie), allowMissingColumns=True)
     u = u.withColumn("_bkt", F.floor(F.unix_micros(F.col(ts)) / F.lit(bucket_us)).cast("bigint"))
-    order_key = F.struct(F.col(ts), F.col("_is_hist"), F.col("_rank"), F.col("_tie"))
+    # the union feeds both the bucket summary and the row pass: checkpoint it
+    # once instead of recomputing context and history twice
+    u = materialize(u, "baseline-union")
+    # one BIGINT order key: time, then context rows before history rows
+    # (history is strictly prior), then the window kind
+    order_key = F.unix_micros(F.col(ts)) * 8 + F.when(F.col("_is_hist") == 1, F.col("_rank") + 1).otherwise(F.lit(0))
     is_h = F.col("_is_hist") == 1
     sums = {
         "n": F.when(is_h, F.lit(1)).otherwise(F.lit(0)),
@@ -234,22 +240,24 @@ def historical_baseline(ctx: DataFrame, hist: DataFrame, key: str = "billboard_i
     wb = Window.partitionBy(*keys).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
     carry = summ.select(*keys, "_bkt", *[F.sum(f"_s_{k}").over(wb).alias(f"_cs_{k}") for k in sums],
                         *[F.min(f"_m_{k}").over(wb).alias(f"_cm_{k}") for k in firsts])
-    j = u.join(carry, [*keys, "_bkt"], "left")
-    wr = Window.partitionBy(*keys, "_bkt").orderBy(order_key).rowsBetween(Window.unboundedPreceding, 0)
-    for k, v in sums.items():
-        j = j.withColumn(f"_r_{k}", F.coalesce(F.col(f"_cs_{k}"), F.lit(0)) + F.coalesce(F.sum(v).over(wr), F.lit(0)))
-    for k, v in firsts.items():
-        j = j.withColumn(f"_r_{k}", F.least(F.col(f"_cm_{k}"), F.min(v).over(wr)))
+    j = u.join(carry, [*keys, "_bkt"], "left").withColumn("_ok", order_key)
+    # order by a plain column and add every running aggregate in one
+    # projection, so all of them share a single Window operator (one sort)
+    wr = Window.partitionBy(*keys, "_bkt").orderBy("_ok").rowsBetween(Window.unboundedPreceding, 0)
+    run = [(F.coalesce(F.col(f"_cs_{k}"), F.lit(0)) + F.coalesce(F.sum(v).over(wr), F.lit(0))).alias(f"_r_{k}")
+           for k, v in sums.items()]
+    run += [F.least(F.col(f"_cm_{k}"), F.min(v).over(wr)).alias(f"_r_{k}") for k, v in firsts.items()]
+    j = j.select("*", *run)
     mode = F.array_max(F.array(*[F.struct(F.col(f"_r_c{i}").alias("c"), F.col(f"_r_f{i}").alias("f"),
                                           F.lit(d).alias("d")) for i, d in enumerate(DIRECTION_VALUES)]))["d"]
     n = F.col("_r_n")
     out = j.where(F.col("_is_hist") == 0).select(
         *[F.col(x) for x in cols_ctx if not x.startswith("_")],
         F.when(n > 0, n).alias("base_n"),
-        F.when(n > 0, F.col("_r_cc").cast("double") / n).alias("base_cluster_count"),
-        F.when(n > 0, F.col("_r_dn").cast("double") / n).alias("base_avg_density"),
-        F.when(n > 0, F.col("_r_dw").cast("double") / n).alias("base_dwell_avg"),
-        F.when(n > 0, F.col("_r_en").cast("double") / n).alias("base_engagement"),
+        F.when(n > 0, F.col("_r_cc") / F.lit(1e9) / n).alias("base_cluster_count"),
+        F.when(n > 0, F.col("_r_dn") / F.lit(1e9) / n).alias("base_avg_density"),
+        F.when(n > 0, F.col("_r_dw") / F.lit(1e9) / n).alias("base_dwell_avg"),
+        F.when(n > 0, F.col("_r_en") / F.lit(1e9) / n).alias("base_engagement"),
         F.when(n > 0, mode).alias("base_flow_direction"),
     )
     return out

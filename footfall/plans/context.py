@@ -132,7 +132,7 @@ def _register_rc(name, cols, extra_sql="", extra_spark=()):
 
     def q(spark, sf_dir):
         c = ctx_on(spark, sf_dir, "ts_us")
-        return c.select("frame_id", *_spark_rc(c, cols), *extra_spark)
+        return c.select("frame_id", *_spark_rc(c, cols), *[f() for f in extra_spark])
 
     register(name, sql)(q)
 
@@ -144,7 +144,7 @@ _register_rc("dominant_flow", ("ctx_flow_direction",))
 _register_rc("trend", ("crowd_trend", "density_trend", "engagement_trend"))
 _register_rc("stability", ("stability",))
 _register_rc("peaks", ("peak_crowd", "peak_ratio", "is_peak"), ", peak_ts_us",
-             (US("peak_ts").alias("peak_ts_us"),))
+             (lambda: US("peak_ts").alias("peak_ts_us"),))
 
 
 def _register_hist(kind, compat=False):

@@ -56,3 +56,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     checkpoints and materialised intermediates)."""
     base = ensure_checkpoint_dir(spark)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def materialize(df, name: str = "stage"):
+    """Cut lineage: write ``df`` as a parquet table under the shared
+    ``spark.checkpoint.dir`` and read it back.  Used where one expensive
+    input feeds two branches of a plan; the written table also survives
+    lost executors (nothing machine-local is involved on a cluster)."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
