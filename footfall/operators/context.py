@@ -338,8 +338,14 @@ def context_snapshot(ctx: DataFrame, every_s: int = 5, key: str = "billboard_id"
     snap = snap.select(key, F.col("w.end").alias("tick"), "p.*").withColumn("repeated", F.lit(False))
     if not fill_gaps:
         return snap
+    # the tick grid is generated hour by hour (at most 3600 / every_s ticks
+    # per row), never as one array spanning a billboard's whole history
     span = snap.groupBy(key).agg(F.min("tick").alias("t0"), F.max("tick").alias("t1"))
-    ticks = span.select(key, F.explode(F.sequence("t0", "t1", F.expr(f"INTERVAL {every_s} SECONDS"))).alias("tick"))
+    hours = span.select(key, "t0", "t1", F.explode(F.sequence(
+        F.date_trunc("hour", "t0"), F.date_trunc("hour", "t1"), F.expr("INTERVAL 1 HOUR"))).alias("h"))
+    ticks = hours.select(key, "t0", "t1", F.explode(F.sequence(
+        F.greatest("h", "t0"), F.least(F.timestamp_add("SECOND", F.lit(3600 - every_s), F.col("h")), F.col("t1")),
+        F.expr(f"INTERVAL {every_s} SECONDS"))).alias("tick")).drop("t0", "t1")
     allt = ticks.join(snap, [key, "tick"], "left")
     from footfall.operators.asof import asof_last
     cols = [c for c in snap.columns if c not in (key, "tick", "repeated")]

@@ -80,3 +80,23 @@ def test_estimated_viewers_rounding(spark):
     df = spark.createDataFrame([(0,), (1,), (2,), (5,)], "c long")
     got = [r[0] for r in df.select(CT.estimated_viewers(F.col("c"))).collect()]
     assert got == [1, 1, 2, 6]
+
+
+def test_device_clock_repair(spark):
+    df = spark.createDataFrame([(ts(0), True, "America/New_York"), (ts(0), True, None), (ts(0), False, None)],
+                               "ts timestamp, ts_suspect boolean, device_tz string")
+    got = EV.fix_device_clock(df).collect()
+    assert (got[0]["ts"] - ts(0)).total_seconds() == 5 * 3600 and got[0]["ts_suspect"] is False
+    assert got[1]["ts"] == ts(0) and got[1]["ts_suspect"] is True
+    assert got[2]["ts"] == ts(0) and got[2]["ts_suspect"] is False
+
+
+def test_snapshot_gap_fill_repeats_last(spark):
+    from footfall.operators import context as CX
+    ctx = spark.createDataFrame(
+        [("bb", 1, ts(1), 3, 0.1, "north", 1.0, 0.2), ("bb", 2, ts(21), 5, 0.1, "east", 1.0, 0.2)],
+        "billboard_id string, frame_id long, ts timestamp, ctx_cluster_count long, ctx_avg_density double, "
+        "ctx_flow_direction string, ctx_dwell_avg double, ctx_engagement double")
+    snap = CX.context_snapshot(ctx, 5, fill_gaps=True).orderBy("tick").collect()
+    assert [r["cluster_count"] for r in snap] == [3, 3, 3, 3, 5]
+    assert [r["repeated"] for r in snap] == [False, True, True, True, False]
