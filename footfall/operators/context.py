@@ -349,7 +349,9 @@ def context_snapshot(ctx: DataFrame, every_s: int = 5, key: str = "billboard_id"
     allt = ticks.join(snap, [key, "tick"], "left")
     from footfall.operators.asof import asof_last
     cols = [c for c in snap.columns if c not in (key, "tick", "repeated")]
-    filled = asof_last(allt, key, "tick", ["tick"], {"_p": F.struct(*[F.col(c) for c in cols])},
+    # only ticks that hold a frame carry a value (a struct of NULLs is not NULL)
+    filled = asof_last(allt, key, "tick", ["tick"],
+                       {"_p": F.when(F.col(tie).isNotNull(), F.struct(*[F.col(c) for c in cols]))},
                        bucket_us=86_400_000_000)
     return filled.select(key, "tick", *[F.col(f"_p.{c}").alias(c) for c in cols],
                          F.col("repeated").isNull().alias("repeated"))
