@@ -93,38 +93,85 @@ def dominant(values: Column) -> Column:
     return F.coalesce(best["v"], F.lit("unknown"))
 
 
+def _sums(arr: Column, fields: tuple[str, ...]) -> Column:
+    """One left fold over the array giving a struct of the JS ``|| 0`` sums
+    of several fields (one interpreted pass instead of one per field)."""
+    init = F.struct(*[F.lit(0.0).alias(f) for f in fields])
+    return F.aggregate(arr, init, lambda acc, x: F.struct(*[(acc[f] + _z(x[f])).alias(f) for f in fields]))
+
+
+def _trend_of(n: Column, a1: Column, a2: Column) -> Column:
+    return (
+        F.when(n < 2, F.lit("stable"))
+        .when(a1 == 0, F.when(a2 > 0, "increasing").when(a2 < 0, "decreasing").otherwise("stable"))
+        .when((a2 - a1) / a1 > 0.1, "increasing")
+        .when((a2 - a1) / a1 < -0.1, "decreasing")
+        .otherwise("stable")
+    )
+
+
 def aggregate_context(df: DataFrame, arr: str = "recent") -> DataFrame:
     """X2–X6 over the window array: averages (clusterCount JS-rounded),
-    dominant flow, trends, stability and peaks."""
+    dominant flow, trends, stability and peaks.
+
+    The array is bounded (<= 100 frames).  Lambdas are interpreted, so the
+    work is arranged in few passes: one fold for all five sums, one per
+    trend half, one for both variances; the mode counts use the compiled
+    ``array_remove`` per distinct value."""
     a = F.col(arr)
     n = F.size(a)
-    dirs = F.transform(a, lambda x: F.coalesce(x["flow_direction"], F.lit("unknown")))
-    ccs = F.transform(a, lambda x: _z(x["cluster_count"]))
-    stab_flow = F.lit(1.0) - (F.size(F.array_distinct(F.transform(a, lambda x: x["flow_direction"]))) - 1) \
-        / F.greatest(n - 1, F.lit(1))
-    overall = (_var_stability(a, "cluster_count") + _var_stability(a, "avg_density") + stab_flow) / 3
+    half = F.floor(n / 2).cast("int")
+    metrics = ("cluster_count", "avg_density", "dwell_avg", "engagement", "attention")
+    trended = ("cluster_count", "avg_density", "engagement")
+    out = df.withColumn("_n", n).withColumn("_s", _sums(a, metrics)) \
+        .withColumn("_h1", _sums(F.slice(a, F.lit(1), half), trended)) \
+        .withColumn("_h2", _sums(F.slice(a, half + 1, n - half), trended)) \
+        .withColumn("_dirs", F.transform(a, lambda x: F.coalesce(x["flow_direction"], F.lit("unknown")))) \
+        .withColumn("_ccs", F.transform(a, lambda x: _z(x["cluster_count"])))
+    nn = F.col("_n")
+    mean_cc, mean_dn = F.col("_s.cluster_count") / nn, F.col("_s.avg_density") / nn
+    out = out.withColumn("_var", F.aggregate(
+        a, F.struct(F.lit(0.0).alias("cc"), F.lit(0.0).alias("dn")),
+        lambda acc, x: F.struct((acc["cc"] + (_z(x["cluster_count"]) - mean_cc) * (_z(x["cluster_count"]) - mean_cc))
+                                .alias("cc"),
+                                (acc["dn"] + (_z(x["avg_density"]) - mean_dn) * (_z(x["avg_density"]) - mean_dn))
+                                .alias("dn"))))
+
+    def stab(mean, var):
+        coef = F.when(mean > 0, F.sqrt(var / nn) / mean).otherwise(F.lit(1.0))
+        return F.greatest(F.lit(0.0), F.lit(1.0) - coef)
+
+    dirs = F.col("_dirs")
+    best = F.array_max(F.transform(F.array_distinct(dirs), lambda v: F.struct(
+        (nn - F.size(F.array_remove(dirs, v))).alias("c"), F.array_position(dirs, v).alias("p"), v.alias("v"))))
+    n_flow = F.size(F.array_distinct(F.transform(a, lambda x: x["flow_direction"])))
+    stab_flow = F.lit(1.0) - (n_flow - 1) / F.greatest(nn - 1, F.lit(1))
+    overall = (stab(mean_cc, F.col("_var.cc")) + stab(mean_dn, F.col("_var.dn")) + stab_flow) / 3
     stability = (
-        F.when(n < 3, F.lit("unknown")).when(overall > 0.8, "very_stable").when(overall > 0.6, "stable")
+        F.when(nn < 3, F.lit("unknown")).when(overall > 0.8, "very_stable").when(overall > 0.6, "stable")
         .when(overall > 0.4, "moderate").when(overall > 0.2, "unstable").otherwise("very_unstable")
     )
-    avg_cc = _sum(a, "cluster_count") / n
-    peak = F.array_max(ccs)
-    out = df.withColumn("n_recent", n) \
-        .withColumn("ctx_cluster_count", js_round(avg_cc)) \
-        .withColumn("ctx_avg_density", _sum(a, "avg_density") / n) \
-        .withColumn("ctx_flow_direction", dominant(dirs)) \
-        .withColumn("ctx_dwell_avg", _sum(a, "dwell_avg") / n) \
-        .withColumn("ctx_engagement", _sum(a, "engagement") / n) \
-        .withColumn("ctx_attention", _sum(a, "attention") / n) \
-        .withColumn("crowd_trend", _trend(a, "cluster_count")) \
-        .withColumn("density_trend", _trend(a, "avg_density")) \
-        .withColumn("engagement_trend", _trend(a, "engagement")) \
+    peak = F.array_max("_ccs")
+
+    def tr(f):
+        return _trend_of(nn, F.col(f"_h1.{f}") / half, F.col(f"_h2.{f}") / (nn - half))
+
+    return out.withColumn("n_recent", nn) \
+        .withColumn("ctx_cluster_count", js_round(mean_cc)) \
+        .withColumn("ctx_avg_density", mean_dn) \
+        .withColumn("ctx_flow_direction", F.coalesce(best["v"], F.lit("unknown"))) \
+        .withColumn("ctx_dwell_avg", F.col("_s.dwell_avg") / nn) \
+        .withColumn("ctx_engagement", F.col("_s.engagement") / nn) \
+        .withColumn("ctx_attention", F.col("_s.attention") / nn) \
+        .withColumn("crowd_trend", tr("cluster_count")) \
+        .withColumn("density_trend", tr("avg_density")) \
+        .withColumn("engagement_trend", tr("engagement")) \
         .withColumn("stability", stability) \
-        .withColumn("peak_crowd", F.when(n >= 5, peak)) \
-        .withColumn("peak_ratio", F.when(n >= 5, F.when(avg_cc > 0, peak / avg_cc).otherwise(F.lit(1.0)))) \
-        .withColumn("is_peak", F.when(n >= 5, peak > avg_cc * 1.5)) \
-        .withColumn("peak_ts", F.when(n >= 5, F.element_at(a, F.array_position(ccs, peak).cast("int"))["ts"]))
-    return out
+        .withColumn("peak_crowd", F.when(nn >= 5, peak)) \
+        .withColumn("peak_ratio", F.when(nn >= 5, F.when(mean_cc > 0, peak / mean_cc).otherwise(F.lit(1.0)))) \
+        .withColumn("is_peak", F.when(nn >= 5, peak > mean_cc * 1.5)) \
+        .withColumn("peak_ts", F.when(nn >= 5, F.element_at(a, F.array_position("_ccs", peak).cast("int"))["ts"])) \
+        .drop("_n", "_s", "_h1", "_h2", "_dirs", "_ccs", "_var")
 
 
 def recent_context(frames: DataFrame, **kw) -> DataFrame:
