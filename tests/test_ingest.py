@@ -57,3 +57,19 @@ def test_export_batches_at_most_n_fifo(spark):
     assert [r["n_events"] for r in b] == [50, 50, 20]
     first = json.loads(b[0]["payload"])
     assert first["client_id"] == "c" and [e["event_id"] for e in first["events"]][:3] == ["e000", "e001", "e002"]
+
+
+def test_stream_upload_batches_file_source(spark, tmp_path):
+    src = tmp_path / "in"
+    src.mkdir()
+    (src / "a.json").write_text(batch([{"event_id": "s1", "event_type": "search", "timestamp": "2024-01-01T00:00:00Z"},
+                                       {"event_id": "s2", "event_type": "share", "timestamp": "2024-01-01T00:00:01Z"}])
+                                + "\n" + "garbage\n")
+    (src / "b.json").write_text(batch([{"event_id": "s3", "event_type": "favorite",
+                                        "timestamp": "2024-01-01T00:00:02Z"}], client="c2") + "\n")
+    stream = UP.stream_upload_batches(spark, str(src), max_files_per_trigger=1)
+    q = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")) \
+        .option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = {(r["event_id"], r["client_id"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {("s1", "test-client-id"), ("s2", "test-client-id"), ("s3", "c2")}
