@@ -116,3 +116,23 @@ def next_row(df: DataFrame, key: str | list[str], ts: str, order: list[str], col
     for c in cols:
         j = j.withColumn(f"next_{c}", F.when(nxt_exists, F.lead(F.col(c)).over(w)).otherwise(F.col("_carry")[c]))
     return j.drop("_bkt", "_carry")
+
+
+def chunked_range(df: DataFrame, key: str | list[str], ts: str, horizon_us: int, chunk_us: int,
+                  columns: dict[str, Column], order: list[str] | None = None) -> DataFrame:
+    """Range-window aggregates over ``(ts - horizon, ts]`` per key, with
+    the key cut into time chunks: every chunk gets a read-only copy of the
+    previous chunk's last ``horizon`` of rows, so each row sees exactly the
+    rows a global range window would, while a hot key is spread over
+    ``span / chunk`` window partitions.  ``columns`` maps output names to
+    window-aggregate builders ``f(window_spec) -> Column``."""
+    keys = [key] if isinstance(key, str) else list(key)
+    us = F.unix_micros(F.col(ts))
+    chunk = F.floor(us / F.lit(chunk_us)).cast("bigint")
+    own = df.withColumn("_chunk", chunk).withColumn("_own", F.lit(True))
+    tail = df.where(us - F.floor(us / F.lit(chunk_us)) * F.lit(chunk_us) >= F.lit(chunk_us - horizon_us)) \
+        .withColumn("_chunk", chunk + 1).withColumn("_own", F.lit(False))
+    u = own.unionByName(tail).withColumn("_us", us)
+    w = Window.partitionBy(*keys, "_chunk").orderBy("_us").rangeBetween(-horizon_us + 1, 0)
+    out = u.select("*", *[fn(w).alias(name) for name, fn in columns.items()])
+    return out.where("_own").drop("_own", "_chunk", "_us")

@@ -138,21 +138,24 @@ PURCHASE_INTENT = {"add_to_cart": 1.0, "checkout_started": 2.0, "purchase": 3.0}
 
 
 def intent_trigger(df: DataFrame, threshold: float = 3.0, window_days: int = 7,
-                   weights: dict[str, float] | None = None, rule: str = "high_purchase_intent") -> DataFrame:
+                   weights: dict[str, float] | None = None, rule: str = "high_purchase_intent",
+                   chunk_days: int = 28) -> DataFrame:
     """G7 (ours): users whose trailing ``window_days`` intent weight
     reaches ``threshold``; a row is emitted only on the crossing (the
-    previous event of the user was below)."""
+    previous event of the user was below).  The trailing sum is a range
+    window cut into ``chunk_days`` chunks (see ``chunked_range``) and the
+    previous value comes from the bucketed ``prev_row``."""
+    from footfall.operators.asof import chunked_range, prev_row
     wmap = weights or PURCHASE_INTENT
     m = F.create_map(*[x for k, v in wmap.items() for x in (F.lit(k), F.lit(v))])
-    ev = df.where(F.col("event_type").isin(list(wmap))).withColumn("_w", F.element_at(m, F.col("event_type"))) \
-        .withColumn("_s", F.unix_micros("ts"))
-    w = Window.partitionBy("uuid").orderBy("_s").rangeBetween(-window_days * 86_400_000_000 + 1, 0)
-    ev = ev.withColumn("trailing_weight", F.sum("_w").over(w))
-    wo = Window.partitionBy("uuid").orderBy("_s", "event_id")
-    prev = F.lag("trailing_weight").over(wo)
-    return ev.withColumn("_prev", prev).where((F.col("trailing_weight") >= threshold) &
-                                              (F.col("_prev").isNull() | (F.col("_prev") < threshold))) \
-        .withColumn("rule", F.lit(rule)).drop("_w", "_s", "_prev")
+    ev = df.where(F.col("event_type").isin(list(wmap))).withColumn("_w", F.element_at(m, F.col("event_type")))
+    day = 86_400_000_000
+    ev = chunked_range(ev, "uuid", "ts", window_days * day, chunk_days * day,
+                       {"trailing_weight": lambda w: F.sum("_w").over(w)})
+    p = prev_row(ev, "uuid", "ts", ["ts", "event_id"], ["trailing_weight"], bucket_us=chunk_days * day)
+    prev = F.col("prev_trailing_weight")
+    return p.where((F.col("trailing_weight") >= threshold) & (prev.isNull() | (prev < threshold))) \
+        .withColumn("rule", F.lit(rule)).drop("_w", "prev_trailing_weight")
 
 
 def geo_cell(c: Column, size_deg: float = 0.1) -> Column:
@@ -240,10 +243,12 @@ def attribution(df: DataFrame, lookback_days: int = 7, model: str = "last") -> D
                         max_age_us=lookback_days * 86_400_000_000)
         return got.where(F.col("event_type") == "purchase").select(
             "event_id", "uuid", "ts", F.col("touch").alias("credited_source"), F.col("touch_ts"))
-    w = Window.partitionBy("uuid").orderBy(F.unix_micros("ts")).rangeBetween(-lookback_days * 86_400_000_000, 0)
-    first = F.min_by(F.struct(F.col("_utm").alias("s"), F.col("ts").alias("t")),
-                     F.when(F.col("_utm").isNotNull(), F.struct("ts", "event_id"))).over(w)
-    got = rel.withColumn("_f", first)
+    # first touch: a range-window min_by over (ts - lookback, ts], chunked
+    from footfall.operators.asof import chunked_range
+    day = 86_400_000_000
+    first = lambda w: F.min_by(F.struct(F.col("_utm").alias("s"), F.col("ts").alias("t")),
+                               F.when(F.col("_utm").isNotNull(), F.struct("ts", "event_id"))).over(w)
+    got = chunked_range(rel, "uuid", "ts", lookback_days * day + 1, max(4 * lookback_days, 28) * day, {"_f": first})
     return got.where(F.col("event_type") == "purchase").select(
         "event_id", "uuid", "ts", F.col("_f.s").alias("credited_source"), F.col("_f.t").alias("touch_ts"))
 

@@ -82,3 +82,21 @@ def test_recent_window_matches_model(spark):
     got = {r["frame_id"]: (r["n_recent"], r["ctx_cluster_count"], r["ctx_flow_direction"])
            for r in CX.recent_context(df, chunk_s=60).collect()}
     assert got == model_context(frames)
+
+
+def test_chunked_range_equals_global_window(spark):
+    from pyspark.sql.window import Window
+
+    from footfall.operators.asof import chunked_range
+    rnd = random.Random(5)
+    rows, t = [], 0.0
+    for i in range(300):
+        t += rnd.choice([0.5, 1.0, 3.0, 9.0])
+        rows.append((rnd.choice(["a", "b"]), i, ts(t), float(rnd.randint(0, 9))))
+    df = spark.createDataFrame(rows, "k string, i long, ts timestamp, v double")
+    horizon = 10_000_000
+    got = {r["i"]: r["s"] for r in chunked_range(df, "k", "ts", horizon, 25_000_000,
+                                                  {"s": lambda w: F.sum("v").over(w)}).collect()}
+    w = Window.partitionBy("k").orderBy(F.unix_micros("ts")).rangeBetween(-horizon + 1, 0)
+    want = {r["i"]: r["s"] for r in df.select("i", F.sum("v").over(w).alias("s")).collect()}
+    assert got == want
