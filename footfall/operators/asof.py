@@ -136,3 +136,20 @@ def chunked_range(df: DataFrame, key: str | list[str], ts: str, horizon_us: int,
     w = Window.partitionBy(*keys, "_chunk").orderBy("_us").rangeBetween(-horizon_us + 1, 0)
     out = u.select("*", *[fn(w).alias(name) for name, fn in columns.items()])
     return out.where("_own").drop("_own", "_chunk", "_us")
+
+
+def global_row_number(df: DataFrame, key: str | list[str], ts: str, order: list[str],
+                      bucket_us: int = DEFAULT_BUCKET_US) -> DataFrame:
+    """``row_number()`` over the whole key in ``order`` (which must start
+    with the time column ``ts``), computed without a whole-key window: a
+    row's number is its number inside (key, time bucket) plus the count of
+    the key's rows in earlier buckets (a cumulative sum over the per-bucket
+    counts, one row per active bucket).  Adds ``_rn``."""
+    keys = [key] if isinstance(key, str) else list(key)
+    b = df.withColumn("_bkt", F.floor(F.unix_micros(F.col(ts)) / F.lit(bucket_us)).cast("bigint"))
+    counts = b.groupBy(*keys, "_bkt").agg(F.count(F.lit(1)).alias("_c"))
+    wk = Window.partitionBy(*keys).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
+    offs = counts.select(*keys, "_bkt", F.coalesce(F.sum("_c").over(wk), F.lit(0)).alias("_off"))
+    w = Window.partitionBy(*keys, "_bkt").orderBy(*order)
+    return b.join(offs, [*keys, "_bkt"]).withColumn("_rn", F.row_number().over(w) + F.col("_off")) \
+        .drop("_bkt", "_off")

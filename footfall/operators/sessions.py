@@ -108,14 +108,27 @@ def completion_rate(actual: Column, planned: Column) -> Column:
 
 
 def half_ewma(df: DataFrame, key: str | list[str], order: list[str], col: str, out: str = "half_ewma",
-              depth: int = 64) -> DataFrame:
+              depth: int = 64, chunk_rows: int = 100_000) -> DataFrame:
     """The client's "average" a <- (a + x) / 2 starting from 0 (not a
-    mean).  Values older than ``depth`` steps weigh less than 2^-depth, so
-    the fold runs over a bounded ``rowsBetween(-(depth-1), 0)`` list."""
+    mean), per row.  Values older than ``depth`` steps weigh less than
+    2^-depth, so the fold runs over a bounded ``rowsBetween(-(depth-1), 0)``
+    list.  ``order`` starts with the time column.
+
+    A key's rows are numbered without a whole-key window
+    (``global_row_number``) and cut into chunks of ``chunk_rows``; each
+    chunk gets a copy of the previous chunk's last ``depth - 1`` rows, so
+    the 64-row frame is exact at chunk edges."""
+    from footfall.operators.asof import global_row_number
     keys = [key] if isinstance(key, str) else list(key)
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-(depth - 1), 0)
+    g = global_row_number(df, keys, order[0], order)
+    chunk = F.floor((F.col("_rn") - 1) / F.lit(chunk_rows)).cast("bigint")
+    own = g.withColumn("_chunk", chunk).withColumn("_own", F.lit(True))
+    tail = g.where(F.pmod(F.col("_rn") - 1, F.lit(chunk_rows)) >= chunk_rows - (depth - 1)) \
+        .withColumn("_chunk", chunk + 1).withColumn("_own", F.lit(False))
+    w = Window.partitionBy(*keys, "_chunk").orderBy("_rn").rowsBetween(-(depth - 1), 0)
     hist = F.collect_list(F.coalesce(F.col(col).cast("double"), F.lit(0.0))).over(w)
-    return df.withColumn(out, F.aggregate(hist, F.lit(0.0), lambda a, x: (a + x) / 2))
+    u = own.unionByName(tail).withColumn(out, F.aggregate(hist, F.lit(0.0), lambda a, x: (a + x) / 2))
+    return u.where("_own").drop("_own", "_chunk", "_rn")
 
 
 def last_half_ewma(df: DataFrame, key: str | list[str], order: list[str], col: str, out: str = "half_ewma",

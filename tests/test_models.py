@@ -100,3 +100,13 @@ def test_chunked_range_equals_global_window(spark):
     w = Window.partitionBy("k").orderBy(F.unix_micros("ts")).rangeBetween(-horizon + 1, 0)
     want = {r["i"]: r["s"] for r in df.select("i", F.sum("v").over(w).alias("s")).collect()}
     assert got == want
+
+
+def test_half_ewma_exact_across_row_chunks(spark):
+    rnd = random.Random(9)
+    vals = [rnd.uniform(0, 10) for _ in range(500)]
+    df = spark.createDataFrame([("k", i, ts(i * 7.0), v) for i, v in enumerate(vals)],
+                               "key string, i long, ts timestamp, v double")
+    small = {r["i"]: r["half_ewma"] for r in SS.half_ewma(df, "key", ["ts", "i"], "v", chunk_rows=70).collect()}
+    big = {r["i"]: r["half_ewma"] for r in SS.half_ewma(df, "key", ["ts", "i"], "v").collect()}
+    assert small == big
