@@ -248,38 +248,34 @@ def historical_baseline(ctx: DataFrame, hist: DataFrame, key: str = "billboard_i
         return df.withColumn("_dow", dow0_of_us(loc)).withColumn("_hour", hour_of_us(loc))
 
     bucket_us = bucket_days * 86_400_000_000
-    h = parts(hist).withColumn("_hk", F.explode(F.array(F.col("_hour") - 1, F.col("_hour"), F.col("_hour") + 1))) \
-        .where(F.col("_hk").between(0, 23))
     rank = F.element_at(F.create_map(*[x for k, v in KIND_RANK.items() for x in (F.lit(k), F.lit(v))]),
                         F.col("window_type"))
-    h = h.select(key, ts, "_dow", F.col("_hk"), F.lit(1).alias("_is_hist"), F.lit(None).cast("string").alias(tie),
-                 rank.alias("_rank"), F.col("cluster_count").alias("_cc"), F.col("avg_density").alias("_dn"),
-                 F.col("dwell_avg").alias("_dw"), F.col("engagement").alias("_en"), F.col("flow_direction").alias("_fl"))
-    c = parts(ctx).withColumn("_hk", F.col("_hour")).withColumn("_is_hist", F.lit(0)) \
-        .withColumn("_tie", F.col(tie).cast("string"))
-    cols_ctx = c.columns
-    # union: context rows carry their own columns; history rows only the metrics
-    hh = h.withColumn("_tie", F.lit(None).cast("string"))
-    u = c.unionByName(hh.drop(tie), allowMissingColumns=True)
-    u = u.withColumn("_bkt", F.floor(F.unix_micros(F.col(ts)) / F.lit(bucket_us)).cast("bigint"))
-    # the union feeds both the bucket summary and the row pass: checkpoint it
-    # once instead of recomputing context and history twice
+    dir_idx = F.array_position(F.array(*[F.lit(d) for d in DIRECTION_VALUES]),
+                               F.coalesce(F.col("flow_direction"), F.lit("unknown"))).cast("int")
+    # history rows, copied to the hour keys h-1, h, h+1 (no wrap)
+    h = parts(hist).withColumn("_hk", F.explode(F.array(F.col("_hour") - 1, F.col("_hour"), F.col("_hour") + 1))) \
+        .where(F.col("_hk").between(0, 23)).select(
+            key, ts, "_dow", "_hk", F.lit(1).alias("_is_hist"), F.lit(None).cast("string").alias("_tie"),
+            (F.unix_micros(F.col(ts)) * 8 + rank + 1).alias("_ok"),
+            # history averages are quantised to 1e-9 and summed exactly, so the
+            # baseline does not depend on the order partial sums are combined in
+            _q9(F.col("cluster_count")).alias("_cc"), _q9(F.col("avg_density")).alias("_dn"),
+            _q9(F.col("dwell_avg")).alias("_dw"), _q9(F.col("engagement")).alias("_en"), dir_idx.alias("_di"))
+    # context rows: only their key and time — the baseline is joined back to
+    # the full context rows at the end, so the union stays narrow
+    c = parts(ctx).select(key, ts, "_dow", F.col("_hour").alias("_hk"), F.lit(0).alias("_is_hist"),
+                          F.col(tie).cast("string").alias("_tie"), (F.unix_micros(F.col(ts)) * 8).alias("_ok"))
+    u = c.unionByName(h, allowMissingColumns=True) \
+        .withColumn("_bkt", F.floor(F.unix_micros(F.col(ts)) / F.lit(bucket_us)).cast("bigint")).drop(ts)
+    # the union feeds both the bucket summary and the row pass: write it once
+    # (narrow numeric columns) instead of recomputing the history twice
     u = materialize(u, "baseline-union")
-    # one BIGINT order key: time, then context rows before history rows
-    # (history is strictly prior), then the window kind
-    order_key = F.unix_micros(F.col(ts)) * 8 + F.when(F.col("_is_hist") == 1, F.col("_rank") + 1).otherwise(F.lit(0))
     is_h = F.col("_is_hist") == 1
-    sums = {
-        "n": F.when(is_h, F.lit(1)).otherwise(F.lit(0)),
-        # history averages are quantised to 1e-9 and summed exactly, so the
-        # baseline does not depend on the order partial sums are combined in
-        "cc": _q9(F.when(is_h, F.col("_cc"))), "dn": _q9(F.when(is_h, F.col("_dn"))),
-        "dw": _q9(F.when(is_h, F.col("_dw"))), "en": _q9(F.when(is_h, F.col("_en"))),
-    }
-    for i, d in enumerate(DIRECTION_VALUES):
-        sums[f"c{i}"] = F.when(is_h & (F.coalesce(F.col("_fl"), F.lit("unknown")) == d), F.lit(1)).otherwise(F.lit(0))
-    firsts = {f"f{i}": F.when(is_h & (F.coalesce(F.col("_fl"), F.lit("unknown")) == d), order_key)
-              for i, d in enumerate(DIRECTION_VALUES)}
+    sums = {"n": F.when(is_h, F.lit(1)).otherwise(F.lit(0)), "cc": F.col("_cc"), "dn": F.col("_dn"),
+            "dw": F.col("_dw"), "en": F.col("_en")}
+    for i in range(len(DIRECTION_VALUES)):
+        sums[f"c{i}"] = F.when(F.col("_di") == i + 1, F.lit(1)).otherwise(F.lit(0))
+    firsts = {f"f{i}": F.when(F.col("_di") == i + 1, F.col("_ok")) for i in range(len(DIRECTION_VALUES))}
     keys = [key, "_dow", "_hk"]
     # per-bucket summary and its carry-in from earlier buckets
     summ = u.groupBy(*keys, "_bkt").agg(*[F.sum(v).alias(f"_s_{k}") for k, v in sums.items()],
@@ -287,19 +283,20 @@ def historical_baseline(ctx: DataFrame, hist: DataFrame, key: str = "billboard_i
     wb = Window.partitionBy(*keys).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
     carry = summ.select(*keys, "_bkt", *[F.sum(f"_s_{k}").over(wb).alias(f"_cs_{k}") for k in sums],
                         *[F.min(f"_m_{k}").over(wb).alias(f"_cm_{k}") for k in firsts])
-    j = u.join(carry, [*keys, "_bkt"], "left").withColumn("_ok", order_key)
-    # order by a plain column and add every running aggregate in one
-    # projection, so all of them share a single Window operator (one sort)
+    j = u.join(carry, [*keys, "_bkt"], "left")
+    # order by a plain column (time, then context before history, then the
+    # window kind) and add every running aggregate in one projection, so
+    # they share a single Window operator (one sort)
     wr = Window.partitionBy(*keys, "_bkt").orderBy("_ok").rowsBetween(Window.unboundedPreceding, 0)
     run = [(F.coalesce(F.col(f"_cs_{k}"), F.lit(0)) + F.coalesce(F.sum(v).over(wr), F.lit(0))).alias(f"_r_{k}")
            for k, v in sums.items()]
     run += [F.least(F.col(f"_cm_{k}"), F.min(v).over(wr)).alias(f"_r_{k}") for k, v in firsts.items()]
-    j = j.select("*", *run)
+    j = j.select(key, "_is_hist", "_tie", *run)
     mode = F.array_max(F.array(*[F.struct(F.col(f"_r_c{i}").alias("c"), F.col(f"_r_f{i}").alias("f"),
                                           F.lit(d).alias("d")) for i, d in enumerate(DIRECTION_VALUES)]))["d"]
     n = F.col("_r_n")
-    out = j.where(F.col("_is_hist") == 0).select(
-        *[F.col(x) for x in cols_ctx if not x.startswith("_")],
+    base = j.where(F.col("_is_hist") == 0).select(
+        key, "_tie",
         F.when(n > 0, n).alias("base_n"),
         F.when(n > 0, F.col("_r_cc") / F.lit(1e9) / n).alias("base_cluster_count"),
         F.when(n > 0, F.col("_r_dn") / F.lit(1e9) / n).alias("base_avg_density"),
@@ -307,7 +304,7 @@ def historical_baseline(ctx: DataFrame, hist: DataFrame, key: str = "billboard_i
         F.when(n > 0, F.col("_r_en") / F.lit(1e9) / n).alias("base_engagement"),
         F.when(n > 0, mode).alias("base_flow_direction"),
     )
-    return out
+    return ctx.withColumn("_tie", F.col(tie).cast("string")).join(base, [key, "_tie"], "left").drop("_tie")
 
 
 # ------------------------------------------------------------------ X9
