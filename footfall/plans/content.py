@@ -99,8 +99,8 @@ def q_content_rule(spark, sf_dir):
 
 
 @register("impression_report", duck_sql(["fx_base", "fx_frame"], DUCK_CHAIN, """
-select billboard_id, content_id, count(*) as impressions, sum(viewers) as total_viewers,
-  sum(duration_ms) as total_display_ms from imp group by billboard_id, content_id"""))
+select billboard_id, content_id, count(*) as impressions, cast(sum(viewers) as bigint) as total_viewers,
+  cast(sum(duration_ms) as bigint) as total_display_ms from imp group by billboard_id, content_id"""))
 def q_impression_report(spark, sf_dir):
     from footfall.operators.reports import impression_report
     return impression_report(imps(spark, sf_dir), "billboard_id")

@@ -97,7 +97,7 @@ def duck_history(kind: str, clock: str, compat: bool = False) -> str:
   sum(cast(coalesce(avg_density, 0) as decimal(38,12))) as s_dn, sum(cast(coalesce(dwell_avg, 0) as decimal(38,12))) as s_dw,
   sum(cast(coalesce(engagement, 0) as decimal(38,12))) as s_en from {p}_w group by 1, 2, 3),
 {p} as (select billboard_id, '{kind}' as window_type, ws + {l_us} as ts_us, {length * 1000} as duration_ms,
-  sum(c) as n, cast(sum(s_cc) as double) / sum(c) as cluster_count, cast(sum(s_dn) as double) / sum(c) as avg_density,
+  cast(sum(c) as bigint) as n, cast(sum(s_cc) as double) / sum(c) as cluster_count, cast(sum(s_dn) as double) / sum(c) as avg_density,
   cast(sum(s_dw) as double) / sum(c) as dwell_avg, cast(sum(s_en) as double) / sum(c) as engagement, arg_max(dir, {{'c': c, 'f': first}}) as flow_direction
   from {p}_d group by billboard_id, ws)"""
 
@@ -123,7 +123,8 @@ def _rc_select(cols):
 
 
 def _spark_rc(df, cols):
-    return [round6(c).alias(c) if c in _DBL else F.col(c) for c in cols]
+    return [round6(c).alias(c) if c in _DBL else F.col(c).cast("bigint").alias(c) if c == "n_recent" else F.col(c)
+            for c in cols]
 
 
 def _register_rc(name, cols, extra_sql="", extra_spark=()):

@@ -73,7 +73,7 @@ def q_device_health(spark, sf_dir):
 
 
 @register("frame_counters", duck_sql(["fx_base", "fx_frame"], "", """
-select billboard_id, count(*) as frames_analyzed, sum(total_people) as total_people, max(cluster_count) as peak_crowd,
+select billboard_id, count(*) as frames_analyzed, cast(sum(total_people) as bigint) as total_people, max(cluster_count) as peak_crowd,
   max(ts_us) as last_update_us,
   round(list_reduce(list_prepend(0e0, list_reverse(list_slice(list(cast(processing_ms as double)
     order by ts_us desc, frame_id desc), 1, 64))), lambda a, x: (a + x) / 2), 6) as avg_processing_ms

@@ -80,7 +80,8 @@ def q_stream_dedup(spark, sf_dir):
 
 # ------------------------------------------------------------------ T2
 @register("stream_tumbling", duck_sql(["fx_base", "fx_frame"], "", """
-select billboard_id, (ts_us // 5000000) * 5000000 as window_start_us, count(*) as frames, sum(total_people) as people,
+select billboard_id, (ts_us // 5000000) * 5000000 as window_start_us, count(*) as frames,
+  cast(sum(total_people) as bigint) as people,
   max(cluster_count) as peak_crowd, arg_max(cluster_count, {'t': ts_us, 'f': frame_id}) as last_crowd
 from fx_frame group by billboard_id, ts_us // 5000000"""))
 def q_stream_tumbling(spark, sf_dir):
