@@ -145,9 +145,9 @@ TYPED_SPEC: dict[str, list[tuple[str, str]]] = {
                ("has_date_filter", "boolean"), ("has_category_filter", "boolean")],
     "add_to_cart": [("product_id", "string"), ("button_text", "string")],
     "checkout_started": [("button_text", "string")],
-    "javascript_error": [("message", "string"), ("filename", "string"), ("line_number", "int"),
-                         ("column_number", "int")],
-    "promise_rejection": [("reason", "string")],
+    "javascript_error": [("error_message", "string"), ("error_filename", "string"), ("error_line", "int"),
+                         ("error_column", "int"), ("page_url", "string")],
+    "promise_rejection": [("error_message", "string"), ("page_url", "string")],
     "page_performance": [("dns_lookup", "double"), ("tcp_connection", "double"), ("server_response", "double"),
                          ("dom_processing", "double"), ("page_load", "double"), ("navigation_type", "string")],
     "screen_view": [("screen_name", "string")],

@@ -226,3 +226,20 @@ def q_event_store_scan(spark, sf_dir):
     UP.write_events(env, path)
     got = UP.read_events_parquet(spark, path, "2024-01-08", "2024-01-21", ["search", "favorite"])
     return got.select("event_id", "event_type", US("ts").alias("ts_us"))
+
+
+@register("typed_javascript_error", duck_sql(["fx_envelope"], "", """
+select event_id, 'Error ' || cast(k % 5 as varchar) as error_message, 'app' || cast(k % 3 as varchar) || '.js'
+  as error_filename, cast(k % 50 as integer) as error_line, cast(null as integer) as error_column, entity_id as page_url
+from fx_envelope where event_type = 'javascript_error'"""))
+def q_typed_javascript_error(spark, sf_dir):
+    return EV.typed_view(I.envelopes(spark, sf_dir), "javascript_error", keep=("event_id",)).select(
+        "event_id", "error_message", "error_filename", "error_line", "error_column", "page_url")
+
+
+@register("typed_view_venue", duck_sql(["fx_envelope"], "", """
+select event_id, cast(null as varchar) as venue_name, category, cast(null as double) as rating,
+  cast(null as integer) as price_level from fx_envelope where event_type = 'view_venue'"""))
+def q_typed_view_venue(spark, sf_dir):
+    return EV.typed_view(I.envelopes(spark, sf_dir), "view_venue", keep=("event_id",)).select(
+        "event_id", "venue_name", "category", "rating", "price_level")
