@@ -19,6 +19,18 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from footfall.operators import context as CX
 from footfall.operators.governance import filter_live
 
+# The pandas state functions below run in Python workers.  Pickle this
+# module's functions by value so workers need not import the package (it
+# may not be on their path; no --py-files needed for the stateful streams).
+try:
+    import sys as _sys
+
+    from pyspark import cloudpickle as _cp
+
+    _cp.register_pickle_by_value(_sys.modules[__name__])
+except Exception:  # noqa: BLE001  (older cloudpickle: rely on --py-files)
+    pass
+
 
 # ------------------------------------------------------------------ T1
 def stream_dedup(df: DataFrame, key: str = "event_id", ts: str = "ingest_ts", delay: str = "10 minutes") -> DataFrame:
