@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from footfall.functions.jsmath import round6
 from footfall.operators import enrich as EN
 from footfall.operators import governance as GV
+from footfall.operators.asof import asof_last
 from footfall.operators.envelope import pseudonymise
 from footfall.plans import inputs as I
 from footfall.plans.registry import register
@@ -105,17 +106,13 @@ def q_privacy_projection(spark, sf_dir):
     u = fr.withColumn("_kind", F.lit(1)).unionByName(
         modes.select("billboard_id", "ts", F.col("mode").alias("_m"), F.lit(0).alias("_kind"), "frame_id"),
         allowMissingColumns=True)
-    got = I_asof(u).where(F.col("_kind") == 1).withColumn("mode", F.coalesce("mode", F.lit("strict")))
+    got = asof_last(u, "billboard_id", "ts", ["ts", "_kind", "frame_id"], {"mode": F.col("_m")}) \
+        .where(F.col("_kind") == 1).withColumn("mode", F.coalesce("mode", F.lit("strict")))
     out = GV.privacy_project(got, F.col("mode"), demographics_on=True)
     return out.select("frame_id", "mode", round6("engagement").alias("engagement"),
                       round6("attention").alias("attention"), "face_detection")
 
 
-def I_asof(u):
-    from footfall.operators.asof import asof_last
-    return asof_last(u, "billboard_id", "ts", ["ts", "_kind", "frame_id"], {"mode": F.col("_m")})
-
-
 @register("redact_context", duck_sql(["fx_envelope"], "", """
 select event_id, concat('q:', substr(sha256(concat('s3cret', lower(trim(concat('Query ', cast(k % 13 as varchar)))))),
   1, 16)) as query_token, category from fx_envelope where event_type = 'search'"""))

@@ -16,6 +16,7 @@ from footfall.plans import inputs as I
 from footfall.plans.registry import register
 from footfall.session import scratch_path
 from footfall.sources import fixtures as fx
+from footfall.sources import lookups as L
 from footfall.sources import uploads as UP
 from footfall.sources.fixtures import duck_sql
 from footfall.sources.schema import RAW_EVENT
@@ -126,8 +127,7 @@ def dialect_types(spark, sf_dir):
     return env.withColumn("event_type", raw)
 
 
-_CORE = "', '".join(sorted(set(__import__("footfall.sources.lookups", fromlist=["x"]).CORE_EVENT_TYPES)
-                           | set(__import__("footfall.sources.lookups", fromlist=["x"]).NODE_EVENT_TYPES)))
+_CORE = "', '".join(sorted(set(L.CORE_EVENT_TYPES) | set(L.NODE_EVENT_TYPES)))
 
 
 @register("canonical_type", duck_sql(["fx_envelope"], """
