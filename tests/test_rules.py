@@ -100,3 +100,15 @@ def test_snapshot_gap_fill_repeats_last(spark):
     snap = CX.context_snapshot(ctx, 5, fill_gaps=True).orderBy("tick").collect()
     assert [r["cluster_count"] for r in snap] == [3, 3, 3, 3, 5]
     assert [r["repeated"] for r in snap] == [False, True, True, True, False]
+
+
+def test_unfavorite_cancels_earlier_favorites_only(spark):
+    from footfall.operators import graph as G
+    rows = [("u", "favorite", "v1", ts(0)), ("u", "unfavorite", "v1", ts(10)), ("u", "favorite", "v1", ts(20)),
+            ("u", "favorite", "v2", ts(0)), ("u", "view_venue", "v1", ts(5))]
+    df = spark.createDataFrame(rows, "uuid string, event_type string, entity_id string, ts timestamp") \
+        .withColumn("context", F.create_map(F.lit("category"), F.lit("music"))) \
+        .withColumn("ttl", F.lit(365 * 86400))
+    w = G.edge_weights(G.intent_edges(df), F.lit(ts(100)))
+    got = {(r["relation"], r["target"]): r["weight"] for r in w.collect()}
+    assert got == {("favorited", "v1"): 5.0, ("favorited", "v2"): 5.0, ("viewed", "v1"): 1.0}
