@@ -23,6 +23,7 @@ from footfall.session import materialize
 from footfall.functions.timeparts import TOD_DENSITY, dow0_of_us, hour_of_us, local_us, time_of_day
 
 METRICS = ("cluster_count", "avg_density", "flow_direction", "dwell_avg", "engagement", "attention")
+SUMMED = ("cluster_count", "avg_density", "dwell_avg", "engagement", "attention")
 DIRECTION_VALUES = ["north", "northeast", "east", "southeast", "south", "southwest", "west", "northwest", "unknown"]
 
 # History window kinds (duration s, slide s)
@@ -52,7 +53,12 @@ def recent_frames(frames: DataFrame, key: str = "billboard_id", ts: str = "ts",
     item = F.struct(F.col(ts).alias("ts"), *[F.col(m) for m in METRICS])
     hist = F.collect_list(item).over(w)
     cutoff = F.unix_micros(F.col(ts)) - F.lit(hz_us)
-    return u.withColumn("recent", F.filter(hist, lambda h: F.unix_micros(h["ts"]) >= cutoff)) \
+    # the same frame's row count and left-to-right sums: when the time filter
+    # keeps the whole frame (the usual case at sensor rates) they equal the
+    # fold over ``recent`` exactly and spare the interpreted lambda
+    sums = F.struct(*[F.sum(_z(F.col(m))).over(w).alias(m) for m in SUMMED])
+    return u.select("*", F.filter(hist, lambda h: F.unix_micros(h["ts"]) >= cutoff).alias("recent"),
+                    F.count(F.lit(1)).over(w).alias("_frame_n"), sums.alias("_frame_sums")) \
         .where("_own").drop("_own", "_chunk")
 
 
@@ -123,7 +129,10 @@ def aggregate_context(df: DataFrame, arr: str = "recent") -> DataFrame:
     half = F.floor(n / 2).cast("int")
     metrics = ("cluster_count", "avg_density", "dwell_avg", "engagement", "attention")
     trended = ("cluster_count", "avg_density", "engagement")
-    out = df.withColumn("_n", n).withColumn("_s", _sums(a, metrics)) \
+    folded = _sums(a, metrics)
+    if "_frame_n" in df.columns:
+        folded = F.when(n == F.col("_frame_n"), F.col("_frame_sums")).otherwise(folded)
+    out = df.withColumn("_n", n).withColumn("_s", folded) \
         .withColumn("_h1", _sums(F.slice(a, F.lit(1), half), trended)) \
         .withColumn("_h2", _sums(F.slice(a, half + 1, n - half), trended)) \
         .withColumn("_dirs", F.transform(a, lambda x: F.coalesce(x["flow_direction"], F.lit("unknown")))) \
@@ -171,7 +180,7 @@ def aggregate_context(df: DataFrame, arr: str = "recent") -> DataFrame:
         .withColumn("peak_ratio", F.when(nn >= 5, F.when(mean_cc > 0, peak / mean_cc).otherwise(F.lit(1.0)))) \
         .withColumn("is_peak", F.when(nn >= 5, peak > mean_cc * 1.5)) \
         .withColumn("peak_ts", F.when(nn >= 5, F.element_at(a, F.array_position("_ccs", peak).cast("int"))["ts"])) \
-        .drop("_n", "_s", "_h1", "_h2", "_dirs", "_ccs", "_var")
+        .drop("_n", "_s", "_h1", "_h2", "_dirs", "_ccs", "_var", "_frame_n", "_frame_sums")
 
 
 def recent_context(frames: DataFrame, **kw) -> DataFrame:
