@@ -110,3 +110,16 @@ def test_half_ewma_exact_across_row_chunks(spark):
     small = {r["i"]: r["half_ewma"] for r in SS.half_ewma(df, "key", ["ts", "i"], "v", chunk_rows=70).collect()}
     big = {r["i"]: r["half_ewma"] for r in SS.half_ewma(df, "key", ["ts", "i"], "v").collect()}
     assert small == big
+
+
+def test_global_row_number_equals_whole_key_row_number(spark):
+    from pyspark.sql.window import Window
+
+    from footfall.operators.asof import global_row_number
+    rnd = random.Random(13)
+    rows = [(rnd.choice(["a", "b", "c"]), i, ts(rnd.uniform(0, 40000))) for i in range(400)]
+    df = spark.createDataFrame(rows, "k string, i long, ts timestamp")
+    got = {r["i"]: r["_rn"] for r in global_row_number(df, "k", "ts", ["ts", "i"], bucket_us=3_600_000_000).collect()}
+    w = Window.partitionBy("k").orderBy("ts", "i")
+    want = {r["i"]: r["rn"] for r in df.select("i", F.row_number().over(w).alias("rn")).collect()}
+    assert got == want
