@@ -59,24 +59,23 @@ def edge_weights(edges: DataFrame, as_of: Column) -> DataFrame:
 
     Live = ``ts <= as_of < expires_at``.  An ``unfavorite`` cancels the
     same user's earlier favourites of that target (our rule).  The cancel
-    list is the small side of an equi-join with a range condition; the sum
-    is a partial + final aggregate (map-side combine), so a hot user only
-    costs one row per target after the partial step."""
+    list is the small side of an equi-join with a range condition (AQE
+    broadcasts it when its run-time size is small); the sum is a partial +
+    final aggregate (map-side combine), so a hot user only costs one row per
+    target after the partial step."""
     live = edges.where((F.col("ts") <= as_of) & (F.col("expires_at") > as_of))
     cancels = (
         live.where(F.col("event_type") == "unfavorite")
         .groupBy("uuid", "target")
         .agg(F.max("ts").alias("cancel_ts"))
     )
-    favs = live.where(F.col("relation") == "favorited").alias("f")
-    kept_favs = favs.join(
+    # one anti join over all live edges; only favourites can match a cancel
+    kept = live.where(F.col("relation") != "unfavorited").alias("f").join(
         cancels.alias("c"),
         (F.col("f.uuid") == F.col("c.uuid")) & (F.col("f.target") == F.col("c.target"))
-        & (F.col("f.ts") < F.col("c.cancel_ts")),
+        & (F.col("f.relation") == "favorited") & (F.col("f.ts") < F.col("c.cancel_ts")),
         "left_anti",
     )
-    others = live.where(~F.col("relation").isin("favorited", "unfavorited"))
-    kept = others.unionByName(kept_favs)
     return kept.groupBy("uuid", "relation", "target_type", "target").agg(
         F.sum("weight").alias("weight"),
         F.count(F.lit(1)).alias("n_edges"),
