@@ -22,6 +22,7 @@ repeats one round.  A round moves ids and sizes only, never tokens.
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
@@ -30,11 +31,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from footfall.llm.common import materialize, row_groups, utf8_column, worker_cache
+from footfall.llm.token_count import vocabulary_bytes
 
 SEQUENCE_TOKENS = 2048
 END_ID = 0
-#: Bytes of text tokenized at once; distinct words kept by a worker in each of two generations.
-BATCH_BYTES, CACHE_WORDS = 1 << 20, 250_000
+#: Bytes of text in a batch of results.
+BATCH_BYTES = 1 << 20
 #: Rows of one size are ranked in parts of about so many rows.
 RANK_ROWS = 16_000_000
 
@@ -47,64 +49,44 @@ def piece_lengths(n: int, capacity: int) -> list[int]:
     return [n - full * capacity] + [capacity] * full
 
 
-class WordEncoder:
-    """Token ids of texts as little-endian unsigned 32-bit bytes.
+#: Fixed value: how byte-level vocabularies of this kind split a text before merging.
+SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Characters behind these may be of another class in one library's Unicode version than in the other's.
+BEYOND = re.compile("[^\x00-\u024f]")
 
-    A byte-level pre-tokenizer starts a new piece at every single space that
-    stands between two characters other than white space.  So a text is the
-    concatenation of its space-separated words, and a worker encodes each
-    distinct word once.  Texts where a space touches other white space are
-    encoded whole.
+
+class Encoder:
+    """Token ids of texts as little-endian unsigned 32-bit bytes, as the vocabulary file's own tokenizer gives them.
+
+    In such a vocabulary a piece's id is its merge rank, so the faster rank
+    encoder gives the same ids from the same file.  It is used for texts in
+    Latin letters, where both split alike (a test goes through all of their
+    characters); all other texts go to the file's tokenizer.
     """
 
     def __init__(self, path: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        # A word is kept with the space before it; the first word of a text has none.
-        words = [x.split(" ") for x in texts]
-        heads = [w[0] for w in words]
-        need = set().union(*words) - self.young.keys()
-        for w in need & self.old.keys():
-            self.young[w] = self.old[w]
-        new = [w for w in need - self.old.keys() if w and not w[0].isspace() and not w[-1].isspace()]
-        if len(self.young) + len(new) > CACHE_WORDS:
-            self.old, self.young = self.young, {w: self.young[w] for w in set().union(*words) & self.young.keys()}
-        self.young.update(zip(new, self.encode([" " + w for w in new])))
-        out: list[bytes | None] = []
-        first = iter(self.encode(heads))
-        known = self.young
-        for text, w in zip(texts, words):
-            head = next(first)
-            try:
-                if len(w) > 1 and (w[0] == "" or w[0][-1].isspace()):
-                    raise KeyError
-                out.append(head + b"".join([known[x] for x in w[1:]]))
-            except KeyError:
-                out.append(None)
-        rest = [i for i, x in enumerate(out) if x is None]
-        for i, ids in zip(rest, self.encode([texts[i] for i in rest])):
-            out[i] = ids
-        return out  # type: ignore[return-value]
-
-
-def _encoder(path: str) -> WordEncoder:
+        ranks = {piece: i for i, piece in enumerate(vocabulary_bytes(path))}
+        self.ranked = tiktoken.Encoding("byte-level", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+
+    def __call__(self, text: str) -> bytes:
+        if BEYOND.search(text):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return self.ranked.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
+
+
+def _encoder(path: str) -> Encoder:
     cache = worker_cache()
-    if ("words", path) not in cache:
-        cache["words", path] = WordEncoder(path)
-    return cache["words", path]
+    if ("encoder", path) not in cache:
+        cache["encoder", path] = Encoder(path)
+    return cache["encoder", path]
 
 
 def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = SEQUENCE_TOKENS, with_ids: bool = False) -> DataFrame:
@@ -126,8 +108,8 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = SEQUENCE_TOKE
                 texts = [x or "" for x in batch.column(1).slice(a, b - a).to_pylist()]
                 cols = [[], [], [], [], []]
                 ids = []
-                for doc_id, found in zip(doc_ids, encode(texts)):
-                    found += end
+                for doc_id, text in zip(doc_ids, texts):
+                    found = encode(text) + end
                     start = 0
                     for k, length in enumerate(piece_lengths(len(found) // 4, capacity)):
                         own = found[4 * start : 4 * (start + length)]

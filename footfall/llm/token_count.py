@@ -29,12 +29,12 @@ def byte_level_alphabet() -> dict[str, int]:
 
 
 def vocabulary_bytes(path: str) -> list[bytes]:
-    """The pieces of a byte-level vocabulary file, as bytes; special tokens are left out."""
+    """The pieces of a byte-level vocabulary file, as bytes, by id; special tokens are left out."""
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     special = {x["content"] for x in spec.get("added_tokens", [])}
     alphabet = byte_level_alphabet()
-    return [bytes(alphabet[c] for c in piece) for piece in spec["model"]["vocab"] if piece not in special]
+    return [bytes(alphabet[c] for c in piece) for piece in sorted(spec["model"]["vocab"], key=spec["model"]["vocab"].get) if piece not in special]
 
 
 class LongestMatch:
