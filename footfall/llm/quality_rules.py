@@ -139,6 +139,6 @@ def quality_features(docs: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame) -> DataFrame:
     """``docs`` (all columns) without the rows that a rule rejects."""
     order = measured_order(docs)
-    own = "__words"
-    rows = docs.withColumn(own, words(F.col("text")))
-    return rows.filter(rejected_by(F.col("text"), F.col(own), order).isNull()).select(docs.columns)
+    # Bound once: a filter on a column of words would be rewritten to split the text in every rule.
+    verdict = let(words(F.col("text")), lambda w: rejected_by(F.col("text"), w, order))
+    return docs.filter(verdict.isNull())
