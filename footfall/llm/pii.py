@@ -6,6 +6,9 @@ and goes to every task.  A text is read in overlapping windows.  Each window is
 decoded by itself; a span belongs to the window whose middle is nearest to it,
 and spans that still overlap are settled over the whole text, longest first.
 
+Cards are told from other long numbers by a checksum, which a character model
+does not learn; there the base finder decides and the model adds next to nothing.
+
 Every kind needs a digit or an @ (an anchor), and a span without one is never
 accepted; so windows without an anchor are not decoded, which changes no
 result.
