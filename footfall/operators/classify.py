@@ -120,7 +120,8 @@ def search_events(df: DataFrame) -> DataFrame:
     """A submit with a non-blank trimmed query -> ``search``; typing ->
     ``search_input`` only when the trimmed text has >= 3 characters
     (apply :func:`debounce` to the typing rows first)."""
-    q = F.trim(F.col("query_text"))
+    # All white space, as the clients trim it, not spaces only.
+    q = F.regexp_replace(F.col("query_text"), r"(?U)^[\s\uFEFF]+|[\s\uFEFF]+$", "")
     kind = F.when((F.col("action") == "submit") & (q != ""), F.lit("search")) \
         .when((F.col("action") == "input") & (F.length(q) >= 3), F.lit("search_input"))
     return df.withColumn("search_type", kind).where(F.col("search_type").isNotNull()) \
@@ -141,20 +142,20 @@ def search_flags(df: DataFrame) -> DataFrame:
     count field; has_*_filter = the filter value is truthy."""
     ctx = F.col("context")
     results = F.from_json(ctx["results"], "array<string>")
-    return df.withColumn("result_count", F.coalesce(F.size(results).cast("int"), ctx["result_count"].cast("int"))) \
+    return df.withColumn("result_count", F.coalesce(F.size(results).cast("int"), ctx["result_count"].try_cast("int"))) \
         .withColumn("has_location_filter", truthy_str(ctx["filter_location"]).isNotNull()) \
         .withColumn("has_date_filter", truthy_str(ctx["filter_date"]).isNotNull()) \
         .withColumn("has_category_filter", truthy_str(ctx["filter_category"]).isNotNull())
 
 
 def scroll_milestones(df: DataFrame, page: str = "page_id", ts: str = "ts", tie: str = "event_id") -> DataFrame:
-    """pct = JS-round(100 · scrollY / (page height − viewport)); each of
+    """pct = JS-round(scrollY / (page height − viewport) · 100); each of
     25/50/75/90/100 fires once per page instance at the first event with
     pct >= it, with ``time_to_depth`` from the page's first event.
 
     Threshold x event rows are reduced with ``min_by`` per (page,
     threshold): a partial aggregate, no window over the page."""
-    pct = js_round(safe_div(F.col("scroll_y") * 100, F.col("page_h") - F.col("viewport_h")))
+    pct = js_round(safe_div(F.col("scroll_y").cast("double"), F.col("page_h") - F.col("viewport_h")) * 100)
     ev = df.withColumn("_pct", pct).where(F.col("_pct").isNotNull())
     starts = df.groupBy(page).agg(F.min(ts).alias("_page_start"))
     th = ev.withColumn("threshold", F.explode(F.array(*[F.lit(t) for t in SCROLL_MILESTONES]))) \
@@ -217,7 +218,7 @@ def error_rollup(df: DataFrame, approx: bool = False) -> DataFrame:
                  F.coalesce(truthy_str(ctx["error_message"]), F.lit("Unknown promise rejection"))) \
         .otherwise(ctx["error_message"])
     e = df.where(F.col("event_type").isin("javascript_error", "promise_rejection", "error")).select(
-        msg.alias("message"), ctx["error_filename"].alias("filename"), ctx["error_line"].cast("int").alias("line"),
+        msg.alias("message"), ctx["error_filename"].alias("filename"), ctx["error_line"].try_cast("int").alias("line"),
         ctx["page_url"].alias("page_url"), "uuid")
     users = F.approx_count_distinct("uuid", 0.01) if approx else F.count_distinct("uuid")
     return e.groupBy("message", "filename", "line", "page_url").agg(F.count(F.lit(1)).alias("errors"),
@@ -232,11 +233,11 @@ def map_type(df: DataFrame) -> DataFrame:
     kind = F.lower(ctx["interaction_type"])
     return df.withColumn("map_event", F.when(kind.isin(*MAP_KINDS), F.concat(F.lit("map_"), kind))
                          .otherwise(F.lit("map_move"))) \
-        .withColumn("zoom_level", ctx["zoom_level"].cast("double")) \
-        .withColumn("center_lat", ctx["center_lat"].cast("double")) \
-        .withColumn("center_lng", ctx["center_lng"].cast("double")) \
-        .withColumn("bounds_north", F.get_json_object(ctx["visible_bounds"], "$.north").cast("double")) \
-        .withColumn("bounds_south", F.get_json_object(ctx["visible_bounds"], "$.south").cast("double"))
+        .withColumn("zoom_level", ctx["zoom_level"].try_cast("double")) \
+        .withColumn("center_lat", ctx["center_lat"].try_cast("double")) \
+        .withColumn("center_lng", ctx["center_lng"].try_cast("double")) \
+        .withColumn("bounds_north", F.get_json_object(ctx["visible_bounds"], "$.north").try_cast("double")) \
+        .withColumn("bounds_south", F.get_json_object(ctx["visible_bounds"], "$.south").try_cast("double"))
 
 
 def tag_fields(df: DataFrame) -> DataFrame:
@@ -256,9 +257,9 @@ def purchase_facts(df: DataFrame) -> DataFrame:
     ctx = F.col("context")
     items = F.from_json(ctx["items"], "array<struct<sku:string,price:double,quantity:int>>")
     base = df.where(F.col("event_type") == "purchase").select(
-        "event_id", "uuid", "ts", F.coalesce(ctx["amount"], ctx["total_amount"]).cast("double").alias("amount"),
+        "event_id", "uuid", "ts", F.coalesce(ctx["amount"], ctx["total_amount"]).try_cast("double").alias("amount"),
         F.coalesce(ctx["currency"], F.lit("USD")).alias("currency"),
-        F.coalesce(F.size(items).cast("int"), ctx["item_count"].cast("int")).alias("item_count"),
+        F.coalesce(F.size(items).cast("int"), ctx["item_count"].try_cast("int")).alias("item_count"),
         items.alias("_items"))
     return base.select("*", F.posexplode_outer("_items").alias("line_no", "item")).drop("_items") \
         .select("event_id", "uuid", "ts", "amount", "currency", "item_count", "line_no",

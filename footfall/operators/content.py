@@ -12,34 +12,19 @@ from footfall.functions.jsmath import js_round
 from footfall.operators.asof import prev_row
 from footfall.sources import lookups as L
 
-MAX_CATALOGUE = 10_000  # a content catalogue is configuration; its size is checked before use
-
-
-def _catalogue_rows(catalogue) -> list[tuple]:
-    if catalogue is None:
-        return list(L.CONTENT_SCHEDULE)
-    if isinstance(catalogue, DataFrame):
-        n = catalogue.count()
-        if n > MAX_CATALOGUE:
-            raise ValueError(f"content catalogue has {n} rows; more than {MAX_CATALOGUE} is not configuration")
-        cols = [f.split()[0] for f in L.CONTENT_SCHEMA.split(", ")]
-        return [tuple(r[c] for c in cols) for r in catalogue.select(*cols).collect()]
-    return list(catalogue)
-
-
 def score_content(ctx: DataFrame, catalogue=None, cc: str = "ctx_cluster_count", eng: str = "ctx_engagement",
                   tod: str = "time_of_day") -> DataFrame:
     """O1: ``scores`` = array of (pos, content_id, score) per context row.
 
-    The catalogue is a small configuration list, so each item becomes a
-    literal expression: a projection, no join.  Score = base (high 100 /
+    The catalogue is a list of configuration rows (default: the schedule), so
+    each item becomes a literal expression: a projection, no join.  Score = base (high 100 /
     medium 50 / else 25) + 30 if minCrowd (truthy) and crowd >= it + 20 if
     maxCrowd and crowd <= it + 25 if minEngagement and engagement >= it +
     30 if lowEngagement and engagement < 0.4 + 15 if the time of day is
     listed + 5 · ln(revenue + 1).  The demographics target is ignored."""
     items = []
     c, e, t = F.col(cc), F.col(eng), F.col(tod)
-    for row in _catalogue_rows(catalogue):
+    for row in catalogue if catalogue is not None else L.CONTENT_SCHEDULE:
         pos, cid, prio, min_c, max_c, min_e, low_e, tods, rev = row[:9]
         s = F.lit(100.0 if prio == "high" else 50.0 if prio == "medium" else 25.0)
         if min_c:
@@ -89,7 +74,7 @@ def content_rule(ctx: DataFrame, cc: str = "ctx_cluster_count", eng: str = "ctx_
 
 def catalogue_facts(catalogue=None) -> Column:
     """Map content id -> struct(revenue, duration_ms) as a literal."""
-    rows = _catalogue_rows(catalogue)
+    rows = catalogue if catalogue is not None else L.CONTENT_SCHEDULE
     return F.create_map(*[x for r in rows for x in (F.lit(r[1]), F.struct(F.lit(r[8]).alias("revenue"),
                                                                           F.lit(r[9]).alias("duration_ms")))])
 

@@ -29,9 +29,9 @@ def entity_id_expr(ctx: Column, envelope_entity: Column | None = None) -> Column
 def _parse_ts(raw: Column) -> Column:
     """ISO text (JS, Android) or epoch seconds (iOS) -> TIMESTAMP."""
     is_num = raw.rlike(r"^-?[0-9]+(\.[0-9]+)?$")
-    secs = raw.cast("decimal(24,6)")
+    secs = raw.try_cast("decimal(24,6)")
     from_secs = F.timestamp_micros((secs * F.lit(1_000_000)).cast("bigint"))
-    return F.when(is_num, from_secs).otherwise(F.to_timestamp(raw))
+    return F.when(is_num, from_secs).otherwise(F.try_to_timestamp(raw))
 
 
 def _parse_tags(raw: Column, ctx: Column) -> Column:
@@ -58,9 +58,9 @@ def normalize_envelope(raw: DataFrame) -> DataFrame:
     """
     ctx = F.coalesce(F.col("context"), F.create_map().cast("map<string,string>"))
     g, gc = F.col("geo"), F.col("geo_context")
-    lat = F.coalesce(g["lat"], g["latitude"], gc["latitude"], gc["lat"]).cast("double")
-    lng = F.coalesce(g["lng"], g["longitude"], gc["longitude"], gc["lng"]).cast("double")
-    acc = F.coalesce(g["accuracy"], gc["accuracy"]).cast("double")
+    lat = F.coalesce(g["lat"], g["latitude"], gc["latitude"], gc["lat"]).try_cast("double")
+    lng = F.coalesce(g["lng"], g["longitude"], gc["longitude"], gc["lng"]).try_cast("double")
+    acc = F.coalesce(g["accuracy"], gc["accuracy"]).try_cast("double")
     geo_ts = _parse_ts(F.coalesce(g["timestamp"], gc["timestamp"]))
     geo = F.when(lat.isNotNull() & lng.isNotNull(), F.struct(lat.alias("lat"), lng.alias("lng"),
                                                              acc.alias("accuracy"), geo_ts.alias("ts")))
@@ -191,7 +191,7 @@ def typed_view(df: DataFrame, kind: str, keep: tuple[str, ...] = ("event_id", "u
     spec = TYPED_SPEC[kind]
     ctx = F.col("context")
     cols = [F.col(c) for c in keep if c in df.columns]
-    cols += [ctx[k].cast(t).alias(f"ctx_{k}" if k in keep else k) for k, t in spec]
+    cols += [ctx[k].try_cast(t).alias(f"ctx_{k}" if k in keep else k) for k, t in spec]
     return df.where(F.col("event_type") == kind).select(*cols)
 
 

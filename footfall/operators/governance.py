@@ -4,7 +4,7 @@ and exactly-once dedup (J4)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from footfall.operators.asof import asof_last
@@ -15,7 +15,7 @@ PHONE_RE = r"\+?[0-9][0-9 ().-]{7,}[0-9]"
 # Form context keys that describe structure (values are never sent)
 FORM_KEYS = ["form_id", "form_action", "form_method", "field_count", "form_name", "action_type", "page_url",
              "field_types"]
-TEXT_KEYS = ["element_text", "text", "button_text", "button_title", "label"]
+TEXT_KEYS = ["element_text", "text", "button_text", "button_title", "label", "link_text"]
 
 
 def filter_live(df: DataFrame, as_of: Column, ts_col: str = "ts", ttl_col: str = "ttl") -> DataFrame:
@@ -79,15 +79,13 @@ def erase_users(df: DataFrame, ids: DataFrame, key: str = "uuid") -> DataFrame:
 def dedup(df: DataFrame, key: str = "event_id", ingest_col: str = "ingest_ts") -> DataFrame:
     """Exactly one row per event id, earliest ingest wins.
 
-    ``min_by`` over the whole row is a partial + final aggregate: a
-    retry storm on one id is combined map-side, never gathered in one task.
+    ``row_number() = 1`` is planned with a window-group limit: each task keeps
+    one row per id before the shuffle, so a retry storm on one id ships one row
+    per task and every row is carried once.  Ties go by the other columns.
     """
-    cols = [c for c in df.columns if c != key]
-    best = df.groupBy(key).agg(F.min_by(F.struct(*cols), F.struct(F.col(ingest_col), *[F.col(c) for c in cols
-                                                                                        if c != ingest_col
-                                                                                        and _orderable(df, c)]))
-                               .alias("_r"))
-    return best.select(key, *[F.col(f"_r.{c}").alias(c) for c in cols])
+    cols = [c for c in df.columns if c not in (key, ingest_col) and _orderable(df, c)]
+    w = Window.partitionBy(key).orderBy(ingest_col, *cols)
+    return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn").select(key, *[c for c in df.columns if c != key])
 
 
 def _orderable(df: DataFrame, c: str) -> bool:
@@ -149,7 +147,7 @@ def redact_pii(df: DataFrame, salt: str = "", max_text: int = 100) -> DataFrame:
         ctx, lambda k, v: F.when(F.array_contains(F.array(*[F.lit(x) for x in TEXT_KEYS]), k),
                                  F.substring(F.regexp_replace(F.regexp_replace(v, EMAIL_RE, "[email]"),
                                                               PHONE_RE, "[phone]"), 1, max_text))
-        .when(k == "search_query", F.concat(F.lit("q:"), F.substring(
+        .when(k.isin("search_query", "search_partial"), F.concat(F.lit("q:"), F.substring(
             F.sha2(F.concat(F.lit(salt), F.lower(F.trim(v))), 256), 1, 16)))
         .otherwise(v))
     return df.withColumn("context", F.when(is_form, form_only).otherwise(masked))

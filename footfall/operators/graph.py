@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from footfall.session import materialize
 from footfall.sources import lookups as L
 
 
@@ -80,7 +81,7 @@ def edge_weights(edges: DataFrame, as_of: Column) -> DataFrame:
         F.sum("weight").alias("weight"),
         F.count(F.lit(1)).alias("n_edges"),
         F.max("ts").alias("last_seen"),
-        F.max_by("category", "ts").alias("category"),
+        F.max_by("category", F.struct("ts", "category")).alias("category"),
     )
 
 
@@ -195,10 +196,10 @@ def geo_trending(df: DataFrame, k: int = 3, size_deg: float = 0.1, window: str =
 def cohort_retention(df: DataFrame) -> DataFrame:
     """First-seen week cohort × week offset: active users."""
     wk = F.floor((F.unix_micros("ts") / F.lit(86_400_000_000) + 3) / 7).cast("bigint")  # Monday-based weeks
-    e = df.select("uuid", wk.alias("week"))
+    e = df.select("uuid", wk.alias("week")).distinct()
     first = e.groupBy("uuid").agg(F.min("week").alias("cohort_week"))
     return e.join(first, "uuid").groupBy("cohort_week", (F.col("week") - F.col("cohort_week")).alias("week_offset")) \
-        .agg(F.count_distinct("uuid").alias("active_users"))
+        .agg(F.count(F.lit(1)).alias("active_users"))
 
 
 def funnel(df: DataFrame, steps: list[str], within_days: int = 7) -> DataFrame:
@@ -206,16 +207,14 @@ def funnel(df: DataFrame, steps: list[str], within_days: int = 7) -> DataFrame:
     previous one (strictly later, all within ``within_days`` of step 1).
     One partial aggregate per step, chained by joins on the user — no
     per-user list is gathered.  Returns (uuid, step_1_ts, ..., steps_done)."""
-    users = df.where(F.col("event_type") == steps[0]).groupBy("uuid").agg(F.min("ts").alias("step_1_ts"))
-    out = users
+    seen = df.where(F.col("event_type").isin(steps)).select("uuid", "event_type", F.col("ts").alias("_t"))
+    out = seen.where(F.col("event_type") == steps[0]).groupBy("uuid").agg(F.min("_t").alias("step_1_ts"))
     for i, step in enumerate(steps[1:], start=2):
-        prev = f"step_{i - 1}_ts"
-        cand = df.where(F.col("event_type") == step).select("uuid", F.col("ts").alias("_t"))
-        j = out.select("uuid", prev, "step_1_ts").join(cand, "uuid").where(
-            (F.col("_t") > F.col(prev)) &
-            (F.col("_t") <= F.timestamp_add("DAY", F.lit(within_days), F.col("step_1_ts"))))
-        reached = j.groupBy("uuid").agg(F.min("_t").alias(f"step_{i}_ts"))
-        out = out.join(reached, "uuid", "left")
+        before = [f"step_{k}_ts" for k in range(1, i)]
+        reached = (F.col("_t") > F.col(before[-1])) & (F.col("_t") <= F.timestamp_add("DAY", F.lit(within_days), F.col("step_1_ts")))
+        # One branch per step: the user's earlier times are carried through the aggregate.
+        out = out.join(seen.where(F.col("event_type") == step).drop("event_type"), "uuid", "left").groupBy("uuid", *before) \
+            .agg(F.min(F.when(reached, F.col("_t"))).alias(f"step_{i}_ts"))
     done = sum((F.col(f"step_{i}_ts").isNotNull().cast("int") for i in range(1, len(steps) + 1)), F.lit(0))
     return out.withColumn("steps_done", done)
 
@@ -258,12 +257,14 @@ def lookalike(scores: DataFrame, seeds: DataFrame, k: int = 10) -> DataFrame:
     counts 0 there).  Vectors stay as rows (user, category, score); the
     mean vector has one row per category, the seed count and its norm are
     scalar subqueries, and the ranking is a global top-k."""
-    seed_ids = seeds.select("uuid").distinct()
-    s = scores.join(seed_ids, "uuid", "left_semi")
+    seed_ids = seeds.select("uuid").distinct().withColumn("is_seed", F.lit(True))
+    # Written once: the seeds' mean, its norm and the candidates all read it.
+    scores = materialize(scores.select("uuid", "category", "score").join(seed_ids, "uuid", "left"), "lookalike-scores")
+    s = scores.where("is_seed")
     n_seeds = s.select(F.count_distinct("uuid")).scalar()
     mean = s.groupBy("category").agg((F.sum("score") / n_seeds).alias("m"))
     norm_mean = mean.select(F.sqrt(F.sum(F.col("m") * F.col("m")))).scalar()
-    cand = scores.join(seed_ids, "uuid", "left_anti")
+    cand = scores.where("is_seed is null")
     dots = cand.join(mean, "category", "left").groupBy("uuid").agg(
         F.sum(F.col("score") * F.coalesce(F.col("m"), F.lit(0.0))).alias("dot"),
         F.sqrt(F.sum(F.col("score") * F.col("score"))).alias("nu"))

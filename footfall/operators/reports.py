@@ -124,7 +124,7 @@ def search_terms(searches: DataFrame, k: int = 10, query: Column | None = None)
     their zero-result rate.  Aggregate first, then a top-k (per-partition
     partial top-k, then merge)."""
     q = query if query is not None else F.lower(F.trim(F.col("context")["search_query"]))
-    rc = F.col("context")["result_count"].cast("int")
+    rc = F.col("context")["result_count"].try_cast("int")
     g = searches.where(F.col("event_type") == "search").withColumn("_q", q).where(F.col("_q") != "") \
         .groupBy("_q").agg(F.count(F.lit(1)).alias("searches"),
                            (F.count_if(rc == 0) / F.count(F.lit(1))).alias("zero_result_rate"))

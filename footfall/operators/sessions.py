@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from footfall.functions.jsmath import truthy_num
-from footfall.operators.asof import asof_last, prev_row
+from footfall.operators.asof import asof_last, next_row, prev_row
 
 
 def session_summary(df: DataFrame, page: Column | None = None) -> DataFrame:
@@ -23,7 +23,7 @@ def session_summary(df: DataFrame, page: Column | None = None) -> DataFrame:
                                                   F.col("entity_id"))
     order = F.struct(F.col("ts"), F.col("event_id"))
     reported = F.when(F.col("event_type") == "session_end",
-                      F.col("context")["session_duration"].cast("double"))
+                      F.col("context")["session_duration"].try_cast("double"))
     g = df.groupBy("session_id").agg(
         F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"), F.count(F.lit(1)).alias("depth"),
         F.min_by(pg, order).alias("entry_page"), F.max_by(pg, order).alias("exit_page"),
@@ -86,13 +86,9 @@ def play_intervals(df: DataFrame, device: str = "device_id") -> DataFrame:
     """Each content_start is closed by the next content_end of the
     device; when another start comes first, the interval stays open."""
     se = df.where(F.col("event_type").isin("content_start", "content_end"))
-    p = prev_row(se, device, "ts", ["ts", "event_id"], ["event_type", "event_id"])
-    follow = p.where(F.col("prev_event_type") == "content_start").select(
-        F.col("prev_event_id").alias("event_id"), F.col("event_type").alias("_next_type"),
-        F.col("ts").alias("_next_ts"), F.col("event_id").alias("end_event_id"))
-    starts = se.where(F.col("event_type") == "content_start")
-    j = starts.join(follow, "event_id", "left")
-    closed = F.col("_next_type") == "content_end"
+    n = next_row(se, device, "ts", ["ts", "event_id"], ["event_type", "event_id", "ts"])
+    j = n.where(F.col("event_type") == "content_start").withColumn("_next_ts", F.col("next_ts")).withColumn("end_event_id", F.col("next_event_id"))
+    closed = F.coalesce(F.col("next_event_type") == "content_end", F.lit(False))
     return j.select(
         device, F.col("event_id").alias("start_event_id"), "content_id", F.col("ts").alias("start_ts"),
         F.when(closed, F.col("_next_ts")).alias("end_ts"), F.when(closed, F.col("end_event_id")).alias("end_event_id"),

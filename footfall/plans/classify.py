@@ -142,7 +142,7 @@ def q_search_flags(spark, sf_dir):
 
 
 @register("scroll_milestones", duck_sql(["fx_base", "fx_scroll"], """
-sp as (select *, cast(floor(100 * scroll_y / nullif(page_h - viewport_h, 0) + 0.5) as bigint) as pct from fx_scroll),
+sp as (select *, cast(floor(cast(scroll_y as double) / nullif(page_h - viewport_h, 0) * 100 + 0.5) as bigint) as pct from fx_scroll),
 st as (select page_id, min(ts_us) as s0 from fx_scroll group by page_id),
 th as (select sp.*, t.th from sp cross join (select unnest([25, 50, 75, 90, 100]) as th) t where pct >= t.th),
 fm as (select page_id, th, arg_min({'ts': ts_us, 'e': event_id, 'y': scroll_y}, {'ts': ts_us, 'e': event_id}) as f

@@ -30,7 +30,7 @@ edges as (
 ),
 weights as (
   select uuid, relation, target_type, target, sum(weight) as weight, count(*) as n_edges,
-    max(ts_us) as last_seen_us, arg_max(category, ts_us) as category
+    max(ts_us) as last_seen_us, arg_max(category, {{'t': ts_us, 'c': category}}) as category
   from edges where ts_us <= {AS_OF_US} and expires_us > {AS_OF_US}
   group by uuid, relation, target_type, target
 )"""

@@ -3,6 +3,7 @@ respects the cluster's ``spark.checkpoint.dir``."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -38,13 +39,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster the setting names a shared file system folder and is used
-    as-is.  Only when it is unset (local tests) a fresh folder under the
-    system temp directory is created and installed.
+    as-is.  Only a single-machine session (``local[...]``, as in tests) that leaves it
+    unset gets a fresh folder under the system temp directory; on a cluster an
+    unset folder is an error, since executors don't share local folders.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if current:
         spark.sparkContext.setCheckpointDir(current)
         return current
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     path = tempfile.mkdtemp(prefix="footfall-ckpt-")
     spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)

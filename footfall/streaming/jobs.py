@@ -201,7 +201,9 @@ def late_split(main_path: str, late_path: str, delay_s: int = 3600, ts: str = "t
     def _split(batch: DataFrame, batch_id: int) -> None:
         lag = F.unix_micros(F.col(ingest)) - F.unix_micros(F.col(ts))
         late = lag > F.lit(delay_s * 1_000_000)
+        batch = batch.persist()
         batch.where(late).write.mode("overwrite").parquet(f"{late_path}/batch_id={batch_id}")
         batch.where(~late).write.mode("overwrite").parquet(f"{main_path}/batch_id={batch_id}")
+        batch.unpersist()
 
     return _split
