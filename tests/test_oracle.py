@@ -50,7 +50,10 @@ def test_every_query_has_a_callable_and_most_an_oracle():
     qs, sqls = E.queries(), E.oracle_sql()
     assert set(sqls) <= set(qs)
     assert len(qs) >= 100
-    assert len(set(qs) - set(sqls)) <= 3
+    from footfall.plans import load_all
+
+    # Of the library's own plans; other packages may register queries beside them.
+    assert len(set(load_all()) - set(sqls)) <= 3
 
 
 def test_entry_smoke(spark):
