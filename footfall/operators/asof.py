@@ -9,7 +9,9 @@ cut into (key, time bucket) partitions and each bucket receives a carry-in
 — the last value from earlier buckets — computed from a per-bucket summary
 (one row per active key-bucket, a partial aggregate).  The per-row window
 and the carry-in join share the (key, bucket) distribution, so there is one
-shuffle for the rows; AQE may split a skewed bucket of the join.
+shuffle for the rows.  A bucket is one task's work and AQE does not split it
+(the window needs it whole): for a key that holds very many rows an hour, give
+a smaller ``bucket_us``.  The result does not depend on it.
 
 With ``max_age_us`` the bucket is the age limit, so only the previous
 bucket can hold a usable value and the carry-in is a plain shift by one.

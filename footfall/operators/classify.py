@@ -139,13 +139,17 @@ def debounce(df: DataFrame, key: str | list[str], ts: str = "ts", tie: str = "ev
 
 def search_flags(df: DataFrame) -> DataFrame:
     """result_count = size(results array) when given, else the
-    count field; has_*_filter = the filter value is truthy."""
+    count field; has_*_filter = the filter value is truthy.  Mobile clients
+    send a ``filters`` object, web clients its keys beside the query."""
     ctx = F.col("context")
     results = F.from_json(ctx["results"], "array<string>")
     return df.withColumn("result_count", F.coalesce(F.size(results).cast("int"), ctx["result_count"].try_cast("int"))) \
-        .withColumn("has_location_filter", truthy_str(ctx["filter_location"]).isNotNull()) \
-        .withColumn("has_date_filter", truthy_str(ctx["filter_date"]).isNotNull()) \
-        .withColumn("has_category_filter", truthy_str(ctx["filter_category"]).isNotNull())
+        .withColumns({f"has_{name}_filter": _filter_set(ctx, name) for name in ("location", "date", "category")})
+
+
+def _filter_set(ctx: Column, name: str) -> Column:
+    value = F.when(ctx["filters"].isNotNull(), F.get_json_object(ctx["filters"], f"$.{name}")).otherwise(ctx[name])
+    return truthy_str(value).isNotNull() & ~value.isin("false", "0")
 
 
 def scroll_milestones(df: DataFrame, page: str = "page_id", ts: str = "ts", tie: str = "event_id") -> DataFrame:

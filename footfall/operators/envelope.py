@@ -129,20 +129,38 @@ def assign_ttl(df: DataFrame) -> DataFrame:
 
 # ---- P9: typed views from one spec table ---------------------------------
 # event family -> (context key, Spark type).  One generic projection serves
-# every family; new families are new rows, not new functions.
+# every family; new families are new rows, not new functions.  "a|b" reads the
+# key a, or where that is missing b, into the column a.
+# The keys are those that the clients send.
+VIDEO_KEYS = [("video_src", "string"), ("video_duration", "double"), ("video_current_time", "double"),
+              ("action", "string"), ("video_width", "int"), ("video_height", "int"), ("video_id", "string"),
+              ("page_url", "string")]
+CONTENT_KEYS = [("content_id", "string"), ("content_name", "string"), ("content_type", "string")]
 TYPED_SPEC: dict[str, list[tuple[str, str]]] = {
-    "view_content": [("page_url", "string"), ("page_title", "string"), ("referrer", "string")],
+    "app_open": [("url", "string"), ("title", "string"), ("path", "string"), ("referrer", "string"),
+                 ("user_agent", "string"), ("viewport_width", "int"), ("viewport_height", "int"),
+                 ("screen_width", "int"), ("screen_height", "int"), ("color_depth", "int"), ("pixel_ratio", "double"),
+                 ("timezone", "string"), ("language", "string"), ("connection_type", "string"), ("platform", "string"),
+                 ("cookie_enabled", "boolean"), ("java_enabled", "boolean")],
+    "view_content": [("url", "string"), ("title", "string"), ("path", "string"), ("referrer", "string"),
+                     ("search", "string"), ("hash", "string")],
+    "scroll_depth": [("scroll_percentage", "int"), ("page_height", "double"), ("viewport_height", "double"),
+                     ("scroll_position", "double"), ("time_to_depth", "bigint")],
     "click": [("element_tag", "string"), ("element_id", "string"), ("element_class", "string"),
-              ("element_text", "string"), ("x", "double"), ("y", "double")],
+              ("element_text", "string"), ("element_href", "string"), ("element_type", "string"),
+              ("x_position", "double"), ("y_position", "double"), ("page_x", "double"), ("page_y", "double")],
     "link_click": [("link_url", "string"), ("link_domain", "string"), ("is_external", "boolean"),
                    ("link_target", "string")],
     "form_interaction": [("form_id", "string"), ("form_action", "string"), ("form_method", "string"),
                          ("field_count", "int"), ("action_type", "string")],
-    "video_interaction": [("video_src", "string"), ("video_duration", "double"), ("video_current_time", "double"),
-                          ("action", "string"), ("milestone_percentage", "int")],
-    "download": [("file_url", "string"), ("file_name", "string"), ("file_extension", "string")],
+    "video_interaction": [*VIDEO_KEYS],
+    "video_milestone": [*VIDEO_KEYS, ("milestone_percentage", "int")],
+    "download": [("download_url", "string"), ("file_name", "string"), ("file_extension", "string"),
+                 ("link_text", "string"), ("page_url", "string")],
     "search": [("search_query", "string"), ("result_count", "int"), ("has_location_filter", "boolean"),
-               ("has_date_filter", "boolean"), ("has_category_filter", "boolean")],
+               ("has_date_filter", "boolean"), ("has_category_filter", "boolean"), ("search_form_id", "string"),
+               ("page_url", "string")],
+    "search_input": [("search_partial", "string"), ("input_length", "int"), ("page_url", "string")],
     "add_to_cart": [("product_id", "string"), ("button_text", "string")],
     "checkout_started": [("button_text", "string")],
     "javascript_error": [("error_message", "string"), ("error_filename", "string"), ("error_line", "int"),
@@ -164,24 +182,40 @@ TYPED_SPEC: dict[str, list[tuple[str, str]]] = {
     "share": [("entity_type", "string"), ("share_platform", "string")],
     "purchase": [("transaction_id", "string"), ("amount", "double"), ("total_amount", "double"),
                  ("currency", "string"), ("item_count", "int")],
-    "impression": [("content_id", "string"), ("content_duration", "bigint"), ("estimated_viewers", "int")],
-    "dwell_time": [("dwell_time_ms", "bigint"), ("location_zone", "string"), ("viewer_count", "int")],
-    "content_start": [("content_id", "string"), ("content_duration", "bigint")],
-    "content_end": [("content_id", "string"), ("actual_duration", "bigint")],
-    "interaction": [("interaction_type", "string"), ("content_id", "string")],
-    "system_event": [("system_event_type", "string"), ("message", "string")],
-    "billboard_lidar_init": [("billboard_id", "string"), ("sensor_type", "string")],
-    "billboard_context_update": [("billboard_id", "string"), ("cluster_count", "int"), ("avg_density", "double"),
-                                 ("flow_direction", "string"), ("engagement_score", "double")],
-    "billboard_impression": [("content_id", "string"), ("estimated_viewers", "int"), ("duration_ms", "bigint")],
-    "billboard_dwell_analysis": [("avg_dwell_time", "double"), ("max_dwell_time", "double")],
-    "billboard_content_rotation": [("previous_content", "string"), ("new_content", "string"), ("reason", "string")],
-    "billboard_anomaly_detected": [("anomaly_type", "string"), ("severity", "string"), ("ratio", "double")],
-    "billboard_privacy_mode_changed": [("old_mode", "string"), ("new_mode", "string")],
-    "billboard_demographic_settings_changed": [("enabled", "boolean")],
-    "billboard_system_diagnostics": [("frames_processed", "bigint"), ("memory_used", "double"),
-                                     ("memory_limit", "double"), ("uptime_seconds", "double")],
-    "billboard_lidar_shutdown": [("reason", "string")],
+    # a billboard's impression is canonically an impression; it names its duration duration_ms
+    "impression": [*CONTENT_KEYS, ("content_duration|duration_ms", "bigint"), ("estimated_viewers", "int"),
+                   ("display_time", "string")],
+    "dwell_time": [("dwell_time_ms", "bigint"), ("dwell_time_seconds", "bigint"), ("estimated_viewers", "int"),
+                   ("location_id", "string")],
+    "content_start": [*CONTENT_KEYS, ("content_duration", "bigint"), ("start_time", "string")],
+    "content_end": [*CONTENT_KEYS, ("planned_duration", "bigint"), ("actual_duration", "bigint"),
+                    ("end_time", "string"), ("completion_rate", "double")],
+    "interaction": [("interaction_type", "string"), ("interaction_time", "string"), ("location_id", "string"),
+                    ("content_id", "string")],
+    "system_event": [("system_event_type", "string"), ("device_id", "string"), ("location_id", "string")],
+    "billboard_lidar_init": [("billboard_id", "string"), ("sensor_type", "string"), ("compute_unit", "string"),
+                             ("privacy_mode", "string"), ("location", "string")],
+    "billboard_context_update": [("billboard_id", "string"), ("location", "string"), ("cluster_count", "int"),
+                                 ("avg_density", "double"), ("flow_direction", "string"), ("dwell_time_avg", "double"),
+                                 ("engagement_score", "double"), ("environmental", "string"),
+                                 ("demographic_inference", "string")],
+    "billboard_impression": [("billboard_id", "string"), ("content_id", "string"), ("duration_ms", "bigint"),
+                             ("estimated_viewers", "int"), ("location", "string")],
+    "billboard_dwell_analysis": [("billboard_id", "string"), ("avg_dwell_time_ms", "double"),
+                                 ("peak_concurrency", "int"), ("time_of_day", "string"), ("location", "string")],
+    "billboard_content_rotation": [("billboard_id", "string"), ("previous_content", "string"),
+                                   ("new_content", "string"), ("trigger_reason", "string"), ("location", "string")],
+    "billboard_anomaly_detected": [("billboard_id", "string"), ("anomaly_type", "string"), ("severity", "string"),
+                                   ("details", "string"), ("location", "string")],
+    "billboard_privacy_mode_changed": [("billboard_id", "string"), ("new_mode", "string")],
+    "billboard_demographic_settings_changed": [("billboard_id", "string"), ("demographics_enabled", "boolean")],
+    # nested objects stay JSON text
+    "billboard_system_diagnostics": [("billboard_id", "string"), ("lidar_sensor", "string"),
+                                     ("vision_pipeline", "string"), ("context_analyzer", "string"),
+                                     ("network_connectivity", "string"), ("storage_usage", "string"),
+                                     ("processing_performance", "string")],
+    "billboard_lidar_shutdown": [("billboard_id", "string"), ("uptime_seconds", "double"),
+                                 ("total_frames_processed", "bigint"), ("location", "string")],
 }
 
 
@@ -191,7 +225,10 @@ def typed_view(df: DataFrame, kind: str, keep: tuple[str, ...] = ("event_id", "u
     spec = TYPED_SPEC[kind]
     ctx = F.col("context")
     cols = [F.col(c) for c in keep if c in df.columns]
-    cols += [ctx[k].try_cast(t).alias(f"ctx_{k}" if k in keep else k) for k, t in spec]
+    for names, t in spec:
+        k, *others = names.split("|")
+        value = F.coalesce(*[ctx[x].try_cast(t) for x in (k, *others)])
+        cols.append(value.alias(f"ctx_{k}" if k in keep else k))
     return df.where(F.col("event_type") == kind).select(*cols)
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from footfall.functions.jsmath import truthy_num
+from footfall.functions.jsmath import exact_sum, truthy_num
 from footfall.operators.asof import asof_last, next_row, prev_row
 
 
@@ -19,8 +19,8 @@ def session_summary(df: DataFrame, page: Column | None = None) -> DataFrame:
     """Per session id: start, end, duration (``session_end`` carries
     ``session_duration`` ms — used when present, else end − start), depth
     (#events), entry and exit page, platform.  Partial + final aggregate."""
-    pg = page if page is not None else F.coalesce(F.col("context")["page_url"], F.col("context")["screen_name"],
-                                                  F.col("entity_id"))
+    pg = page if page is not None else F.coalesce(
+        *[F.col("context")[k] for k in ("url", "path", "page_url", "screen_name")], F.col("entity_id"))
     order = F.struct(F.col("ts"), F.col("event_id"))
     reported = F.when(F.col("event_type") == "session_end",
                       F.col("context")["session_duration"].try_cast("double"))
@@ -36,11 +36,11 @@ def session_summary(df: DataFrame, page: Column | None = None) -> DataFrame:
 
 def sessionize(df: DataFrame, gap_s: int = 1800, key: str = "uuid") -> DataFrame:
     """W2 (gap is our parameter): a new session starts when the previous
-    event of the user is more than ``gap_s`` earlier.  ``gap_session_id`` =
+    event of the user is ``gap_s`` or more earlier (as session windows do).  ``gap_session_id`` =
     user + start micros."""
     p = prev_row(df, key, "ts", ["ts", "event_id"], ["ts"])
     start = F.col("prev_ts").isNull() | (
-        (F.unix_micros("ts") - F.unix_micros("prev_ts")) > F.lit(gap_s * 1_000_000))
+        (F.unix_micros("ts") - F.unix_micros("prev_ts")) >= F.lit(gap_s * 1_000_000))
     flagged = p.withColumn("_start", F.when(start, F.col("ts")))
     s = asof_last(flagged, key, "ts", ["ts", "event_id"], {"_sess": F.col("_start")})
     return s.withColumn("gap_session_id", F.concat(F.col(key), F.lit("#"),
@@ -78,8 +78,9 @@ def page_flow(df: DataFrame, page: Column, session: str = "session_id") -> DataF
     t = p.where(F.col("prev__page").isNotNull()).select(
         F.col("prev__page").alias("from_page"), F.col("_page").alias("to_page"),
         ((F.unix_micros("ts") - F.unix_micros("prev_ts")) / F.lit(1000.0)).alias("time_on_page_ms"))
-    return t.groupBy("from_page", "to_page").agg(F.count(F.lit(1)).alias("transitions"),
-                                                 F.avg("time_on_page_ms").alias("avg_time_on_page_ms"))
+    n = F.count(F.lit(1))
+    return t.groupBy("from_page", "to_page").agg(
+        n.alias("transitions"), (exact_sum("time_on_page_ms").cast("double") / n).alias("avg_time_on_page_ms"))
 
 
 def play_intervals(df: DataFrame, device: str = "device_id") -> DataFrame:
@@ -103,38 +104,56 @@ def completion_rate(actual: Column, planned: Column) -> Column:
     return F.when(a.isNotNull() & p.isNotNull(), F.least(F.lit(1.0), a.cast("double") / p.cast("double")))
 
 
+#: Rows of a block of the half-step average.
+EWMA_BLOCK = 64
+#: Blocks before a row's own that can reach it: 33 * 64 = 2112 halvings, and no double survives 2098.
+EWMA_REACH = 33
+
+
 def half_ewma(df: DataFrame, key: str | list[str], order: list[str], col: str, out: str = "half_ewma",
-              depth: int = 64, chunk_rows: int = 100_000) -> DataFrame:
+              chunk_rows: int = 102_400) -> DataFrame:
     """The client's "average" a <- (a + x) / 2 starting from 0 (not a
-    mean), per row.  Values older than ``depth`` steps weigh less than
-    2^-depth, so the fold runs over a bounded ``rowsBetween(-(depth-1), 0)``
-    list.  ``order`` starts with the time column.
-
-    A key's rows are numbered without a whole-key window
-    (``global_row_number``) and cut into chunks of ``chunk_rows``; each
-    chunk gets a copy of the previous chunk's last ``depth - 1`` rows, so
-    the 64-row frame is exact at chunk edges."""
+    mean), per row; a null counts as 0.  ``order`` starts with the time
+    column.  Values must lie below 2^950.
+
+    Over m rows the rule is a <- a * 2^-m + b.  A key's rows are numbered
+    without a whole-key window (``global_row_number``) and cut into blocks of
+    64.  A row's value is its block's running sum of x_j * 2^j, scaled back,
+    plus the carry-in of the blocks before, composed from their b by Horner's
+    rule.  After 2112 halvings every double is 0, so 33 blocks carry all there
+    is: nothing is cut.  The blocks (one row per 64) are chained in chunks
+    with a copy of the last 33 blocks, so no task holds a whole key."""
     from footfall.operators.asof import global_row_number
     keys = [key] if isinstance(key, str) else list(key)
-    g = global_row_number(df, keys, order[0], order)
-    chunk = F.floor((F.col("_rn") - 1) / F.lit(chunk_rows)).cast("bigint")
-    own = g.withColumn("_chunk", chunk).withColumn("_own", F.lit(True))
-    tail = g.where(F.pmod(F.col("_rn") - 1, F.lit(chunk_rows)) >= chunk_rows - (depth - 1)) \
-        .withColumn("_chunk", chunk + 1).withColumn("_own", F.lit(False))
-    w = Window.partitionBy(*keys, "_chunk").orderBy("_rn").rowsBetween(-(depth - 1), 0)
-    hist = F.collect_list(F.coalesce(F.col(col).cast("double"), F.lit(0.0))).over(w)
-    u = own.unionByName(tail).withColumn(out, F.aggregate(hist, F.lit(0.0), lambda a, x: (a + x) / 2))
-    return u.where("_own").drop("_own", "_chunk", "_rn")
-
-
-def last_half_ewma(df: DataFrame, key: str | list[str], order: list[str], col: str, out: str = "half_ewma",
-                   depth: int = 64) -> DataFrame:
-    """W9 final value per key: only the ``depth`` latest rows matter, so a
-    top-``depth`` window-group limit (partial before the shuffle) feeds the
-    fold; no key is gathered whole."""
+    power = F.element_at(F.array(*[F.lit(2.0 ** i) for i in range(1, EWMA_BLOCK + 1)]), F.col("_pos"))
+    g = global_row_number(df, keys, order[0], order) \
+        .withColumn("_blk", F.floor((F.col("_rn") - 1) / F.lit(EWMA_BLOCK)).cast("bigint")) \
+        .withColumn("_pos", (F.col("_rn") - F.col("_blk") * EWMA_BLOCK).cast("int")) \
+        .withColumn("_up", power)
+    scaled = F.coalesce(F.col(col).cast("double"), F.lit(0.0)) * F.col("_up")
+    per_chunk = max(EWMA_REACH, chunk_rows // EWMA_BLOCK)
+    sums = g.groupBy(*keys, "_blk").agg((F.sum(scaled) * F.lit(2.0 ** -(EWMA_BLOCK + 1))).alias("_b"))
+    own = sums.withColumn("_chunk", F.floor(F.col("_blk") / F.lit(per_chunk)).cast("bigint")).withColumn("_own", F.lit(True))
+    tail = own.where(F.pmod(F.col("_blk"), F.lit(per_chunk)) >= per_chunk - EWMA_REACH) \
+        .withColumn("_chunk", F.col("_chunk") + 1).withColumn("_own", F.lit(False))
+    w = Window.partitionBy(*keys, "_chunk").orderBy("_blk")
+    carry = F.lit(0.0)
+    for p in range(EWMA_REACH, 0, -1):
+        carry = carry * F.lit(2.0 ** -EWMA_BLOCK) + F.coalesce(F.lag("_b", p).over(w), F.lit(0.0))
+    chained = own.unionByName(tail).withColumn("_carry", carry).where("_own").select(*keys, "_blk", "_carry")
+    wr = Window.partitionBy(*keys, "_blk").orderBy("_rn").rowsBetween(Window.unboundedPreceding, 0)
+    j = g.join(chained, [*keys, "_blk"])
+    value = F.sum(scaled).over(wr) / F.col("_up") / F.lit(2.0) + F.col("_carry") / F.col("_up")
+    return j.withColumn(out, value).drop("_rn", "_blk", "_pos", "_up", "_carry")
+
+
+def last_half_ewma(df: DataFrame, key: str | list[str], order: list[str], col: str, out: str = "half_ewma") -> DataFrame:
+    """W9 final value per key.  Older rows than the last 2112 weigh nothing in
+    a double, so a top-2112 window-group limit (partial before the shuffle)
+    feeds the fold; no key is gathered whole."""
     keys = [key] if isinstance(key, str) else list(key)
     w = Window.partitionBy(*keys).orderBy(*[F.col(o).desc() for o in order])
-    top = df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= depth)
+    top = df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= EWMA_REACH * EWMA_BLOCK)
     g = top.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*[F.col(o) for o in order],
                                                                       F.col(col).cast("double").alias("_v")))).alias("_h"))
     return g.select(*keys, F.aggregate("_h", F.lit(0.0), lambda a, x: (a + F.coalesce(x["_v"], F.lit(0.0))) / 2)

@@ -17,6 +17,7 @@ def load_all() -> dict:
         reports,
         sessions,
         streams,
+        typed,
     )
 
     return REGISTRY

@@ -134,7 +134,7 @@ def q_debounce(spark, sf_dir):
 
 @register("search_flags", duck_sql(["fx_envelope"], "", """
 select event_id, cast(k % 7 as integer) as result_count, k % 3 = 0 as has_location_filter, false as has_date_filter,
-  k % 2 = 0 as has_category_filter from fx_envelope where event_type = 'search'"""))
+  platform = 'web' or k % 2 = 0 as has_category_filter from fx_envelope where event_type = 'search'"""))
 def q_search_flags(spark, sf_dir):
     env = I.envelopes(spark, sf_dir).where(F.col("event_type") == "search")
     return CL.search_flags(env).select("event_id", "result_count", "has_location_filter", "has_date_filter",

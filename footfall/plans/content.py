@@ -9,7 +9,6 @@ from footfall.functions.jsmath import round6
 from footfall.functions.timeparts import hour_of_us, time_of_day
 from footfall.operators import content as CT
 from footfall.operators import context as CX
-from footfall.operators.sessions import last_half_ewma
 from footfall.plans.context import duck_recent, frames_on
 from footfall.plans.registry import register
 from footfall.sources import lookups as L
@@ -111,12 +110,7 @@ select content_id, count(*) as impressions, round(avg(viewers), 6) as avg_viewer
   round(cast(sum(cast(eng as decimal(38,12))) as double) / count(*), 6) as engagement_rate,
   round(sum(revenue) / count(*), 6) as revenue_per_impression from imp group by content_id"""))
 def q_content_lift(spark, sf_dir):
-    from footfall.functions.jsmath import exact_sum
-    i = imps(spark, sf_dir)
-    g = i.groupBy("content_id").agg(
-        F.count(F.lit(1)).alias("impressions"), F.avg("estimated_viewers").alias("avg_viewers"),
-        (exact_sum("engagement_score").cast("double") / F.count(F.lit(1))).alias("engagement_rate"),
-        (F.sum("revenue") / F.count(F.lit(1))).alias("revenue_per_impression"))
+    g = CT.content_lift(imps(spark, sf_dir))
     return g.select("content_id", "impressions", *[round6(c).alias(c) for c in ("avg_viewers", "engagement_rate",
                                                                                  "revenue_per_impression")])
 

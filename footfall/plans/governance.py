@@ -114,13 +114,23 @@ def q_privacy_projection(spark, sf_dir):
 
 
 @register("redact_context", duck_sql(["fx_envelope"], "", """
-select event_id, concat('q:', substr(sha256(concat('s3cret', lower(trim(concat('Query ', cast(k % 13 as varchar)))))),
-  1, 16)) as query_token, category from fx_envelope where event_type = 'search'"""))
+select event_id, case when event_type = 'search' then concat('q:', substr(sha256(concat('s3cret',
+    lower(trim(concat('Query ', cast(k % 13 as varchar)))))), 1, 16)) end as query_token,
+  case when event_type <> 'share' then category end as category,
+  case when event_type <> 'share' then 'Write to [email] or [phone]' end as element_text,
+  cast(k % 4 as varchar) as field_count from fx_envelope"""))
 def q_redact_context(spark, sf_dir):
-    env = I.envelopes(spark, sf_dir).where(F.col("event_type") == "search")
-    red = GV.redact_pii(env, salt="s3cret")
-    return red.select("event_id", F.col("context")["search_query"].alias("query_token"),
-                      F.col("context")["category"].alias("category"))
+    """All events: searches, free text in every context, and shares sent as forms."""
+    env = I.envelopes(spark, sf_dir)
+    k = F.col("k").cast("string")
+    typed = F.create_map(F.lit("element_text"), F.concat(F.lit("Write to u"), k, F.lit("@example.com or +1 555 0100 2345")),
+                         F.lit("field_count"), (F.col("k") % 4).cast("string"))
+    env = env.withColumn("context", F.map_concat("context", typed)).withColumn(
+        "event_type", F.when(F.col("event_type") == "share", "form_interaction").otherwise(F.col("event_type")))
+    ctx = F.col("context")
+    return GV.redact_pii(env, salt="s3cret").select(
+        "event_id", ctx["search_query"].alias("query_token"), ctx["category"].alias("category"),
+        ctx["element_text"].alias("element_text"), ctx["field_count"].alias("field_count"))
 
 
 @register("pseudonymise", duck_sql(["fx_envelope"], "", """

@@ -54,24 +54,24 @@ def raw_events(spark, sf_dir):
         F.lit(None).cast("string").alias("location_id"), ctx.alias("context"), geo.alias("geo"),
         geo_ctx.alias("geo_context"), tags.alias("tags"), F.lit(None).cast("int").alias("ttl"),
     ).cast(RAW_EVENT)
-    return e.select(F.concat(F.lit("client-"), p).alias("client_id"), ts.alias("ts"), F.col("event_id"),
+    return e.select(F.concat(F.lit("client-"), p).alias("client_id"), "uuid", ts.alias("ts"), F.col("event_id"),
                     ev.alias("e"))
 
 
 def upload_text(spark, sf_dir):
     """S5 then to JSON text: the upload bodies a collector receives."""
     r = raw_events(spark, sf_dir)
-    batches = UP.export_batches(r.select("client_id", "ts", "event_id", F.col("e").alias("raw")), n=50)
+    batches = UP.export_batches(r.select("client_id", "uuid", "ts", "event_id", F.col("e").alias("raw")), n=50)
     return batches
 
 
 @register("export_batches", duck_sql(["fx_envelope"], """
-b as (select 'client-' || platform as client_id, ts_us // 3600000000 as bucket,
-  (row_number() over (partition by platform, ts_us // 3600000000 order by ts_us, event_id) - 1) // 50 as batch_no
+b as (select 'client-' || platform as client_id, uuid as queue,
+  (row_number() over (partition by platform, uuid order by ts_us, event_id) - 1) // 50 as batch_no
   from fx_envelope)""", """
-select client_id, bucket, batch_no, cast(count(*) as integer) as n_events from b group by 1, 2, 3"""))
+select client_id, queue, batch_no, cast(count(*) as integer) as n_events from b group by 1, 2, 3"""))
 def q_export_batches(spark, sf_dir):
-    return upload_text(spark, sf_dir).select("client_id", "bucket", "batch_no", "n_events")
+    return upload_text(spark, sf_dir).select("client_id", "queue", "batch_no", "n_events")
 
 
 def parsed_raw(spark, sf_dir):
@@ -177,7 +177,7 @@ def q_typed_map_move(spark, sf_dir):
 
 
 def app_opens(spark, sf_dir):
-    env = I.envelopes(spark, sf_dir).where(F.col("event_type") == "share")
+    env = I.envelopes(spark, sf_dir)
     k = F.col("k")
     ctx = F.create_map(F.lit("language"), F.element_at(F.array(*[F.lit(x) for x in ("en", "fr", "de", "es")]),
                                                        (k % 4 + 1).cast("int")),
@@ -189,22 +189,21 @@ def app_opens(spark, sf_dir):
 select uuid, max(ts_us) as last_open_us,
   arg_max(case k % 4 when 0 then 'en' when 1 then 'fr' when 2 then 'de' else 'es' end, {'t': ts_us, 'e': event_id})
     as language, arg_max(cast(320 + k % 5 * 100 as varchar), {'t': ts_us, 'e': event_id}) as viewport_width
-from fx_envelope where event_type = 'share' group by uuid"""))
+from fx_envelope group by uuid"""))
 def q_page_load_dimension(spark, sf_dir):
     d = EV.page_load_dimension(app_opens(spark, sf_dir))
     return d.select("uuid", US("last_open").alias("last_open_us"), "language", "viewport_width")
 
 
 @register("legacy_migration", duck_sql(["fx_envelope"], """
-ios as (select * from fx_envelope where platform = 'ios'),
-pr as (select uuid, max(ts_us) as ts_us, list(distinct category) as tags from ios group by uuid)""", """
-select uuid, event_type, entity_id, ts_us from ios
-union all select uuid, 'favorite', entity_id, ts_us from ios where event_type = 'share'
+pr as (select uuid, max(ts_us) as ts_us, list(distinct category) as tags from fx_envelope group by uuid)""", """
+select uuid, event_type, entity_id, ts_us from fx_envelope
+union all select uuid, 'favorite', entity_id, ts_us from fx_envelope where event_type = 'share'
 union all select uuid, 'tag_preference', t, ts_us from (select uuid, ts_us, unnest(tags) as t from pr) x
-union all select uuid, 'user_migration', null, min(ts_us) from ios group by uuid
+union all select uuid, 'user_migration', null, min(ts_us) from fx_envelope group by uuid
 union all select uuid, 'user_preferences_migrated', null, ts_us from pr"""))
 def q_legacy_migration(spark, sf_dir):
-    env = I.envelopes(spark, sf_dir).where(F.col("platform") == "ios")
+    env = I.envelopes(spark, sf_dir)
     legacy = env.select(F.col("uuid").alias("anon_user_id"), "event_type", "entity_id", "ts")
     saved = env.where(F.col("event_type") == "share").select(
         F.col("uuid").alias("anon_user_id"), F.col("entity_id").alias("saved_id"),

@@ -5,9 +5,10 @@ columns, ``context`` map, ``geo`` struct, ``tags``, ``ttl``) so library
 operators run on their real input shape.  Context keys per event type:
 
 * all: category, utm_source (may be absent), entity_id, amount, k
-* search: search_query = 'Query ' || k % 13, result_count = k % 7,
-  filter_category = category when k % 2 = 0, filter_location = 'nyc' when
-  k % 3 = 0
+* search: search_query = 'Query ' || k % 13, result_count = k % 7; not on
+  the web: filters = JSON object with location 'nyc' when k % 3 = 0 (else
+  '') and category when k % 2 = 0; on the web: location = 'nyc' when
+  k % 3 = 0 beside the category that all events have
 * tag_interaction: tag_id = 'tag_' || category, tag = JSON object when
   k % 2 = 0 else the tag id string
 * map_move: interaction_type = move/zoom/filter/center/pan by k % 5,
@@ -57,8 +58,11 @@ def envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
         "k": k,
         "search_query": F.when(et == "search", F.concat(F.lit("Query "), (k % 13).cast("string"))),
         "result_count": F.when(et == "search", k % 7),
-        "filter_category": F.when((et == "search") & (k % 2 == 0), F.col("category")),
-        "filter_location": F.when((et == "search") & (k % 3 == 0), F.lit("nyc")),
+        "filters": F.when((et == "search") & (F.col("platform") != "web"), F.concat(
+            F.lit('{"location":"'), F.when(k % 3 == 0, "nyc").otherwise(""), F.lit('"'),
+            F.when(k % 2 == 0, F.concat(F.lit(',"category":"'), F.col("category"), F.lit('"'))).otherwise(F.lit("")),
+            F.lit("}"))),
+        "location": F.when((et == "search") & (F.col("platform") == "web") & (k % 3 == 0), F.lit("nyc")),
         "tag_id": F.when(et == "tag_interaction", F.concat(F.lit("tag_"), F.col("category"))),
         "tag": F.when(et == "tag_interaction", F.when(
             k % 2 == 0,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from footfall.functions.jsmath import exact_sum, round6
+from footfall.functions.jsmath import round6
 from footfall.operators import sessions as SS
 from footfall.plans import inputs as I
 from footfall.plans.registry import register
@@ -28,7 +28,7 @@ def q_session_summary(spark, sf_dir):
 
 @register("sessionize_gap", duck_sql(["fx_envelope"], """
 l as (select *, lag(ts_us) over (partition by uuid order by ts_us, event_id) as pts from fx_envelope),
-f as (select *, pts is null or ts_us - pts > 1800000000 as st from l),
+f as (select *, pts is null or ts_us - pts >= 1800000000 as st from l),
 g as (select *, max(case when st then ts_us end) over (partition by uuid order by ts_us, event_id
   rows between unbounded preceding and current row) as s0 from f)""", """
 select event_id, concat(uuid, '#', cast(s0 as varchar)) as gap_session_id, st as is_session_start from g"""))
@@ -68,16 +68,8 @@ select from_page, to_page, count(*) as transitions,
   round(cast(sum(cast(ms as decimal(38,12))) as double) / count(*), 6) as avg_time_on_page_ms
 from t where from_page is not null group by from_page, to_page"""))
 def q_page_flow(spark, sf_dir):
-    env = I.envelopes(spark, sf_dir)
-    v = env.withColumn("_page", F.col("entity_id"))
-    from footfall.operators.asof import prev_row
-    p = prev_row(v, "session_id", "ts", ["ts", "event_id"], ["_page", "ts"])
-    t = p.where(F.col("prev__page").isNotNull()).select(
-        F.col("prev__page").alias("from_page"), F.col("_page").alias("to_page"),
-        ((F.unix_micros("ts") - F.unix_micros("prev_ts")) / F.lit(1000.0)).alias("ms"))
-    g = t.groupBy("from_page", "to_page").agg(F.count(F.lit(1)).alias("transitions"),
-                                              (exact_sum("ms").cast("double") / F.count(F.lit(1))).alias("avg"))
-    return g.select("from_page", "to_page", "transitions", round6("avg").alias("avg_time_on_page_ms"))
+    g = SS.page_flow(I.envelopes(spark, sf_dir), F.col("entity_id"))
+    return g.select("from_page", "to_page", "transitions", round6("avg_time_on_page_ms").alias("avg_time_on_page_ms"))
 
 
 @register("play_intervals", duck_sql(["fx_base", "fx_play"], """

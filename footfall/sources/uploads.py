@@ -9,7 +9,7 @@
 * S4 ``write_events`` — append-only store partitioned by date and type;
   stream sink is idempotent by micro-batch id.
 * S5 ``export_batches`` — regroup events into upload-shaped batches of at
-  most ``n`` events, FIFO per client.
+  most ``n`` events, FIFO per client and user.
 """
 
 from __future__ import annotations
@@ -103,11 +103,12 @@ def _with_event_date(df: DataFrame, ts_col: str) -> DataFrame:
 def write_events(df: DataFrame, path: str, ts_col: str = "ts", max_records_per_file: int = 5_000_000) -> None:
     """S4 (batch): append, partitioned by ``event_date`` and ``event_type``.
 
-    No shuffle: rows are only sorted inside each task so every task writes
-    one file per partition folder it holds; ``maxRecordsPerFile`` bounds
-    file size when a date/type folder is hot."""
+    Rows are dealt by folder before the write, so a folder gets few files
+    (not one of every task); the rebalance hint lets AQE cut a hot folder over
+    many tasks and join small ones.  ``maxRecordsPerFile`` bounds file size."""
     (
         _with_event_date(df, ts_col)
+        .hint("rebalance", F.col("event_date"), F.col("event_type"))
         .sortWithinPartitions("event_date", "event_type")
         .write.mode("append")
         .option("maxRecordsPerFile", max_records_per_file)
@@ -134,34 +135,37 @@ def write_events_batch(path: str, ts_col: str = "ts"):
 
 def export_batches(
     df: DataFrame, n: int = 50, client_col: str = "client_id", ts_col: str = "ts", id_col: str = "event_id",
-    bucket_seconds: int = 3600,
+    queue_col: str = "uuid",
 ) -> DataFrame:
-    """Regroup events into upload batches of at most ``n`` events,
-    FIFO per client.
-
-    Numbering runs inside (client, time bucket) so that a client holding a
-    large share of all events is split over many window partitions; batch
-    order is (bucket, batch_no), which keeps FIFO order across batches.
-    Each batch group holds at most ``n`` rows."""
-    bucket = F.floor(F.unix_micros(F.col(ts_col)) / F.lit(bucket_seconds * 1_000_000)).cast("bigint")
-    w = Window.partitionBy(client_col, "_bucket").orderBy(ts_col, id_col)
-    numbered = (
-        df.withColumn("_bucket", bucket)
-        .withColumn("_rn", F.row_number().over(w))
-        .withColumn("batch_no", F.floor((F.col("_rn") - 1) / F.lit(n)).cast("bigint"))
-    )
+    """Regroup events into upload batches of at most ``n`` events, FIFO
+    per queue.  A queue is one installation: the events of a user (or
+    device, ``queue_col``) of a client; only its last batch can be short.
+
+    Queue places come from ``global_row_number`` (counts per time bucket plus
+    a carry-in), so a queue with very many events is still spread over many
+    window partitions.  Each batch group holds at most ``n`` rows.  Rows with
+    a null client or user form queues of their own."""
+    from footfall.operators.asof import global_row_number
+
+    def key(c):  # null-safe text: null and the empty text stay apart
+        return F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
+
     # each event is rendered to JSON before grouping, so the batch list
     # sorts on (row number, text) — maps inside events need no ordering
     event_json = F.to_json(F.struct(*[F.col(c) for c in df.columns if c != client_col]))
-    grouped = numbered.groupBy(client_col, "_bucket", "batch_no").agg(
-        F.sort_array(F.collect_list(F.struct(F.col("_rn"), event_json.alias("j")))).alias("_items")
+    rows = df.select(client_col, queue_col, ts_col, id_col, event_json.alias("_j"),
+                     key(client_col).alias("_qc"), key(queue_col).alias("_qq"))
+    numbered = global_row_number(rows, ["_qc", "_qq"], ts_col, [ts_col, id_col, "_j"]) \
+        .withColumn("batch_no", F.floor((F.col("_rn") - 1) / F.lit(n)).cast("bigint"))
+    grouped = numbered.groupBy(client_col, queue_col, "batch_no").agg(
+        F.sort_array(F.collect_list(F.struct(F.col("_rn"), F.col("_j").alias("j")))).alias("_items")
     )
     client_json = F.regexp_replace(F.to_json(F.struct(F.col(client_col).alias("c"))), r'^\{"c":|\}$', "")
     body = F.concat(F.lit('{"client_id":'), client_json, F.lit(',"events":['),
                     F.array_join(F.transform("_items", lambda x: x["j"]), ","), F.lit("]}"))
     return grouped.select(
         F.col(client_col).alias("client_id"),
-        F.col("_bucket").alias("bucket"),
+        F.col(queue_col).alias("queue"),
         "batch_no",
         F.size("_items").alias("n_events"),
         body.alias("payload"),

@@ -51,10 +51,11 @@ def test_offline_events_are_delivered_late_not_lost(spark):
 
 
 def test_export_batches_at_most_n_fifo(spark):
-    rows = [("c", f"e{i:03d}", i) for i in range(120)]
-    df = spark.createDataFrame(rows, "client_id string, event_id string, s long").withColumn("ts", F.timestamp_seconds("s"))
-    b = UP.export_batches(df.drop("s"), n=50).orderBy("bucket", "batch_no").collect()
-    assert [r["n_events"] for r in b] == [50, 50, 20]
+    # an event every ten minutes: batches must run on over hours
+    rows = [("c", f"e{i:03d}", i * 600, "u") for i in range(120)] + [("c", f"x{i}", i, None) for i in range(3)]
+    df = spark.createDataFrame(rows, "client_id string, event_id string, s long, uuid string").withColumn("ts", F.timestamp_seconds("s"))
+    b = UP.export_batches(df.drop("s"), n=50).orderBy(F.col("queue").desc_nulls_last(), "batch_no").collect()
+    assert [r["n_events"] for r in b] == [50, 50, 20, 3]
     first = json.loads(b[0]["payload"])
     assert first["client_id"] == "c" and [e["event_id"] for e in first["events"]][:3] == ["e000", "e001", "e002"]
 
