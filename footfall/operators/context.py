@@ -63,42 +63,6 @@ def recent_frames(frames: DataFrame, key: str = "billboard_id", ts: str = "ts",
 
 
 # ------------------------------------------------------------------ X2–X6
-def _sum(arr: Column, field: str) -> Column:
-    return F.aggregate(arr, F.lit(0.0), lambda a, x: a + _z(x[field]))
-
-
-def _trend(arr: Column, field: str) -> Column:
-    n = F.size(arr)
-    half = F.floor(n / 2).cast("int")
-    a1 = _sum(F.slice(arr, F.lit(1), half), field) / half
-    a2 = _sum(F.slice(arr, half + 1, n - half), field) / (n - half)
-    return (
-        F.when(n < 2, F.lit("stable"))
-        .when(a1 == 0, F.when(a2 > 0, "increasing").when(a2 < 0, "decreasing").otherwise("stable"))
-        .when((a2 - a1) / a1 > 0.1, "increasing")
-        .when((a2 - a1) / a1 < -0.1, "decreasing")
-        .otherwise("stable")
-    )
-
-
-def _var_stability(arr: Column, field: str) -> Column:
-    n = F.size(arr)
-    mean = _sum(arr, field) / n
-    var = F.aggregate(arr, F.lit(0.0), lambda a, x: a + (_z(x[field]) - mean) * (_z(x[field]) - mean)) / n
-    coef = F.when(mean > 0, F.sqrt(var) / mean).otherwise(F.lit(1.0))
-    return F.greatest(F.lit(0.0), F.lit(1.0) - coef)
-
-
-def dominant(values: Column) -> Column:
-    """Mode of a string array; on a tie the value whose first
-    appearance is latest wins; empty -> ``unknown``."""
-    d = F.array_distinct(values)
-    best = F.array_max(F.transform(d, lambda v: F.struct(
-        F.size(F.filter(values, lambda y: y == v)).alias("c"), F.array_position(values, v).alias("p"),
-        v.alias("v"))))
-    return F.coalesce(best["v"], F.lit("unknown"))
-
-
 def _sums(arr: Column, fields: tuple[str, ...]) -> Column:
     """One left fold over the array giving a struct of the JS ``|| 0`` sums
     of several fields (one interpreted pass instead of one per field)."""

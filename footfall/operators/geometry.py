@@ -205,24 +205,29 @@ def age_distribution(counts: DataFrame, frame: str = "frame_id", bucket: str = "
     return counts.withColumn("pct", js_round(F.lit(100.0) * F.col(value) / total))
 
 
-def frame_metrics(dets: DataFrame, clustered_stats: DataFrame, flow: DataFrame, engagement: DataFrame,
-                  confidence: DataFrame, frame: str = "frame_id") -> DataFrame:
+def frame_metrics(clustered: DataFrame, flow: DataFrame, engagement: DataFrame, frame: str = "frame_id",
+                  eps: float = EPS) -> DataFrame:
     """One row per frame with detections: clusterCount, totalPeople,
     avgDensity (0 if none), dwellAvg = avg(min(size·density·30, 300)),
     dwellMax = max(min(size·density·45, 600)), flow (``unknown``/0 when
-    absent), engagement / attention (0 when no poses), confidence.
-
-    Every input is already hash-partitioned on the frame key by its
-    aggregate, so the joins add no further exchange."""
-    people = dets.groupBy(frame).agg(F.count(F.lit(1)).alias("total_people"))
-    cl = clustered_stats.groupBy(frame).agg(
+    absent), engagement / attention (0 when no poses), confidence (L6).
+
+    ``clustered``: the detections with their ``cluster_id`` (L4).  Clusters,
+    people and confidence come from one pass over it, grouped by cluster and
+    then by frame; it is dealt by frame already, so neither that nor the joins
+    add an exchange for it."""
+    size, density = F.col("size"), F.col("density")
+    per = clustered.groupBy(frame, "cluster_id").agg(F.count(F.lit(1)).alias("size"), F.sum("confidence").alias("conf")) \
+        .withColumn("density", size / F.lit(math.pi * eps * eps))
+    cl = per.groupBy(frame).agg(
         F.count(F.lit(1)).alias("cluster_count"),
-        F.avg("density").alias("avg_density"),
-        F.avg(F.least(F.col("size") * F.col("density") * 30, F.lit(300.0))).alias("dwell_avg"),
-        F.max(F.least(F.col("size") * F.col("density") * 45, F.lit(600.0))).alias("dwell_max"),
-    )
-    out = people.join(cl, frame, "left").join(flow, frame, "left").join(engagement, frame, "left") \
-        .join(confidence, frame, "left")
+        F.sum(size).alias("total_people"),
+        (F.sum("conf") / F.sum(size)).alias("avg_conf"),
+        F.avg(density).alias("avg_density"),
+        F.avg(F.least(size * density * 30, F.lit(300.0))).alias("dwell_avg"),
+        F.max(F.least(size * density * 45, F.lit(600.0))).alias("dwell_max"),
+    ).withColumn("confidence", F.col("avg_conf") * 0.7 + F.least(F.coalesce("avg_density", F.lit(0.0)), F.lit(1.0)) * 0.3)
+    out = cl.join(flow, frame, "left").join(engagement, frame, "left")
     return out.select(
         frame,
         F.coalesce("cluster_count", F.lit(0)).cast("bigint").alias("cluster_count"),

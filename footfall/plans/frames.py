@@ -156,12 +156,9 @@ def q_age_distribution(spark, sf_dir):
 
 
 def frame_metrics_df(spark, sf_dir):
-    det = fx.fx_detection(spark, sf_dir)
-    st = GM.cluster_stats(GM.cluster_detections(det))
+    clustered = GM.cluster_detections(fx.fx_detection(spark, sf_dir))
     flow = GM.flow_analysis(fx.fx_movement(spark, sf_dir))
-    eng = GM.engagement_metrics(fx.fx_pose(spark, sf_dir))
-    conf = GM.frame_confidence(det, st)
-    return GM.frame_metrics(det, st, flow, eng, conf)
+    return GM.frame_metrics(clustered, flow, GM.engagement_metrics(fx.fx_pose(spark, sf_dir)))
 
 
 @register("frame_metrics", duck_sql(["fx_detection", "fx_movement", "fx_pose"], DUCK_CLUSTERS + ",\n" + DUCK_FLOW + """,
