@@ -12,7 +12,11 @@ Each hit lays the item over the document at one offset.  There the aligned
 template tokens are compared, over all offsets that were hit, and the slots:
 what fills an item's placeholder must be replaced by the same value wherever
 it occurs, so an item with other numbers or names in the same places counts,
-and a chance fit of templates does not.
+and a chance fit of templates does not.  Slots that contradict each other drop
+themselves only: of each value the replacement at the most places counts (its
+own first), and the others are places not found.  One case goes whole: the
+template of the entire item laid over the document with contradicting slots,
+which is another question made from the same template.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from footfall.llm.common import let, materialize
+from footfall.llm.common import materialize
 
 WINDOW = 5
 #: Least template tokens of an item; shorter ones can't be told from chance.
@@ -50,14 +54,14 @@ def template(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(named), rf"[^\p{{L}}\p{{M}}\p{{Nd}}{NUMBER}{UNIT}{NAME}]+", " "))
 
 
-def fillings(text: Column) -> Column:
-    """What fills the placeholders, in order, by type: numbers, units, names."""
-    bare = F.coalesce(text, F.lit(""))
-    return F.struct(
-        F.regexp_extract_all(bare, F.lit(_NUMBER), F.lit(0)).alias("n"),
-        F.regexp_extract_all(bare, F.lit(f"{_NUMBER} ?({_UNIT})"), F.lit(1)).alias("u"),
-        F.regexp_extract_all(_numbered(bare), F.lit(_NAME), F.lit(0)).alias("p"),
-    )
+def literal(text: Column) -> Column:
+    """The tokens of ``template``, filled: numbers and lower-case words as they stand, units behind their mark."""
+    units = F.regexp_replace(text, f"({_NUMBER}) ?({_UNIT})", f"$1 {UNIT}$2 ")
+    numbers = F.lower(F.regexp_replace(units, f"({_NUMBER})", " $1 "))
+    signs = F.regexp_replace(numbers, rf"[.,:/](?<!\p{{Nd}}[.,:/](?=\p{{Nd}}))(?<!{UNIT}km/)|(?<!{UNIT})[%$€£°]", " ")
+    kept = rf"\p{{L}}\p{{M}}\p{{Nd}}{NUMBER}{UNIT}{NAME}"
+    there = F.regexp_replace(signs, f"[^{kept}.,:/%$€£°]+", " ")
+    return F.trim(F.when(text.rlike(r"\p{Nd}"), there).otherwise(F.regexp_replace(F.lower(text), f"[^{kept}]+", " ")))
 
 
 def _hits(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -74,16 +78,37 @@ def _hits(docs: DataFrame, items: DataFrame) -> DataFrame:
     return hits.select("doc_id", "item_id", (F.col("tile") * WINDOW - F.col("from")).cast("int").alias("at")).distinct()
 
 
-def _slots(tokens: Column, filled: Column, places: Column) -> Column:
-    """What fills the tokens at ``places``; null where there is no placeholder."""
+def _places(n: Column) -> Column:
+    """The places k of the item whose token equals the document's, laid at ``at``: with both literals, and whether it is a slot."""
 
-    def value(i):
-        token = F.when(i >= 0, F.get(tokens, F.greatest(i, F.lit(0))))
-        before = F.size(F.filter(F.slice(tokens, F.lit(1), F.greatest(i, F.lit(0))), lambda x: x == token))
-        kinds = ((NUMBER, "n"), (UNIT, "u"), (NAME, "p"))
-        return F.coalesce(*[F.when(token == mark, F.get(filled[field], before)) for mark, field in kinds])
+    def place(k):
+        i = F.greatest(F.col("at") + k, F.lit(0))
+        own, theirs = F.get("words", k), F.get("d_words", i)
+        same = (F.col("at") + k >= 0) & (F.get("tokens", k) == F.get("d", i))
+        return F.struct(k.alias("k"), own.alias("a"), F.when(same, theirs).alias("b"), F.get("tokens", k).isin(NUMBER, UNIT, NAME).alias("slot"))
 
-    return F.transform(places, value)
+    return F.filter(F.transform(F.sequence(F.lit(0), n - 1), place), lambda p: p["b"].isNotNull())
+
+
+def _pairs(places: Column) -> Column:
+    """(the item's filling, the document's) of the slots among ``places``."""
+    return F.transform(F.filter(places, lambda p: p["slot"]), lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b")))
+
+
+def _clash(fits: Column) -> Column:
+    """Whether distinct pairs give one filling two replacements."""
+    return F.size(fits) != F.size(F.array_distinct(F.transform(fits, lambda q: q["a"])))
+
+
+def _contradicting() -> Column:
+    """The pairs of ``fits`` that another replacement of the same filling outdoes in places of ``pairs``."""
+
+    def best(a):
+        rivals = F.transform(F.filter("fits", lambda q: q["a"] == a), lambda q: F.struct(F.size(F.filter("pairs", lambda r: r == q)).alias("n"), (q["a"] == q["b"]).alias("own"), q["b"].alias("b")))
+        return F.struct(a.alias("a"), F.array_max(rivals)["b"].alias("b"))
+
+    kept = F.transform(F.array_distinct(F.transform("fits", lambda q: q["a"])), best)
+    return F.when(F.col("clash"), F.array_except("fits", kept)).otherwise(F.array().cast("array<struct<a:string,b:string>>"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -92,40 +117,32 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     ``benchmark`` has item_id and text.  A row for each document and item of
     which the document holds MIN_COVER_PERCENT of the template tokens or more,
     in order, with consistent slots; ``exact`` says that every slot found is
-    filled as in the item.  Null or empty texts and rows with a null id give
+    filled as in the item, upper and lower case being one.  Null or empty texts and rows with a null id give
     nothing; repeated rows count once; items of fewer than MIN_ITEM_TOKENS
     template tokens are not searched.  Other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).filter("doc_id is not null and text is not null")
     items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).filter("item_id is not null and text is not null").distinct()
-    items = items.select("item_id", F.split(template(F.col("text")), " ").alias("tokens"), fillings(F.col("text")).alias("filled")).filter(F.size("tokens") >= MIN_ITEM_TOKENS)
+    items = items.select("item_id", F.split(template(F.col("text")), " ").alias("tokens"), F.split(literal(F.col("text")), " ").alias("words")).filter(F.size("tokens") >= MIN_ITEM_TOKENS)
     items = materialize(items, "leak-items")
     hits = materialize(_hits(docs, items), "leak-hits")
 
     ids = hits.select("doc_id").distinct()
     ids = F.broadcast(ids) if ids.count() <= SEND_ROWS else ids
     wanted = docs.join(ids, "doc_id", "left_semi")
-    wanted = materialize(wanted.select("doc_id", F.split(template(F.col("text")), " ").alias("d"), fillings(F.col("text")).alias("d_filled")), "leak-texts")
+    wanted = materialize(wanted.select("doc_id", F.split(template(F.col("text")), " ").alias("d"), F.split(literal(F.col("text")), " ").alias("d_words")), "leak-texts")
     laid = hits.join(wanted, "doc_id").join(items, "item_id")
 
-    # Places of the item whose token equals the document's, laid at this offset.
-    n = F.size("tokens")
-    same = F.filter(F.sequence(F.lit(0), n - 1), lambda k: (F.col("at") + k >= 0) & (F.get("tokens", k) == F.get("d", F.greatest(F.col("at") + k, F.lit(0)))))
-    laid = laid.withColumn("n_item", n).withColumn("same", same)
-    laid = laid.filter(F.size("same") >= WINDOW)
-    # (the item's filling, the document's) of the placeholders among them.
-    own = _slots(F.col("tokens"), F.col("filled"), F.sequence(F.lit(0), n - 1))
-    theirs = _slots(F.col("d"), F.col("d_filled"), F.sequence(F.col("at"), F.col("at") + n - 1))
-    pairs = let(F.arrays_zip(own.alias("a"), theirs.alias("b")), lambda z: F.filter(F.transform("same", lambda k: F.get(z, k)), lambda p: p["a"].isNotNull()))
-    none = F.array().cast("array<struct<a:string,b:string>>")
-    slotted = F.exists("tokens", lambda x: x.isin(NUMBER, UNIT, NAME))
-    laid = laid.withColumn("slots", F.when(slotted, F.array_distinct(pairs)).otherwise(none))
-    consistent = F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda p: p["a"])))
-    laid = laid.filter(consistent).withColumn("exact", F.forall("slots", lambda p: p["a"].eqNullSafe(p["b"])))
-
-    found = laid.select("doc_id", "item_id", "n_item", "exact", F.explode("same").alias("k"))
-    found = found.groupBy("doc_id", "item_id", "n_item").agg(F.count_distinct("k").alias("n_found"), F.bool_and("exact").alias("exact"))
-    return found.filter(F.col("n_found") * 100 >= F.col("n_item") * MIN_COVER_PERCENT).select("doc_id", "item_id", "n_found", F.col("n_item").cast("long"), "exact")
+    laid = laid.withColumn("n_item", F.size("tokens")).withColumn("places", _places(F.size("tokens")))
+    laid = laid.filter(F.size("places") >= WINDOW)
+    laid = laid.withColumn("pairs", _pairs(F.col("places"))).withColumn("fits", F.array_distinct("pairs")).withColumn("clash", _clash(F.col("fits")))
+    laid = laid.filter(~(F.col("clash") & (F.size("places") == F.col("n_item")))).withColumn("lost", _contradicting())
+    kept = F.filter("places", lambda p: ~(p["slot"] & F.array_contains("lost", F.struct(p["a"].alias("a"), p["b"].alias("b")))))
+
+    found = laid.select("doc_id", "item_id", "n_item", F.explode(kept).alias("p"))
+    found = found.groupBy("doc_id", "item_id", "n_item").agg(F.count_distinct("p.k").alias("n_found"), F.count_distinct(F.when(F.expr("p.a = p.b"), F.col("p.k"))).alias("n_exact"))
+    found = found.filter(F.col("n_found") * 100 >= F.col("n_item") * MIN_COVER_PERCENT)
+    return found.select("doc_id", "item_id", "n_found", F.col("n_item").cast("long"), (F.col("n_exact") == F.col("n_found")).alias("exact"))
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

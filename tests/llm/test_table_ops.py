@@ -128,6 +128,20 @@ def test_reparameterised_items(spark):
     assert decontaminate.leaks(rows.limit(0), bench).count() == 0 and decontaminate.leaks(rows, bench.limit(0)).count() == 0
 
 
+def test_contradicting_slots_drop_themselves(spark):
+    item = f"{ITEM} Then tell Berlin why nobody ever came back."
+    texts = {1: item.replace("wait for 40", "wait for 41").replace("ever came", "soon came"), 2: ITEM + " Then tell Madrid all."}
+    rows, bench = spark.createDataFrame([*texts.items()], "doc_id long, text string"), spark.createDataFrame([(7, item)], "item_id long, text string")
+    got = {r.doc_id: (r.n_found, r.n_item, r.exact) for r in decontaminate.leaks(rows, bench).collect()}
+    assert got == {1: (30, 32, True), 2: (26, 32, True)}
+
+
+def test_literals_follow_templates(spark):
+    text = "At 3.5 KM/h, 20% of 1,200 men (5°C) paid/lent 7$ to Ann O'Hara: 12:30, v2.1."
+    t, w = spark.createDataFrame([(text,)], "text string").select(F.split(decontaminate.template(F.col("text")), " "), F.split(decontaminate.literal(F.col("text")), " ")).first()
+    assert len(t) == len(w) and [b for a, b in zip(t, w) if a != b] == ["3.5", "\ue002km/h", "20", "\ue002%", "1,200", "5", "\ue002°c", "7", "\ue002$", "ann", "o", "12:30", "2.1"]
+
+
 def test_leaks_equal_plain_search(spark):
     from footfall.llm.queries import op3_decontaminate
 
