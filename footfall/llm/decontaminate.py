@@ -31,6 +31,8 @@ WINDOW = 5
 MIN_ITEM_TOKENS = 2 * WINDOW - 1
 #: Least share of the item's tokens found in a document, in percent, and plain words a window must have.
 MIN_COVER_PERCENT, MIN_PLAIN = 60, 3
+#: A run of so many consecutive places, consistent among themselves, is reported whatever share of the item it is.
+MIN_RUN = 13
 #: Index rows up to this many are sent to every task, as are candidate ids; beyond, both joins shuffle.
 SEND_ROWS = 1_000_000
 
@@ -111,12 +113,22 @@ def _contradicting() -> Column:
     return F.when(F.col("clash"), F.array_except("fits", kept)).otherwise(F.array().cast("array<struct<a:string,b:string>>"))
 
 
+def _has_run() -> Column:
+    """Whether somewhere MIN_RUN consecutive places of the item have slots that are consistent among themselves."""
+
+    def whole(i):
+        run = F.slice("places", i, MIN_RUN)
+        return (F.get(run, F.lit(MIN_RUN - 1))["k"] - F.get(run, F.lit(0))["k"] == MIN_RUN - 1) & (~F.col("clash") | ~_clash(F.array_distinct(_pairs(run))))
+
+    return F.exists(F.sequence(F.lit(1), F.greatest(F.size("places") - MIN_RUN + 1, F.lit(1))), lambda i: F.coalesce(whole(i), F.lit(False)))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Benchmark items found in ``docs`` (doc_id, text): doc_id, item_id, n_found, n_item, exact.
 
     ``benchmark`` has item_id and text.  A row for each document and item of
     which the document holds MIN_COVER_PERCENT of the template tokens or more,
-    in order, with consistent slots; ``exact`` says that every slot found is
+    in order, with consistent slots, or MIN_RUN consecutive ones; ``exact`` says that every slot found is
     filled as in the item, upper and lower case being one.  Null or empty texts and rows with a null id give
     nothing; repeated rows count once; items of fewer than MIN_ITEM_TOKENS
     template tokens are not searched.  Other columns are ignored.
@@ -136,12 +148,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     laid = laid.withColumn("n_item", F.size("tokens")).withColumn("places", _places(F.size("tokens")))
     laid = laid.filter(F.size("places") >= WINDOW)
     laid = laid.withColumn("pairs", _pairs(F.col("places"))).withColumn("fits", F.array_distinct("pairs")).withColumn("clash", _clash(F.col("fits")))
-    laid = laid.filter(~(F.col("clash") & (F.size("places") == F.col("n_item")))).withColumn("lost", _contradicting())
+    laid = laid.filter(~(F.col("clash") & (F.size("places") == F.col("n_item")))).withColumn("lost", _contradicting()).withColumn("run", _has_run())
     kept = F.filter("places", lambda p: ~(p["slot"] & F.array_contains("lost", F.struct(p["a"].alias("a"), p["b"].alias("b")))))
 
-    found = laid.select("doc_id", "item_id", "n_item", F.explode(kept).alias("p"))
-    found = found.groupBy("doc_id", "item_id", "n_item").agg(F.count_distinct("p.k").alias("n_found"), F.count_distinct(F.when(F.expr("p.a = p.b"), F.col("p.k"))).alias("n_exact"))
-    found = found.filter(F.col("n_found") * 100 >= F.col("n_item") * MIN_COVER_PERCENT)
+    found = laid.select("doc_id", "item_id", "n_item", "run", F.explode(kept).alias("p"))
+    found = found.groupBy("doc_id", "item_id", "n_item").agg(F.count_distinct("p.k").alias("n_found"), F.count_distinct(F.when(F.expr("p.a = p.b"), F.col("p.k"))).alias("n_exact"), F.max("run").alias("run"))
+    found = found.filter(F.col("run") | (F.col("n_found") * 100 >= F.col("n_item") * MIN_COVER_PERCENT))
     return found.select("doc_id", "item_id", "n_found", F.col("n_item").cast("long"), (F.col("n_exact") == F.col("n_found")).alias("exact"))
 
 

@@ -136,6 +136,16 @@ def test_contradicting_slots_drop_themselves(spark):
     assert got == {1: (30, 32, True), 2: (26, 32, True)}
 
 
+def test_a_run_of_the_item_is_found(spark):
+    words = "when rivers rise above their banks every farmer along some valley must decide whether old walls still hold or new ones should replace them before winter storms arrive again".split()
+    own = [*words[:14], "Berlin", "pays", "12", "kg", "so", "Berlin", "pays", "12", "kg", *words[14:]]
+    other = [w.upper().lower()[::-1] for w in own]
+    texts = {1: [*own[:17], *other[17:]], 2: [*other[:9], *own[9:22], *other[22:]], 3: [*own[:8], *other[8:]]}
+    rows = spark.createDataFrame([(i, "so " + " ".join(t)) for i, t in texts.items()], "doc_id long, text string")
+    got = {r.doc_id: (r.n_found >= 13, r.exact) for r in decontaminate.leaks(rows, spark.createDataFrame([(7, " ".join(own))], "item_id long, text string")).collect()}
+    assert got == {1: (True, True), 2: (True, True)}
+
+
 def test_literals_follow_templates(spark):
     text = "At 3.5 KM/h, 20% of 1,200 men (5°C) paid/lent 7$ to Ann O'Hara: 12:30, v2.1."
     t, w = spark.createDataFrame([(text,)], "text string").select(F.split(decontaminate.template(F.col("text")), " "), F.split(decontaminate.literal(F.col("text")), " ")).first()
