@@ -3,10 +3,13 @@
 Texts are brought to templates: numbers, units behind numbers, and names
 (capitalised words inside a sentence) become typed placeholders, everything
 else lower-case words.  Every WINDOW-token window of every benchmark item is
-indexed; a document is cut into consecutive windows (tiles).  A passage of
-2 * WINDOW - 1 tokens or more that a document shares with an item holds a whole
-tile, so the hash join of tiles with windows finds it, at a fifth of the rows
-that all windows of the documents would be.
+indexed, filled as in the item and as a template; a document is cut into
+consecutive windows (tiles), of both kinds.  A passage of 2 * WINDOW - 1 tokens
+or more that a document shares with an item holds a whole tile, so the hash
+join of tiles with windows finds it, at a fifth of the rows that all windows of
+the documents would be.  Templates of fewer than MIN_PLAIN plain words say too
+little at that length: around them, windows of 2 * WINDOW - 1 template tokens
+are indexed instead, and those of the documents at every place compared.
 
 Each hit lays the item over the document at one offset.  There the aligned
 template tokens are compared, over all offsets that were hit, and the slots:
@@ -29,7 +32,7 @@ from footfall.llm.common import materialize
 WINDOW = 5
 #: Least template tokens of an item; shorter ones can't be told from chance.
 MIN_ITEM_TOKENS = 2 * WINDOW - 1
-#: Least share of the item's tokens found in a document, in percent, and plain words a window must have.
+#: Least share of the item's tokens found in a document, in percent, and plain words a template window of WINDOW tokens must have.
 MIN_COVER_PERCENT, MIN_PLAIN = 60, 3
 #: A run of so many consecutive places, consistent among themselves, is reported whatever share of the item it is.
 MIN_RUN = 13
@@ -43,6 +46,10 @@ _NUMBER = r"\p{Nd}+(?:[.,:/]\p{Nd}+)*"
 _UNIT = "(?i:" + "|".join(UNITS) + r"|[%$€£°]c?)(?![\p{L}\p{Nd}])"
 _NAME = r"\p{Lu}(?<=[^.!?:;\s] .)[\p{L}\p{M}]*"
 
+#: Somewhere among WINDOW tokens, fewer than MIN_PLAIN plain words.
+_MARK = f"[{NUMBER}{UNIT}{NAME}]"
+_POOR = f"{_MARK} (?:{_MARK} (?:[^ ]+ ){{0,2}}|[^ ]+ {_MARK} (?:[^ ]+ )?|[^ ]+ [^ ]+ {_MARK} ){_MARK}"
+
 
 def _numbered(text: Column) -> Column:
     there = text.rlike(r"\p{Nd}")
@@ -66,27 +73,48 @@ def literal(text: Column) -> Column:
     return F.trim(F.when(text.rlike(r"\p{Nd}"), there).otherwise(F.regexp_replace(F.lower(text), f"[^{kept}]+", " ")))
 
 
+def _runs(length: int) -> Column:
+    """A pattern whose first group is, at each token of a text, the ``length`` tokens from there on."""
+    return F.lit(rf"(?<![^ ])(?=((?:[^ ]+ ){{{length - 1}}}[^ ]+)(?![^ ]))")
+
+
 def _hits(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, at): an item's start, in tokens of a document, wherever a tile equals a window."""
-    i = F.posexplode(F.transform(F.sequence(F.lit(1), F.size("tokens") - WINDOW + 1), lambda k: F.slice("tokens", k, WINDOW)))
-    plain = F.size(F.filter("window", lambda x: ~x.isin(NUMBER, UNIT, NAME)))
-    windows = items.select("item_id", i.alias("from", "window")).filter(plain >= MIN_PLAIN)
-    windows = windows.select("item_id", "from", F.xxhash64(F.array_join("window", " ")).alias("h"))
-    windows = materialize(windows, "leak-index")
-    small = windows.count() <= SEND_ROWS
-    tiles = docs.select("doc_id", F.posexplode(F.regexp_extract_all(template(F.col("text")), F.lit(f"(?:[^ ]+ ){{{WINDOW - 1}}}[^ ]+"), F.lit(0))).alias("tile", "words"))
-    tiles = tiles.select("doc_id", "tile", F.xxhash64("words").alias("h"))
-    hits = tiles.join(F.broadcast(windows) if small else windows, "h")
-    return hits.select("doc_id", "item_id", (F.col("tile") * WINDOW - F.col("from")).cast("int").alias("at")).distinct()
+
+    def windows(tokens, length):
+        def window(i):
+            own = F.slice(tokens, i, length)
+            return F.struct((i - 1).alias("from"), F.lit(length).alias("length"), F.array_join(own, " ").alias("window"), F.size(F.filter(own, lambda x: ~x.isin(NUMBER, UNIT, NAME))).alias("plain"))
+
+        return F.transform(F.sequence(F.lit(1), F.size(tokens) - length + 1), window)
+
+    plain = F.filter(windows("tokens", WINDOW), lambda w: w["plain"] >= MIN_PLAIN)
+    long = F.filter(windows("tokens", MIN_ITEM_TOKENS), lambda w: w["window"].rlike(_POOR))
+    index = items.select("item_id", F.explode(F.concat(plain, windows("words", WINDOW), long)).alias("w"))
+    index = index.select("item_id", "w.from", "w.length", F.xxhash64("w.window").alias("h")).distinct()
+    index = materialize(index, "leak-index")
+    small = index.count() <= SEND_ROWS
+
+    cut = F.lit(f"(?:[^ ]+ ){{{WINDOW - 1}}}[^ ]+")
+    texts = docs.select("doc_id", template(F.col("text")).alias("t"), literal(F.col("text")).alias("l"))
+    tiles = texts.select("doc_id", F.posexplode(F.arrays_zip(*[F.regexp_extract_all(c, cut, F.lit(0)).alias(c) for c in "tl"])).alias("tile", "words"))
+    tiles = tiles.select("doc_id", (F.col("tile") * WINDOW).alias("place"), F.explode(F.array_distinct(F.array("words.t", "words.l"))).alias("words"))
+    if not index.filter(F.col("length") > WINDOW).isEmpty():
+        longer = docs.select("doc_id", template(F.col("text")).alias("t")).filter(F.col("t").rlike(_POOR))
+        longer = longer.select("doc_id", F.posexplode(F.regexp_extract_all("t", _runs(MIN_ITEM_TOKENS), F.lit(1))).alias("place", "words"))
+        tiles = tiles.unionByName(longer.filter(F.col("words").rlike(_POOR)))
+    tiles = tiles.select("doc_id", "place", F.xxhash64("words").alias("h"))
+    hits = tiles.join(F.broadcast(index) if small else index, "h")
+    return hits.select("doc_id", "item_id", (F.col("place") - F.col("from")).cast("int").alias("at")).distinct()
 
 
 def _places(n: Column) -> Column:
-    """The places k of the item whose token equals the document's, laid at ``at``: with both literals, and whether it is a slot."""
+    """The places k of the item whose token equals the document's as a template or as it stands, laid at ``at``: with both literals, and whether it is a slot."""
 
     def place(k):
         i = F.greatest(F.col("at") + k, F.lit(0))
         own, theirs = F.get("words", k), F.get("d_words", i)
-        same = (F.col("at") + k >= 0) & (F.get("tokens", k) == F.get("d", i))
+        same = (F.col("at") + k >= 0) & ((F.get("tokens", k) == F.get("d", i)) | (own == theirs))
         return F.struct(k.alias("k"), own.alias("a"), F.when(same, theirs).alias("b"), F.get("tokens", k).isin(NUMBER, UNIT, NAME).alias("slot"))
 
     return F.filter(F.transform(F.sequence(F.lit(0), n - 1), place), lambda p: p["b"].isNotNull())

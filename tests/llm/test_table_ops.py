@@ -146,6 +146,14 @@ def test_a_run_of_the_item_is_found(spark):
     assert got == {1: (True, True), 2: (True, True)}
 
 
+def test_items_of_numbers_and_names_and_capitals(spark):
+    dense, plain = "Anna paid 12 USD, Ben 15 USD, Carl 9 USD, Dora 20 USD", ITEM
+    texts = {1: f"So it was: {dense}.", 2: "It says that x, y, z, Anna paid 3 USD, Bert 4 USD, Carla 5 USD, Dan 7 USD", 3: plain.upper(), 4: plain.lower(), 5: "Anna paid, Ben and Carl did not, 9 USD."}
+    rows = spark.createDataFrame([*texts.items()], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r.exact for r in decontaminate.leaks(rows, spark.createDataFrame([(7, dense), (8, plain)], "item_id long, text string")).collect()}
+    assert got == {(1, 7): True, (2, 7): False, (3, 8): True, (4, 8): True}
+
+
 def test_literals_follow_templates(spark):
     text = "At 3.5 KM/h, 20% of 1,200 men (5°C) paid/lent 7$ to Ann O'Hara: 12:30, v2.1."
     t, w = spark.createDataFrame([(text,)], "text string").select(F.split(decontaminate.template(F.col("text")), " "), F.split(decontaminate.literal(F.col("text")), " ")).first()
