@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from footfall.llm.common import materialize
 
 WINDOW = 5
-#: Least template tokens of an item; shorter ones can't be told from chance.
+#: Least template tokens of an item that is searched by tiles; shorter ones are searched whole and as they stand.
 MIN_ITEM_TOKENS = 2 * WINDOW - 1
 #: Least share of the item's tokens found in a document, in percent, and plain words a template window of WINDOW tokens must have.
 MIN_COVER_PERCENT, MIN_PLAIN = 60, 3
@@ -108,6 +108,16 @@ def _hits(docs: DataFrame, items: DataFrame) -> DataFrame:
     return hits.select("doc_id", "item_id", (F.col("place") - F.col("from")).cast("int").alias("at")).distinct()
 
 
+def _short(docs: DataFrame, items: DataFrame, lengths: list[int]) -> DataFrame:
+    """Short items as they stand anywhere in a document; ``lengths`` are those of the items, in tokens."""
+    items = items.select("item_id", F.size("tokens").cast("long").alias("n_item"), F.array_join("words", " ").alias("window"))
+    texts = docs.select("doc_id", literal(F.col("text")).alias("l"))
+    windows = F.explode(F.concat(*[F.array_distinct(F.regexp_extract_all("l", _runs(n), F.lit(1))) for n in sorted(lengths)]))
+    small = items.count() <= SEND_ROWS
+    found = texts.select("doc_id", windows.alias("window")).join(F.broadcast(items) if small else items, "window")
+    return found.select("doc_id", "item_id", F.col("n_item").alias("n_found"), "n_item", F.lit(True).alias("exact")).distinct()
+
+
 def _places(n: Column) -> Column:
     """The places k of the item whose token equals the document's as a template or as it stands, laid at ``at``: with both literals, and whether it is a slot."""
 
@@ -158,13 +168,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     which the document holds MIN_COVER_PERCENT of the template tokens or more,
     in order, with consistent slots, or MIN_RUN consecutive ones; ``exact`` says that every slot found is
     filled as in the item, upper and lower case being one.  Null or empty texts and rows with a null id give
-    nothing; repeated rows count once; items of fewer than MIN_ITEM_TOKENS
-    template tokens are not searched.  Other columns are ignored.
+    nothing; repeated rows count once; an item of fewer than MIN_ITEM_TOKENS
+    tokens is found where all of it stands, filled as it is.  Other columns are
+    ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).filter("doc_id is not null and text is not null")
     items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).filter("item_id is not null and text is not null").distinct()
-    items = items.select("item_id", F.split(template(F.col("text")), " ").alias("tokens"), F.split(literal(F.col("text")), " ").alias("words")).filter(F.size("tokens") >= MIN_ITEM_TOKENS)
-    items = materialize(items, "leak-items")
+    items = items.select("item_id", F.split(template(F.col("text")), " ").alias("tokens"), F.split(literal(F.col("text")), " ").alias("words"))
+    every = materialize(items, "leak-items")
+    items = every.filter(F.size("tokens") >= MIN_ITEM_TOKENS)
+    short = every.filter((F.size("tokens") < MIN_ITEM_TOKENS) & (F.col("words")[0] != ""))
     hits = materialize(_hits(docs, items), "leak-hits")
 
     ids = hits.select("doc_id").distinct()
@@ -182,7 +195,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = laid.select("doc_id", "item_id", "n_item", "run", F.explode(kept).alias("p"))
     found = found.groupBy("doc_id", "item_id", "n_item").agg(F.count_distinct("p.k").alias("n_found"), F.count_distinct(F.when(F.expr("p.a = p.b"), F.col("p.k"))).alias("n_exact"), F.max("run").alias("run"))
     found = found.filter(F.col("run") | (F.col("n_found") * 100 >= F.col("n_item") * MIN_COVER_PERCENT))
-    return found.select("doc_id", "item_id", "n_found", F.col("n_item").cast("long"), (F.col("n_exact") == F.col("n_found")).alias("exact"))
+    found = found.select("doc_id", "item_id", "n_found", F.col("n_item").cast("long"), (F.col("n_exact") == F.col("n_found")).alias("exact"))
+    lengths = [r[0] for r in short.select(F.size("tokens")).distinct().collect()]
+    return found.unionByName(_short(docs, short, lengths)) if lengths else found
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

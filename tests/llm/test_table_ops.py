@@ -154,6 +154,14 @@ def test_items_of_numbers_and_names_and_capitals(spark):
     assert got == {(1, 7): True, (2, 7): False, (3, 8): True, (4, 8): True}
 
 
+def test_short_items_are_searched_as_they_stand(spark):
+    items = [(1, "What is 12 x 12?"), (2, "Who?"), (3, "Name the capital of France."), (4, "?!")]
+    texts = {1: "Ask: what is 12 x 12? Then go.", 2: "what is 12 x 13?", 3: "Name the capital of France", 4: "Name the capital of Spain.", 5: "whoever; who!", 6: ""}
+    rows = spark.createDataFrame([*texts.items()], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.n_found, r.n_item, r.exact) for r in decontaminate.leaks(rows, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(1, 1): (5, 5, True), (3, 3): (5, 5, True), (5, 2): (1, 1, True)}
+
+
 def test_literals_follow_templates(spark):
     text = "At 3.5 KM/h, 20% of 1,200 men (5°C) paid/lent 7$ to Ann O'Hara: 12:30, v2.1."
     t, w = spark.createDataFrame([(text,)], "text string").select(F.split(decontaminate.template(F.col("text")), " "), F.split(decontaminate.literal(F.col("text")), " ")).first()
