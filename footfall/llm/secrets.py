@@ -3,10 +3,10 @@
 A document is scanned for secrets; then every layer that can be unwrapped from
 it (URL escapes, Unicode escapes, base64, and compressed data inside base64)
 goes on a worklist, is scanned the same way and unwrapped in turn, until
-nothing new appears.  A layer whose text was seen before in the same document
-is not entered again, which ends cycles.  Every character of a layer knows the
-range of the document that it came from, so spans found in a layer are
-reported in document offsets.
+nothing new appears.  Each layer text is unwrapped once in a document, which
+ends cycles.  Every character of a layer knows the range of the text around it
+that it came from, so spans found in a layer are carried outwards through every
+place where its text occurs, and reported in document offsets.
 
 Base spans are those found in the document itself; what only a layer shows is
 added with ``base`` false.  Offsets are code points, ends exclusive.
@@ -17,7 +17,6 @@ from __future__ import annotations
 import base64
 import binascii
 import bz2
-import hashlib
 import re
 import zlib
 
@@ -130,25 +129,26 @@ def unwrapped(layer: Layer) -> list[Layer]:
 def scan(text: str) -> list[tuple[str, int, int, bool]]:
     """All spans of a document with whether they are base spans, by start, then kind."""
     base = secrets_in(text)
-    found = {s: True for s in base}
-    work, seen = unwrapped(Layer(text)), set()
-    if work:
-        seen.add(hashlib.sha1(text.encode("utf-8", "surrogatepass")).digest())
+    spans = {text: set(base)}
+    around: dict[str, list[tuple[str, Layer]]] = {text: []}
+    work = [text]
     while work:
-        layer = work.pop()
-        key = hashlib.sha1(layer.text.encode("utf-8", "surrogatepass")).digest()
-        if key in seen:
-            if layer.text == text:
-                continue
-            # The same text at another place: its spans count there too, but it is not unwrapped again.
-            work_more: list[Layer] = []
-        else:
-            seen.add(key)
-            work_more = unwrapped(layer)
-        for kind, a, b in secrets_in(layer.text):
-            found.setdefault((kind, *layer.place(a, b)), False)
-        work += work_more
-    return sorted(((*s, is_base) for s, is_base in found.items()), key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
+        outer = work.pop()
+        for layer in unwrapped(Layer(outer)):
+            if layer.text not in spans:
+                spans[layer.text], around[layer.text] = set(secrets_in(layer.text)), []
+                work.append(layer.text)
+            around[layer.text].append((outer, layer))
+    new = [(inner, s) for inner, own in spans.items() for s in own]
+    while new:
+        inner, (kind, a, b) = new.pop()
+        for outer, layer in around[inner]:
+            span = (kind, *layer.place(a, b))
+            if span not in spans[outer]:
+                spans[outer].add(span)
+                new.append((outer, span))
+    own = set(base)
+    return sorted(((*s, s in own) for s in spans[text]), key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
 def scan_secrets(docs: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """Word, token, span and quality operators against plain versions, and their edge cases."""
 
+import base64
 import hashlib
 import re
 
@@ -189,6 +190,14 @@ def test_secrets_in_layers():
             assert inner.startswith(text[a : a + 4]) or text[a:b] in inner
 
 
+def test_secrets_of_a_repeated_layer():
+    *_, mixed = layers = [x for x in layered(SECRET)]
+    for inner in (layers[2], mixed, base64.b64encode(mixed.encode()).decode()):
+        text = f"a {inner} b {inner} c {inner}"
+        added = {(a, b) for k, a, b, own in secrets.scan(text) if k == "assign" and not own}
+        assert all(any(m.start() <= a < b <= m.end() for a, b in added) for m in re.finditer(re.escape(inner), text)), inner
+
+
 def test_secret_cycles_end():
     import base64
 
