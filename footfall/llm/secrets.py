@@ -8,6 +8,9 @@ ends cycles.  Every character of a layer knows the range of the text around it
 that it came from, so spans found in a layer are carried outwards through every
 place where its text occurs, and reported in document offsets.
 
+Decoded bytes are read as UTF-8 and, where they hold a zero byte, as UTF-16 too;
+what is neither is kept byte by byte, so the readable runs between are scanned.  Base64 is decoded line by line and over single line breaks.
+
 Base spans are those found in the document itself; what only a layer shows is
 added with ``base`` false.  Offsets are code points, ends exclusive.
 """
@@ -19,6 +22,7 @@ import binascii
 import bz2
 import re
 import zlib
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,6 +39,14 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 URL_ESCAPE = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE_ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})")
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Base64 over single line breaks; the starts of gzip, bzip2 and zlib data in it.
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}(?:\r?\n[\x20\t]*[A-Za-z0-9+/_-]+)+={0,2}")
+LINE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
+PACKED = re.compile(r"H4sI|Qlpo|e[A-P]")
+#: Every secret and everything that can be unwrapped to one has so many of these characters in a row.
+ENOUGH = re.compile(r"[\x20-\x7e]{16}")
+#: Compressed bytes unpacked at a time; of damaged data, what comes before the damage counts.
+STEP = 256
 
 
 def secrets_in(text: str) -> list[tuple[str, int, int]]:
@@ -71,58 +83,106 @@ class Layer:
         return Layer("".join(text), ranges)
 
 
-def printable(data: bytes) -> str | None:
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    return text if text and all(c.isprintable() or c in "\t\r\n" for c in text) else None
+def readings(data: bytes) -> list[str]:
+    """The bytes as text: UTF-8, and from either byte as UTF-16 of either order where a zero byte shows that it may be."""
+    texts = [data.decode("utf-8", "surrogateescape")]
+    if b"\0" in data:
+        texts += [data[k:].decode(code, "replace") for k in (0, 1) for code in ("utf-16-le", "utf-16-be")]
+    return texts
 
 
 def inflated(data: bytes) -> bytes | None:
-    """What gzip, zlib or bzip2 data unpacks to."""
-    try:
-        if data[:2] == b"\x1f\x8b" or data[:1] == b"\x78":
-            return zlib.decompress(data, 47)
-        if data[:3] == b"BZh":
-            return bz2.decompress(data)
-    except (zlib.error, OSError, ValueError, EOFError):
-        pass
-    return None
-
-
-def from_base64(token: str) -> str | None:
-    body = token.rstrip("=").replace("-", "+").replace("_", "/")
-    if len(body) % 4 == 1:
-        return None
-    try:
-        data = base64.b64decode(body + "=" * (-len(body) % 4))
-    except (binascii.Error, ValueError):
-        return None
+    """What gzip, zlib or bzip2 data unpacks to, all members of it, as far as it goes."""
+    out = []
+    while data[:2] == b"\x1f\x8b" or data[:3] == b"BZh" or (data[:1] == b"\x78" and not out):
+        unpacker = bz2.BZ2Decompressor() if data[:1] == b"B" else zlib.decompressobj(47)
+        try:
+            for at in range(0, len(data), STEP):
+                out.append(unpacker.decompress(data[at : at + STEP]))
+                if unpacker.eof:
+                    break
+        except (zlib.error, OSError, ValueError, EOFError):
+            break
+        if not unpacker.eof:
+            break
+        data = (unpacker.unused_data + data[at + STEP :]).lstrip(b"\0")
+    return b"".join(out) or None
+
+
+def unpacked(data: bytes) -> bytes:
+    """The data, or what is inside if it is compressed."""
     for _ in range(len(data)):  # compressed data may hold compressed data
-        unpacked = inflated(data)
-        if unpacked is None or unpacked == data:
+        inner = inflated(data)
+        if inner is None or inner == data:
             break
-        data = unpacked
-    return printable(data)
+        data = inner
+    return data
+
+
+def from_base64(token: str) -> bytes:
+    body = token.rstrip("=").replace("-", "+").replace("_", "/")
+    body = body[: len(body) - (len(body) % 4 == 1)]
+    return base64.b64decode(body + "=" * (-len(body) % 4))
+
+
+def width(c: str) -> int:
+    """Bytes that a character of readings()[0] stands for."""
+    return 1 if c < "\x80" or "\udc80" <= c <= "\udcff" else 2 if c < "\u0800" else 3 if c < "\U00010000" else 4
+
+
+def from_lines(layer: Layer, start: int, end: int) -> list[Layer]:
+    """What base64 over several lines holds.  It may begin at any of them: one start of each
+    alignment reads all that is not compressed, and compressed data shows where it begins."""
+    lines = [m.span() for m in LINE.finditer(layer.text, start, end)]
+    body = "".join(layer.text[a:b] for a, b in lines)
+    places, ends = [layer.place(*line) for line in lines], list(accumulate(b - a for a, b in lines))
+    out, aligned = [], set()
+    for first, at in enumerate([0, *ends[:-2]]):
+        if at % 4 in aligned and not PACKED.match(body, at):
+            continue
+        aligned.add(at % 4)
+        raw = from_base64(body[at:])
+        data = unpacked(raw)
+        for n, text in enumerate(readings(data)):
+            if not ENOUGH.search(text):
+                continue
+            ranges = [(min(p[0] for p in places[first:]), max(p[1] for p in places[first:]))] * len(text)
+            if data is raw and n == 0:  # each character comes from the lines that its own bytes stand in
+                ranges, byte, line = [], 0, first
+                for c in text:
+                    low = at + byte // 3 * 4 + byte % 3
+                    byte += width(c)
+                    high = at + (byte - 1) // 3 * 4 + (byte - 1) % 3 + 1
+                    while ends[line] <= low:
+                        line += 1
+                    last = line
+                    while ends[last] <= high:
+                        last += 1
+                    ranges.append((min(p[0] for p in places[line : last + 1]), max(p[1] for p in places[line : last + 1])))
+            out.append(Layer(text, ranges))
+    return out
 
 
 def unwrapped(layer: Layer) -> list[Layer]:
     """The layers directly inside ``layer``."""
     text, out = layer.text, []
     if "%" in text:
-        parts = [(*m.span(), new) for m in URL_ESCAPE.finditer(text) if (new := printable(binascii.unhexlify(m[0].replace("%", "")))) is not None]
-        if parts:
-            out.append(layer.rewritten(parts))
+        runs = [(*m.span(), readings(binascii.unhexlify(m[0].replace("%", "")))) for m in URL_ESCAPE.finditer(text)]
+        if runs:
+            out.append(layer.rewritten([(a, b, new[0]) for a, b, new in runs]))
+        out += [Layer(x, [layer.place(a, b)] * len(x)) for a, b, new in runs for x in new[1:] if ENOUGH.search(x)]
     if "\\" in text:
         codes = [(*m.span(), int(m[1] or m[2] or m[3], 16)) for m in UNICODE_ESCAPE.finditer(text)]
         parts = [(a, b, chr(c)) for a, b, c in codes if c < 0x110000 and not 0xD800 <= c < 0xE000]
         if parts:
             out.append(layer.rewritten(parts))
     for m in BASE64.finditer(text):
-        inner = from_base64(m[0])
-        if inner is not None:
-            out.append(Layer(inner, [layer.place(*m.span())] * len(inner)))
+        for inner in readings(unpacked(from_base64(m[0]))):
+            if ENOUGH.search(inner):
+                out.append(Layer(inner, [layer.place(*m.span())] * len(inner)))
+    if "\n" in text:
+        for m in WRAPPED.finditer(text):
+            out += from_lines(layer, *m.span())
     return out
 
 

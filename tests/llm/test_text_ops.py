@@ -1,6 +1,7 @@
 """Word, token, span and quality operators against plain versions, and their edge cases."""
 
 import base64
+import gzip
 import hashlib
 import re
 
@@ -198,6 +199,22 @@ def test_secrets_of_a_repeated_layer():
         assert all(any(m.start() <= a < b <= m.end() for a, b in added) for m in re.finditer(re.escape(inner), text)), inner
 
 
+def test_secrets_in_bytes_that_are_not_plain_text():
+    noise = "".join(hashlib.sha256(bytes([i])).hexdigest() for i in range(40)).upper()
+    wrapped = [base64.encodebytes(x).decode().rstrip() for x in (gzip.compress(f"{noise} {SECRET} {noise}".encode()), f"{'x ' * 24}{SECRET}".encode())]
+    whole = [f"\ufeff{SECRET}\u200b", f"a\xa0b {SECRET}\f", f"\x01\x02{SECRET}\xad"]
+    inner = [base64.b64encode(x.encode()).decode() for x in whole] + ["".join(f"%{b:02X}" for b in x.encode()) for x in whole]
+    inner += [base64.b64encode(x).decode() for x in (SECRET.encode("utf-16"), SECRET.encode("utf-16-be"), b"\xff\xfe\x80" + SECRET.encode() + b"\xff", b"x" + SECRET.encode("utf-16-le"))]
+    inner += [base64.b64encode(gzip.compress(b"first") + gzip.compress(SECRET.encode()) + b"\0\0").decode(), *wrapped, wrapped[0].replace("\n", "\r\n  ")]
+    for own in inner:
+        for before, after in (("see ", " end"), ("see\nalongwordofmanyletters\n", "\nnext")):
+            text = before + own + after
+            added = [s for s in secrets.scan(text) if s[0] == "assign" and not s[3]]
+            assert any(s[1] < len(before) + len(own) and s[2] > len(before) for s in added), (own, before)
+    text = "see " + wrapped[1]
+    assert len(wrapped[1].split("\n")) == 2 and ("assign", 4, len(text), False) in secrets.scan(text)
+
+
 def test_secret_cycles_end():
     import base64
 
