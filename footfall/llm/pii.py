@@ -4,14 +4,17 @@ The base finder has an exact pattern per kind.  Its spans on a bounded sample
 train a bidirectional LSTM with CRF transitions, in numpy; the model is small
 and goes to every task.  A text is read in overlapping windows.  Each window is
 decoded by itself; a span belongs to the window whose middle is nearest to it,
-and spans that still overlap are settled over the whole text, longest first.
+one that no window holds whole is put together from the pieces that consecutive
+windows cut, and spans that still overlap are settled over the whole text,
+longest first.
 
 Cards are told from other long numbers by a checksum, which a character model
 does not learn; there the base finder decides and the model adds next to nothing.
 
 Every kind needs a digit or an @ (an anchor), and a span without one is never
-accepted; so windows without an anchor are not decoded, which changes no
-result.
+accepted; so windows without an anchor are not decoded, but for those over the
+characters up to the next white space around an @, which may be pieces of an
+address.
 """
 
 from __future__ import annotations
@@ -105,6 +108,15 @@ def window_starts(text_codes: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate([k, k - (WIDTH // STRIDE - 1)]).clip(0)) * STRIDE
 
 
+def read_starts(text_codes: np.ndarray) -> np.ndarray:
+    """Starts of the windows to decode: those with an anchor, and all over the run without white space around an @."""
+    space = np.flatnonzero((text_codes == 1) | (text_codes == 96))
+    edges = np.concatenate([[-1], space, [len(text_codes)]])
+    right = np.unique(np.searchsorted(edges, np.flatnonzero(text_codes == 33)))
+    runs = [np.arange((edges[r - 1] + 1) // STRIDE, (edges[r] - 1) // STRIDE + 1) * STRIDE for r in right]
+    return np.unique(np.concatenate([window_starts(text_codes), *runs]))
+
+
 def windows(text_codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     padded = np.concatenate([text_codes, np.zeros(WIDTH, np.int64)])
     return padded[starts[:, None] + np.arange(WIDTH)]
@@ -264,8 +276,9 @@ def plausible(kind: str, text: str) -> bool:
 
 
 def window_spans(starts: np.ndarray, tags: np.ndarray, n: int) -> list[tuple[int, int, str]]:
-    """Spans of decoded windows, each from the window whose middle is nearest."""
+    """Spans of decoded windows, each from the window whose middle is nearest, or from pieces cut by consecutive windows."""
     out = []
+    cut: dict[tuple[int, int], int] = {}  # (start of a window, label): start of the span that goes on behind its end
     rows, cols = np.nonzero((tags > 0) & (tags % 2 == 1))
     for r, a in zip(rows.tolist(), cols.tolist()):
         b, tag = a + 1, int(tags[r, a])
@@ -276,6 +289,11 @@ def window_spans(starts: np.ndarray, tags: np.ndarray, n: int) -> list[tuple[int
         first, last = start == 0, start + WIDTH >= n
         if (first or middle >= STRIDE / 2) and (last or middle < WIDTH - STRIDE / 2):
             out.append((start + a, start + b, KINDS[tag // 2]))
+        begin = cut.get((start - STRIDE, tag)) if a == 0 else None
+        if b == WIDTH and not last:
+            cut[start, tag] = start + a if begin is None else begin
+        elif begin is not None:
+            out.append((begin, start + b, KINDS[tag // 2]))
     return out
 
 
@@ -301,7 +319,7 @@ def find(model: dict[str, np.ndarray], texts: list[str]) -> list[list[tuple[int,
     for i, t in enumerate(texts):
         if ANCHOR.search(t):
             c = codes(t)
-            starts = window_starts(c)
+            starts = read_starts(c)
             own.append((i, starts, len(c)))
             parts.append(windows(c, starts))
     tags = decode(model, np.concatenate(parts)) if parts else None

@@ -158,6 +158,19 @@ def test_windows_without_an_anchor_cannot_matter():
     assert all(s <= 200 < s + pii.WIDTH for s in starts) and {s for s in range(0, 400, pii.STRIDE) if s <= 200 < s + pii.WIDTH} == set(starts.tolist())
 
 
+@pytest.mark.parametrize("before", [0, 3, 20, 31, 40])
+def test_spans_longer_than_a_window(monkeypatch, before):
+    def decode(model, x):
+        inside = (x == 97) | (x == 33)
+        return np.where(inside, np.where(np.pad(inside, ((0, 0), (1, 0)))[:, :-1], 2, 1), 0)
+
+    monkeypatch.setattr(pii, "decode", decode)
+    for local in (5, 28, 33, 50, 70, 200):
+        address = "ñ" * local + "@" + "é" * 5
+        text = "x " * (before // 2) + " " * (before % 2) + address + " and so on " * 9
+        assert pii.find(None, [text]) == [[(before, before + len(address), "email", False)]], local
+
+
 def test_masking_keeps_columns_and_nulls(spark):
     rows = spark.createDataFrame([(1, "to a.b@c.de now", "en", 15), (2, None, None, None), (None, "", "fr", 0), (1, "clean text", "en", 10)], "doc_id long, text string, lang string, n_chars long")
     out = sorted(pii.mask_personal_data(rows).collect(), key=str)
