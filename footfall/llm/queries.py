@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from footfall.llm import chat_format, decontaminate, minhash, packing, pii, quality_crf, quality_rules, secrets, token_count, warc
+from footfall.llm import chat_format, decontaminate, exact_dedup, hard_negatives, minhash, packing, pii, quality_crf, quality_rules, secrets, token_count, warc, whitening
 from footfall.llm.common import span_report, table
 
 
@@ -66,6 +66,19 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 50 == 0)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -139,6 +152,31 @@ SELECT page_id, strlen(h)::BIGINT AS payload_bytes, b32 AS payload_digest, CASE
 FROM d
 """
 
+OP12_SQL = """
+SELECT doc_id, first_value(doc_id) OVER g AS keep_id, count(*) OVER (PARTITION BY coalesce(text, '')) AS group_size,
+  row_number() OVER g = 1 AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW g AS (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST)
+"""
+
+OP13_SQL = """
+WITH r AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda c: floor(256 * c::DOUBLE)) AS x
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_dot_product(a.x, b.x)::BIGINT AS score
+  FROM r a JOIN r b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id
+), p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT anchor_id, positive_id, row_number() OVER w::INTEGER AS rank, s.vec_id AS negative_id, positive_score, s.score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.vec_id)
+QUALIFY row_number() OVER w <= 3
+"""
+
 QUERIES = {
     "op1_minhash_dedup": (op1_minhash_dedup, OP1_SQL),
     "op2_chat_format": (op2_chat_format, OP2_SQL),
@@ -150,5 +188,8 @@ QUERIES = {
     "op8_quality_crf": (op8_quality_crf, None),
     "op9_secrets": (op9_secrets, None),
     "op10_warc": (op10_warc, OP10_SQL),
+    "op11_whitening": (op11_whitening, None),
+    "op12_exact_dedup": (op12_exact_dedup, OP12_SQL),
+    "op13_hard_negatives": (op13_hard_negatives, OP13_SQL),
     "pipeline": (pipeline, None),
 }
