@@ -75,10 +75,10 @@ def check_whitening(got, rows, components=16):
     assert Counter((r.vec_id, r.component) for r in got) == Counter((i, c) for i, _ in rows for c in range(1, k + 1))
     by = defaultdict(list)
     for r in got:
-        by[r.vec_id, r.component].append(r)
+        by[r.vec_id, r.deviation, r.component].append(r)  # a repeated id's rows are told apart by their vector
     assert {r.n for r in got} == {n} and max(r.identity_error for r in got) <= 1e-9 and len({r.identity_error for r in got}) == 1
     for c in range(1, k + 1):
-        own = np.array([by[i, c].pop().whitened for i, _ in rows])
+        own = np.array([by[i, sum(v * v for v in dev[x]), c].pop().whitened for i, x in rows])
         want = np.array([[v / n for v in dev[x]] for _, x in rows]) @ axes[:, c - 1] / np.sqrt(values[c - 1])
         assert min(np.abs(own - want).max(), np.abs(own + want).max()) < 1e-7
     share = {r.component: r.explained for r in got}
