@@ -1,9 +1,11 @@
 """Chat formatting of typed content parts, in native expressions only.
 
 A turn holds a list of typed parts (text, image, audio, document).  The
-visitor flattens them in order: text is escaped, any other part becomes a
-placeholder that its type names, and its reference and expanded token count go
-to the conversation's attachment list in the same order.  Turns are written as
+visitor flattens them in order: neighbouring text parts are joined and escaped
+as one text, any other part becomes the placeholder of its type (an unknown
+type that of ``other``, so no name out of the data is written between control
+marks), and its type, reference and expanded token count go to the
+conversation's attachment list in the same order.  Turns are written as
 
     <|turn|>ROLE<|says|>BODY<|end|>
 
@@ -40,13 +42,35 @@ def unescaped(text: Column) -> Column:
     return F.regexp_replace(text, ESCAPED, "$1$2$3")
 
 
+#: A part of any type that UNIT_TOKENS does not list.
+OTHER = "other"
+PLACEHOLDER = r"<\|(" + "|".join([*UNIT_TOKENS, OTHER]) + r")\|>"
+
+
 def placeholder(kind: Column) -> Column:
-    return F.concat(F.lit("<|"), kind, F.lit("|>"))
+    return F.concat(F.lit("<|"), F.when(kind.isin(*UNIT_TOKENS), kind).otherwise(F.lit(OTHER)), F.lit("|>"))
 
 
 def part_tokens(part: Column) -> Column:
+    """Units (null: 1, negative: 0) times the tokens of a unit (unknown types: 1)."""
     per = F.create_map(*[F.lit(x) for kv in UNIT_TOKENS.items() for x in kv])
-    return F.coalesce(part["units"], F.lit(1)) * F.coalesce(per[part["type"]], F.lit(1))
+    return F.greatest(F.coalesce(part["units"], F.lit(1)), F.lit(0)) * F.coalesce(per[part["type"]], F.lit(1))
+
+
+def is_text(part: Column) -> Column:
+    return F.coalesce(part["type"], F.lit("text")) == "text"
+
+
+def written_body(parts: Column) -> Column:
+    """Parts as one string.  A run of text parts is escaped as a whole: a control string may lie across its parts."""
+
+    def step(s, p):
+        run = F.when(is_text(p), F.concat(s["run"], F.coalesce(p["text"], F.lit("")))).otherwise(F.lit(""))
+        done = F.when(is_text(p), s["done"]).otherwise(F.concat(s["done"], escaped(s["run"]), placeholder(p["type"])))
+        return F.struct(done.alias("done"), run.alias("run"))
+
+    many = F.aggregate(parts, F.struct(F.lit("").alias("done"), F.lit("").alias("run")), step, lambda s: F.concat(s["done"], escaped(s["run"])))
+    return F.when((F.size(parts) == 1) & is_text(parts[0]), escaped(parts[0]["text"])).otherwise(many)
 
 
 def format_conversations(turns: DataFrame) -> DataFrame:
@@ -55,13 +79,13 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     Returns conv_id, n_turns, formatted, loss_spans (array of start, end) and
     attachments (array of position, type, ref, tokens; positions from 0 in
     order of the placeholders).  Turns go by turn, then role, then body, nulls
-    first; a null role, part list or text counts as empty.  Rows with a null
-    conv_id form one conversation.  Repeated rows are turns of their own;
-    other columns are ignored.
+    first; a null role, part list or text counts as empty, a null type as
+    text, a null part is left out.  Rows with a null conv_id form one
+    conversation.  Repeated rows are turns of their own; other columns are
+    ignored; an empty table gives no rows.
     """
-    is_text = lambda p: F.coalesce(p["type"], F.lit("text")) == "text"
-    parts = F.coalesce(F.col("parts"), F.array().cast(PARTS))
-    body = F.array_join(F.transform(parts, lambda p: F.when(is_text(p), escaped(p["text"])).otherwise(placeholder(p["type"]))), "")
+    parts = F.filter(F.coalesce(F.col("parts"), F.array().cast(PARTS)), lambda p: p.isNotNull())
+    body = written_body(parts)
     held = F.transform(F.filter(parts, lambda p: ~is_text(p)), lambda p: F.struct(p["type"].alias("type"), p["ref"].alias("ref"), part_tokens(p).alias("tokens")))
     rows = turns.select("conv_id", F.col("turn").cast("long"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), body.alias("body"), held.alias("held"))
     per = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "body", "held"))).alias("turns"))
@@ -88,13 +112,17 @@ def format_conversations(turns: DataFrame) -> DataFrame:
 def read_back(formatted: DataFrame) -> DataFrame:
     """Roles and texts of formatted conversations, and the text under the loss mask, unescaped.
 
-    Adds roles, texts (arrays, by turn) and loss_texts (array, by span).
-    Placeholders stay in the texts as they are.
+    Adds roles, texts (arrays, by turn), pieces (by turn: the texts around its
+    placeholders, and the kinds of these in order) and loss_texts (array, by
+    span).  Placeholders stay in ``texts`` as they are; a text that looks like
+    one is told apart in ``pieces``.
     """
     pattern = r"(?s)<\|turn\|>(.*?)<\|says\|>(.*?)<\|end\|>"
     part = lambda i: F.transform(F.regexp_extract_all("formatted", F.lit(pattern), F.lit(i)), unescaped)
     masked = F.transform("loss_spans", lambda s: unescaped(F.substring(F.col("formatted"), (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))))
-    return formatted.select("*", part(1).alias("roles"), part(2).alias("texts"), masked.alias("loss_texts"))
+    bodies = F.regexp_extract_all("formatted", F.lit(pattern), F.lit(2))
+    pieces = F.transform(bodies, lambda b: F.struct(F.transform(F.split(b, PLACEHOLDER, -1), unescaped).alias("texts"), F.regexp_extract_all(b, F.lit(PLACEHOLDER), F.lit(1)).alias("kinds")))
+    return formatted.select("*", part(1).alias("roles"), part(2).alias("texts"), pieces.alias("pieces"), masked.alias("loss_texts"))
 
 
 def text_parts(text: Column) -> Column:

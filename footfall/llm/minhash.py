@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from footfall.llm.common import materialize, row_groups, utf8_column
@@ -35,11 +35,12 @@ BINS = BANDS * ROWS
 SHINGLE_WORDS = 5
 LINK_PERCENT = 85
 BATCH_BYTES = 1 << 20
-#: Shingles of a block of a candidate component; candidates up to this many are sent to every task.
-BLOCK_SHINGLES = 65_536
+#: Shingles and sets of a block of a candidate component (a task compares two blocks, its matrices have a cell for each
+#: pair of sets); candidates up to SEND_IDS are sent to every task.
+BLOCK_SHINGLES, BLOCK_SETS = 65_536, 1_500
 SEND_IDS = 1_000_000
 
-FEATURES = "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>"
+FEATURES = "doc_id long, text_key long, n_shingles long, k1 long, k2 long, bands array<long>"
 _U = np.uint64
 
 
@@ -74,14 +75,14 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 
 
 def _sets(batch, k: int):
-    """For row groups of an Arrow batch (id, text): ids, and the sets as (row, hash) sorted."""
-    data, offsets = utf8_column(batch.column(1))
+    """For row groups of an Arrow batch (..., text): the other columns, and the sets as (row, hash) sorted."""
+    data, offsets = utf8_column(batch.column(batch.num_columns - 1))
     for a, b in row_groups(np.diff(offsets), BATCH_BYTES):
         starts, ends = word_bounds(data, offsets[a : b + 1])
         hashes = word_hashes(data, starts, ends)
         text_of = np.searchsorted(offsets[a : b + 1], starts, side="right") - 1
         counts = np.bincount(text_of, minlength=b - a)
-        yield batch.column(0).slice(a, b - a), b - a, *shingles(hashes, text_of, counts, k)
+        yield [c.slice(a, b - a) for c in batch.columns[:-1]], b - a, *shingles(hashes, text_of, counts, k)
 
 
 def set_keys(owner: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
@@ -103,7 +104,7 @@ def _features(batches):
             keys = set_keys(owner, value, n)
             bands = band_keys(signatures(owner, value, n)).view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), pa.array(bands.ravel()))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes.astype(np.int64)), pa.array(keys[0].view(np.int64)), pa.array(keys[1].view(np.int64)), lists], names)
+            yield pa.RecordBatch.from_arrays([*ids, pa.array(sizes.astype(np.int64)), pa.array(keys[0].view(np.int64)), pa.array(keys[1].view(np.int64)), lists], names)
 
 
 def _set_rows(batches):
@@ -111,7 +112,7 @@ def _set_rows(batches):
         for ids, n, owner, value in _sets(batch, SHINGLE_WORDS):
             cuts = np.searchsorted(owner, np.arange(n + 1)).astype(np.int32)
             keys = set_keys(owner, value, n).view(np.int64)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(keys[0]), pa.array(keys[1]), pa.ListArray.from_arrays(pa.array(cuts), pa.array(value.view(np.int64)))], ["id", "k1", "k2", "hashes"])
+            yield pa.RecordBatch.from_arrays([*ids, pa.array(keys[0]), pa.array(keys[1]), pa.ListArray.from_arrays(pa.array(cuts), pa.array(value.view(np.int64)))], ["id", "k1", "k2", "hashes"])
 
 
 def spanning_links(ids: np.ndarray, side: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -142,17 +143,18 @@ def spanning_links(ids: np.ndarray, side: np.ndarray, sets: list[np.ndarray], pe
     linked = 100 * common >= percent * (sizes[:, None] + sizes[None, :] - common)
     if side.any() and not side.all():
         linked &= side[:, None] != side[None, :]
-    out, root = [], np.arange(n)
-    for i in range(n):
-        for j in np.flatnonzero(linked[i, :i]):
-            a, b = i, int(j)
-            while root[a] != a:
-                root[a] = a = root[root[a]]
-            while root[b] != b:
-                root[b] = b = root[root[b]]
-            if a != b:
-                root[max(a, b)] = min(a, b)
-                out.append((int(ids[i]), int(ids[j])))
+    # Breadth first: every set is expanded once and takes those not seen so far.
+    out, seen = [], np.zeros(n, bool)
+    for root in range(n):
+        if seen[root]:
+            continue
+        seen[root], front = True, [root]
+        while front:
+            i = front.pop()
+            new = np.flatnonzero(linked[i] & ~seen)
+            seen[new] = True
+            front += new.tolist()
+            out += [(int(ids[i]), int(j)) for j in ids[new]]
     return out
 
 
@@ -170,48 +172,81 @@ def _confirm(percent: int):
     return run
 
 
-def near_duplicate_groups(docs: DataFrame, percent: int = LINK_PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text).
+def _grouped(docs: DataFrame, percent: int) -> DataFrame:
+    """doc_id, text_key, n_shingles, set_no, component_id, kept of every row; set_no names the group (null: linked with nothing).
 
-    Documents are linked when 100 * common shingles >= percent * all shingles
-    of the two.  A null text or one without words has no shingles and is linked with nothing.
-    A row with a null doc_id is linked with nothing, has a null component and
-    is kept.  Rows that repeat a doc_id share its component.  Other columns are ignored.
+    ``docs``: doc_id, text_key, text.  The nodes are sets, numbered as they are
+    written, not ids: rows that share an id but not a text are apart.
     """
-    spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     features = materialize(docs.mapInArrow(_features, FEATURES), "minhash-features")
     there = features.filter("n_shingles > 0 and doc_id is not null")
     # Equal sets have equal bands, so any of them will do.
-    groups = materialize(there.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "minhash-sets")
-    members = groups.select("rep", F.posexplode("bands").alias("band", "key"))
-    buckets = members.groupBy("band", "key").agg(F.min("rep").alias("center"), F.count("*").alias("n")).filter("n > 1")
-    stars = members.join(buckets, ["band", "key"]).filter("rep <> center").select(F.col("rep").alias("a"), F.col("center").alias("b"))
+    groups = there.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
+    groups = materialize(groups.withColumn("set_no", F.monotonically_increasing_id()), "minhash-sets")
+    members = groups.select("set_no", F.posexplode("bands").alias("band", "key"))
+    buckets = members.groupBy("band", "key").agg(F.min("set_no").alias("center"), F.count("*").alias("n")).filter("n > 1")
+    stars = members.join(buckets, ["band", "key"]).filter("set_no <> center").select(F.col("set_no").alias("a"), F.col("center").alias("b"))
     candidates = materialize(components(stars), "minhash-candidates").withColumnRenamed("component", "grp")
 
-    # Full sets of the candidates, in blocks of their component.
-    sized = candidates.join(groups.select(F.col("rep").alias("id"), "k1", "k2", F.col("n_shingles").alias("size")), "id")
-    shares = sized.groupBy("grp").agg(F.ceil(F.sum("size") / BLOCK_SHINGLES).cast("int").alias("blocks"))
-    wanted = materialize(sized.join(shares, "grp").select("id", "k1", "k2", "grp", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks").cast("long")).cast("int").alias("block")), "minhash-blocks")
-    ids = wanted.select(F.col("id").alias("doc_id"))
+    # Full sets of the candidates, in blocks of their component; the text of one row of each set will do.
+    sized = candidates.join(groups.select(F.col("set_no").alias("id"), F.col("rep").alias("doc_id"), "k1", "k2", F.col("n_shingles").alias("size")), "id")
+    shares = sized.groupBy("grp").agg(F.greatest(F.ceil(F.sum("size") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_SETS)).cast("int").alias("blocks"))
+    wanted = sized.join(shares, "grp").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks").cast("long")).cast("int"))
+    wanted = materialize(wanted.select("id", "doc_id", "k1", "k2", "grp", "blocks", "block"), "minhash-blocks")
+    ids = wanted.select("doc_id").distinct()
     ids = F.broadcast(ids) if wanted.count() <= SEND_IDS else ids
-    texts = docs.join(ids, "doc_id", "left_semi")
-    # By id and set: another row of the same id may hold another text.
-    sets = texts.mapInArrow(_set_rows, "id long, k1 long, k2 long, hashes array<long>").join(wanted, ["id", "k1", "k2"])
+    texts = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
+    # By id and set: another row of the same id may hold another text; repeated rows hold the set once more.
+    sets = texts.mapInArrow(_set_rows, "doc_id long, k1 long, k2 long, hashes array<long>").join(wanted, ["doc_id", "k1", "k2"])
     others = F.sequence(F.lit(0), F.col("blocks") - 1)
     pairs = sets.withColumn("other", F.explode(others)).select(
         "grp", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "id", "hashes")
     links = pairs.groupBy("grp", "lo", "hi").applyInArrow(_confirm(percent), "a long, b long")
-    found = components(links)
+    found = components(links).withColumnRenamed("id", "set_no")
 
-    named = groups.select("k1", "k2", "n_shingles", "rep").join(found.withColumnRenamed("id", "rep"), "rep", "left")
-    named = named.select("k1", "k2", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
-    linked = there.drop("bands").join(named, ["k1", "k2", "n_shingles"]).select("doc_id", "n_shingles", "component_id")
-    alone = features.filter("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    named = materialize(groups.select("k1", "k2", "n_shingles", "rep", "set_no").join(found, "set_no", "left").withColumn("set_no", F.coalesce("component", "set_no")), "minhash-named")
+    least = named.groupBy("set_no").agg(F.min("rep").alias("component_id"))
+    named = named.join(least, "set_no").select("k1", "k2", "n_shingles", "set_no", "component_id")
+    linked = there.drop("bands").join(named, ["k1", "k2", "n_shingles"]).select("doc_id", "text_key", "n_shingles", "set_no", "component_id")
+    alone = features.filter("n_shingles = 0 or doc_id is null").select("doc_id", "text_key", "n_shingles", F.lit(None).cast("long").alias("set_no"), F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def _text_key(text) -> Column:
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
+def near_duplicate_groups(docs: DataFrame, percent: int = LINK_PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text).
+
+    Documents are linked when 100 * common shingles >= percent * all shingles
+    of the two.  A null text or one without words has no shingles and is linked with nothing.
+    A row with a null doc_id is linked with nothing, has a null component and
+    is kept.  Rows that share a doc_id are documents of their own, linked by
+    their texts only.  Other columns are ignored; an empty table gives no rows.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(0).cast("long").alias("text_key"), F.col("text").cast("string").alias("text"))
+    return _grouped(rows, percent).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def keep_one_of_each(docs: DataFrame, percent: int = LINK_PERCENT) -> DataFrame:
-    """``docs`` (all columns) without the documents that a kept document stands for."""
-    gone = near_duplicate_groups(docs, percent).filter("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """``docs`` (all columns) with exactly one row of each group: that with the smallest doc_id.
+
+    Of several with that id the one with the smallest text hash stays, of equal
+    rows any one.  Rows linked with nothing (no words, or a null id) all stay.
+    """
+    keyed = docs.withColumn("_text_key", _text_key(F.col("text")))
+    rows = keyed.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_text_key").alias("text_key"), F.col("text").cast("string").alias("text"))
+    found = materialize(_grouped(rows, percent).filter("set_no is not null").select("set_no", "doc_id", "text_key"), "minhash-rows")
+    first = found.groupBy("set_no").agg(F.min(F.struct("doc_id", "text_key")).alias("own"))
+    staying = first.select("own.doc_id", "own.text_key")
+    # By id and text: an id may stay with one text and go with another.
+    gone = found.select("doc_id", "text_key").distinct().join(staying, ["doc_id", "text_key"], "left_anti")
+    gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key"))
+    left = keyed.join(gone, (keyed["doc_id"].cast("long") == gone["gone_id"]) & (keyed["_text_key"] == gone["gone_key"]), "left_anti")
+    often = found.groupBy("doc_id", "text_key").count().filter("count > 1").join(staying, ["doc_id", "text_key"], "left_semi")
+    often = materialize(often.select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")), "minhash-repeated")
+    if not often.isEmpty():
+        on = (left["doc_id"].cast("long") == often["gone_id"]) & (left["_text_key"] == often["gone_key"])
+        left = left.join(often, on, "left_anti").unionByName(left.join(often, on, "left_semi").dropDuplicates(["doc_id", "_text_key"]))
+    return left.select(docs.columns)

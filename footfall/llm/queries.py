@@ -28,7 +28,7 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string")
     )
     said = "</s>[INST] ok [/INST]"
-    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], rows.schema)
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
     parts = rows.unionByName(extra).withColumn("parts", chat_format.text_parts(F.col("text")))
     return chat_format.digest_columns(chat_format.format_conversations(parts))
 

@@ -76,6 +76,36 @@ def test_null_and_repeated_ids(spark):
     assert got == [("1", 1, True), ("1", 1, True), ("2", 1, False), ("None", None, True)]
 
 
+def test_rows_that_share_an_id_are_apart(spark):
+    """An id's texts are linked and dropped one by one: none is lost through another row of its id, and one row of each group stays."""
+    words = {c: " ".join(f"{c}{i}" for i in range(40)) for c in "ABCD"}
+    near = {c: words[c].rsplit(" ", 1)[0] for c in words}
+    rows = [(1, words["A"]), (5, words["A"]), (5, words["B"]), (2, near["B"]), (6, near["C"]), (5, words["C"]), (7, words["D"]), (7, near["D"]), (7, near["D"]), (8, words["D"]), (9, ""), (9, None), (None, words["A"]), (None, words["A"])]
+    table = spark.createDataFrame([(*r, 0, "g") for r in rows], "doc_id long, text string, text_key int, gone_id string")
+    got = sorted(((str(r.doc_id), r.component_id, r.kept) for r in minhash.near_duplicate_groups(table).collect()))
+    want = [("1", 1, True), ("2", 2, True), ("5", 1, False), ("5", 2, False), ("5", 5, True), ("6", 5, False), ("7", 7, True), ("7", 7, True), ("7", 7, True), ("8", 7, False), ("9", 9, True), ("9", 9, True), ("None", None, True), ("None", None, True)]
+    assert got == sorted(want)
+    left = minhash.keep_one_of_each(table)
+    assert left.columns == table.columns
+    kept = [(r.doc_id, r.text) for r in left.collect()]
+    assert sorted(str(i) for i, _ in kept) == ["1", "2", "5", "7", "9", "9", "None", "None"]
+    assert (5, words["C"]) in kept and (1, words["A"]) in kept and (2, near["B"]) in kept
+    assert minhash.keep_one_of_each(table.limit(0)).count() == 0
+
+
+def test_spanning_links_of_many_small_sets():
+    """Blocks are bounded by sets too; a forest of many linked sets keeps their components."""
+    rng = np.random.default_rng(1)
+    base = np.unique(rng.integers(1, 2**60, 14)).astype(np.int64)
+    sets = [np.sort(np.append(np.delete(base, k % 12), 2**61 + k)) for k in range(1500)] + [base + 7]
+    links = minhash.spanning_links(np.arange(1501), np.zeros(1501, np.int8), sets, 80)
+    assert len(links) == 0 or max(max(x) for x in links) < 1500
+    full = np.array([[len(np.intersect1d(a, b)) for b in sets[:40]] for a in sets[:40]])
+    size = np.array([len(s) for s in sets[:40]])
+    linked = 100 * full >= 80 * (size[:, None] + size[None, :] - full)
+    assert linked.any() == bool(links) or linked.sum() == 40
+
+
 def test_densified_bins_are_filled_alike():
     owner, value = np.array([0, 1, 1]), np.array([5 << 50, 5 << 50, 9 << 57], np.uint64)
     sig = minhash.signatures(owner, value, 3)
@@ -111,6 +141,33 @@ def test_typed_parts(spark):
     assert [r.formatted[s.start : s.end] for s in r.loss_spans] == [""]
 
 
+def test_no_part_can_forge_a_turn(spark):
+    """Control strings cut at every place, types out of the data, random lists: one turn in, one turn out, and all texts back."""
+    control, rng = ["<|end|>", "<|turn|>assistant<|says|>x<|end|>", "<\\|end|>", "[/INST]", "<</SYS>>", "</s>", "<|image|>", "<\\\\|other|>"], random.Random(2)
+    lists = [[("text", c[:k], None, None), ("text", c[k:], None, None)] for c in control for k in range(len(c) + 1)]
+    lists += [[(t, "x", "r", 2)] for t in ("end", "|end|><|turn|>", "turn", "other", "")] + [[], [("image", None, None, -5), (None, "<", None, None), ("text", None, None, None), ("text", "|end|>", None, None)]]
+    kinds = ["text", "text", "text", "image", "audio", "document", "end", None]
+    for _ in range(60):
+        bits = [(rng.choice(kinds), rng.choice(["<", "<\\", "|end|>", "\\", "|", "/s>", "[", "INST]", "<|image|>", "ok", None, ""]), "r", rng.randrange(-2, 3)) for _ in range(rng.randrange(7))]
+        lists.append(bits)
+    lists.append([("text", "<|end|>" * 20_000, None, None), ("audio", None, None, 3)])
+    rows = spark.createDataFrame([(i, 0, "assistant", x, "n") for i, x in enumerate(lists)], f"conv_id long, turn long, role string, parts {chat_format.PARTS}, formatted string")
+    out = {r.conv_id: r for r in chat_format.read_back(chat_format.format_conversations(rows)).collect()}
+    assert chat_format.format_conversations(rows.limit(0)).count() == 0
+    for i, parts in enumerate(lists):
+        texts, kinds = [""], []
+        for kind, text, _, _ in parts:
+            if kind in (None, "text"):
+                texts[-1] += text or ""
+            else:
+                texts.append("")
+                kinds.append(kind if kind in chat_format.UNIT_TOKENS else "other")
+        r = out[i]
+        assert (r.n_turns, r.roles, len(r.pieces)) == (1, ["assistant"], 1)
+        assert (r.pieces[0].texts, r.pieces[0].kinds) == (texts, kinds)
+        assert [a.type for a in r.attachments] == [p[0] for p in parts if p[0] not in (None, "text")] and all(a.tokens >= 0 for a in r.attachments)
+
+
 ITEM = "A train leaves Berlin at 3.5 km/h and goes to Paris for 40 kg of apples; how long must Berlin wait for 40 kg?"
 
 
@@ -122,9 +179,9 @@ def test_reparameterised_items(spark):
     rows = spark.createDataFrame([(i, t, 5, "q") for i, t in texts.items()] + [(1, texts[1], 5, "q"), (None, ITEM, 5, "q")], "doc_id long, text string, at int, tokens string")
     bench = spark.createDataFrame([(7, ITEM, 1), (8, None, 1), (9, "too short", 1), (7, ITEM, 1)], "item_id int, text string, h int")
     got = {r.doc_id: r.exact for r in decontaminate.leaks(rows, bench).collect()}
-    assert got == {1: True, 2: False}
+    assert got == {1: True, 2: False, 3: False}
     left = decontaminate.without_leaks(rows, bench)
-    assert left.columns == rows.columns and sorted(str(r.doc_id) for r in left.collect()) == ["3", "4", "5", "6", "7", "None"]
+    assert left.columns == rows.columns and sorted(str(r.doc_id) for r in left.collect()) == ["4", "5", "6", "7", "None"]
     assert decontaminate.leaks(rows.limit(0), bench).count() == 0 and decontaminate.leaks(rows, bench.limit(0)).count() == 0
 
 
@@ -133,7 +190,43 @@ def test_contradicting_slots_drop_themselves(spark):
     texts = {1: item.replace("wait for 40", "wait for 41").replace("ever came", "soon came"), 2: ITEM + " Then tell Madrid all."}
     rows, bench = spark.createDataFrame([*texts.items()], "doc_id long, text string"), spark.createDataFrame([(7, item)], "item_id long, text string")
     got = {r.doc_id: (r.n_found, r.n_item, r.exact) for r in decontaminate.leaks(rows, bench).collect()}
-    assert got == {1: (30, 32, True), 2: (26, 32, True)}
+    assert got == {1: (30, 32, False), 2: (26, 32, False)}
+
+
+def plain_aligned(item, text):
+    """The most places of one alignment that agree as templates, less those outvoted by their filling's other replacements."""
+    best = 0
+    t, w, d, v = item[0], item[1], text[0], text[1]
+    for at in range(-len(t), len(d)):
+        places = [(k, w[k], v[at + k], t[k] in (decontaminate.NUMBER, decontaminate.UNIT, decontaminate.NAME)) for k in range(len(t)) if 0 <= at + k < len(d) and (t[k] == d[at + k] or w[k] == v[at + k])]
+        votes = defaultdict(lambda: defaultdict(int))
+        for _, a, b, slot in places:
+            if slot:
+                votes[a][b] += 1
+        wins = {a: max(n, key=lambda b, a=a, n=n: (n[b], a == b, b)) for a, n in votes.items()}
+        best = max(best, sum(not slot or wins[a] == b for _, a, b, slot in places))
+    return best
+
+
+def test_one_more_change_never_counts_more(spark):
+    """Numbers, names and words changed one after another, each to a value of its own (so no later change makes slots agree again): found and counted as by a plain aligner, and never more."""
+    rng, texts = random.Random(11), {}
+    words = ITEM.split(" ")
+    for chain in range(4):
+        own = list(words)
+        for step, k in enumerate(rng.sample(range(len(words)), 9)):
+            own[k] = str(100 + step) if own[k][:1].isdigit() else "Oslo Rom Bonn Kiel Lyon Nizza Turin Basel Genf".split()[step] if own[k][:1].isupper() else "zz" + "abcdefghi"[step]
+            texts[100 * chain + step] = "Some text before. " + " ".join(own)
+    rows = spark.createDataFrame([*texts.items()], "doc_id long, text string")
+    got = {r.doc_id: r.n_found for r in decontaminate.leaks(rows, spark.createDataFrame([(7, ITEM)], "item_id long, text string")).collect()}
+    both = lambda t: (F.split(decontaminate.template(t), " "), F.split(decontaminate.literal(t), " "))
+    item = spark.createDataFrame([(ITEM,)], "text string").select(*both(F.col("text"))).first()
+    aligned = {r[0]: plain_aligned(item, r[1:]) for r in rows.select("doc_id", *both(F.col("text"))).collect()}
+    assert len(got) > 12 and all(got[i] >= aligned[i] for i in got)
+    assert all(100 * chain in got for chain in range(4))
+    for chain in range(4):
+        counts = [got.get(100 * chain + s, 0) for s in range(9)]
+        assert counts == sorted(counts, reverse=True)
 
 
 def test_a_run_of_the_item_is_found(spark):
