@@ -168,8 +168,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     which the document holds MIN_COVER_PERCENT of the template tokens or more,
     in order, with consistent slots, or MIN_RUN consecutive ones.  A slot that
     contradicts the others is not counted and drops nothing else, so a text with
-    one more change never counts more.  ``exact`` says that every slot that
-    fits is filled as in the item, the contradicting ones too, upper and lower case being one.  Null or empty texts and rows with a null id give
+    one more change never counts more.  ``exact`` says that every place that
+    counts is filled as in the item, upper and lower case being one; a copy of the whole template with a
+    contradicting slot is not exact, unless another copy in the document is.  Null or empty texts and rows with a null id give
     nothing; repeated rows count once; an item of fewer than MIN_ITEM_TOKENS
     tokens is found where all of it stands, filled as it is.  Other columns are
     ignored.
@@ -193,12 +194,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     laid = laid.withColumn("pairs", _pairs(F.col("places"))).withColumn("fits", F.array_distinct("pairs")).withColumn("clash", _clash(F.col("fits")))
     laid = laid.withColumn("lost", _contradicting()).withColumn("run", _has_run())
 
-    found = laid.select("doc_id", "item_id", "n_item", "run", "lost", F.explode("places").alias("p"))
+    altered = F.col("clash") & (F.size("places") == F.col("n_item"))
+    found = laid.select("doc_id", "item_id", "n_item", "run", "lost", altered.alias("altered"), F.explode("places").alias("p"))
     holds = ~(F.col("p.slot") & F.array_contains("lost", F.struct(F.col("p.a").alias("a"), F.col("p.b").alias("b"))))
-    found = found.select("doc_id", "item_id", "n_item", "run", F.col("p.k").alias("k"), F.when(holds, F.col("p.k")).alias("held"), F.when(F.expr("p.a = p.b"), F.col("p.k")).alias("own"))
+    found = found.select("doc_id", "item_id", "n_item", "run", "altered", F.col("p.k").alias("k"), F.when(holds, F.col("p.k")).alias("held"), F.when(F.expr("p.a = p.b"), F.col("p.k")).alias("own"))
     # One row per place, then plain counts.
-    found = found.groupBy("doc_id", "item_id", "n_item", "k").agg(F.max("held").alias("held"), F.max("own").alias("own"), F.max("run").alias("run"))
-    found = found.groupBy("doc_id", "item_id", "n_item").agg(F.count("held").alias("n_found"), (F.count("own") == F.count("*")).alias("exact"), F.max("run").alias("run"))
+    found = found.groupBy("doc_id", "item_id", "n_item", "k").agg(F.max("held").alias("held"), F.max(F.when(F.col("held").isNotNull(), F.col("own"))).alias("own"), F.max("run").alias("run"), F.max("altered").alias("altered"))
+    as_it_stands = (F.count("own") == F.count("held")) & (~F.max("altered") | (F.count("own") == F.col("n_item")))
+    found = found.groupBy("doc_id", "item_id", "n_item").agg(F.count("held").alias("n_found"), as_it_stands.alias("exact"), F.max("run").alias("run"))
     found = found.filter(F.col("run") | (F.col("n_found") * 100 >= F.col("n_item") * MIN_COVER_PERCENT))
     found = found.select("doc_id", "item_id", "n_found", F.col("n_item").cast("long"), "exact")
     lengths = [r[0] for r in short.select(F.size("tokens")).distinct().collect()]
