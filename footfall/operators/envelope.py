@@ -55,7 +55,11 @@ def normalize_envelope(raw: DataFrame) -> DataFrame:
     * timestamps: ISO text or epoch seconds; Android sends local wall-clock
       time with a literal ``Z`` — kept as is and flagged ``ts_suspect``
       (see :func:`fix_device_clock`).
+    * ``ingest_ts`` is the ``received_at`` that came with the batch (null
+      where the rows have none); the clock of the run is never read, so
+      running again gives equal rows.
     """
+    received = F.col("received_at") if "received_at" in raw.columns else F.lit(None).cast("timestamp")
     ctx = F.coalesce(F.col("context"), F.create_map().cast("map<string,string>"))
     g, gc = F.col("geo"), F.col("geo_context")
     lat = F.coalesce(g["lat"], g["latitude"], gc["latitude"], gc["lat"]).try_cast("double")
@@ -70,7 +74,7 @@ def normalize_envelope(raw: DataFrame) -> DataFrame:
         F.col("event_type"),
         entity_id_expr(ctx, F.col("entity_id")).alias("entity_id"),
         _parse_ts(F.col("timestamp")).alias("ts"),
-        F.current_timestamp().alias("ingest_ts"),
+        received.alias("ingest_ts"),
         F.coalesce(truthy_str(F.col("uuid")), truthy_str(F.col("anon_user_id"))).alias("uuid"),
         F.col("session_id"),
         F.col("client_id"),

@@ -76,13 +76,62 @@ def q_export_batches(spark, sf_dir):
 
 def parsed_raw(spark, sf_dir):
     """S1 over the exported bodies: parse, explode, batch keys fill in."""
-    text = upload_text(spark, sf_dir).select(F.col("payload").alias("value"))
-    parsed = text.select(F.from_json("value", "struct<client_id:string,events:array<struct<raw:"
-                                     + RAW_EVENT.simpleString() + ">>>").alias("b"))
-    body = parsed.select(F.to_json(F.struct(F.col("b.client_id").alias("client_id"),
+    return UP.parse_upload_batches(upload_bodies(spark, sf_dir), "value")
+
+
+def upload_bodies(spark, sf_dir):
+    """Upload bodies as collectors get them, the n-th of a queue received n minutes after the epoch of the tables."""
+    text = upload_text(spark, sf_dir).select(F.col("payload").alias("value"), "batch_no")
+    parsed = text.select("batch_no", F.from_json("value", "struct<client_id:string,events:array<struct<raw:"
+                                                 + RAW_EVENT.simpleString() + ">>>").alias("b"))
+    return parsed.select(F.to_json(F.struct(F.col("b.client_id").alias("client_id"),
                                             F.transform("b.events", lambda x: x["raw"]).alias("events")))
-                         .alias("value"))
-    return UP.parse_upload_batches(body, "value")
+                         .alias("value"),
+                         F.timestamp_micros(F.lit(fx.EPOCH_2024_US) + F.col("batch_no") * 60_000_000).alias("received_at"))
+
+
+def upload_lines(spark, sf_dir):
+    """Upload bodies and, for every batch, one line cut short or one without events."""
+    good = upload_bodies(spark, sf_dir).select("value")
+    cut = good.select(F.when(F.pmod(F.xxhash64("value"), F.lit(2)) == 0, F.substr("value", F.lit(1), F.lit(40)))
+                      .otherwise(F.lit('{"client_id":"client-x"}')).alias("value"))
+    return good.unionByName(cut)
+
+
+def _both_sides(events, rejects):
+    """Events by client and rejected lines, as one report."""
+    good = events.groupBy(F.col("client_id").alias("source")).agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("n_ids"))
+    bad = rejects.agg(F.count("*").alias("n"), F.count(UP.CORRUPT).alias("n_ids")).withColumn("source", F.lit("rejected"))
+    return good.unionByName(bad)
+
+
+_UPLOAD_SIDES = duck_sql(["fx_envelope"], """
+b as (select platform, uuid, (row_number() over (partition by platform, uuid order by ts_us, event_id) - 1) // 50 as batch_no
+  from fx_envelope),
+lines as (select count(*) as n from (select distinct platform, uuid, batch_no from b))""", """
+select 'client-' || platform as source, count(*) as n, count(distinct event_id) as n_ids from fx_envelope group by platform
+union all select 'rejected', n, n from lines""")
+
+
+@register("upload_files", _UPLOAD_SIDES)
+def q_upload_files(spark, sf_dir):
+    """The same bodies through JSON files; good and rejected lines together are all lines."""
+    folder = scratch_path(spark, "uploads")
+    upload_lines(spark, sf_dir).write.text(folder)
+    events, rejects = UP.read_upload_batches(spark, folder)
+    return _both_sides(events, rejects)
+
+
+@register("stream_upload_sides", _UPLOAD_SIDES)
+def q_stream_upload_sides(spark, sf_dir):
+    """The same files as a stream with two idempotent sinks, four files a micro-batch."""
+    folder, out = scratch_path(spark, "uploads"), scratch_path(spark, "uploads-out")
+    upload_lines(spark, sf_dir).repartition(8).write.text(folder)
+    lines = UP.stream_upload_text(spark, folder, max_files_per_trigger=4)
+    q = lines.writeStream.option("checkpointLocation", f"{out}/ck").trigger(availableNow=True) \
+        .foreachBatch(UP.route_uploads(f"{out}/events", f"{out}/rejects")).start()
+    q.awaitTermination()
+    return _both_sides(spark.read.parquet(f"{out}/events"), spark.read.parquet(f"{out}/rejects"))
 
 
 @register("ingest_envelope", duck_sql(["fx_envelope"], "", """
@@ -92,12 +141,13 @@ def q_ingest_envelope(spark, sf_dir):
 
 
 @register("normalize_envelope", duck_sql(["fx_envelope"], "", """
-select event_id, entity_id, case when platform = 'ios' then ts_us else ts_us - ts_us % 1000 end as ts_us, uuid,
+select event_id, 1704067200000000 + 60000000 * ((row_number() over (partition by platform, uuid order by ts_us, event_id) - 1) // 50)
+  as ingest_us, entity_id, case when platform = 'ios' then ts_us else ts_us - ts_us % 1000 end as ts_us, uuid,
   platform, lat, lng, case when platform = 'node' then '' else category end as tags_csv,
   platform = 'android' as ts_suspect from fx_envelope"""))
 def q_normalize_envelope(spark, sf_dir):
     n = EV.normalize_envelope(parsed_raw(spark, sf_dir))
-    return n.select("event_id", "entity_id", US("ts").alias("ts_us"), "uuid", "platform",
+    return n.select("event_id", US("ingest_ts").alias("ingest_us"), "entity_id", US("ts").alias("ts_us"), "uuid", "platform",
                     F.col("geo.lat").alias("lat"), F.col("geo.lng").alias("lng"),
                     F.array_join("tags", ",").alias("tags_csv"), "ts_suspect")
 

@@ -16,12 +16,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from footfall.sources.schema import RAW_EVENT, UPLOAD_BATCH
 
 CORRUPT = "_corrupt_record"
+#: When a batch was received: it comes with the batch (a column, or the time the file was written), so reading it again gives the same rows.
+RECEIVED = "received_at"
 
 
 def _flatten_batches(batches: DataFrame) -> DataFrame:
@@ -31,8 +32,9 @@ def _flatten_batches(batches: DataFrame) -> DataFrame:
         F.col("device_id").alias("_b_device"),
         F.col("location_id").alias("_b_location"),
         F.explode("events").alias("e"),
+        *([F.col(RECEIVED)] if RECEIVED in batches.columns else []),
     )
-    cols = []
+    cols = [F.col(RECEIVED)] if RECEIVED in batches.columns else []
     for f in RAW_EVENT.fieldNames():
         c = F.col(f"e.{f}")
         if f == "client_id":
@@ -46,39 +48,63 @@ def _flatten_batches(batches: DataFrame) -> DataFrame:
 
 
 def parse_upload_batches(df: DataFrame, col: str = "value") -> DataFrame:
-    """Parse a column of upload-batch JSON text into raw event rows.
+    """Parse a column of upload-batch JSON text into raw event rows; a
+    ``received_at`` column of ``df`` goes to every event of the batch.
 
     Adds no rows for malformed text; use :func:`quarantine_batches` to
     keep those records."""
-    parsed = df.select(F.from_json(F.col(col), UPLOAD_BATCH).alias("b")).select("b.*")
+    with_time = [F.col(RECEIVED)] if RECEIVED in df.columns else []
+    parsed = df.select(F.from_json(F.col(col), UPLOAD_BATCH).alias("b"), *with_time).select("b.*", *with_time)
     return _flatten_batches(parsed.where(F.col("events").isNotNull()))
 
 
 def quarantine_batches(df: DataFrame, col: str = "value") -> DataFrame:
-    """Records whose text is not an upload batch (or has no events array)."""
-    parsed = df.select(F.col(col).alias(CORRUPT), F.from_json(F.col(col), UPLOAD_BATCH).alias("b"))
-    return parsed.where(F.col("b").isNull() | F.col("b.events").isNull()).select(CORRUPT)
+    """Records whose text is not an upload batch (or has no events array),
+    with their ``received_at`` if ``df`` has it."""
+    with_time = [F.col(RECEIVED)] if RECEIVED in df.columns else []
+    parsed = df.select(F.col(col).alias(CORRUPT), F.from_json(F.col(col), UPLOAD_BATCH).alias("b"), *with_time)
+    return parsed.where(F.col("b").isNull() | F.col("b.events").isNull()).select(CORRUPT, *with_time)
+
+
+def _written_at():
+    return F.col("_metadata.file_modification_time").alias(RECEIVED)
 
 
 def read_upload_batches(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(events, quarantine) from line-delimited JSON upload batches."""
-    schema = T.StructType(UPLOAD_BATCH.fields + [T.StructField(CORRUPT, T.StringType())])
-    raw = (
-        spark.read.schema(schema)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", CORRUPT)
-        .json(path)
-    )
-    good = raw.where(F.col(CORRUPT).isNull() & F.col("events").isNotNull()).drop(CORRUPT)
-    bad = raw.where(F.col(CORRUPT).isNotNull() | F.col("events").isNull())
-    return _flatten_batches(good), bad
+    """(events, quarantine) from line-delimited JSON upload batches.
+
+    ``received_at`` is the time the file was written.  The quarantine holds
+    the text of every line that is no batch, or has no events array, so that
+    both sides together are all lines."""
+    text = spark.read.text(path).select("value", _written_at())
+    return parse_upload_batches(text), quarantine_batches(text)
+
+
+def stream_upload_text(spark: SparkSession, path: str, max_files_per_trigger: int = 1000) -> DataFrame:
+    """The lines of an upload folder as a stream: ``value``, ``received_at``."""
+    return spark.readStream.option("maxFilesPerTrigger", max_files_per_trigger).text(path).select("value", _written_at())
 
 
 def stream_upload_batches(spark: SparkSession, path: str, max_files_per_trigger: int = 1000) -> DataFrame:
-    """Continuous variant (file source); malformed lines are dropped
-    here and can be routed with :func:`quarantine_batches` on the text."""
-    text = spark.readStream.option("maxFilesPerTrigger", max_files_per_trigger).text(path)
-    return parse_upload_batches(text, "value")
+    """Continuous variant (file source), good events only; to keep the
+    malformed lines too, write :func:`stream_upload_text` with
+    :func:`route_uploads`."""
+    return parse_upload_batches(stream_upload_text(spark, path, max_files_per_trigger), "value")
+
+
+def route_uploads(events_path: str, rejects_path: str):
+    """A ``foreachBatch`` function over upload lines with two sinks: raw
+    events and rejected lines, each in the folder of its batch id.  A replayed
+    micro-batch overwrites exactly its own two folders, so good and bad lines
+    together stay all lines."""
+
+    def _route(batch_df: DataFrame, batch_id: int) -> None:
+        lines = batch_df.persist()
+        parse_upload_batches(lines).write.mode("overwrite").parquet(f"{events_path.rstrip('/')}/batch_id={batch_id}")
+        quarantine_batches(lines).write.mode("overwrite").parquet(f"{rejects_path.rstrip('/')}/batch_id={batch_id}")
+        lines.unpersist()
+
+    return _route
 
 
 def read_events_parquet(

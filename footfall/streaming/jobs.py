@@ -1,35 +1,40 @@
 """The operators as Structured Streaming plans.
 
-Event time comes with a watermark; windows, sessions and dedup keep
-bounded state that the watermark evicts.  Two custom stateful operators
-(current content per device, recent-frame context per billboard) use
-``applyInPandasWithState`` with small per-key state (one value; at most
-100 frames)."""
+Event time comes with a watermark; windows, sessions and dedup keep bounded
+state that the watermark evicts.  Rows that arrive more than the job's delay
+after their event time are split off before the windows (``on_time`` /
+``late_rows``): a micro-batch holds rows received after those of earlier ones,
+so the watermark can never have passed a row whose lag is at most the delay,
+and nothing is dropped unseen.  Operators whose answer depends on the order of
+a key's rows (consent, content on screen, recent frames, held frames) go
+through ``ordered``: rows wait for the watermark and are released in order."""
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from footfall.operators import context as CX
 from footfall.operators.governance import filter_live
+from footfall.sources import lookups as L
+from footfall.streaming import ordered as O
+
+
+# ------------------------------------------------------------------ late rows
+def _lag_s(delay: str) -> Column:
+    n, unit = delay.split()
+    return F.lit(int(n) * {"second": 1, "minute": 60, "hour": 3600}[unit.rstrip("s")] * 1_000_000)
 
-# The pandas state functions below run in Python workers.  Pickle this
-# module's functions by value so workers need not import the package (it
-# may not be on their path; no --py-files needed for the stateful streams).
-try:
-    import sys as _sys
 
-    from pyspark import cloudpickle as _cp
+def on_time(df: DataFrame, delay: str, ts: str = "ts", ingest: str = "ingest_ts") -> DataFrame:
+    """Rows received at most ``delay`` after their event time (a null receipt
+    time counts as on time)."""
+    return df.where(F.coalesce(F.unix_micros(F.col(ingest)) - F.unix_micros(F.col(ts)) <= _lag_s(delay), F.lit(True)))
 
-    _cp.register_pickle_by_value(_sys.modules[__name__])
-except Exception:  # noqa: BLE001  (older cloudpickle: rely on --py-files)
-    pass
+
+def late_rows(df: DataFrame, delay: str, ts: str = "ts", ingest: str = "ingest_ts") -> DataFrame:
+    """The other side of :func:`on_time`: together they are all rows."""
+    return df.where(~F.coalesce(F.unix_micros(F.col(ingest)) - F.unix_micros(F.col(ts)) <= _lag_s(delay), F.lit(True)))
 
 
 # ------------------------------------------------------------------ T1
@@ -88,34 +93,44 @@ def stream_consent(events: DataFrame, consent_log: DataFrame) -> DataFrame:
     return j.where(F.col("_u").isNull()).drop("_u", "valid_from", "valid_to", "state")
 
 
+def stream_consent_both(events: DataFrame, changes: DataFrame, delay: str = "3 hours", salts: int = 8,
+                        id_col: str = "event_id") -> tuple[DataFrame, str]:
+    """T5 with both sides streaming: (decided, event schema).
+
+    ``changes``: uuid, ts, change.  Events wait until the watermark (of both
+    feeds together) has passed them, so a change that arrives later but within
+    ``delay`` still takes effect; a change at an event's own time counts for
+    it.  ``decided`` has a row per event: key, ts_us, id, payload (the event as
+    JSON), extra (the consent in force, null: never changed) and ``late``
+    (arrived behind the watermark, undecided).  A user's events are dealt over
+    ``salts`` sub-keys."""
+    ev = events.select(F.col("uuid").alias("key"), "ts", F.lit(1).alias("kind"), F.col(id_col).cast("string").alias("id"),
+                       O.packed(events).alias("payload"))
+    ch = changes.select(F.col("uuid").alias("key"), "ts", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("id"),
+                        F.col("change").alias("payload"))
+    return O.in_order(ev.unionByName(ch), O.LastMark(), delay, salts), events.schema.simpleString()
+
+
+def consented(decided: DataFrame, schema: str) -> DataFrame:
+    """The events that may be used, as they came."""
+    kept = decided.where(~F.col("late") & F.col("id").isNotNull() & (F.coalesce("extra", F.lit("opt_in")) != "opt_out"))
+    return kept.select(F.from_json("payload", schema, O.JSON_TIME).alias("e")).select("e.*")
+
+
 # ------------------------------------------------------------------ T6
-CURRENT_OUT = "event_id string, device_id string, current_content string"
-
-
-def _current_content(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    cur = state.get[0] if state.exists else None
-    rows = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts_us", "event_id"], kind="mergesort")
-    out_ids, out_cur = [], []
-    for et, cid, eid in zip(rows["event_type"], rows["content_id"], rows["event_id"]):
-        if et == "content_start":
-            cur = cid
-        elif et == "content_end":
-            cur = None
-        elif et == "interaction":
-            out_ids.append(eid)
-            out_cur.append(cur)
-    state.update((cur,))
-    yield pd.DataFrame({"event_id": out_ids, "device_id": [key[0]] * len(out_ids), "current_content": out_cur})
-
-
-def stream_current_content(df: DataFrame) -> DataFrame:
-    """J8 continuously — per device the content on screen is the state;
-    each interaction is emitted with it.  Rows of a micro-batch are sorted
-    by time before the state is updated."""
-    cols = df.select(F.col("device_id"), F.col("event_id").cast("string").alias("event_id"),
-                     F.unix_micros("ts").alias("ts_us"), "event_type", "content_id")
-    return cols.groupBy("device_id").applyInPandasWithState(
-        _current_content, CURRENT_OUT, "current string", "append", GroupStateTimeout.NoTimeout)
+def stream_current_content(df: DataFrame, delay: str = "3 hours", salts: int = 8) -> DataFrame:
+    """J8 continuously, in event-time order: event_id, device_id,
+    current_content, late.  A ``content_start`` that arrives late, but within
+    ``delay``, counts for the interactions after it; an interaction behind the
+    watermark comes out with ``late`` and no content.  Late marks are put out too
+    (once per sub-key), other event types are not needed."""
+    kind = F.when(F.col("event_type").isin("content_start", "content_end"), 0).when(F.col("event_type") == "interaction", 1)
+    rows = df.withColumn("kind", kind).where("kind is not null").select(
+        F.col("device_id").alias("key"), "ts", "kind", F.lpad(F.col("event_id").cast("string"), 20, "0").alias("id"),
+        F.when(F.col("event_type") == "content_start", F.col("content_id").cast("string")).alias("payload"))
+    out = O.in_order(rows, O.LastMark(), delay, salts)
+    return out.select(F.col("id").cast("bigint").cast("string").alias("event_id"), F.col("key").alias("device_id"),
+                      F.col("extra").alias("current_content"), "late")
 
 
 # ------------------------------------------------------------------ T7
@@ -124,72 +139,44 @@ def stream_ttl(df: DataFrame, as_of: Column) -> DataFrame:
     return filter_live(df, as_of)
 
 
+def stream_retention(frames: DataFrame, modes: DataFrame, delay: str = "30 seconds", salts: int = 8) -> DataFrame:
+    """T7 with held state, P7 continuously: the log of what a billboard holds.
+
+    A row ``hold`` per frame (its mode as of its time), and once ``expire`` at
+    its time plus the mode's retention or ``clear`` when the mode turns strict;
+    with that row the frame leaves the state.  ``modes``: billboard_id, ts,
+    mode, frame_id.  Columns billboard_id, frame_id, mode, action, at_us, late
+    (a late row's action is null)."""
+    ev = frames.select(F.col("billboard_id").alias("key"), "ts", F.lit(1).alias("kind"),
+                       F.lpad(F.col("frame_id").cast("string"), 20, "0").alias("id"), F.lit(None).cast("string").alias("payload"))
+    ch = modes.select(F.col("billboard_id").alias("key"), "ts", F.lit(0).alias("kind"),
+                      F.lpad(F.col("frame_id").cast("string"), 20, "0").alias("id"), F.col("mode").alias("payload"))
+    held = O.Retained(dict(L.PRIVACY_RETENTION_S), "strict", "strict")
+    out = O.in_order(ev.unionByName(ch), held, delay, salts)
+    return out.select(F.col("key").alias("billboard_id"), F.col("id").cast("bigint").alias("frame_id"),
+                      F.col("payload").alias("mode"), F.col("extra").alias("action"), F.col("ts_us").alias("at_us"), "late")
+
+
 # ------------------------------------------------------------------ T8
-RECENT_STATE = ("ts array<bigint>, fid array<bigint>, cc array<double>, dn array<double>, fl array<string>, "
-                "dw array<double>, en array<double>, at array<double>")
-RECENT_OUT = ("frame_id bigint, billboard_id string, n_recent int, ctx_cluster_count bigint, ctx_avg_density double, "
-              "ctx_dwell_avg double, ctx_engagement double, ctx_attention double, ctx_flow_direction string")
-
-
-def _z(v) -> float:
-    if v is None or (isinstance(v, float) and math.isnan(v)):
-        return 0.0
-    return float(v)
-
-
-def _lsum(vals) -> float:
-    s = 0.0
-    for v in vals:
-        s = s + v
-    return s
-
-
-def _dominant(dirs: list) -> str:
-    best, best_c, counts, first = None, -1, {}, {}
-    for i, d in enumerate(dirs):
-        counts[d] = counts.get(d, 0) + 1
-        first.setdefault(d, i)
-    for d in first:  # first-appearance order; later value wins ties
-        if counts[d] >= best_c:
-            best, best_c = d, counts[d]
-    return best if best is not None else "unknown"
-
-
-def _recent_context(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    names = ["ts", "fid", "cc", "dn", "fl", "dw", "en", "at"]
-    hist = {n: list(v) for n, v in zip(names, state.get)} if state.exists else {n: [] for n in names}
-    rows = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts_us", "frame_id"], kind="mergesort")
-    out = []
-    for r in rows.itertuples(index=False):
-        for n, v in zip(names, (r.ts_us, r.frame_id, r.cluster_count, r.avg_density, r.flow_direction, r.dwell_avg,
-                                r.engagement, r.attention)):
-            hist[n].append(v)
-            del hist[n][:-100]
-        keep = [i for i, t in enumerate(hist["ts"]) if t >= r.ts_us - 30_000_000]
-        n = len(keep)
-        avg = {m: _lsum(_z(hist[m][i]) for i in keep) / n for m in ("cc", "dn", "dw", "en", "at")}
-        dirs = [hist["fl"][i] if hist["fl"][i] is not None else "unknown" for i in keep]
-        out.append((r.frame_id, key[0], n, int(math.floor(avg["cc"] + 0.5)), avg["dn"], avg["dw"], avg["en"],
-                    avg["at"], _dominant(dirs)))
-    # frames older than 30 s can never be inside a later frame's window
-    if len(hist["ts"]):
-        last = hist["ts"][-1]
-        first_keep = next((i for i, t in enumerate(hist["ts"]) if t >= last - 30_000_000), len(hist["ts"]))
-        hist = {n: v[first_keep:] for n, v in hist.items()}
-    state.update(tuple(hist[n] for n in names))
-    cols = ["frame_id", "billboard_id", "n_recent", "ctx_cluster_count", "ctx_avg_density", "ctx_dwell_avg",
-            "ctx_engagement", "ctx_attention", "ctx_flow_direction"]
-    yield pd.DataFrame(out, columns=cols)
-
-
-def stream_recent_context(frames: DataFrame) -> DataFrame:
-    """X1–X3 per frame with the recent frames as per-billboard state
-    (at most 100 frames, pruned to the 30 s horizon after each batch)."""
-    cols = frames.select("billboard_id", F.col("frame_id").cast("bigint").alias("frame_id"),
-                         F.unix_micros("ts").alias("ts_us"), F.col("cluster_count").cast("double").alias("cluster_count"),
-                         "avg_density", "flow_direction", "dwell_avg", "engagement", "attention")
-    return cols.groupBy("billboard_id").applyInPandasWithState(
-        _recent_context, RECENT_OUT, RECENT_STATE, "append", GroupStateTimeout.NoTimeout)
+RECENT_ITEM = ("array<struct<ts:bigint,cluster_count:double,avg_density:double,flow_direction:string,dwell_avg:double,"
+               "engagement:double,attention:double>>")
+
+
+def stream_recent_context(frames: DataFrame, delay: str = "1 minute") -> DataFrame:
+    """X1–X6 per frame, in event-time order.  The state is the last 100
+    frames of at most 30 s; the figures are the same expressions as in batch
+    (``operators.context``) over the list that comes with each frame.  A frame
+    behind the watermark comes out with ``late`` and no figures."""
+    item = F.to_json(F.struct(F.unix_micros("ts").alias("ts"), *[F.col(m).cast("double").alias(m) if m != "flow_direction" else F.col(m)
+                                                               for m in CX.METRICS]), {"ignoreNullFields": "false"})
+    rows = frames.select(F.col("billboard_id").alias("key"), "ts", F.lit(1).alias("kind"),
+                         F.lpad(F.col("frame_id").cast("string"), 20, "0").alias("id"), item.alias("payload"))
+    out = O.in_order(rows, O.Recent(100, 30_000_000), delay)
+    listed = out.select(F.col("key").alias("billboard_id"), F.col("id").cast("bigint").alias("frame_id"), "ts_us", "late",
+                        F.from_json("extra", RECENT_ITEM).alias("recent"))
+    ctx = CX.aggregate_context(listed).drop("recent")
+    figures = [c for c in ctx.columns if c not in ("billboard_id", "frame_id", "ts_us", "late")]
+    return ctx.select("billboard_id", "frame_id", "ts_us", "late", *[F.when(~F.col("late"), F.col(c)).alias(c) for c in figures])
 
 
 # ------------------------------------------------------------------ T9, T10
@@ -200,7 +187,7 @@ def late_split(main_path: str, late_path: str, delay_s: int = 3600, ts: str = "t
 
     def _split(batch: DataFrame, batch_id: int) -> None:
         lag = F.unix_micros(F.col(ingest)) - F.unix_micros(F.col(ts))
-        late = lag > F.lit(delay_s * 1_000_000)
+        late = F.coalesce(lag > F.lit(delay_s * 1_000_000), F.lit(False))
         batch = batch.persist()
         batch.where(late).write.mode("overwrite").parquet(f"{late_path}/batch_id={batch_id}")
         batch.where(~late).write.mode("overwrite").parquet(f"{main_path}/batch_id={batch_id}")
