@@ -4,6 +4,9 @@ locations (J6), location thinning (J7), playing content (J8), weather
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -63,26 +66,46 @@ def thin_locations(fixes: DataFrame, min_distance_m: float = 100.0, min_interval
     """The device only reports a fix after moving ``min_distance_m``
     from the last reported one (and, Android, ``min_interval_s`` after
     it).  The filter state lives with the watch, which starts with the
-    session, so the fold runs per session: the first fix of a session is
-    always reported.
-
-    The fold depends on the last *kept* fix, so it is sequential inside a
-    session: ``aggregate`` over the session's fixes sorted by time (a
-    bounded group: one app session)."""
-    arr = F.sort_array(F.collect_list(F.struct("ts", "event_id", "lat", "lng")))
-    init = F.struct(F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lng"),
-                    F.lit(None).cast("timestamp").alias("ts"), F.array().cast("array<string>").alias("kept"))
-
-    def step(acc, x):
-        far = haversine_m(acc["lat"], acc["lng"], x["lat"], x["lng"]) >= F.lit(min_distance_m)
-        late = (F.unix_micros(x["ts"]) - F.unix_micros(acc["ts"])) >= F.lit(min_interval_s * 1_000_000)
-        take = acc["ts"].isNull() | (far & late)
-        return F.when(take, F.struct(x["lat"].alias("lat"), x["lng"].alias("lng"), x["ts"].alias("ts"),
-                                     F.array_append(acc["kept"], x["event_id"]).alias("kept"))).otherwise(acc)
-
-    kept = fixes.groupBy("uuid", group).agg(F.aggregate(arr, init, step)["kept"].alias("kept"))
-    ids = kept.select(F.explode("kept").alias("event_id"))
-    return fixes.join(ids, "event_id", "left_semi")
+    session, so it runs per session: the first fix of a session is
+    always reported.  Rows without a position or time are no fixes.
+
+    Whether a fix is kept depends on the last *kept* one, so a session is
+    read in order: rows are dealt by user and session, sorted inside the
+    partitions (the sort spills), and one pass per partition carries the
+    current session's last kept fix from batch to batch.  Nothing is
+    collected; a task holds one Arrow batch and one fix."""
+    real = F.col("lat").isNotNull() & F.col("lng").isNotNull() & F.col("ts").isNotNull()
+    keyed = fixes.where(real).withColumn("_s", F.struct("uuid", F.col(group).alias("g"))) \
+        .withColumn("_at", F.struct(F.unix_micros("ts").alias("t"), F.col("lat").cast("double").alias("y"), F.col("lng").cast("double").alias("x")))
+    dealt = keyed.repartition("uuid", group).sortWithinPartitions("uuid", group, "ts", "event_id")
+    # haversine >= distance, with the arc sine taken on the limit's side once
+    reach = math.sin(min(min_distance_m / (2 * EARTH_R_M), math.pi / 2)) ** 2
+    wait_us = min_interval_s * 1_000_000
+    schema = keyed.schema
+
+    def scan(batches):
+        import pyarrow as pa
+
+        session, last = None, None
+        for batch in batches:
+            at = batch.column(batch.num_columns - 1)
+            t, lat, lng = (at.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+            lat, lng = np.radians(lat), np.radians(lng)
+            cos, kept = np.cos(lat), []
+            whose = batch.column(batch.num_columns - 2)
+            for i, (own, ti, yi, xi, ci) in enumerate(zip(whose.to_pylist(), t.tolist(), lat.tolist(), lng.tolist(), cos.tolist())):
+                if own != session or last is None:
+                    session, take = own, True
+                else:
+                    t0, y0, x0, c0 = last
+                    arc = math.sin((yi - y0) / 2) ** 2 + c0 * ci * math.sin((xi - x0) / 2) ** 2
+                    take = arc >= reach and ti - t0 >= wait_us
+                if take:
+                    last = (ti, yi, xi, ci)
+                    kept.append(i)
+            yield batch.take(pa.array(kept, pa.int64()))
+
+    return dealt.mapInArrow(scan, schema).drop("_s", "_at")
 
 
 def content_at_interaction(df: DataFrame, device: str = "device_id") -> DataFrame:

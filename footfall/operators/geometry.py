@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from footfall.functions.jsmath import js_round, safe_div, truthy_num
 from footfall.functions.timeparts import hour_of_us, dow0_of_us, local_us, time_of_day
+from footfall.session import materialize
 from footfall.sources import lookups as L
 
 # Cardinal directions, index = floor(((deg + 22.5) mod 360) / 45)
@@ -77,17 +78,31 @@ def frame_stats(points: DataFrame, frame: str = "frame_id", order: tuple[str, ..
         .alias("kept_points"))
 
 
+#: Detections of a frame up to which it is folded as one list; larger frames go by grid rounds.  Both give the same rows.
+FOLD_DETECTIONS = 256
+
+
 def cluster_detections(dets: DataFrame, eps: float = EPS, frame: str = "frame_id",
-                       order: tuple[str, ...] = ("o1", "o2", "o3")) -> DataFrame:
+                       order: tuple[str, ...] = ("o1", "o2", "o3"), fold_detections: int = FOLD_DETECTIONS) -> DataFrame:
     """L4: leader clustering per frame (the reference's "dbscan" is this):
     in detection order, a detection joins the first existing seed whose XY
-    distance is strictly below ``eps``, else it becomes a new seed.
-
-    The dependency on earlier seeds is sequential inside a frame, so each
-    frame's detections are folded with ``aggregate`` over the frame's
-    sorted list (a frame is one sensor scan, bounded by the detector's
-    output).  Frames run in parallel.  Adds ``cluster_id`` (0-based, in seed
-    order)."""
+    distance is strictly below ``eps``, else it becomes a new seed.  Adds
+    ``cluster_id`` (0-based, in seed order).
+
+    A detection without a position (null, NaN, or 10^15 m and more away) is a seed that nothing joins; equal
+    order values go by the other columns.  Frames of up to
+    ``fold_detections`` are folded as a bounded list; a frame of any size
+    beyond is spread over tasks by :func:`grid_leaders`."""
+    sizes = dets.groupBy(frame).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > fold_detections)
+    large = materialize(sizes.select(frame), "large-frames")
+    if large.isEmpty():
+        return _folded_leaders(dets, eps, frame, order)
+    small = _folded_leaders(dets.join(large, frame, "left_anti"), eps, frame, order)
+    return small.unionByName(grid_leaders(dets.join(large, frame, "left_semi"), eps, frame, order))
+
+
+def _folded_leaders(dets: DataFrame, eps: float, frame: str, order: tuple[str, ...]) -> DataFrame:
+    """Leader clustering of frames of bounded size: a fold over each frame's sorted list."""
     cols = [*order, "x", "y", "z", "confidence"]
     arr = F.sort_array(F.collect_list(F.struct(*[F.col(c) for c in cols])))
     init = F.struct(
@@ -115,6 +130,69 @@ def cluster_detections(dets: DataFrame, eps: float = EPS, frame: str = "frame_id
     return z.select(frame, *[F.col(f"d.{c}").alias(c) for c in cols], "cluster_id")
 
 
+def grid_leaders(dets: DataFrame, eps: float = EPS, frame: str = "frame_id",
+                 order: tuple[str, ...] = ("o1", "o2", "o3")) -> DataFrame:
+    """Leader clustering by bulk-synchronous rounds over a spatial hash grid.
+
+    The seeds are the greedy independent set of the detections in their
+    order.  Cells are so small (eps / sqrt 2) that any two detections of a
+    cell are near each other: only a cell's first undecided detection can be
+    the next seed, and a cell has one seed at most.  Each round takes these
+    firsts, drops those with an earlier undecided detection near them in
+    the 5 x 5 cells around, makes the others seeds, and takes out what is near
+    a new seed.  Every detection meets at most 25 firsts a round, so no
+    round makes more than 25 rows per detection whatever a cell holds, and
+    the joins are plain equi-joins on (frame, cell) that AQE can split.
+    At least the first undecided detection of each frame is decided per round.
+
+    At the end each detection takes the earliest seed near it that comes
+    before it.  Seeds are eps apart, so the frame-wise numbering of the seeds
+    is bounded by the sensor's range."""
+    cols = [*order, "x", "y", "z", "confidence"]
+    side = F.lit(eps / math.sqrt(2.0) * (1.0 - 1e-9))
+    x, y = F.col("x").cast("double"), F.col("y").cast("double")
+    rows = dets.select(frame, *cols).withColumn("_no", F.monotonically_increasing_id())
+    rows = materialize(rows, "grid").withColumn("_o", F.struct(*cols, "_no"))
+    far = F.lit(9e15) * side
+    placed = F.coalesce((F.abs(x) < far) & (F.abs(y) < far), F.lit(False))
+    at = rows.where(placed).select(frame, F.floor(x / side).alias("_cx"), F.floor(y / side).alias("_cy"),
+                                   x.alias("_x"), y.alias("_y"), "_o", "_no")
+    cell = [frame, "_cx", "_cy"]
+    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-2, 3) for j in range(-2, 3)])
+
+    def around(firsts):
+        """Each first detection (or seed) in its own cell and the 24 around."""
+        s = firsts.select(frame, "_cx", "_cy", F.col("_x").alias("_sx"), F.col("_y").alias("_sy"), F.col("_o").alias("_so"),
+                          F.explode(steps).alias("_s"))
+        return s.select(frame, (F.col("_cx") + F.col("_s.i")).alias("_cx"), (F.col("_cy") + F.col("_s.j")).alias("_cy"),
+                        "_sx", "_sy", "_so")
+
+    dx, dy = F.col("_sx") - F.col("_x"), F.col("_sy") - F.col("_y")
+    near = F.sqrt(dx * dx + dy * dy) < F.lit(float(eps))
+    left, seeds = at, None
+    while True:
+        firsts = left.groupBy(*cell).agg(F.min(F.struct("_o", "_x", "_y")).alias("_f")).select(*cell, "_f.*")
+        firsts = materialize(firsts, "grid-firsts")
+        if firsts.isEmpty():
+            break
+        blocked = around(firsts).join(left, cell).where(near & (F.col("_o") < F.col("_so"))) \
+            .select(F.col("_so._no").alias("_bno")).distinct()
+        new = materialize(firsts.join(blocked, F.col("_o._no") == F.col("_bno"), "left_anti"), "grid-seeds")
+        seeds = new if seeds is None else seeds.unionByName(new)
+        out = around(new).join(left, cell).where(near).select("_no").distinct()
+        left = materialize(left.join(out, "_no", "left_anti"), "grid-left")
+    lone = rows.where(~placed).select(frame, F.col("_o").alias("_so"))
+    named = lone if seeds is None else lone.unionByName(seeds.select(frame, F.col("_o").alias("_so")))
+    named = named.withColumn("cluster_id", (F.row_number().over(Window.partitionBy(frame).orderBy("_so")) - 1).cast("int"))
+    own = named.select(F.col("_so._no").alias("_no"), F.col("_so._no").alias("_sno"))
+    if seeds is not None:
+        first = around(seeds).join(at, cell).where(near & (F.col("_so") <= F.col("_o"))).groupBy("_no").agg(F.min("_so").alias("_so"))
+        own = first.select("_no", F.col("_so._no").alias("_sno")).unionByName(
+            lone.select(F.col("_so._no").alias("_no"), F.col("_so._no").alias("_sno")))
+    ids = named.select(F.col("_so._no").alias("_sno"), "cluster_id")
+    return rows.join(own, "_no").join(ids, "_sno").select(frame, *cols, "cluster_id")
+
+
 def cluster_stats(clustered: DataFrame, eps: float = EPS, frame: str = "frame_id") -> DataFrame:
     """Size, centroid (mean x, y, z) and density = size / (π eps²)."""
     area = math.pi * eps * eps

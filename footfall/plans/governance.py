@@ -188,6 +188,36 @@ def q_thin_locations(spark, sf_dir):
     return EN.thin_locations(fixes, 100.0).select("event_id", "uuid")
 
 
+def _thinned(distance: float, wait_s: int) -> str:
+    """J7 by recursion: each fix against the last kept one of its session."""
+    take = f"""(2 * 6371000.0 * asin(least(1.0, sqrt(pow(sin(radians(s.lat - r.klat) / 2), 2)
+    + cos(radians(r.klat)) * cos(radians(s.lat)) * pow(sin(radians(s.lng - r.klng) / 2), 2)))) >= {distance}
+    and s.ts_us - r.kts >= {wait_s * 1_000_000})"""
+    return duck_sql(["fx_envelope"], f"""
+s as (select event_id, uuid, ts_us, 40e0 + (k % 10) * 0.0004e0 as lat, -74e0 + (k % 7) * 0.0005e0 as lng,
+  row_number() over (partition by uuid, ts_us // 604800000000 order by ts_us, event_id) as rn, ts_us // 604800000000 as week from fx_envelope),
+r as (select event_id, uuid, week, rn, lat as klat, lng as klng, ts_us as kts, true as kept from s where rn = 1
+  union all select s.event_id, s.uuid, s.week, s.rn, case when {take} then s.lat else r.klat end,
+    case when {take} then s.lng else r.klng end, case when {take} then s.ts_us else r.kts end, {take}
+  from r join s on s.uuid = r.uuid and s.week = r.week and s.rn = r.rn + 1)""", """
+select event_id, uuid from r where kept""", recursive=True)
+
+
+def _register_thinned(name: str, distance: float, wait_s: int) -> None:
+    @register(name, _thinned(distance, wait_s))
+    def q(spark, sf_dir):
+        """Moves of 0 to 500 m in steps of 44 and 43 m, so many lie under the distance; a session is a user's week."""
+        env = I.envelopes(spark, sf_dir)
+        fixes = env.select("event_id", "uuid", F.floor(US("ts") / F.lit(604800000000)).alias("session_id"), "ts",
+                           (F.lit(40.0) + (F.col("k") % 10) * F.lit(0.0004)).alias("lat"),
+                           (F.lit(-74.0) + (F.col("k") % 7) * F.lit(0.0005)).alias("lng"))
+        return EN.thin_locations(fixes, distance, wait_s).select("event_id", "uuid")
+
+
+_register_thinned("thin_locations_steps", 150.0, 0)
+_register_thinned("thin_locations_interval", 100.0, 14400)
+
+
 @register("asof_content", duck_sql(["fx_play"], """
 m as (select *, case event_type when 'content_start' then content_id when 'content_end' then '' end as mk from fx_play),
 f as (select *, last_value(mk ignore nulls) over (partition by device_id order by ts_us, event_id
