@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 from pyspark.sql.window import Window
 
 from footfall.functions.jsmath import js_round, q9, qsum9, safe_div
@@ -153,6 +154,74 @@ def recent_context(frames: DataFrame, **kw) -> DataFrame:
 
 
 # ------------------------------------------------------------------ X7
+_SUMS = (("cc", "cluster_count"), ("dn", "avg_density"), ("dw", "dwell_avg"), ("en", "engagement"))
+
+
+def _first_key(df: DataFrame, ts: str, tie: str) -> Column:
+    """Orders frames by (ts, tie).  With a whole-number tie it is one decimal, which a hash aggregate keeps in
+    place; otherwise a struct."""
+    if isinstance(df.schema[tie].dataType, IntegralType):
+        return F.unix_micros(F.col(ts)).cast("decimal(18,0)") * F.lit("1" + "0" * 19).cast("decimal(20,0)") + F.col(tie).cast("decimal(19,0)")
+    return F.struct(F.col(ts), F.col(tie))
+
+
+def _frame_parts(frames: DataFrame, ts: str, tie: str) -> DataFrame:
+    """What a frame adds to a window: counts, quantised metrics, its direction and its place."""
+    flow = F.coalesce(F.col("flow_direction"), F.lit("unknown"))
+    flow = F.when(flow.isin(DIRECTION_VALUES), flow).otherwise(F.lit("unknown"))
+    return frames.withColumn("_flow", flow).withColumn("_first", _first_key(frames, ts, tie)) \
+        .withColumns({f"_{a}": q9(_z(F.col(m))) for a, m in _SUMS})
+
+
+def _frame_aggregates() -> list[Column]:
+    """The mergeable window state of plain frames (after :func:`_frame_parts`)."""
+    out = [F.count(F.lit(1)).alias("n"), *[F.sum(f"_{a}").alias(f"s_{a}") for a, _ in _SUMS]]
+    for i, d in enumerate(DIRECTION_VALUES):
+        here = F.col("_flow") == d
+        out += [F.count_if(here).alias(f"c{i}"), F.min(F.when(here, F.col("_first"))).alias(f"f{i}")]
+    return out
+
+
+def _merged() -> list[Column]:
+    """The same state from states: counts and sums add up, the first appearance is the least."""
+    added = ["n", *[f"s_{a}" for a, _ in _SUMS], *[f"c{i}" for i in range(len(DIRECTION_VALUES))]]
+    return [F.sum(c).alias(c) for c in added] + [F.min(f"f{i}").alias(f"f{i}") for i in range(len(DIRECTION_VALUES))]
+
+
+def _history_rows(state: DataFrame, key: str, kind: str, end: Column, length: int) -> DataFrame:
+    """History rows of window states; the mode: most frequent, tie -> latest first appearance."""
+    mode = F.array_max(F.array(*[F.struct(F.col(f"c{i}").alias("c"), F.col(f"f{i}").alias("f"), F.lit(d).alias("d"))
+                                 for i, d in enumerate(DIRECTION_VALUES)]))["d"]
+    return state.select(
+        key, F.lit(kind).alias("window_type"), end.alias("ts"), F.lit(length * 1000).alias("duration_ms"),
+        "n", *[(F.col(f"s_{a}") / F.lit(1e9) / F.col("n")).alias(b) for a, b in _SUMS],
+        mode.alias("flow_direction"),
+    )
+
+
+def pane_states(frames: DataFrame, seconds: int, key: str = "billboard_id", ts: str = "ts", tie: str = "frame_id") -> DataFrame:
+    """Window states of tumbling panes of ``seconds`` (``_pane``: start in
+    seconds), anchored at the epoch: what every sliding window whose slide
+    is a multiple of that is made of."""
+    pane = (F.floor(F.unix_micros(F.col(ts)) / F.lit(seconds * 1_000_000)) * seconds).cast("bigint")
+    return _frame_parts(frames, ts, tie).groupBy(key, pane.alias("_pane")).agg(*_frame_aggregates())
+
+
+def wider_panes(panes: DataFrame, seconds: int, key: str = "billboard_id") -> DataFrame:
+    """Panes merged into panes of ``seconds`` (a multiple of theirs)."""
+    pane = (F.floor(F.col("_pane") / F.lit(seconds)) * seconds).cast("bigint")
+    return panes.groupBy(key, pane.alias("_pane")).agg(*_merged())
+
+
+def _windows_of_panes(panes: DataFrame, kind: str, compat: bool, key: str) -> DataFrame:
+    """History rows of a kind from panes as wide as its slide: a pane goes to length / slide windows."""
+    dur, slide = WINDOW_KINDS[kind]
+    length = dur + slide if compat else dur
+    ends = F.sequence(F.col("_pane") + slide, F.col("_pane") + length, F.lit(slide).cast("bigint"))
+    state = panes.withColumn("_end", F.explode(ends)).groupBy(key, "_end").agg(*_merged())
+    return _history_rows(state, key, kind, F.timestamp_seconds("_end"), length)
+
+
 def rolling_history(frames: DataFrame, kind: str, key: str = "billboard_id", ts: str = "ts", tie: str = "frame_id",
                     compat: bool = False) -> DataFrame:
     """One history row per (billboard, window) that holds frames:
@@ -160,36 +229,28 @@ def rolling_history(frames: DataFrame, kind: str, key: str = "billboard_id", ts:
     the dominant flow.  Windows are sliding ``window(ts, dur, slide)``
     anchored at the epoch; ``compat=True`` reproduces the client quirk of
     averaging before pruning, i.e. a window of ``dur + slide``.  The row is
-    stamped at the window end."""
+    stamped at the window end.
+
+    Frames are combined into panes as wide as the slide and only panes are
+    copied to their windows.  A stream copies the frames instead (one
+    aggregation, so one state)."""
     dur, slide = WINDOW_KINDS[kind]
+    if not frames.isStreaming:
+        return _windows_of_panes(pane_states(frames, slide, key, ts, tie), kind, compat, key)
     length = dur + slide if compat else dur
     win = F.window(F.col(ts), f"{length} seconds", f"{slide} seconds")
-    flow = F.coalesce(F.col("flow_direction"), F.lit("unknown"))
-    flow = F.when(flow.isin(DIRECTION_VALUES), flow).otherwise(F.lit("unknown"))
-    order_key = F.struct(F.col(ts), F.col(tie))
-    aggs = [F.count(F.lit(1)).alias("n"),
-            qsum9(_z(F.col("cluster_count"))).alias("s_cc"), qsum9(_z(F.col("avg_density"))).alias("s_dn"),
-            qsum9(_z(F.col("dwell_avg"))).alias("s_dw"), qsum9(_z(F.col("engagement"))).alias("s_en")]
-    for i, d in enumerate(DIRECTION_VALUES):
-        aggs += [F.count_if(flow == d).alias(f"c{i}"), F.min(F.when(flow == d, order_key)).alias(f"f{i}")]
-    # one aggregation (so the same plan also runs as a streaming aggregate);
-    # the mode is a projection: most frequent, tie -> latest first appearance
-    agg = frames.groupBy(key, win.alias("w")).agg(*aggs)
-    mode = F.array_max(F.array(*[F.struct(F.col(f"c{i}").alias("c"), F.col(f"f{i}").alias("f"), F.lit(d).alias("d"))
-                                 for i, d in enumerate(DIRECTION_VALUES)]))["d"]
-    return agg.select(
-        key, F.lit(kind).alias("window_type"), F.col("w.end").alias("ts"), F.lit(length * 1000).alias("duration_ms"),
-        "n", *[(F.col(f"s_{a}") / F.lit(1e9) / F.col("n")).alias(b) for a, b in
-               (("cc", "cluster_count"), ("dn", "avg_density"), ("dw", "dwell_avg"), ("en", "engagement"))],
-        mode.alias("flow_direction"),
-    )
-
-
-def all_history(frames: DataFrame, compat: bool = False, **kw) -> DataFrame:
-    """X7 for the four window kinds, unioned."""
-    out = None
-    for k in WINDOW_KINDS:
-        h = rolling_history(frames, k, compat=compat, **kw)
+    state = _frame_parts(frames, ts, tie).groupBy(key, win.alias("w")).agg(*_frame_aggregates())
+    return _history_rows(state, key, kind, F.col("w.end"), length)
+
+
+def all_history(frames: DataFrame, compat: bool = False, key: str = "billboard_id", ts: str = "ts",
+                tie: str = "frame_id") -> DataFrame:
+    """X7 for the four window kinds, unioned.  One pass over the frames makes
+    5-second panes; each kind's panes are merged from the narrower kind's."""
+    out, panes = None, None
+    for kind, (_dur, slide) in sorted(WINDOW_KINDS.items(), key=lambda kv: kv[1][1]):
+        panes = pane_states(frames, slide, key, ts, tie) if panes is None else wider_panes(panes, slide, key)
+        h = _windows_of_panes(panes, kind, compat, key)
         out = h if out is None else out.unionByName(h)
     return out
 
@@ -203,72 +264,73 @@ KIND_RANK = {"immediate": 0, "short": 1, "medium": 2, "long": 3}
 
 
 def historical_baseline(ctx: DataFrame, hist: DataFrame, key: str = "billboard_id", ts: str = "ts",
-                        tie: str = "frame_id", tz: str | None = None, bucket_days: int = 7) -> DataFrame:
+                        tie: str = "frame_id", tz: str | None = None) -> DataFrame:
     """For each context row, the mean over *all* window kinds of the
     history rows stamped strictly before it on the same weekday with
     |hour difference| <= 1 (no wrap at midnight), and their dominant flow
     (tie: latest first appearance in stamp order).  No rows -> NULL
     baseline (no anomaly check).
 
-    No theta join: each history row is copied to the hour keys h-1, h, h+1
-    and unioned with the context rows; a running aggregate over
-    (billboard, weekday, hour) ordered by time gives the baseline.  The
-    running aggregate is cut into ``bucket_days`` buckets with a carry-in
-    from a per-bucket summary, so a billboard's long history is spread over
-    many tasks."""
-    def parts(df):
-        loc = local_us(F.unix_micros(F.col(ts)), tz)
-        return df.withColumn("_dow", dow0_of_us(loc)).withColumn("_hour", hour_of_us(loc))
-
-    bucket_us = bucket_days * 86_400_000_000
+    No theta join and no copied history.  What counts for a context row of
+    local hour h is: hours h-1 to h+1 of the same weekday in earlier weeks, all
+    of hour h-1 of its own day, and its own hour up to its time.  The first two
+    come from one small row per (billboard, hour): added up over the weeks and
+    joined on (billboard, hour).  Only the last needs the rows themselves, as a
+    running aggregate per (billboard, hour), so a billboard's history is spread
+    over as many tasks as it has hours."""
+    hour_us = 3_600_000_000
+    local_hour = F.floor(local_us(F.unix_micros(F.col(ts)), tz) / F.lit(hour_us)).cast("bigint").alias("_lh")
     rank = F.element_at(F.create_map(*[x for k, v in KIND_RANK.items() for x in (F.lit(k), F.lit(v))]),
                         F.col("window_type"))
     dir_idx = F.array_position(F.array(*[F.lit(d) for d in DIRECTION_VALUES]),
                                F.coalesce(F.col("flow_direction"), F.lit("unknown"))).cast("int")
-    # history rows, copied to the hour keys h-1, h, h+1 (no wrap)
-    h = parts(hist).withColumn("_hk", F.explode(F.array(F.col("_hour") - 1, F.col("_hour"), F.col("_hour") + 1))) \
-        .where(F.col("_hk").between(0, 23)).select(
-            key, ts, "_dow", "_hk", F.lit(1).alias("_is_hist"), F.lit(None).cast("string").alias("_tie"),
-            (F.unix_micros(F.col(ts)) * 8 + rank + 1).alias("_ok"),
-            # history averages are quantised to 1e-9 and summed exactly, so the
-            # baseline does not depend on the order partial sums are combined in
-            _q9(F.col("cluster_count")).alias("_cc"), _q9(F.col("avg_density")).alias("_dn"),
-            _q9(F.col("dwell_avg")).alias("_dw"), _q9(F.col("engagement")).alias("_en"), dir_idx.alias("_di"))
+    h = hist.select(
+        key, local_hour, F.lit(1).alias("_is_hist"), F.lit(None).cast("string").alias("_tie"),
+        (F.unix_micros(F.col(ts)) * 8 + rank + 1).alias("_ok"),
+        # history averages are quantised to 1e-9 and summed exactly, so the
+        # baseline does not depend on the order partial sums are combined in
+        _q9(F.col("cluster_count")).alias("_cc"), _q9(F.col("avg_density")).alias("_dn"),
+        _q9(F.col("dwell_avg")).alias("_dw"), _q9(F.col("engagement")).alias("_en"), dir_idx.alias("_di"))
     # context rows: only their key and time — the baseline is joined back to
     # the full context rows at the end, so the union stays narrow
-    c = parts(ctx).select(key, ts, "_dow", F.col("_hour").alias("_hk"), F.lit(0).alias("_is_hist"),
-                          F.col(tie).cast("string").alias("_tie"), (F.unix_micros(F.col(ts)) * 8).alias("_ok"))
-    u = c.unionByName(h, allowMissingColumns=True) \
-        .withColumn("_bkt", F.floor(F.unix_micros(F.col(ts)) / F.lit(bucket_us)).cast("bigint")).drop(ts)
-    # the union feeds both the bucket summary and the row pass: write it once
-    # (narrow numeric columns) instead of recomputing the history twice
-    u = materialize(u, "baseline-union")
+    c = ctx.select(key, local_hour, F.lit(0).alias("_is_hist"), F.col(tie).cast("string").alias("_tie"),
+                   (F.unix_micros(F.col(ts)) * 8).alias("_ok"))
+    # the union feeds both the hour summary and the row pass: write it once
+    u = materialize(c.unionByName(h, allowMissingColumns=True), "baseline-union")
     is_h = F.col("_is_hist") == 1
     sums = {"n": F.when(is_h, F.lit(1)).otherwise(F.lit(0)), "cc": F.col("_cc"), "dn": F.col("_dn"),
             "dw": F.col("_dw"), "en": F.col("_en")}
     for i in range(len(DIRECTION_VALUES)):
         sums[f"c{i}"] = F.when(F.col("_di") == i + 1, F.lit(1)).otherwise(F.lit(0))
     firsts = {f"f{i}": F.when(F.col("_di") == i + 1, F.col("_ok")) for i in range(len(DIRECTION_VALUES))}
-    keys = [key, "_dow", "_hk"]
-    # per-bucket summary and its carry-in from earlier buckets
-    summ = u.groupBy(*keys, "_bkt").agg(*[F.sum(v).alias(f"_s_{k}") for k, v in sums.items()],
-                                         *[F.min(v).alias(f"_m_{k}") for k, v in firsts.items()])
-    wb = Window.partitionBy(*keys).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
-    carry = summ.select(*keys, "_bkt", *[F.sum(f"_s_{k}").over(wb).alias(f"_cs_{k}") for k in sums],
-                        *[F.min(f"_m_{k}").over(wb).alias(f"_cm_{k}") for k in firsts])
-    j = u.join(carry, [*keys, "_bkt"], "left")
+    names = [*sums, *firsts]
+    # one row per (billboard, hour) that holds any row
+    hours = materialize(u.groupBy(key, "_lh").agg(*[F.sum(v).alias(k) for k, v in sums.items()],
+                                                   *[F.min(v).alias(k) for k, v in firsts.items()]), "baseline-hours")
+    day, hour = F.floor(F.col("_lh") / F.lit(24)).cast("bigint"), F.pmod(F.col("_lh"), F.lit(24))
+    near = hours.withColumn("_to", F.explode(F.array(F.col("_lh") - 1, F.col("_lh"), F.col("_lh") + 1))) \
+        .where(F.floor(F.col("_to") / F.lit(24)) == day).select(key, F.col("_to").alias("_lh"), *names)
+    near = near.groupBy(key, "_lh").agg(*[F.sum(k).alias(k) for k in sums], *[F.min(k).alias(k) for k in firsts])
+    weeks = Window.partitionBy(key, F.pmod(day, F.lit(7)), hour).orderBy("_lh").rowsBetween(Window.unboundedPreceding, -1)
+    before = near.select(key, "_lh", *[F.sum(k).over(weeks).alias(f"_w_{k}") for k in sums],
+                         *[F.min(k).over(weeks).alias(f"_w_{k}") for k in firsts])
+    last = hours.where(hour < 23).select(key, (F.col("_lh") + 1).alias("_lh"), *[F.col(k).alias(f"_p_{k}") for k in names])
+    carry = before.join(last, [key, "_lh"], "left").select(
+        key, "_lh", *[(F.coalesce(f"_w_{k}", F.lit(0)) + F.coalesce(f"_p_{k}", F.lit(0))).alias(f"_c_{k}") for k in sums],
+        *[F.least(f"_w_{k}", f"_p_{k}").alias(f"_c_{k}") for k in firsts])
     # order by a plain column (time, then context before history, then the
     # window kind) and add every running aggregate in one projection, so
     # they share a single Window operator (one sort)
-    wr = Window.partitionBy(*keys, "_bkt").orderBy("_ok").rowsBetween(Window.unboundedPreceding, 0)
-    run = [(F.coalesce(F.col(f"_cs_{k}"), F.lit(0)) + F.coalesce(F.sum(v).over(wr), F.lit(0))).alias(f"_r_{k}")
-           for k, v in sums.items()]
-    run += [F.least(F.col(f"_cm_{k}"), F.min(v).over(wr)).alias(f"_r_{k}") for k, v in firsts.items()]
-    j = j.select(key, "_is_hist", "_tie", *run)
+    wr = Window.partitionBy(key, "_lh").orderBy("_ok").rowsBetween(Window.unboundedPreceding, 0)
+    run = [F.coalesce(F.sum(v).over(wr), F.lit(0)).alias(f"_r_{k}") for k, v in sums.items()]
+    run += [F.min(v).over(wr).alias(f"_r_{k}") for k, v in firsts.items()]
+    j = u.select(key, "_lh", "_is_hist", "_tie", *run).where(F.col("_is_hist") == 0).join(carry, [key, "_lh"])
+    j = j.select(key, "_tie", *[(F.col(f"_r_{k}") + F.col(f"_c_{k}")).alias(f"_r_{k}") for k in sums],
+                 *[F.least(f"_r_{k}", f"_c_{k}").alias(f"_r_{k}") for k in firsts])
     mode = F.array_max(F.array(*[F.struct(F.col(f"_r_c{i}").alias("c"), F.col(f"_r_f{i}").alias("f"),
                                           F.lit(d).alias("d")) for i, d in enumerate(DIRECTION_VALUES)]))["d"]
     n = F.col("_r_n")
-    base = j.where(F.col("_is_hist") == 0).select(
+    base = j.select(
         key, "_tie",
         F.when(n > 0, n).alias("base_n"),
         F.when(n > 0, F.col("_r_cc") / F.lit(1e9) / n).alias("base_cluster_count"),
