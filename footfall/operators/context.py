@@ -401,17 +401,38 @@ def generate_insights(df: DataFrame, cc: str = "ctx_cluster_count", eng: str = "
 
 
 # ------------------------------------------------------------------ X11
+#: Columns of a context that the update payload carries where they are there.
+_PAYLOAD = {"location": "struct<lat:double,lng:double,accuracy:double>", "ambient_light": "string", "weather_conditions": "string",
+            "age_distribution": "map<string,double>", "estimated_groups": "bigint", "demographic_confidence": "double"}
+
+
+def context_payload(ctx: DataFrame, ts: str = "ts", tie: str = "frame_id", mode: str = "privacy_mode") -> Column:
+    """The update payload of a context row: the figures, the billboard's
+    location, ``environmental`` (light, weather) and ``demographic_inference``
+    (age distribution, groups, confidence), which is null unless the row's
+    privacy mode is known and not strict.  Columns the row lacks are null."""
+    def have(c):
+        return F.col(c) if c in ctx.columns else F.lit(None).cast(_PAYLOAD[c])
+
+    open_mode = F.col(mode) != "strict" if mode in ctx.columns else F.lit(False)
+    demographic = F.struct(have("age_distribution").alias("age_distribution"), have("estimated_groups").alias("estimated_groups"),
+                           have("demographic_confidence").alias("confidence_score"))
+    return F.struct(F.col(ts).alias("ts"), F.col(tie).alias(tie), have("location").alias("location"),
+                    F.col("ctx_cluster_count").alias("cluster_count"), F.col("ctx_avg_density").alias("avg_density"),
+                    F.col("ctx_flow_direction").alias("flow_direction"),
+                    F.col("ctx_dwell_avg").alias("dwell_time_avg"), F.col("ctx_engagement").alias("engagement_score"),
+                    F.struct(have("ambient_light").alias("ambient_light"), have("weather_conditions").alias("weather_conditions"))
+                    .alias("environmental"),
+                    F.when(open_mode, demographic).alias("demographic_inference"))
+
+
 def context_snapshot(ctx: DataFrame, every_s: int = 5, key: str = "billboard_id", ts: str = "ts",
                      tie: str = "frame_id", fill_gaps: bool = False) -> DataFrame:
     """X11: the last context of each billboard in each ``every_s`` tick,
-    with the update payload fields.  ``fill_gaps`` repeats the last
+    with the fields of :func:`context_payload`.  ``fill_gaps`` repeats the last
     context in ticks without a frame (bounded by the billboard's own span).
     """
-    payload = F.struct(F.col(ts).alias("ts"), F.col(tie).alias(tie), F.col("ctx_cluster_count").alias("cluster_count"),
-                       F.col("ctx_avg_density").alias("avg_density"),
-                       F.col("ctx_flow_direction").alias("flow_direction"),
-                       F.col("ctx_dwell_avg").alias("dwell_time_avg"),
-                       F.col("ctx_engagement").alias("engagement_score"))
+    payload = context_payload(ctx, ts, tie)
     tick = F.window(F.col(ts), f"{every_s} seconds")
     snap = ctx.groupBy(key, tick.alias("w")).agg(F.max_by(payload, F.struct(F.col(ts), F.col(tie))).alias("p"))
     snap = snap.select(key, F.col("w.end").alias("tick"), "p.*").withColumn("repeated", F.lit(False))

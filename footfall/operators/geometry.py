@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from footfall.functions.jsmath import js_round, safe_div, truthy_num
 from footfall.functions.timeparts import hour_of_us, dow0_of_us, local_us, time_of_day
+from footfall.operators.asof import prev_row
 from footfall.session import materialize
 from footfall.sources import lookups as L
 
@@ -257,22 +258,29 @@ def flow_analysis(moves: DataFrame, frame: str = "frame_id", circular: bool = Fa
 
 
 def movements_from_tracks(tracks: DataFrame, track: str = "track_id", order: tuple[str, ...] = ("ts",),
-                          dt_s: Column | None = None) -> DataFrame:
+                          dt_s: Column | None = None, bucket_us: int = 3_600_000_000) -> DataFrame:
     """L9 (ours): heading (0° = +y, clockwise), speed and trajectory from
     consecutive positions of one track; the sensor sits at the origin, so a
     shrinking distance means towards the billboard.  First position of a
-    track has no movement.  ``lag`` over one track (a person's path)."""
-    w = Window.partitionBy(track).orderBy(*order)
-    px, py = F.lag("x").over(w), F.lag("y").over(w)
-    dx, dy = F.col("x") - F.col("_px"), F.col("y") - F.col("_py")
-    dt = dt_s if dt_s is not None else (F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(w))) / F.lit(1e6)
-    out = tracks.withColumn("_px", px).withColumn("_py", py).withColumn("_dt", dt).where(F.col("_px").isNotNull())
+    track has no movement.
+
+    The position before comes from ``prev_row``, which cuts a track into
+    time buckets, so a track of very many positions is spread over tasks.
+    A track without a time column (``order`` of plain numbers) is cut by its
+    first order column in steps of ``bucket_us``."""
+    cut = order[0] if order[0] == "ts" else "_cut"
+    rows = tracks if cut == "ts" else tracks.withColumn("_cut", F.timestamp_micros(F.col(order[0]).cast("bigint")))
+    rows = rows.withColumn("_before", F.struct("x", "y", F.col(cut).alias("t")))
+    out = prev_row(rows, track, cut, list(order), ["_before"], bucket_us).where(F.col("prev__before.x").isNotNull())
+    px, py = F.col("prev__before.x"), F.col("prev__before.y")
+    dx, dy = F.col("x") - px, F.col("y") - py
+    dt = dt_s if dt_s is not None else (F.unix_micros(cut) - F.unix_micros("prev__before.t")) / F.lit(1e6)
     d_now = F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y"))
-    d_prev = F.sqrt(F.col("_px") * F.col("_px") + F.col("_py") * F.col("_py"))
+    d_prev = F.sqrt(px * px + py * py)
     return out.withColumn("direction", F.pmod(F.degrees(F.atan2(dx, dy)), F.lit(360.0))) \
-        .withColumn("speed", safe_div(F.sqrt(dx * dx + dy * dy), F.col("_dt"))) \
+        .withColumn("speed", safe_div(F.sqrt(dx * dx + dy * dy), dt)) \
         .withColumn("trajectory", F.when(d_now < d_prev, "towards_billboard").otherwise("away_from_billboard")) \
-        .drop("_px", "_py", "_dt")
+        .drop("_before", "prev__before", "_cut")
 
 
 def age_distribution(counts: DataFrame, frame: str = "frame_id", bucket: str = "bucket",

@@ -230,7 +230,8 @@ def funnel_counts(per_user: DataFrame, steps: list[str]) -> DataFrame:
 
 def attribution(df: DataFrame, lookback_days: int = 7, model: str = "last") -> DataFrame:
     """Each purchase is credited to the last (``model='last'``) or
-    first (``'first'``) utm touch of the same user within the lookback.
+    first (``'first'``) utm touch of the same user within the lookback, or in
+    equal parts to all of them (``'linear'``: a row per purchase and source).
     Last touch uses the bucketed as-of helper with the lookback as age
     limit; first touch is a range-window ``min_by``."""
     from footfall.operators.asof import asof_last
@@ -244,6 +245,8 @@ def attribution(df: DataFrame, lookback_days: int = 7, model: str = "last") -> D
     # first touch: a range-window min_by over (ts - lookback, ts], chunked
     from footfall.operators.asof import chunked_range
     day = 86_400_000_000
+    if model == "linear":
+        return _linear_attribution(rel, lookback_days)
     first = lambda w: F.min_by(F.struct(F.col("_utm").alias("s"), F.col("ts").alias("t")),
                                F.when(F.col("_utm").isNotNull(), F.struct("ts", "event_id"))).over(w)
     got = chunked_range(rel, "uuid", "ts", lookback_days * day + 1, max(4 * lookback_days, 28) * day, {"_f": first})
@@ -251,6 +254,26 @@ def attribution(df: DataFrame, lookback_days: int = 7, model: str = "last") -> D
         "event_id", "uuid", "ts", F.col("_f.s").alias("credited_source"), F.col("_f.t").alias("touch_ts"))
 
 
+def _linear_attribution(rel: DataFrame, lookback_days: int) -> DataFrame:
+    """(event_id, uuid, ts, credited_source, touches, credit) per purchase and source.
+
+    Per source the touches in the lookback are a range-window count over the
+    user's rows, so nothing is collected: purchases are copied once per
+    source the user has at all, and a user is cut into chunks of time."""
+    from footfall.operators.asof import chunked_range
+    day = 86_400_000_000
+    touches = rel.where(F.col("_utm").isNotNull()).select("uuid", "ts", F.col("_utm").alias("credited_source"), F.lit(1).alias("_t"))
+    sources = touches.select("uuid", "credited_source").distinct()
+    bought = rel.where(F.col("event_type") == "purchase").select("event_id", "uuid", "ts").join(sources, "uuid") \
+        .withColumn("_t", F.lit(0))
+    both = bought.unionByName(touches, allowMissingColumns=True)
+    got = chunked_range(both, ["uuid", "credited_source"], "ts", lookback_days * day + 1, max(4 * lookback_days, 28) * day,
+                        {"touches": lambda w: F.sum("_t").over(w)}).where((F.col("_t") == 0) & (F.col("touches") > 0))
+    total = got.groupBy("event_id").agg(F.sum("touches").alias("_all"))
+    return got.join(total, "event_id").select("event_id", "uuid", "ts", "credited_source", "touches",
+                                             (F.col("touches") / F.col("_all")).alias("credit"))
+
+
 def lookalike(scores: DataFrame, seeds: DataFrame, k: int = 10) -> DataFrame:
     """G13 (ours): users (not seeds) most similar, by cosine, to the mean
     category-share vector of the seed users (a seed without a category

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from footfall.functions.jsmath import round6
 from footfall.functions.timeparts import ts_of
 from footfall.operators import classify as CL
+from footfall.operators import sketches as SK
 from footfall.plans import inputs as I
 from footfall.plans.registry import register
+from footfall.session import materialize
 from footfall.sources import fixtures as fx
 from footfall.sources.fixtures import duck_sql
 
@@ -192,7 +194,7 @@ def q_form_first_touch(spark, sf_dir):
 def timings(spark, sf_dir):
     b = fx.fx_base(spark, sf_dir).where(F.col("src") == "view")
     k, nav = F.col("k"), F.floor(F.col("ts_us") / 1000).cast("bigint")
-    return b.select("event_id", nav.alias("navigation_start"), (nav + 5).alias("domain_lookup_start"),
+    return b.select("event_id", "user_id", ts_of("ts_us").alias("ts"), nav.alias("navigation_start"), (nav + 5).alias("domain_lookup_start"),
                     (nav + 5 + k % 20).alias("domain_lookup_end"), (nav + 30).alias("connect_start"),
                     (nav + 30 + k % 40).alias("connect_end"), (nav + 80).alias("request_start"),
                     (nav + 80 + k % 300).alias("response_end"), (nav + 400).alias("dom_loading"),
@@ -208,13 +210,37 @@ def q_page_performance(spark, sf_dir):
     return p.select("event_id", "dns_lookup", "tcp_connection", "server_response", "dom_processing", "page_load")
 
 
-@register("page_performance_rollup")
+@register("page_performance_rollup", duck_sql(["fx_base"], "", """
+select concat('/page/', k % 9) as page_url, count(*) as loads, quantile_disc(1400 + k % 500, 0.5) as page_load_p50,
+  quantile_disc(1400 + k % 500, 0.95) as page_load_p95 from fx_base where src = 'view' group by 1"""))
 def q_page_performance_rollup(spark, sf_dir):
     r = CL.perf_rollup(CL.perf_metrics(timings(spark, sf_dir)))
     return r.select("page_url", "loads", F.col("page_load_p50_p95")[0].alias("page_load_p50"),
                     F.col("page_load_p50_p95")[1].alias("page_load_p95"))
 
 
+@register("page_performance_sketches", duck_sql(["fx_base"], "", """
+select concat('/page/', k % 9) as page_url, count(*) as loads, true as p50_in_rank, true as p95_in_rank,
+  true as users_in_error from fx_base where src = 'view' and ts_us >= 1704499200000000 and ts_us < 1705708800000000 group by 1"""))
+def q_page_performance_sketches(spark, sf_dir):
+    """Daily sketches, written and merged for 6 to 19 January: the estimates' exact ranks among the page's loads must
+    hold the quantile within 2 %, the distinct users must be within 3 %."""
+    perf = CL.perf_metrics(timings(spark, sf_dir))
+    daily = materialize(SK.daily_sketches(perf, ["page_url"], ["page_load"], ["user_id"]), "daily-sketches")
+    est = SK.estimates(SK.merged(daily, ["page_url"], "2024-01-06", "2024-01-19"), {"p50": 0.5, "p95": 0.95})
+    day = F.to_date("ts")
+    exact = perf.where((day >= F.lit("2024-01-06").cast("date")) & (day <= F.lit("2024-01-19").cast("date"))).join(est, "page_url")
+
+    def holds(q, name):  # the share below is at most q, the share up to it at least q, give or take the error
+        below = F.avg((F.col("page_load") < F.col(f"page_load_{name}")).cast("double"))
+        up_to = F.avg((F.col("page_load") <= F.col(f"page_load_{name}")).cast("double"))
+        return ((below <= q + 0.02) & (up_to >= q - 0.02)).alias(f"{name}_in_rank")
+
+    users = F.count_distinct("user_id")
+    error = F.abs(F.max("user_id_distinct") - users) <= F.greatest(users * 0.03, F.lit(1.0))
+    return exact.groupBy("page_url").agg(F.max("n").alias("loads"), holds(0.5, "p50"), holds(0.95, "p95"), error.alias("users_in_error"))
+
+
 @register("error_rollup", duck_sql(["fx_envelope"], "", """
 select 'Error ' || cast(k % 5 as varchar) as message, 'app' || cast(k % 3 as varchar) || '.js' as filename,
   cast(k % 50 as integer) as line, entity_id as page_url, count(*) as errors, count(distinct uuid) as users

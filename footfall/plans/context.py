@@ -261,3 +261,55 @@ def q_context_snapshot(spark, sf_dir):
     s = CX.context_snapshot(c, 5)
     return s.select("billboard_id", US("tick").alias("tick_us"), "frame_id", "cluster_count", "flow_direction",
                     round6("engagement_score").alias("engagement_score"))
+
+
+# X11 with gaps filled and the whole payload: ticks of each billboard from its first to its last frame
+DUCK_TICKS = """snap as (select billboard_id, (t // 5000000 + 1) * 5000000 as tick, arg_max(frame_id, {'t': t, 'f': frame_id}) as frame_id
+  from rc group by 1, 2),
+ends as (select billboard_id, min(tick) as t0, max(tick) as t1 from snap group by 1),
+ticks as (select billboard_id, unnest(range(t0, t1 + 1, 5000000)) as tick from ends),
+filled as (select ticks.billboard_id, ticks.tick, snap.frame_id, snap.tick <> ticks.tick as repeated
+  from ticks asof join snap on snap.billboard_id = ticks.billboard_id and snap.tick <= ticks.tick)"""
+
+
+def payload_context(spark, sf_dir):
+    """Contexts with what the update payload carries besides: location, weather, demographics, privacy mode."""
+    from footfall.operators import enrich as EN
+    from footfall.operators.asof import asof_last
+    from footfall.plans import inputs as I
+
+    ctx = ctx_on(spark, sf_dir, "ts_us")
+    modes = I.mode_log(spark, sf_dir).select("billboard_id", "ts", F.col("mode").alias("_m"), F.lit(0).alias("_kind"), "frame_id")
+    both = ctx.withColumn("_kind", F.lit(1)).unionByName(modes, allowMissingColumns=True)
+    ctx = asof_last(both, "billboard_id", "ts", ["ts", "_kind", "frame_id"], {"privacy_mode": F.col("_m")}).where("_kind = 1")
+    ctx = EN.attach_weather(ctx.drop("_kind", "_m"), I.weather_obs(spark, sf_dir), key="billboard_id")
+    n = F.substring("billboard_id", 4, 10).cast("double")
+    return ctx.withColumn("weather_conditions", F.col("weather")).withColumn("estimated_groups", F.floor(F.col("total_people") / 3)) \
+        .withColumn("demographic_confidence", F.col("engagement")) \
+        .withColumn("location", F.struct((F.lit(40.0) + n).alias("lat"), (F.lit(-74.0) - n).alias("lng"), F.lit(0.0).alias("accuracy")))
+
+
+def _duck_filled() -> str:
+    from footfall.plans import inputs as I
+    return f"""{duck_recent("ts_us")},
+{DUCK_TICKS},
+{I.DUCK_MODES},
+{I.DUCK_WEATHER},
+mode_at as (select billboard_id, ts_us, arg_max(mode, event_id) as mode from modes group by 1, 2),
+rain_at as (select billboard_id, ts_us, max(condition) as condition from wobs group by 1, 2)"""
+
+
+@register("context_snapshot_filled", duck_sql(["fx_base", "fx_frame"], _duck_filled(), """
+select f.billboard_id, f.tick as tick_us, f.repeated, f.frame_id, rc.ctx_cluster_count as cluster_count,
+  rc.ctx_flow_direction as flow_direction, round(rc.ctx_avg_density, 6) as avg_density, round(rc.ctx_dwell_avg, 6) as dwell_time_avg,
+  round(rc.ctx_engagement, 6) as engagement_score, 40e0 + cast(substr(f.billboard_id, 4) as double) as lat,
+  case when md.mode <> 'strict' then k.total_people // 3 end as estimated_groups, rn.condition as weather_conditions
+from filled f join rc on rc.frame_id = f.frame_id join fx_frame k on k.frame_id = f.frame_id
+  asof left join mode_at md on md.billboard_id = k.billboard_id and md.ts_us <= k.ts_us
+  asof left join rain_at rn on rn.billboard_id = k.billboard_id and rn.ts_us <= k.ts_us"""))
+def q_context_snapshot_filled(spark, sf_dir):
+    s = CX.context_snapshot(payload_context(spark, sf_dir), 5, fill_gaps=True)
+    return s.select("billboard_id", US("tick").alias("tick_us"), "repeated", "frame_id", "cluster_count", "flow_direction",
+                    *[round6(c).alias(c) for c in ("avg_density", "dwell_time_avg", "engagement_score")],
+                    F.col("location.lat").alias("lat"), F.col("demographic_inference.estimated_groups").alias("estimated_groups"),
+                    F.col("environmental.weather_conditions").alias("weather_conditions"))

@@ -215,6 +215,16 @@ def q_attribution_first_touch(spark, sf_dir):
     return a.select("event_id", "uuid", "credited_source", US("touch_ts").alias("touch_ts_us"))
 
 
+@register("attribution_linear", duck_sql(["fx_envelope"], """
+t as (select p.event_id, p.uuid, u.utm_source as credited_source, count(*) as touches from fx_envelope p join fx_envelope u
+  on u.uuid = p.uuid and u.utm_source is not null and u.ts_us <= p.ts_us and u.ts_us >= p.ts_us - 604800000000
+  where p.event_type = 'purchase' group by 1, 2, 3)""", """
+select event_id, uuid, credited_source, touches, round(touches / sum(touches) over (partition by event_id), 6) as credit from t"""))
+def q_attribution_linear(spark, sf_dir):
+    a = G.attribution(envelopes(spark, sf_dir), 7, "linear")
+    return a.select("event_id", "uuid", "credited_source", F.col("touches").cast("bigint").alias("touches"), round6("credit").alias("credit"))
+
+
 @register("lookalike", duck_sql(["fx_envelope"], _SCORES + """,
 seeds as (select distinct uuid from fx_envelope where event_type = 'purchase' and amount > 200),
 ss as (select * from sc where uuid in (select uuid from seeds)),

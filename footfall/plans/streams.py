@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from footfall.functions.jsmath import round6
 from footfall.operators import governance as GV
 from footfall.plans import inputs as I
-from footfall.plans.context import duck_recent, frames_on, _HIST_SELECT, duck_history, _hist_out
+from footfall.plans.context import DUCK_TICKS, duck_recent, frames_on, _HIST_SELECT, duck_history, _hist_out
 from footfall.plans.registry import register
 from footfall.session import scratch_path
 from footfall.sources import fixtures as fx
@@ -276,6 +276,41 @@ def q_stream_recent_context(spark, sf_dir):
                                                    "ctx_attention")], "ctx_flow_direction")
 
 
+@register("stream_context_snapshot", duck_sql(["fx_base", "fx_frame"], duck_recent("ts_us") + ",\n" + DUCK_TICKS, """
+select f.billboard_id, f.tick as tick_us, f.repeated, f.frame_id, rc.ctx_cluster_count as cluster_count,
+  rc.ctx_flow_direction as flow_direction, round(rc.ctx_engagement, 6) as engagement_score
+from filled f join rc on rc.frame_id = f.frame_id"""))
+def q_stream_context_snapshot(spark, sf_dir):
+    """Ticks up to each billboard's last frame; the repeats after it are the stream's own."""
+    fr = frames_on(spark, sf_dir, "ts_us").select("billboard_id", "frame_id", "ts", "cluster_count", "avg_density",
+                                                  "flow_direction", "dwell_avg", "engagement", "attention")
+    fr = received(fr, "frame_id", 50, 5)
+    out = run_incremental(spark, "stream-snapshot", fr, lambda s: ST.stream_context_snapshot(s.drop("ingest_ts"), 5, "1 minute"),
+                          ts="ingest_ts", marker=_marker_like(fr, "ts", "billboard_id"))
+    r = spark.read.parquet(out).where((F.col("billboard_id") != MARKER) & ~F.col("late"))
+    last = r.where(~F.col("repeated")).groupBy("billboard_id").agg(F.max("tick_us").alias("_last"))
+    return r.join(last, "billboard_id").where(F.col("tick_us") <= F.col("_last")).select(
+        "billboard_id", "tick_us", "repeated", "frame_id", F.col("ctx_cluster_count").alias("cluster_count"),
+        F.col("ctx_flow_direction").alias("flow_direction"), round6("ctx_engagement").alias("engagement_score"))
+
+
+@register("stream_intent_trigger", duck_sql(["fx_envelope"], """
+e as (select event_id, uuid, ts_us, case event_type when 'add_to_cart' then 1e0 when 'checkout_started' then 2e0
+  else 3e0 end as w from fx_envelope where event_type in ('add_to_cart', 'checkout_started', 'purchase')),
+t as (select *, sum(w) over (partition by uuid order by ts_us range between 604799999999 preceding and current row)
+  as tw from e),
+l as (select *, lag(tw) over (partition by uuid order by ts_us, event_id) as ptw from t)""", """
+select event_id, uuid, round(tw, 6) as trailing_weight, 'high_purchase_intent' as rule from l
+where tw >= 3 and (ptw is null or ptw < 3)"""))
+def q_stream_intent_trigger(spark, sf_dir):
+    env = I.envelopes(spark, sf_dir).select("event_id", "uuid", "event_type", "ts", "ingest_ts")
+    end = _marker_like(env, "ts", "uuid").withColumn("event_type", F.lit("add_to_cart"))
+    out = run_incremental(spark, "stream-trigger", env, lambda s: ST.stream_intent_trigger(s.drop("ingest_ts"), 3.0, 7, "3 hours"),
+                          ts="ingest_ts", marker=end)
+    r = spark.read.parquet(out).where((F.col("uuid") != MARKER) & ~F.col("late"))
+    return r.select("event_id", "uuid", round6("trailing_weight").alias("trailing_weight"), "rule")
+
+
 # ------------------------------------------------------------------ T9
 @register("stream_late_policy", duck_sql(["fx_envelope"], "", """
 select case when ingest_us - ts_us > 3600000000 then 'late' else 'main' end as side, event_id, uuid, ts_us, ingest_us from fx_envelope"""))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from footfall.operators import context as CX
 from footfall.operators.governance import filter_live
+from footfall.operators.graph import PURCHASE_INTENT
 from footfall.sources import lookups as L
 from footfall.streaming import ordered as O
 
@@ -162,21 +163,55 @@ RECENT_ITEM = ("array<struct<ts:bigint,cluster_count:double,avg_density:double,f
                "engagement:double,attention:double>>")
 
 
+def _frame_rows(frames: DataFrame) -> DataFrame:
+    """Frames as ordered rows, their metrics as JSON."""
+    metrics = [F.col(m).cast("double").alias(m) if m != "flow_direction" else F.col(m) for m in CX.METRICS]
+    item = F.to_json(F.struct(F.unix_micros("ts").alias("ts"), *metrics), {"ignoreNullFields": "false"})
+    return frames.select(F.col("billboard_id").alias("key"), "ts", F.lit(1).alias("kind"),
+                         F.lpad(F.col("frame_id").cast("string"), 20, "0").alias("id"), item.alias("payload"))
+
+
+def _figures(out: DataFrame, keep: list[str]) -> DataFrame:
+    """X2–X6 over the lists that came with ordered rows; late rows have none."""
+    listed = out.select(F.col("key").alias("billboard_id"), F.col("id").cast("bigint").alias("frame_id"), *keep,
+                        F.from_json("extra", RECENT_ITEM).alias("recent"))
+    ctx = CX.aggregate_context(listed).drop("recent")
+    own = ["billboard_id", "frame_id", *keep]
+    return ctx.select(*own, *[F.when(~F.col("late"), F.col(c)).alias(c) for c in ctx.columns if c not in own])
+
+
 def stream_recent_context(frames: DataFrame, delay: str = "1 minute") -> DataFrame:
     """X1–X6 per frame, in event-time order.  The state is the last 100
     frames of at most 30 s; the figures are the same expressions as in batch
     (``operators.context``) over the list that comes with each frame.  A frame
     behind the watermark comes out with ``late`` and no figures."""
-    item = F.to_json(F.struct(F.unix_micros("ts").alias("ts"), *[F.col(m).cast("double").alias(m) if m != "flow_direction" else F.col(m)
-                                                               for m in CX.METRICS]), {"ignoreNullFields": "false"})
-    rows = frames.select(F.col("billboard_id").alias("key"), "ts", F.lit(1).alias("kind"),
-                         F.lpad(F.col("frame_id").cast("string"), 20, "0").alias("id"), item.alias("payload"))
-    out = O.in_order(rows, O.Recent(100, 30_000_000), delay)
-    listed = out.select(F.col("key").alias("billboard_id"), F.col("id").cast("bigint").alias("frame_id"), "ts_us", "late",
-                        F.from_json("extra", RECENT_ITEM).alias("recent"))
-    ctx = CX.aggregate_context(listed).drop("recent")
-    figures = [c for c in ctx.columns if c not in ("billboard_id", "frame_id", "ts_us", "late")]
-    return ctx.select("billboard_id", "frame_id", "ts_us", "late", *[F.when(~F.col("late"), F.col(c)).alias(c) for c in figures])
+    return _figures(O.in_order(_frame_rows(frames), O.Recent(100, 30_000_000), delay), ["ts_us", "late"])
+
+
+def stream_context_snapshot(frames: DataFrame, every_s: int = 5, delay: str = "1 minute", quiet_s: int = 3600) -> DataFrame:
+    """X11 on a stream: the context of each billboard at the end of every tick
+    (``tick_us``), put out by a timer when the watermark has passed it.  A tick
+    without a frame repeats the last context (``repeated``), until ``quiet_s``
+    after the last frame.  Late frames come out with ``late`` and no figures."""
+    ticks = O.Ticks(100, 30_000_000, every_s * 1_000_000, quiet_s * 1_000_000)
+    out = O.in_order(_frame_rows(frames), ticks, delay)
+    out = out.withColumn("tick_us", F.col("ts_us")).withColumn("repeated", F.col("payload") == "repeated")
+    return _figures(out, ["tick_us", "repeated", "late"])
+
+
+def stream_intent_trigger(events: DataFrame, threshold: float = 3.0, window_days: int = 7, delay: str = "3 hours",
+                          weights: dict[str, float] | None = None, rule: str = "high_purchase_intent") -> DataFrame:
+    """G7 on a stream: event_id, uuid, ts_us, trailing_weight, rule, late; a row
+    only where a user's trailing weight crosses the threshold (and for events
+    behind the watermark, marked late).  The state per user is what is left of
+    the last ``window_days`` days."""
+    wmap = weights or PURCHASE_INTENT
+    weight = F.element_at(F.create_map(*[x for k, v in wmap.items() for x in (F.lit(k), F.lit(v))]), F.col("event_type"))
+    rows = events.where(F.col("event_type").isin(list(wmap))).select(
+        F.col("uuid").alias("key"), "ts", F.lit(1).alias("kind"), F.col("event_id").alias("id"), weight.cast("string").alias("payload"))
+    out = O.in_order(rows, O.Crossing(window_days * 86_400_000_000, threshold), delay)
+    return out.select(F.col("id").alias("event_id"), F.col("key").alias("uuid"), "ts_us",
+                      F.col("extra").cast("double").alias("trailing_weight"), F.lit(rule).alias("rule"), "late")
 
 
 # ------------------------------------------------------------------ T9, T10

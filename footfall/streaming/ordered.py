@@ -155,19 +155,95 @@ class Recent(InOrder):
     def __init__(self, most: int, horizon_us: int) -> None:
         self.most, self.horizon_us = most, horizon_us
 
-    def step(self, key, rows, passed_us):
+    def lists(self, rows: list[tuple]) -> list[str]:
+        """The list of each row as JSON; ``self.recent`` goes on to what the next row can reach."""
         if not rows:
-            return None
-        before = [tuple(r) for r in self.recall([])]
-        every = before + rows
-        ts = np.array([r[0] for r in every], np.int64)
+            return []
+        every = [tuple(r) for r in self.recent] + rows
+        ts, new = np.array([r[0] for r in every], np.int64), len(self.recent)
         place = np.arange(len(every))
         start = np.maximum(np.searchsorted(ts, ts - self.horizon_us, side="left"), place - self.most + 1)
-        lists = ["[" + ",".join(r[3] for r in every[a : i + 1]) + "]" for i, a in zip(place[len(before) :], start[len(before) :])]
         # The next frame can reach back no further than the last one's list, less its oldest if that is full.
-        keep = max(int(start[-1]), len(every) - self.most + 1)
-        self.remember(every[keep:])
-        return self.frame(key, [(r[0], r[2], r[3], x, False) for r, x in zip(rows, lists)])
+        self.recent = every[max(int(start[-1]), len(every) - self.most + 1) :]
+        return ["[" + ",".join(r[3] for r in every[a : i + 1]) + "]" for i, a in zip(place[new:], start[new:])]
+
+    def step(self, key, rows, passed_us):
+        if not rows:
+            return None
+        self.recent = self.recall([])
+        out = [(r[0], r[2], r[3], x, False) for r, x in zip(rows, self.lists(rows))]
+        self.remember(self.recent)
+        return self.frame(key, out)
+
+
+class Ticks(Recent):
+    """The list of :class:`Recent` as it stands at the end of every tick of ``every_us``.
+
+    A tick without a frame repeats the last one's list (payload ``repeated``),
+    woken by a timer, until ``quiet_us`` after the last frame; then the key is
+    silent until it sends again.  ``ts_us`` is the tick's end."""
+
+    def __init__(self, most: int, horizon_us: int, every_us: int, quiet_us: int) -> None:
+        super().__init__(most, horizon_us)
+        self.every_us, self.quiet_us = every_us, quiet_us
+
+    def step(self, key, rows, passed_us):
+        state = self.recall({"recent": [], "tick": None})
+        self.recent = state["recent"]
+        listed, out = self.lists(rows), []
+
+        def until(end):
+            """Puts out the open tick and its repeats that end at or before ``end``."""
+            while state["tick"] is not None and state["tick"] <= end:
+                if state["tick"] > state["last"] + self.quiet_us + self.every_us:
+                    state["tick"] = None
+                    break
+                out.append((state["tick"], state["id"], state["is"], state["list"], False))
+                state["tick"], state["is"] = state["tick"] + self.every_us, "repeated"
+
+        for row, text in zip(rows, listed):
+            end = (row[0] // self.every_us + 1) * self.every_us
+            until(end - self.every_us)
+            state.update({"tick": end, "last": row[0], "id": row[2], "is": "frame", "list": text})
+        until(passed_us)
+        if state["tick"] is not None:
+            self.wake(state["tick"])
+        state["recent"] = self.recent
+        self.remember(state)
+        return self.frame(key, out)
+
+
+class Crossing(InOrder):
+    """Rows of a key whose trailing weight of ``horizon_us`` reaches ``threshold`` while the row before was under it.
+
+    ``payload`` is a row's weight; ``extra`` of what comes out the trailing
+    weight, all rows of one time counted.  The state is a ring of the last
+    days' weights, a list per day; days behind the horizon are dropped."""
+
+    def __init__(self, horizon_us: int, threshold: float, day_us: int = 86_400_000_000) -> None:
+        self.horizon_us, self.threshold, self.day_us = horizon_us, threshold, day_us
+
+    def step(self, key, rows, passed_us):
+        if not rows:
+            return None
+        state = self.recall({"days": {}, "before": None})
+        days, before, out, i = state["days"], state["before"], [], 0
+        while i < len(rows):
+            ts, j = rows[i][0], i
+            while j < len(rows) and rows[j][0] == ts:
+                days.setdefault(str(ts // self.day_us), []).append([ts, float(rows[j][3])])
+                j += 1
+            oldest = ts - self.horizon_us
+            for day in [d for d in days if (int(d) + 1) * self.day_us <= oldest]:
+                del days[day]
+            weight = sum(w for of in days.values() for t, w in of if t > oldest)
+            for row in rows[i:j]:
+                if weight >= self.threshold and (before is None or before < self.threshold):
+                    out.append((ts, row[2], row[3], repr(weight), False))
+                before = weight
+            i = j
+        self.remember({"days": days, "before": before})
+        return self.frame(key, out)
 
 
 def in_order(rows: DataFrame, processor: StatefulProcessor, delay: str, salts: int = 1) -> DataFrame:
