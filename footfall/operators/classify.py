@@ -232,7 +232,8 @@ def error_rollup(df: DataFrame, approx: bool = False) -> DataFrame:
 def map_type(df: DataFrame) -> DataFrame:
     """C14: one ``map_interaction`` with an interaction type becomes
     map_move / map_zoom / map_filter / map_center (unknown -> map_move);
-    centre, zoom and bounds are flattened."""
+    centre, zoom, the four bounds and the applied filters (an array; an
+    absent or malformed list is empty) are flattened."""
     ctx = F.col("context")
     kind = F.lower(ctx["interaction_type"])
     return df.withColumn("map_event", F.when(kind.isin(*MAP_KINDS), F.concat(F.lit("map_"), kind))
@@ -241,7 +242,11 @@ def map_type(df: DataFrame) -> DataFrame:
         .withColumn("center_lat", ctx["center_lat"].try_cast("double")) \
         .withColumn("center_lng", ctx["center_lng"].try_cast("double")) \
         .withColumn("bounds_north", F.get_json_object(ctx["visible_bounds"], "$.north").try_cast("double")) \
-        .withColumn("bounds_south", F.get_json_object(ctx["visible_bounds"], "$.south").try_cast("double"))
+        .withColumn("bounds_south", F.get_json_object(ctx["visible_bounds"], "$.south").try_cast("double")) \
+        .withColumn("bounds_east", F.get_json_object(ctx["visible_bounds"], "$.east").try_cast("double")) \
+        .withColumn("bounds_west", F.get_json_object(ctx["visible_bounds"], "$.west").try_cast("double")) \
+        .withColumn("filters_applied", F.coalesce(F.from_json(ctx["filters_applied"], "array<string>"),
+                                                  F.array().cast("array<string>")))
 
 
 def tag_fields(df: DataFrame) -> DataFrame:

@@ -172,6 +172,7 @@ TYPED_SPEC: dict[str, list[tuple[str, str]]] = {
     "promise_rejection": [("error_message", "string"), ("page_url", "string")],
     "page_performance": [("dns_lookup", "double"), ("tcp_connection", "double"), ("server_response", "double"),
                          ("dom_processing", "double"), ("page_load", "double"), ("navigation_type", "string")],
+    "content_view": [("content_id", "string"), ("content_type", "string"), ("content_name", "string")],
     "screen_view": [("screen_name", "string")],
     "button_tap": [("button_title", "string"), ("button_text", "string")],
     "view_venue": [("venue_id", "string"), ("venue_name", "string"), ("category", "string"),

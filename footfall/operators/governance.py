@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from footfall.operators.asof import asof_last
+from footfall.operators.envelope import TYPED_SPEC
 from footfall.sources import lookups as L
 
 EMAIL_RE = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
@@ -15,7 +16,13 @@ PHONE_RE = r"\+?[0-9][0-9 ().-]{7,}[0-9]"
 # Form context keys that describe structure (values are never sent)
 FORM_KEYS = ["form_id", "form_action", "form_method", "field_count", "form_name", "action_type", "page_url",
              "field_types"]
+# Keys of free text, of addresses, of search text, and the parts of an address that carry input
 TEXT_KEYS = ["element_text", "text", "button_text", "button_title", "label", "link_text"]
+URL_KEYS = ["url", "referrer", "page_url", "link_url", "element_href", "download_url", "video_src", "form_action"]
+QUERY_KEYS = ["search_query", "search_partial"]
+DROPPED_KEYS = ["search", "hash"]
+#: Keys that any family may send.
+COMMON_KEYS = [*TEXT_KEYS, "category", "entity_id", "venue_id", "utm_source", "field_count", *QUERY_KEYS]
 
 
 def filter_live(df: DataFrame, as_of: Column, ts_col: str = "ts", ttl_col: str = "ttl") -> DataFrame:
@@ -81,9 +88,10 @@ def dedup(df: DataFrame, key: str = "event_id", ingest_col: str = "ingest_ts") -
 
     ``row_number() = 1`` is planned with a window-group limit: each task keeps
     one row per id before the shuffle, so a retry storm on one id ships one row
-    per task and every row is carried once.  Ties go by the other columns.
+    per task and every row is carried once.  Ties go by the other columns, maps by a hash of their text.
     """
-    cols = [c for c in df.columns if c not in (key, ingest_col) and _orderable(df, c)]
+    others = [c for c in df.columns if c not in (key, ingest_col)]
+    cols = [F.col(c) for c in others if _orderable(df, c)] + [F.xxhash64(F.to_json(c)) for c in others if not _orderable(df, c)]
     w = Window.partitionBy(key).orderBy(ingest_col, *cols)
     return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn").select(key, *[c for c in df.columns if c != key])
 
@@ -137,17 +145,42 @@ def privacy_project(frames: DataFrame, mode: Column, demographics_on: Column | b
 
 # ---------------------------------------------------------------- PII
 def redact_pii(df: DataFrame, salt: str = "", max_text: int = 100) -> DataFrame:
-    """Form events keep structure keys only (never field values);
-    free-text values are cut to 100 characters with e-mail addresses and
-    phone numbers masked; search text is replaced by a keyed hash."""
+    """Only keys that the event's family sends are kept (its typed view's
+    keys and ``COMMON_KEYS``), each by its kind; an unknown key, or any key of
+    an unknown family, does not pass.
+
+    * form events keep structure keys only (never field values);
+    * numbers and flags must be numbers and flags;
+    * search text is replaced by a keyed hash;
+    * addresses lose query and fragment, a page's own query and fragment
+      (``search``, ``hash``) are dropped;
+    * every other text is cut to ``max_text`` characters with e-mail addresses
+      and phone numbers masked."""
+    def among(k, names):
+        return F.array_contains(F.array(*[F.lit(x) for x in sorted(names)]), k)
+
     ctx = F.col("context")
     is_form = F.col("event_type").isin("form_interaction", "form_submit")
-    form_only = F.map_filter(ctx, lambda k, v: F.array_contains(F.array(*[F.lit(x) for x in FORM_KEYS]), k))
-    masked = F.transform_values(
-        ctx, lambda k, v: F.when(F.array_contains(F.array(*[F.lit(x) for x in TEXT_KEYS]), k),
-                                 F.substring(F.regexp_replace(F.regexp_replace(v, EMAIL_RE, "[email]"),
-                                                              PHONE_RE, "[phone]"), 1, max_text))
-        .when(k.isin("search_query", "search_partial"), F.concat(F.lit("q:"), F.substring(
-            F.sha2(F.concat(F.lit(salt), F.lower(F.trim(v))), 256), 1, 16)))
-        .otherwise(v))
-    return df.withColumn("context", F.when(is_form, form_only).otherwise(masked))
+    form_only = F.map_filter(ctx, lambda k, v: among(k, FORM_KEYS))
+    own = {f: [n for names, _t in spec for n in names.split("|")] for f, spec in TYPED_SPEC.items()}
+    family = F.create_map(*[x for f, names in own.items() for x in (F.lit(f), F.array(*[F.lit(n) for n in names]))])
+    of_family = F.coalesce(F.get(F.array(family), F.lit(0))[F.col("event_type")], F.array().cast("array<string>"))
+    kinds: dict[str, set[str]] = {}
+    for spec in TYPED_SPEC.values():
+        for names, kind in spec:
+            for n in names.split("|"):
+                kinds.setdefault(n, set()).add(kind)
+    flags = [n for n, k in kinds.items() if k == {"boolean"}]
+    numbers = [n for n, k in kinds.items() if k <= {"int", "bigint", "double"}]
+
+    def masked(v):
+        return F.substring(F.regexp_replace(F.regexp_replace(v, EMAIL_RE, "[email]"), PHONE_RE, "[phone]"), 1, max_text)
+
+    known = F.map_filter(ctx, lambda k, v: (among(k, COMMON_KEYS) | F.array_contains(of_family, k)) & ~among(k, DROPPED_KEYS))
+    clean = F.transform_values(known, lambda k, v: F.when(among(k, numbers), F.when(v.try_cast("double").isNotNull(), v))
+                               .when(among(k, flags), F.when(v.try_cast("boolean").isNotNull(), v))
+                               .when(among(k, QUERY_KEYS), F.concat(F.lit("q:"), F.substring(
+                                   F.sha2(F.concat(F.lit(salt), F.lower(F.trim(v))), 256), 1, 16)))
+                               .when(among(k, URL_KEYS), masked(F.regexp_extract(v, "^[^?#]*", 0)))
+                               .otherwise(masked(v)))
+    return df.withColumn("context", F.when(is_form, form_only).otherwise(clean))

@@ -258,6 +258,24 @@ def q_map_interaction(spark, sf_dir):
     return CL.map_type(env).select("event_id", "map_event", "zoom_level", "center_lat", "center_lng")
 
 
+@register("map_bounds", duck_sql(["fx_envelope"], "", """
+select event_id, 41e0 as bounds_north, 39e0 as bounds_south, -73e0 + k % 3 as bounds_east, case when k % 5 <> 0 then -75e0 end as bounds_west,
+  case k % 4 when 0 then '' when 1 then category when 2 then category || '|open now' else '' end as filters
+from fx_envelope where event_type = 'map_move'"""))
+def q_map_bounds(spark, sf_dir):
+    """All four bounds (west now and then missing) and the applied filters: none, one, two, or no list at all."""
+    env, k = I.envelopes(spark, sf_dir).where(F.col("event_type") == "map_move"), F.col("k")
+    bounds = F.to_json(F.struct(F.lit(41.0).alias("north"), F.lit(39.0).alias("south"), (F.lit(-73.0) + k % 3).alias("east"),
+                                F.when(k % 5 != 0, F.lit(-75.0)).alias("west")))
+    quoted = F.concat(F.lit('["'), F.col("context")["category"], F.lit('"'))
+    filters = F.when(k % 4 == 0, "[]").when(k % 4 == 1, F.concat(quoted, F.lit("]"))) \
+        .when(k % 4 == 2, F.concat(quoted, F.lit(',"open now"]'))).otherwise("not a list")
+    more = F.create_map(F.lit("visible_bounds"), bounds, F.lit("filters_applied"), filters)
+    m = CL.map_type(env.withColumn("context", F.map_concat("context", more)))
+    return m.select("event_id", "bounds_north", "bounds_south", "bounds_east", "bounds_west",
+                    F.array_join("filters_applied", "|").alias("filters"))
+
+
 @register("tag_interaction", duck_sql(["fx_envelope"], "", """
 select event_id, 'tag_' || category as tag_id, case when k % 2 = 0 then category else 'tag_' || category end as tag_name,
   case when k % 2 = 0 then 'genre' end as tag_category from fx_envelope where event_type = 'tag_interaction'"""))

@@ -9,6 +9,7 @@ from footfall.operators import geometry as GM
 from footfall.plans import inputs as I
 from footfall.plans.registry import register
 from footfall.sources import fixtures as fx
+from footfall.sources import lookups as L
 from footfall.sources.fixtures import duck_sql
 
 DUCK_VALID = """fv as (select frame_id, arg_min({'x': x, 'y': y, 'z': z}, {'a': o1, 'b': o2, 'c': o3}) as p
@@ -126,6 +127,17 @@ select frame_id, round({_CIRC}, 6) as avg_direction, {_CARD.format(d=_CIRC)} as
     _flow_q(True))
 
 
+@register("filter_points_by_sensor", duck_sql(["fx_point"], """
+p as (select *, case frame_id % 6 when 0 then 10e0 when 1 then 20e0 when 2 then 120e0 when 3 then 50e0 when 4 then 20e0 else 50e0 end as r,
+  case frame_id % 6 when 4 then 360e0 else 40e0 end as fov from fx_point)""", """
+select frame_id, o1, o2, o3 from p where sqrt(x * x + y * y + z * z) between 0.5 and r and abs(degrees(atan2(y, x))) <= fov / 2"""))
+def q_filter_points_by_sensor(spark, sf_dir):
+    """Points of frames of five kinds of sensors and one unknown, each with its own limits."""
+    names = F.array(*[F.lit(n) for n in (*L.SENSORS, "unknown")])
+    pts = fx.fx_point(spark, sf_dir).withColumn("sensor", F.element_at(names, (F.col("frame_id") % 6 + 1).cast("int")))
+    return GM.filter_points(pts, *L.sensor_limits(F.col("sensor"))).select("frame_id", "o1", "o2", "o3")
+
+
 @register("movements_from_tracks", duck_sql(["fx_detection"], """
 t as (select frame_id as track_id, o1, o2, o3, x, y, lag(x) over w as px, lag(y) over w as py
   from fx_detection window w as (partition by frame_id order by o1, o2, o3))""", """

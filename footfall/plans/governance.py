@@ -133,6 +133,29 @@ def q_redact_context(spark, sf_dir):
         ctx["element_text"].alias("element_text"), ctx["field_count"].alias("field_count"))
 
 
+@register("redact_allowlist", duck_sql(["fx_envelope"], "", """
+select event_id,
+  case when k % 3 = 0 then 'https://x.test/p' end as url, case when k % 3 = 0 then 'About [email]' end as title,
+  case when k % 3 = 0 then 'https://from.test/a' end as referrer,
+  case when k % 3 = 1 then 'call [phone]' end as error_message, case when k % 3 = 1 then cast(k % 50 as varchar) end as error_line,
+  category, cast(case k % 3 when 0 then 4 when 1 then 3 else 1 end as integer) as n_keys from fx_envelope"""))
+def q_redact_allowlist(spark, sf_dir):
+    """Page views, script errors and an unknown family, all with the same context: keys of other families, unknown
+    keys, an address's query, and text where a number belongs do not pass."""
+    env, k = I.envelopes(spark, sf_dir), F.col("k")
+    mail, phone = "joe@example.com", "+1 555 0100 2345"
+    sent = {"url": f"https://x.test/p?mail={mail}#top", "title": f"About {mail}", "referrer": f"https://from.test/a?tel={phone}",
+            "search": f"?q={mail}", "hash": f"#{mail}", "error_message": f"call {phone}", "secret_note": f"{mail} wrote"}
+    ctx = F.create_map(*[F.lit(x) for kv in sent.items() for x in kv], F.lit("error_line"), (k % 50).cast("string"),
+                       F.lit("error_column"), F.lit(mail), F.lit("category"), F.col("context")["category"])
+    family = F.when(k % 3 == 0, "view_content").when(k % 3 == 1, "javascript_error").otherwise("made_up_family")
+    out = GV.redact_pii(env.withColumn("event_type", family).withColumn("context", ctx)).withColumn(
+        "context", F.map_filter("context", lambda n, v: v.isNotNull()))
+    c = F.col("context")
+    return out.select("event_id", *[c[x].alias(x) for x in ("url", "title", "referrer", "error_message", "error_line", "category")],
+                      F.size("context").alias("n_keys"))
+
+
 @register("pseudonymise", duck_sql(["fx_envelope"], "", """
 select event_id, concat('anon-', sha256(concat('salt-1', uuid))) as anon_key from fx_envelope"""))
 def q_pseudonymise(spark, sf_dir):

@@ -152,6 +152,16 @@ def q_normalize_envelope(spark, sf_dir):
                     F.array_join("tags", ",").alias("tags_csv"), "ts_suspect")
 
 
+@register("device_clock", duck_sql(["fx_envelope"], "", """
+select event_id, case when platform = 'android' and k % 2 = 0 then ts_us - 19800000000 else ts_us end as ts_us,
+  platform = 'android' and k % 2 <> 0 as ts_suspect from fx_envelope"""))
+def q_device_clock(spark, sf_dir):
+    """Android stamps are local time; half of the devices tell their zone (five and a half hours east)."""
+    env = I.envelopes(spark, sf_dir).withColumn("ts_suspect", F.col("platform") == "android") \
+        .withColumn("device_tz", F.when(F.col("k") % 2 == 0, "Asia/Kolkata"))
+    return EV.fix_device_clock(env).select("event_id", US("ts").alias("ts_us"), "ts_suspect")
+
+
 @register("entity_id", duck_sql(["fx_envelope"], "", """
 select event_id, coalesce(nullif(case k % 4 when 0 then '' when 1 then null else entity_id end, ''),
   nullif(case k % 3 when 0 then '' else 'v' || cast(k as varchar) end, ''), nullif('e' || cast(k as varchar), ''))

@@ -7,7 +7,7 @@ Fixed values (must equal the client code's constants):
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 DAY = 24 * 60 * 60
@@ -92,6 +92,14 @@ WEATHER_FACTORS = {
 # default configuration: max range 50, fov 40
 DEFAULT_MAX_RANGE = 50.0
 DEFAULT_FOV = 40.0
+# intel_realsense_d435 10 m · intel_realsense_d455 20 m · ouster_os1 120 m · ouster_os0 50 m · hesai_pandar_qt 20 m, 360 deg
+SENSORS = {
+    "intel_realsense_d435": (10.0, DEFAULT_FOV),
+    "intel_realsense_d455": (20.0, DEFAULT_FOV),
+    "ouster_os1": (120.0, DEFAULT_FOV),
+    "ouster_os0": (50.0, DEFAULT_FOV),
+    "hesai_pandar_qt": (20.0, 360.0),
+}
 
 # ---- Fixed values: content schedule (pos, id, priority, minCrowd, maxCrowd,
 # minEngagement, lowEngagement, timeOfDay, revenue, duration ms) ------------
@@ -115,44 +123,10 @@ CONTENT_SCHEMA = (
 REVENUE_PER_IMPRESSION = 150
 
 
-def ttl_table(spark: SparkSession) -> DataFrame:
-    rows = [(fam, et, days * DAY) for fam, m in TTL_DAYS.items() for et, days in m.items()]
-    return spark.createDataFrame(rows, "family string, event_type string, ttl int")
-
-
-def edge_weight_table(spark: SparkSession) -> DataFrame:
-    rows = [(et, rel, tt, w) for et, (rel, tt, w) in EDGE_RELATIONS.items()]
-    return spark.createDataFrame(rows, "event_type string, relation string, target_type string, weight double")
-
-
-def privacy_mode_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(PRIVACY_RETENTION_S.items()), "mode string, retention_s int")
-
-
-def weather_table(spark: SparkSession) -> DataFrame:
-    rows = [(k, *v) for k, v in WEATHER_FACTORS.items()]
-    return spark.createDataFrame(
-        rows, "condition string, crowd_multiplier double, dwell_multiplier double, engagement_bonus double"
-    )
-
-
-def content_catalogue(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(CONTENT_SCHEDULE, CONTENT_SCHEMA)
-
-
-def event_type_table(spark: SparkSession) -> DataFrame:
-    names = sorted(set(CORE_EVENT_TYPES) | set(NODE_EVENT_TYPES))
-    rows = [(n, n in CORE_EVENT_TYPES, n in NODE_EVENT_TYPES) for n in names]
-    return spark.createDataFrame(rows, "event_type string, in_core boolean, in_node boolean")
-
+def sensor_limits(sensor: Column) -> tuple[Column, Column]:
+    """(max range, field of view) of a sensor name column; an unknown sensor has the default ones."""
+    def pick(i):
+        table = F.create_map(*[F.lit(x) for name, limits in SENSORS.items() for x in (name, limits[i])])
+        return F.coalesce(table[sensor], F.lit((DEFAULT_MAX_RANGE, DEFAULT_FOV)[i]))
 
-def lookup_tables(spark: SparkSession) -> dict[str, DataFrame]:
-    """All literal dimensions, each wrapped in ``broadcast`` (bounded size)."""
-    return {
-        "ttl": F.broadcast(ttl_table(spark)),
-        "edge_weights": F.broadcast(edge_weight_table(spark)),
-        "privacy_modes": F.broadcast(privacy_mode_table(spark)),
-        "weather": F.broadcast(weather_table(spark)),
-        "content": F.broadcast(content_catalogue(spark)),
-        "event_types": F.broadcast(event_type_table(spark)),
-    }
+    return pick(0), pick(1)
