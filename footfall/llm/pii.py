@@ -25,14 +25,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from footfall.llm.common import SPANS
 from footfall.llm.crf import Adam, best_path, forward_backward
 
 KINDS = ["email", "ip", "card", "phone"]
 WIDTH, STRIDE = 64, 32
-#: The training sample: so many documents with an anchor, and so many windows of them.
-SAMPLE_DOCS, SAMPLE_WINDOWS = 400, 1200
+#: The training sample: different texts (for each kind an equal part of texts that may hold it, one part of others),
+#: windows of each of them, and windows in all, again the same for every kind and for none.
+SAMPLE_DOCS, TEXT_WINDOWS, SAMPLE_WINDOWS = 1000, 32, 1200
+#: What a text that may hold a kind looks like, for the choice of the sample.
+HINTS = {"email": r"\S@\S", "ip": r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]", "card": r"(?:[0-9][ -]?){13}[0-9]", "phone": r"\+[0-9]"}
 EMBED, HIDDEN, BATCH, EPOCHS, RATE = 12, 20, 48, 14, 0.012
 #: Windows decoded at once.
 DECODE = 512
@@ -271,7 +275,7 @@ def plausible(kind: str, text: str) -> bool:
     if kind == "ip":
         return text.count(".") == 3 and 4 <= n <= 12 and n + 3 == len(text)
     if kind == "card":
-        return 13 <= n <= 19 and n >= len(text) - 6
+        return 13 <= n <= 19 and n >= len(text) - 6 and luhn(digits_of(text))
     return 9 <= n <= 15 and re.fullmatch(r"[+(0-9][\x20().0-9/-]*[0-9]", text) is not None
 
 
@@ -333,27 +337,69 @@ def find(model: dict[str, np.ndarray], texts: list[str]) -> list[list[tuple[int,
 
 # ---- on Spark
 
+def sampled_texts(docs: DataFrame, n_docs: int) -> list[int]:
+    """Hashes of the sampled texts: for each hint, and for texts without any, the n_docs / 5 smallest.
+
+    A task keeps that many hashes of each and nothing else, so no text is sent anywhere.
+    """
+    share = max(n_docs // (len(KINDS) + 1), 1)
+
+    def smallest(batches):
+        held = [np.zeros(0, np.int64) for _ in range(len(KINDS) + 1)]
+        for batch in batches:
+            h = batch.column(0).to_numpy()
+            flags = np.column_stack([batch.column(1 + i).to_numpy(zero_copy_only=False) for i in range(len(KINDS))])
+            for i, hit in enumerate([*flags.T, ~flags.any(axis=1)]):
+                held[i] = np.unique(np.concatenate([held[i], h[hit.astype(bool)]]))[:share]
+        for i, own in enumerate(held):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), i, np.int32)), pa.array(own)], ["part", "h"])
+
+    text = F.col("text").cast("string")
+    rows = docs.filter(text.rlike("[0-9@]")).select(F.xxhash64(text).alias("h"), *[text.rlike(HINTS[k]).alias(k) for k in KINDS])
+    parts = rows.mapInArrow(smallest, "part int, h long").distinct()
+    order = Window.partitionBy("part").orderBy("h")
+    chosen = parts.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= share).select("h").distinct()
+    return sorted(r.h for r in chosen.collect())
+
+
 def training_windows(docs: DataFrame, n_docs: int = SAMPLE_DOCS, n_windows: int = SAMPLE_WINDOWS) -> tuple[np.ndarray, np.ndarray]:
-    """Code windows and labels from the base spans of a bounded sample of documents with an anchor.
+    """Code windows and labels from the base spans of a bounded sample of different texts.
 
-    The sample goes by a hash of the text, so it is the same in every run.
+    The sample goes by hashes of the texts, so it is the same in every run.
+    Of a text TEXT_WINDOWS windows count, those with a span first; equal
+    texts count once.
     """
 
     def cut(batches):
+        seen = set()
         for batch in batches:
-            xs, ys = [], []
-            for text in batch.column(0).to_pylist():
+            out = []
+            for h, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if h in seen:
+                    continue
+                seen.add(h)
                 c = codes(text)
                 starts = window_starts(c)
-                xs.append(windows(c, starts))
-                ys.append(windows(labels_of(len(c), base_spans(text)), starts))
-            x, y = np.concatenate(xs), np.concatenate(ys)
-            yield pa.RecordBatch.from_arrays([pa.array(list(x.astype(np.uint8).view(np.int8))), pa.array(list(y.astype(np.int8)))], ["x", "y"])
-
-    texts = docs.select(F.col("text").cast("string")).filter(F.col("text").rlike("[0-9@]")).orderBy(F.xxhash64("text"), "text").limit(n_docs)
-    rows = texts.mapInArrow(cut, "x array<byte>, y array<byte>").limit(n_windows).toArrow()
-    x = np.array(rows.column(0).to_pylist(), np.int8).reshape(-1, WIDTH).view(np.uint8).astype(np.int64)
-    return x, np.array(rows.column(1).to_pylist(), np.int64).reshape(-1, WIDTH)
+                x, y = windows(c, starts), windows(labels_of(len(c), base_spans(text)), starts)
+                mixed = np.random.default_rng(h & (2**63 - 1)).permutation(len(starts))
+                own = mixed[np.argsort(~(y[mixed] > 0).any(axis=1), kind="stable")][:TEXT_WINDOWS]
+                out += [(h, int(k), x[k].astype(np.uint8).tobytes(), y[k].astype(np.int8).tobytes()) for k in own]
+            h, k, x, y = zip(*out) if out else ((),) * 4
+            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(k, pa.int64()), pa.array(x, pa.binary()), pa.array(y, pa.binary())], ["h", "k", "x", "y"])
+
+    text = F.col("text").cast("string")
+    rows = docs.select(F.xxhash64(text).alias("h"), text.alias("text")).filter(F.col("h").isin(sampled_texts(docs, n_docs)) & text.isNotNull())
+    # At most n_docs * TEXT_WINDOWS different rows.
+    found = rows.mapInArrow(cut, "h long, k long, x binary, y binary").groupBy("h", "k").agg(F.first("x").alias("x"), F.first("y").alias("y")).collect()
+    found = sorted((r.h, r.k, bytes(r.x), bytes(r.y)) for r in found)
+    x = np.array([np.frombuffer(r[2], np.uint8) for r in found], np.int64).reshape(-1, WIDTH)
+    y = np.array([np.frombuffer(r[3], np.int8) for r in found], np.int64).reshape(-1, WIDTH)
+    share, taken = n_windows // (len(KINDS) + 1), np.zeros(len(x), bool)
+    for kind in [*range(len(KINDS)), None]:
+        hit = ((y + 1) // 2 == kind + 1).any(axis=1) if kind is not None else ~(y > 0).any(axis=1)
+        taken[np.flatnonzero(hit & ~taken)[:share]] = True
+    taken[np.flatnonzero(~taken)[: n_windows - int(taken.sum())]] = True
+    return x[taken], y[taken]
 
 
 def fit(docs: DataFrame) -> dict[str, np.ndarray]:

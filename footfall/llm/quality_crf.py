@@ -12,6 +12,8 @@ numpy.  Neither labels nor any column but the text enters a score.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -21,7 +23,8 @@ from footfall.llm.common import row_groups, utf8_column
 from footfall.llm.crf import Adam, forward_backward
 from footfall.llm.words import word_bounds, word_hashes
 
-#: The training sample: documents of each class, and lines of each of them.
+#: The training sample: documents of each class, and of a longer one a run of so many lines, which begins anywhere in
+#: the text (by a hash of its id).
 SAMPLE_DOCS, SAMPLE_LINES = 1000, 400
 EPOCHS, BATCH, RATE, DECAY = 40, 100, 0.05, 1e-4
 THRESHOLD = 0.3
@@ -160,6 +163,12 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
 
+def sampled_run(lines: np.ndarray, doc_id: int) -> np.ndarray:
+    """All lines, or SAMPLE_LINES in a row from a place that a hash of the id picks among all."""
+    start = zlib.crc32(str(doc_id).encode()) % max(len(lines) - SAMPLE_LINES + 1, 1)
+    return lines[start : start + SAMPLE_LINES]
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> dict[str, np.ndarray]:
     """Trains on at most SAMPLE_DOCS documents of each class that are not held out, taken by a hash of the id."""
     own = labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int")).filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").alias("quality"))
@@ -173,7 +182,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict[str, np.ndarray]:
             for a, b in row_groups(np.diff(offsets), BATCH_BYTES):
                 features, _, text = line_features(data, offsets[a : b + 1])
                 cuts = np.searchsorted(text, np.arange(b - a + 1))
-                lines = [features[x : min(y, x + SAMPLE_LINES)] for x, y in zip(cuts, cuts[1:])]
+                lines = [sampled_run(features[x:y], i) for x, y, i in zip(cuts, cuts[1:], batch.column(1).slice(a, b - a).to_pylist())]
                 flat = pa.array([x.ravel() for x in lines], pa.list_(pa.float32()))
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), batch.column(2).slice(a, b - a), flat], ["doc_id", "quality", "features"])
 

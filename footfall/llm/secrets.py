@@ -4,8 +4,8 @@ A document is scanned for secrets; then every layer that can be unwrapped from
 it (URL escapes, Unicode escapes, base64, and compressed data inside base64)
 goes on a worklist, is scanned the same way and unwrapped in turn, until
 nothing new appears.  Each layer text is unwrapped once in a document, which
-ends cycles.  Every character of a layer knows the range of the text around it
-that it came from, so spans found in a layer are carried outwards through every
+ends cycles.  Every run of a layer's characters knows the range of the text around
+it that it came from, so spans found in a layer are carried outwards through every
 place where its text occurs, and reported in document offsets.
 
 Decoded bytes are read as UTF-8 and, where they hold a zero byte, as UTF-16 too;
@@ -22,6 +22,7 @@ import binascii
 import bz2
 import re
 import zlib
+from bisect import bisect_right
 from itertools import accumulate
 
 import pyarrow as pa
@@ -60,27 +61,49 @@ def secrets_in(text: str) -> list[tuple[str, int, int]]:
 
 
 class Layer:
-    """A text and, for each of its characters, the document range it came from (None: itself)."""
+    """A text and the document ranges that its characters came from, a run of characters at a time.
 
-    def __init__(self, text: str, ranges: list[tuple[int, int]] | None = None):
-        self.text, self.ranges = text, ranges
+    ``runs``: (start, a, b, own) in order.  With ``own`` the run's characters are
+    those from ``a`` on, one by one; otherwise each came from all of [a, b).
+    None: the text is its own.  A layer of any length that came from one place
+    is one run.
+    """
+
+    def __init__(self, text: str, runs: list[tuple[int, int, int, bool]] | None = None):
+        self.text, self.runs = text, runs
+        self.starts = [r[0] for r in runs] if runs is not None else None
 
     def place(self, start: int, end: int) -> tuple[int, int]:
-        if self.ranges is None:
+        if self.runs is None:
             return start, end
-        own = self.ranges[start:end]
-        return min(r[0] for r in own), max(r[1] for r in own)
+        k = max(bisect_right(self.starts, start) - 1, 0)
+        low, high = [], []
+        while k < len(self.runs) and (self.starts[k] < end or not low):
+            at, a, b, own = self.runs[k]
+            stop = self.starts[k + 1] if k + 1 < len(self.runs) else len(self.text)
+            low.append(a + max(start, at) - at if own else a)
+            high.append(a + min(end, stop) - at if own else b)
+            k += 1
+        return min(low), max(high)
 
     def rewritten(self, parts: list[tuple[int, int, str]]) -> "Layer":
-        """This layer with the ranges of ``parts`` replaced; replaced characters come from their whole range."""
-        text, ranges, at = [], [], 0
+        """This layer, which is its own, with the ranges of ``parts`` replaced; replaced characters come from their whole range."""
+        text, runs, at, size = [], [], 0, 0
         for start, end, new in parts:
+            if at < start:
+                runs.append((size, at, start, True))
+            if new:
+                runs.append((size + start - at, start, end, False))
             text += [self.text[at:start], new]
-            ranges += [self.place(i, i + 1) for i in range(at, start)] + [self.place(start, end)] * len(new)
-            at = end
+            size, at = size + start - at + len(new), end
         text.append(self.text[at:])
-        ranges += [self.place(i, i + 1) for i in range(at, len(self.text))]
-        return Layer("".join(text), ranges)
+        if at < len(self.text):
+            runs.append((size, at, len(self.text), True))
+        return Layer("".join(text), runs)
+
+
+def from_one_place(text: str, place: tuple[int, int]) -> Layer:
+    return Layer(text, [(0, *place, False)])
 
 
 def readings(data: bytes) -> list[str]:
@@ -146,10 +169,10 @@ def from_lines(layer: Layer, start: int, end: int) -> list[Layer]:
         for n, text in enumerate(readings(data)):
             if not ENOUGH.search(text):
                 continue
-            ranges = [(min(p[0] for p in places[first:]), max(p[1] for p in places[first:]))] * len(text)
+            runs = [(0, min(p[0] for p in places[first:]), max(p[1] for p in places[first:]), False)]
             if data is raw and n == 0:  # each character comes from the lines that its own bytes stand in
-                ranges, byte, line = [], 0, first
-                for c in text:
+                runs, byte, line = [], 0, first
+                for k, c in enumerate(text):
                     low = at + byte // 3 * 4 + byte % 3
                     byte += width(c)
                     high = at + (byte - 1) // 3 * 4 + (byte - 1) % 3 + 1
@@ -158,8 +181,10 @@ def from_lines(layer: Layer, start: int, end: int) -> list[Layer]:
                     last = line
                     while ends[last] <= high:
                         last += 1
-                    ranges.append((min(p[0] for p in places[line : last + 1]), max(p[1] for p in places[line : last + 1])))
-            out.append(Layer(text, ranges))
+                    own = min(p[0] for p in places[line : last + 1]), max(p[1] for p in places[line : last + 1])
+                    if not runs or runs[-1][1:3] != own:
+                        runs.append((k, *own, False))
+            out.append(Layer(text, runs))
     return out
 
 
@@ -170,7 +195,7 @@ def unwrapped(layer: Layer) -> list[Layer]:
         runs = [(*m.span(), readings(binascii.unhexlify(m[0].replace("%", "")))) for m in URL_ESCAPE.finditer(text)]
         if runs:
             out.append(layer.rewritten([(a, b, new[0]) for a, b, new in runs]))
-        out += [Layer(x, [layer.place(a, b)] * len(x)) for a, b, new in runs for x in new[1:] if ENOUGH.search(x)]
+        out += [from_one_place(x, layer.place(a, b)) for a, b, new in runs for x in new[1:] if ENOUGH.search(x)]
     if "\\" in text:
         codes = [(*m.span(), int(m[1] or m[2] or m[3], 16)) for m in UNICODE_ESCAPE.finditer(text)]
         parts = [(a, b, chr(c)) for a, b, c in codes if c < 0x110000 and not 0xD800 <= c < 0xE000]
@@ -179,7 +204,7 @@ def unwrapped(layer: Layer) -> list[Layer]:
     for m in BASE64.finditer(text):
         for inner in readings(unpacked(from_base64(m[0]))):
             if ENOUGH.search(inner):
-                out.append(Layer(inner, [layer.place(*m.span())] * len(inner)))
+                out.append(from_one_place(inner, layer.place(*m.span())))
     if "\n" in text:
         for m in WRAPPED.finditer(text):
             out += from_lines(layer, *m.span())

@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 
 from footfall.llm.common import row_groups, utf8_column, worker_cache
 
-BATCH_BYTES, CACHE_WORDS = 1 << 20, 500_000
+BATCH_BYTES = 1 << 20
+#: Words whose counts a worker remembers, none longer than CACHE_WORD_BYTES: some 100 MB at most.
+CACHE_WORDS, CACHE_WORD_BYTES = 500_000, 64
 WORD_START = b" "
 
 
@@ -121,10 +123,14 @@ def token_counts(docs: DataFrame, vocabulary: str) -> DataFrame:
                     try:
                         total = sum(map(known.__getitem__, words))
                     except KeyError:
+                        total = 0
                         for w in words:
-                            if w not in known:
-                                known[w] = automaton.count(WORD_START + w)
-                        total = sum(map(known.__getitem__, words))
+                            n = known.get(w)
+                            if n is None:
+                                n = automaton.count(WORD_START + w)
+                                if len(w) <= CACHE_WORD_BYTES:
+                                    known[w] = n
+                            total += n
                     n_words.append(len(words))
                     n_tokens.append(total)
             sizes = pa.array(np.diff(offsets))

@@ -3,6 +3,7 @@
 import base64
 import gzip
 import hashlib
+import random
 import re
 
 import numpy as np
@@ -144,14 +145,53 @@ def test_model_learns_held_out_windows(spark):
     cut = len(x) * 3 // 4
     tags = pii.decode(pii.trained(x[:cut], y[:cut]), x[cut:])
     right, kind = tags == y[cut:], (y[cut:] - 1) // 2
-    for k in ("email", "ip", "phone"):
+    for k in pii.KINDS:
         assert right[(y[cut:] > 0) & (kind == pii.KINDS.index(k))].mean() > 0.9, k
-    # Cards can't be learned: numbers of the same shape that fail the checksum are labelled 0,
-    # so the model leaves such numbers to the base finder (0.10 of card characters, 0.77 over all kinds).
-    assert right[(y[cut:] > 0) & (kind == pii.KINDS.index("card"))].mean() < 0.9
     assert (tags > 0)[y[cut:] == 0].mean() < 0.02
 
 
+def test_sample_of_different_texts(spark):
+    """Many copies of one text, one long text and no text at all: equal texts count once, a text gives a bounded part."""
+    many = [(i, "call +44 20 7946 0958 now") for i in range(300)] + [(500, "at 10.0.0.7 and a@b.cd, " * 3000)] + [(600 + i, f"mail u{i}@x.org") for i in range(40)] + [(900, None), (901, "")]
+    docs = spark.createDataFrame(many, "doc_id long, text string").repartition(4)
+    x, y = pii.training_windows(docs)
+    assert len(x) == 1 + pii.TEXT_WINDOWS + 40 and len(x) == len(y)
+    assert len(pii.training_windows(docs.limit(0))[0]) == 0
+
+
+def test_layer_runs_equal_a_range_per_character():
+    rng = random.Random(6)
+    for _ in range(200):
+        text = "".join(rng.choice("ab%41%42cd") for _ in range(30))
+        parts = [(*m.span(), chr(int(m[0][1:3], 16))) for m in re.finditer("%4[12]", text)]
+        layer, own, at = secrets.Layer(text).rewritten(parts), [], 0
+        for a, b, new in parts:
+            own += [(i, i + 1) for i in range(at, a)] + [(a, b)] * len(new)
+            at = b
+        own += [(i, i + 1) for i in range(at, len(text))]
+        for _ in range(20):
+            a = rng.randrange(len(layer.text))
+            b = rng.randrange(a + 1, len(layer.text) + 1)
+            assert layer.place(a, b) == (min(r[0] for r in own[a:b]), max(r[1] for r in own[a:b]))
+
+
+def test_long_words_are_counted_but_not_remembered(spark):
+    from footfall.llm import token_count
+    from footfall.llm.queries import vocabulary
+
+    rows = [(i, f"{'x' * 100}{i} short {'é' * 60}") for i in range(50)]
+    got = [tuple(r) for r in token_count.token_counts(spark.createDataFrame(rows, "doc_id long, text string"), vocabulary()).collect()]
+    automaton = token_count.LongestMatch(token_count.vocabulary_bytes(vocabulary()))
+    assert got == [(i, len(t.encode()), 3, sum(automaton.count(b" " + w) for w in t.encode().split())) for i, t in rows]
+
+
+def test_sampled_lines_lie_anywhere():
+    lines = np.arange(5000)
+    starts = [int(quality_crf.sampled_run(lines, i)[0]) for i in range(200)]
+    assert min(starts) < 800 and max(starts) > 3800 and len(set(starts)) > 150
+    assert len(quality_crf.sampled_run(lines, 3)) == quality_crf.SAMPLE_LINES and len(quality_crf.sampled_run(lines[:7], 3)) == 7
+
+
 def test_windows_without_an_anchor_cannot_matter():
     c = pii.codes("a" * 200 + "7" + "b" * 200)
     starts = pii.window_starts(c)
