@@ -4,12 +4,14 @@ Frame metrics arrive as rows ``(billboard_id, frame_id, ts, cluster_count,
 avg_density, flow_direction, dwell_avg, engagement, attention)``.
 
 X1's window ("the last 100 frames that are at most 30 s old") is not a SQL
-frame; it is a bounded ``collect_list`` over ``rowsBetween(-99, 0)``
-followed by a time filter.  To keep a billboard with a large share of the
-frames from landing in one task, time is cut into chunks (default 1 h) and
-the last 30 s of each chunk are copied into the next one as read-only
-context: every frame then sees exactly the rows it would see in one global
-window, and each (billboard, chunk) is its own window partition.
+frame.  It is one of two: the last 100 rows where the 100th row back is still
+within 30 s, else the range of the last 30 s.  :func:`recent_context` takes
+both as plain window aggregates and picks per row; only :func:`recent_frames`,
+whose result is the list itself, collects one.  To keep a billboard with a
+large share of the frames from landing in one task, time is cut into chunks
+(default 1 h) and the last 30 s of each chunk are copied into the next one as
+read-only context: every frame then sees exactly the rows it would see in one
+global window, and each (billboard, chunk) is its own window partition.
 """
 
 from __future__ import annotations
@@ -25,6 +27,9 @@ from footfall.functions.timeparts import TOD_DENSITY, dow0_of_us, hour_of_us, lo
 
 METRICS = ("cluster_count", "avg_density", "flow_direction", "dwell_avg", "engagement", "attention")
 SUMMED = ("cluster_count", "avg_density", "dwell_avg", "engagement", "attention")
+CONTEXT_COLUMNS = ("n_recent", "ctx_cluster_count", "ctx_avg_density", "ctx_flow_direction", "ctx_dwell_avg", "ctx_engagement",
+                   "ctx_attention", "crowd_trend", "density_trend", "engagement_trend", "stability", "peak_crowd", "peak_ratio",
+                   "is_peak", "peak_ts")
 DIRECTION_VALUES = ["north", "northeast", "east", "southeast", "south", "southwest", "west", "northwest", "unknown"]
 
 # History window kinds (duration s, slide s)
@@ -38,28 +43,27 @@ def _z(c: Column) -> Column:
 
 
 # ------------------------------------------------------------------ X1
+def _chunked(frames: DataFrame, ts: str, chunk_us: int, hz_us: int) -> DataFrame:
+    """Frames with their time chunk, each chunk with a copy of the last ``hz_us`` of the one before (``_own`` false)."""
+    us = F.unix_micros(F.col(ts))
+    chunk = F.floor(us / F.lit(chunk_us)).cast("bigint")
+    own = frames.withColumn("_chunk", chunk).withColumn("_own", F.lit(True))
+    tail = frames.where(us - F.floor(us / F.lit(chunk_us)) * F.lit(chunk_us) >= F.lit(chunk_us - hz_us)) \
+        .withColumn("_chunk", chunk + 1).withColumn("_own", F.lit(False))
+    return own.unionByName(tail)
+
+
 def recent_frames(frames: DataFrame, key: str = "billboard_id", ts: str = "ts", tie: str = "frame_id",
                   max_frames: int = 100, horizon_s: int = 30, chunk_s: int = 3600) -> DataFrame:
     """Adds ``recent`` = array of the frame's window (oldest first),
     each element ``struct(ts, cluster_count, avg_density, flow_direction,
     dwell_avg, engagement, attention)``."""
-    us = F.unix_micros(F.col(ts))
     chunk_us, hz_us = chunk_s * 1_000_000, horizon_s * 1_000_000
-    chunk = F.floor(us / F.lit(chunk_us)).cast("bigint")
-    own = frames.withColumn("_chunk", chunk).withColumn("_own", F.lit(True))
-    tail = frames.where(us - F.floor(us / F.lit(chunk_us)) * F.lit(chunk_us) >= F.lit(chunk_us - hz_us)) \
-        .withColumn("_chunk", chunk + 1).withColumn("_own", F.lit(False))
-    u = own.unionByName(tail)
     w = Window.partitionBy(key, "_chunk").orderBy(ts, tie).rowsBetween(-(max_frames - 1), 0)
-    item = F.struct(F.col(ts).alias("ts"), *[F.col(m) for m in METRICS])
-    hist = F.collect_list(item).over(w)
+    hist = F.collect_list(F.struct(F.col(ts).alias("ts"), *[F.col(m) for m in METRICS])).over(w)
     cutoff = F.unix_micros(F.col(ts)) - F.lit(hz_us)
-    # the same frame's row count and left-to-right sums: when the time filter
-    # keeps the whole frame (the usual case at sensor rates) they equal the
-    # fold over ``recent`` exactly and spare the interpreted lambda
-    sums = F.struct(*[F.sum(_z(F.col(m))).over(w).alias(m) for m in SUMMED])
-    return u.select("*", F.filter(hist, lambda h: F.unix_micros(h["ts"]) >= cutoff).alias("recent"),
-                    F.count(F.lit(1)).over(w).alias("_frame_n"), sums.alias("_frame_sums")) \
+    return _chunked(frames, ts, chunk_us, hz_us) \
+        .select("*", F.filter(hist, lambda h: F.unix_micros(h["ts"]) >= cutoff).alias("recent")) \
         .where("_own").drop("_own", "_chunk")
 
 
@@ -81,76 +85,154 @@ def _trend_of(n: Column, a1: Column, a2: Column) -> Column:
     )
 
 
-def aggregate_context(df: DataFrame, arr: str = "recent") -> DataFrame:
-    """X2–X6 over the window array: averages (clusterCount JS-rounded),
-    dominant flow, trends, stability and peaks.
+_TRENDED = ("cluster_count", "avg_density", "engagement")
+_STATE = ("_n", "_s", "_h1", "_h2", "_ss", "_flow", "_flows", "_peak", "_peak_ts")
+
+
+def _context_columns(df: DataFrame) -> DataFrame:
+    """X2–X6 from the state of a frame's window: size ``_n``, sums ``_s``, sums of its older and newer half ``_h1`` and
+    ``_h2``, summed squared deviations ``_ss``, dominant direction ``_flow``, number of directions ``_flows``, largest
+    cluster count ``_peak`` and its first time ``_peak_ts``."""
+    n = F.col("_n")
+    half = F.floor(n / 2)
+    mean_cc, mean_dn = F.col("_s.cluster_count") / n, F.col("_s.avg_density") / n
+
+    def stab(mean, squares):
+        coef = F.when(mean > 0, F.sqrt(squares / n) / mean).otherwise(F.lit(1.0))
+        return F.greatest(F.lit(0.0), F.lit(1.0) - coef)
 
-    The array is bounded (<= 100 frames).  Lambdas are interpreted, so the
-    work is arranged in few passes: one fold for all five sums, one per
-    trend half, one for both variances; the mode counts use the compiled
-    ``array_remove`` per distinct value."""
+    stab_flow = F.lit(1.0) - (F.col("_flows") - 1) / F.greatest(n - 1, F.lit(1))
+    overall = (stab(mean_cc, F.col("_ss.cc")) + stab(mean_dn, F.col("_ss.dn")) + stab_flow) / 3
+    stability = (
+        F.when(n < 3, F.lit("unknown")).when(overall > 0.8, "very_stable").when(overall > 0.6, "stable")
+        .when(overall > 0.4, "moderate").when(overall > 0.2, "unstable").otherwise("very_unstable")
+    )
+    peak = F.col("_peak")
+
+    def tr(f):
+        return _trend_of(n, F.col(f"_h1.{f}") / half, F.col(f"_h2.{f}") / (n - half))
+
+    return df.withColumns({
+        "n_recent": n.cast("int"),
+        "ctx_cluster_count": js_round(mean_cc),
+        "ctx_avg_density": mean_dn,
+        "ctx_flow_direction": F.coalesce(F.col("_flow"), F.lit("unknown")),
+        "ctx_dwell_avg": F.col("_s.dwell_avg") / n,
+        "ctx_engagement": F.col("_s.engagement") / n,
+        "ctx_attention": F.col("_s.attention") / n,
+        "crowd_trend": tr("cluster_count"),
+        "density_trend": tr("avg_density"),
+        "engagement_trend": tr("engagement"),
+        "stability": stability,
+        "peak_crowd": F.when(n >= 5, peak),
+        "peak_ratio": F.when(n >= 5, F.when(mean_cc > 0, peak / mean_cc).otherwise(F.lit(1.0))),
+        "is_peak": F.when(n >= 5, peak > mean_cc * 1.5),
+        "peak_ts": F.when(n >= 5, F.col("_peak_ts")),
+    }).drop(*_STATE)
+
+
+def aggregate_context(df: DataFrame, arr: str = "recent") -> DataFrame:
+    """X2–X6 over a window array (<= 100 frames), as streams hold it:
+    averages (clusterCount JS-rounded), dominant flow, trends, stability and
+    peaks.  A table takes :func:`recent_context`, which makes no array."""
     a = F.col(arr)
     n = F.size(a)
     half = F.floor(n / 2).cast("int")
-    metrics = ("cluster_count", "avg_density", "dwell_avg", "engagement", "attention")
-    trended = ("cluster_count", "avg_density", "engagement")
-    folded = _sums(a, metrics)
-    if "_frame_n" in df.columns:
-        folded = F.when(n == F.col("_frame_n"), F.col("_frame_sums")).otherwise(folded)
-    out = df.withColumn("_n", n).withColumn("_s", folded) \
-        .withColumn("_h1", _sums(F.slice(a, F.lit(1), half), trended)) \
-        .withColumn("_h2", _sums(F.slice(a, half + 1, n - half), trended)) \
+    out = df.withColumn("_n", n).withColumn("_s", _sums(a, SUMMED)) \
+        .withColumn("_h1", _sums(F.slice(a, F.lit(1), half), _TRENDED)) \
+        .withColumn("_h2", _sums(F.slice(a, half + 1, n - half), _TRENDED)) \
         .withColumn("_dirs", F.transform(a, lambda x: F.coalesce(x["flow_direction"], F.lit("unknown")))) \
         .withColumn("_ccs", F.transform(a, lambda x: _z(x["cluster_count"])))
-    nn = F.col("_n")
-    mean_cc, mean_dn = F.col("_s.cluster_count") / nn, F.col("_s.avg_density") / nn
-    out = out.withColumn("_var", F.aggregate(
+    mean_cc, mean_dn = F.col("_s.cluster_count") / F.col("_n"), F.col("_s.avg_density") / F.col("_n")
+    squares = F.aggregate(
         a, F.struct(F.lit(0.0).alias("cc"), F.lit(0.0).alias("dn")),
         lambda acc, x: F.struct((acc["cc"] + (_z(x["cluster_count"]) - mean_cc) * (_z(x["cluster_count"]) - mean_cc))
                                 .alias("cc"),
                                 (acc["dn"] + (_z(x["avg_density"]) - mean_dn) * (_z(x["avg_density"]) - mean_dn))
-                                .alias("dn"))))
-
-    def stab(mean, var):
-        coef = F.when(mean > 0, F.sqrt(var / nn) / mean).otherwise(F.lit(1.0))
-        return F.greatest(F.lit(0.0), F.lit(1.0) - coef)
-
+                                .alias("dn")))
     dirs = F.col("_dirs")
     best = F.array_max(F.transform(F.array_distinct(dirs), lambda v: F.struct(
-        (nn - F.size(F.array_remove(dirs, v))).alias("c"), F.array_position(dirs, v).alias("p"), v.alias("v"))))
-    n_flow = F.size(F.array_distinct(F.transform(a, lambda x: x["flow_direction"])))
-    stab_flow = F.lit(1.0) - (n_flow - 1) / F.greatest(nn - 1, F.lit(1))
-    overall = (stab(mean_cc, F.col("_var.cc")) + stab(mean_dn, F.col("_var.dn")) + stab_flow) / 3
-    stability = (
-        F.when(nn < 3, F.lit("unknown")).when(overall > 0.8, "very_stable").when(overall > 0.6, "stable")
-        .when(overall > 0.4, "moderate").when(overall > 0.2, "unstable").otherwise("very_unstable")
-    )
-    peak = F.array_max("_ccs")
-
-    def tr(f):
-        return _trend_of(nn, F.col(f"_h1.{f}") / half, F.col(f"_h2.{f}") / (nn - half))
-
-    return out.withColumn("n_recent", nn) \
-        .withColumn("ctx_cluster_count", js_round(mean_cc)) \
-        .withColumn("ctx_avg_density", mean_dn) \
-        .withColumn("ctx_flow_direction", F.coalesce(best["v"], F.lit("unknown"))) \
-        .withColumn("ctx_dwell_avg", F.col("_s.dwell_avg") / nn) \
-        .withColumn("ctx_engagement", F.col("_s.engagement") / nn) \
-        .withColumn("ctx_attention", F.col("_s.attention") / nn) \
-        .withColumn("crowd_trend", tr("cluster_count")) \
-        .withColumn("density_trend", tr("avg_density")) \
-        .withColumn("engagement_trend", tr("engagement")) \
-        .withColumn("stability", stability) \
-        .withColumn("peak_crowd", F.when(nn >= 5, peak)) \
-        .withColumn("peak_ratio", F.when(nn >= 5, F.when(mean_cc > 0, peak / mean_cc).otherwise(F.lit(1.0)))) \
-        .withColumn("is_peak", F.when(nn >= 5, peak > mean_cc * 1.5)) \
-        .withColumn("peak_ts", F.when(nn >= 5, F.element_at(a, F.array_position("_ccs", peak).cast("int"))["ts"])) \
-        .drop("_n", "_s", "_h1", "_h2", "_dirs", "_ccs", "_var", "_frame_n", "_frame_sums")
-
-
-def recent_context(frames: DataFrame, **kw) -> DataFrame:
-    """X1 + X2–X6 in one call."""
-    return aggregate_context(recent_frames(frames, **kw)).drop("recent")
+        (F.col("_n") - F.size(F.array_remove(dirs, v))).alias("c"), F.array_position(dirs, v).alias("p"), v.alias("v"))))
+    out = out.withColumn("_ss", squares).withColumn("_flow", best["v"]) \
+        .withColumn("_flows", F.size(F.array_distinct(F.transform(a, lambda x: x["flow_direction"])))) \
+        .withColumn("_peak", F.array_max("_ccs")) \
+        .withColumn("_peak_ts", F.element_at(a, F.array_position("_ccs", F.col("_peak")).cast("int"))["ts"])
+    return _context_columns(out).drop("_dirs", "_ccs")
+
+
+def _window_state(w, pos: str, us: str) -> Column:
+    """The state of a frame's window as one struct of aggregates over ``w``; ``pos`` numbers the rows.  Of each
+    direction it keeps the count and the first place; a direction that the sensors don't name counts as unknown."""
+    flow = F.col("flow_direction")
+    known = F.when(flow.isin(DIRECTION_VALUES), flow).otherwise(F.lit("unknown"))
+    cc = _z(F.col("cluster_count"))
+    first_peak = F.max(F.struct(cc.alias("v"), (-F.col(us)).alias("t"))).over(w)
+    best = F.array_max(F.array(*[F.struct(F.count_if(known == d).over(w).alias("c"),
+                                          F.min(F.when(known == d, F.col(pos))).over(w).alias("p"),
+                                          F.lit(d).alias("v")) for d in DIRECTION_VALUES]))
+    named = [F.count_if(known == d).over(w) > 0 for d in DIRECTION_VALUES if d != "unknown"]
+    others = [F.count_if(flow.isNotNull() & (known == "unknown")).over(w) > 0, F.count_if(flow.isNull()).over(w) > 0]
+    flows = sum((c.cast("int") for c in named + others), F.lit(0))
+    n = F.count(F.lit(1)).over(w)
+    return F.struct(
+        n.alias("n"),
+        F.struct(*[F.sum(_z(F.col(m))).over(w).alias(m) for m in SUMMED]).alias("s"),
+        F.struct((F.var_pop(cc).over(w) * n).alias("cc"),
+                 (F.var_pop(_z(F.col("avg_density"))).over(w) * n).alias("dn")).alias("ss"),
+        best["v"].alias("flow"), flows.alias("flows"), first_peak["v"].alias("peak"),
+        F.timestamp_micros(-first_peak["t"]).alias("peak_ts"))
+
+
+def recent_context(frames: DataFrame, key: str = "billboard_id", ts: str = "ts", tie: str = "frame_id",
+                   max_frames: int = 100, horizon_s: int = 30, chunk_s: int = 3600) -> DataFrame:
+    """X1 + X2–X6: each frame with the context of its window.
+
+    A row is *full* if the row ``max_frames - 1`` back is within the horizon:
+    its window is a rows frame, whose halves are rows frames too.  The window of
+    any other row is a range frame, over a place that orders time and tie in one
+    number: rows of one microsecond are ``2 * step`` away from the next one's and
+    lie within ``step`` of each other, so a range of the horizon plus almost one
+    step holds the first microsecond whole and nothing before it (``step`` leaves
+    room for 6e8 equal times per chunk of an hour).  Rows that no range needs,
+    those with ``max_frames - 1`` full rows after them and full themselves, are
+    set apart one by one, so a sensor of any rate costs ``max_frames`` updates a
+    row.  Only the halves of a range, whose border differs from row to row, are
+    folded from a list of three numbers per frame.
+
+    One shuffle on (billboard, chunk) serves all of it.  Nulls count 0 and an
+    unknown direction; equal (ts, tie) rows come in any order; no rows give none."""
+    chunk_us, hz_us = chunk_s * 1_000_000, horizon_s * 1_000_000
+    step = 2 ** 61 // (chunk_us + hz_us)
+    part = Window.partitionBy(key, "_chunk")
+    seq = part.orderBy("_us", tie)
+    peers = Window.partitionBy(key, "_chunk", "_us").orderBy(tie)
+    late_half = max_frames - max_frames // 2
+
+    def halves(lo, hi):
+        w = seq.rowsBetween(lo, hi)
+        return F.struct(*[F.sum(_z(F.col(m))).over(w).alias(m) for m in _TRENDED])
+
+    since = F.col("_us") - F.col("_chunk") * F.lit(chunk_us) + F.lit(hz_us)
+    u = _chunked(frames, ts, chunk_us, hz_us).withColumn("_us", F.unix_micros(F.col(ts))) \
+        .withColumn("_place", since * F.lit(2 * step) + F.row_number().over(peers)) \
+        .withColumn("_pos", F.row_number().over(seq)) \
+        .withColumn("_full", F.coalesce(F.lag("_us", max_frames - 1).over(seq) >= F.col("_us") - F.lit(hz_us), F.lit(False))) \
+        .select("*", _window_state(seq.rowsBetween(-(max_frames - 1), 0), "_pos", "_us").alias("_rows"),
+                halves(-(max_frames - 1), -late_half).alias("_rows_h1"), halves(-(late_half - 1), 0).alias("_rows_h2"),
+                F.min("_full").over(seq.rowsBetween(0, max_frames - 1)).alias("_spare")) \
+        .withColumn("_group", F.when(F.col("_spare"), F.col("_pos")).otherwise(F.lit(0)))
+    ranged = Window.partitionBy(key, "_chunk", "_group").orderBy("_place") \
+        .rangeBetween(-(2 * step * hz_us + step - 1), 0)
+    numbers = F.collect_list(F.struct(*[_z(F.col(m)).alias(m) for m in _TRENDED])).over(ranged)
+    u = u.select("*", _window_state(ranged, "_pos", "_us").alias("_range"), numbers.alias("_list")).where("_own")
+
+    full, a = F.col("_full"), F.col("_list")
+    half = F.floor(F.size(a) / 2).cast("int")
+    state = {f"_{f}": F.when(full, F.col(f"_rows.{f}")).otherwise(F.col(f"_range.{f}"))
+             for f in ("n", "s", "ss", "flow", "flows", "peak", "peak_ts")}
+    state["_h1"] = F.when(full, F.col("_rows_h1")).otherwise(_sums(F.slice(a, F.lit(1), half), _TRENDED))
+    state["_h2"] = F.when(full, F.col("_rows_h2")).otherwise(_sums(F.slice(a, half + 1, F.size(a) - half), _TRENDED))
+    return _context_columns(u.withColumns(state)).select(*frames.columns, *CONTEXT_COLUMNS)
 
 
 # ------------------------------------------------------------------ X7

@@ -138,7 +138,15 @@ def _register_rc(name, cols, extra_sql="", extra_spark=()):
     register(name, sql)(q)
 
 
-_register_rc("recent_frames", ("n_recent",))
+
+@register("recent_frames", duck_sql(["fx_base", "fx_frame"], duck_recent("ts_us"), """
+select frame_id, n_recent from rc"""))
+def q_recent_frames(spark, sf_dir):
+    """The window as a list."""
+    r = CX.recent_frames(frames_on(spark, sf_dir, "ts_us"))
+    return r.select("frame_id", F.size("recent").cast("bigint").alias("n_recent"))
+
+
 _register_rc("context_aggregate", ("n_recent", "ctx_cluster_count", "ctx_avg_density", "ctx_dwell_avg",
                                    "ctx_engagement", "ctx_attention"))
 _register_rc("dominant_flow", ("ctx_flow_direction",))

@@ -84,6 +84,33 @@ def test_recent_window_matches_model(spark):
     assert got == model_context(frames)
 
 
+def test_context_by_frames_equals_context_by_lists(spark):
+    """Bursts, gaps, equal times, nulls, repeated rows and a window size that is odd: every column is the same from
+    window aggregates as from the collected list."""
+    rnd = random.Random(29)
+    rows, t = [], 0.0
+    for i in range(900):
+        t += rnd.choice([0.0, 0.0, 0.000001, 0.3, 1.0, 29.999999, 30.0] if i % 450 < 120 else [0.0, 0.01, 0.1])
+        null = rnd.random() < 0.1
+        rows.append((rnd.choice(["a", "b"]), i, ts(round(t, 6)), None if null else rnd.randint(0, 9),
+                     rnd.choice([None, 0.0, 0.25, 0.5]), rnd.choice([None, "unknown", "north", "east"]),
+                     1.0, None if null else 0.5, 0.25))
+    df = spark.createDataFrame(rows, "billboard_id string, frame_id bigint, ts timestamp, cluster_count bigint, "
+                                     "avg_density double, flow_direction string, dwell_avg double, engagement double, "
+                                     "attention double")
+    for size, chunk in ((100, 3600), (7, 60), (2, 60)):
+        frames = CX.recent_context(df, max_frames=size, chunk_s=chunk)
+        lists = CX.aggregate_context(CX.recent_frames(df, max_frames=size, chunk_s=chunk)).select(frames.columns)
+        by_id = {r["frame_id"]: r for r in lists.collect()}
+        got = frames.collect()
+        assert len(got) == len(by_id) == 900
+        assert {r["n_recent"] == size for r in got} == {True, False}
+        for r in got:
+            for name, a, b in zip(frames.columns, r, by_id[r["frame_id"]]):
+                assert a == b or isinstance(a, float) and math.isclose(a, b, abs_tol=1e-9), (size, r["frame_id"], name, a, b)
+    assert CX.recent_context(df.limit(0)).count() == 0
+
+
 def test_chunked_range_equals_global_window(spark):
     from pyspark.sql.window import Window
 
