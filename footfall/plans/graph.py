@@ -10,6 +10,7 @@ from footfall.operators.governance import filter_live
 from footfall.plans.inputs import AS_OF_US, DUCK_TTL, as_of, envelopes
 from footfall.plans.inputs import DUCK_SESSION as I_SESSION
 from footfall.plans.registry import register
+from footfall.session import scratch_path
 from footfall.sources.fixtures import duck_sql
 
 US = F.unix_micros
@@ -241,6 +242,30 @@ def q_lookalike(spark, sf_dir):
     return lk.select("uuid", round6("similarity").alias("similarity"))
 
 
+@register("lookalike_signatures", duck_sql(["fx_envelope"], _SCORES + """,
+seeds as (select distinct uuid from fx_envelope where event_type = 'purchase' and amount > 200),
+ss as (select * from sc where uuid in (select uuid from seeds)),
+planes as (select category, i, bit_count(cast('0x' || substr(md5(i || ':' || coalesce('c:' || category, 'n')), 1, 15) as bigint)) - 30 as w
+  from (select distinct category from sc), range(128) r(i)),
+sums as (select uuid, i, sum(cast(round(score * 1e9) as bigint) * w) >= 0 as side
+  from sc join planes using (category) group by uuid, i),
+mean_sums as (select i, sum(cast(round(score * 1e9) as bigint) * w) >= 0 as side from ss join planes using (category) group by i),
+alike as (select distinct uuid from (select uuid from sums join mean_sums using (i)
+  group by uuid, i // 8 having bool_and(sums.side = mean_sums.side))),
+mean as (select category, sum(score) / (select count(distinct uuid) from ss) as m from ss group by category),
+cand as (select * from sc where uuid not in (select uuid from seeds) and uuid in (select uuid from alike)),
+dots as (select c.uuid, sum(c.score * coalesce(m.m, 0)) as dot, sqrt(sum(c.score * c.score)) as nu
+  from cand c left join mean m on m.category = c.category group by c.uuid)""", """
+select uuid, round(dot / (nu * (select sqrt(sum(m * m)) from mean)), 6) as similarity from dots
+order by dot / (nu * (select sqrt(sum(m * m)) from mean)) desc, uuid limit 10"""))
+def q_lookalike_signatures(spark, sf_dir):
+    env = envelopes(spark, sf_dir)
+    seeds = env.where((F.col("event_type") == "purchase") & (F.col("context")["amount"].cast("double") > 200))
+    scores = scores_df(spark, sf_dir)
+    index = G.signature_index(G.category_signatures(scores), scratch_path(spark, "signatures"))
+    return G.lookalike_by_signature(scores, seeds, index, 10).select("uuid", round6("similarity").alias("similarity"))
+
+
 _HOURS = ", ".join(f'count(*) filter (where hr = {h}) as "{h}"' for h in range(24))
 
 
