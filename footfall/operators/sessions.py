@@ -1,9 +1,9 @@
 """Sessions, lifecycle spans, page flow, playback intervals,
 completion and the half-step EWMA.
 
-Ordered work inside a user / device / session uses ``prev_row`` and
-``asof_last`` (lag and last-value windows cut into time buckets with a
-carry-in), so one very active key is still spread over many tasks."""
+Ordered work inside a user / device / session uses lag and last-value windows
+cut into time buckets with a carry-in (``prev_row``, ``next_row``, the buckets of
+``sessionize``), so one very active key is still spread over many tasks."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from footfall.functions.jsmath import exact_sum, truthy_num
-from footfall.operators.asof import asof_last, next_row, prev_row
+from footfall.operators.asof import DEFAULT_BUCKET_US, next_row, prev_row
 
 
 def session_summary(df: DataFrame, page: Column | None = None) -> DataFrame:
@@ -37,16 +37,32 @@ def session_summary(df: DataFrame, page: Column | None = None) -> DataFrame:
 def sessionize(df: DataFrame, gap_s: int = 1800, key: str = "uuid") -> DataFrame:
     """W2 (gap is our parameter): a new session starts when the previous
     event of the user is ``gap_s`` or more earlier (as session windows do).  ``gap_session_id`` =
-    user + start micros."""
-    p = prev_row(df, key, "ts", ["ts", "event_id"], ["ts"])
-    start = F.col("prev_ts").isNull() | (
-        (F.unix_micros("ts") - F.unix_micros("prev_ts")) >= F.lit(gap_s * 1_000_000))
-    flagged = p.withColumn("_start", F.when(start, F.col("ts")))
-    s = asof_last(flagged, key, "ts", ["ts", "event_id"], {"_sess": F.col("_start")})
-    return s.withColumn("gap_session_id", F.concat(F.col(key), F.lit("#"),
-                                                   F.unix_micros("_sess").cast("string"))) \
+    user + start micros.
+
+    One pass over (user, time bucket) partitions: a bucket is summed up by its
+    first and last time and the last start inside it (plain numbers), which is all
+    that the buckets after it need.  Whether a bucket's first row starts a
+    session, and which session it goes on with, comes from the summaries before it."""
+    gap, us = F.lit(gap_s * 1_000_000), F.unix_micros("ts")
+    w = Window.partitionBy(key, "_bkt").orderBy("ts", "event_id")
+    b = df.withColumn("_bkt", F.floor(us / F.lit(DEFAULT_BUCKET_US)).cast("bigint")).withColumn("_prev", F.lag(us).over(w))
+    wk = Window.partitionBy(key).orderBy("_bkt")
+    opened = F.col("_before").isNull() | (F.col("_first") - F.col("_before") >= gap)
+    carry = b.groupBy(key, "_bkt").agg(F.min(us).alias("_first"), F.max(us).alias("_last"),
+                                       F.max(F.when(us - F.col("_prev") >= gap, us)).alias("_inner")) \
+        .withColumn("_before", F.lag("_last").over(wk)) \
+        .withColumn("_own", F.coalesce("_inner", F.when(opened, F.col("_first")))) \
+        .select(key, "_bkt", "_before",
+                F.max("_own").over(wk.rowsBetween(Window.unboundedPreceding, -1)).alias("_carry"))
+    before = F.coalesce("_prev", "_before")
+    start = F.when(before.isNull() | (us - before >= gap), us)
+    # Starts rise in time order, so the largest so far is the last.
+    running = F.max("_start").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return b.join(carry, [key, "_bkt"], "left").withColumn("_start", start) \
+        .withColumn("gap_session_id", F.concat(F.col(key), F.lit("#"),
+                                               F.coalesce(running, F.col("_carry")).cast("string"))) \
         .withColumn("is_session_start", F.col("_start").isNotNull()) \
-        .drop("prev_ts", "_start", "_sess", "_sess_ts")
+        .drop("_bkt", "_prev", "_before", "_carry", "_start")
 
 
 FG = ("app_open", "app_foreground")
