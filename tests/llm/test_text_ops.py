@@ -54,6 +54,20 @@ def test_rule_order_never_changes_the_verdict(spark):
     assert quality_rules.keep_good(rows).count() == quality_rules.quality_features(rows).filter("kept").count()
 
 
+def test_rules_go_by_rejections_per_cost():
+    found = {"dear": (10, 0.5), "cheap": (10, 0.01), "cheap2": (9, 0.011), "dear_idle": (0, 0.4), "idle": (0, 0.01), "best": (900, 0.02)}
+    assert quality_rules.by_rate(found) == ["best", "cheap", "cheap2", "dear", "idle", "dear_idle"]
+
+
+def test_a_dear_rule_never_precedes_a_cheap_one_that_rejects_as_much(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").withColumn("w", quality_rules.words(F.col("text")))
+    rows = rows.cache()
+    dear = quality_rules.n_repeat_words(F.col("w")) >= 0
+    for _ in range(2):
+        assert quality_rules.by_rate(quality_rules.measured(rows, {"dear": dear, "cheap": F.size("w") >= 0})) == ["cheap", "dear"]
+    rows.unpersist()
+
+
 def test_word_hashes_follow_words():
     data = np.frombuffer("Foo foo  bar\x0bFOO ñ Ñ".encode(), np.uint8)
     s, e = words.word_bounds(data, np.array([0, len(data)]))
@@ -279,6 +293,37 @@ def test_secret_cycles_end():
     assert any(s[0] == "assign" for s in secrets.scan(deep))
 
 
+@pytest.mark.parametrize("sep", ["\n", " "])
+def test_secrets_in_long_streams(monkeypatch, sep):
+    import bz2
+    import zlib
+
+    monkeypatch.setattr(secrets, "WHOLE", 5000)
+    monkeypatch.setattr(secrets, "OVERLAP", 300)
+    rng = random.Random(3)
+    packs = [gzip.compress, bz2.compress, zlib.compress, lambda b: bz2.compress(zlib.compress(gzip.compress(b))), lambda b: gzip.compress(b[:7000]) + gzip.compress(b[7000:])]
+    for pack in packs:
+        for at in (0, 499, 500, 2000, 4000):
+            w = ["".join(rng.choice("abcdefghij") for _ in range(9)) for _ in range(4000)]
+            raw = sep.join([*w[:at], SECRET, *w[at:]]).encode()
+            pieces = list(secrets.opened(pack(raw)))
+            assert len(pieces) > 8 and max(map(len, pieces)) <= 5000 and all(p in raw for p in pieces)
+            text = f"see {base64.b64encode(pack(raw)).decode()} end"
+            assert ("assign", 4, len(text) - 4, False) in secrets.scan(text)
+
+
+def test_secret_streams_keep_memory_bounded():
+    import resource
+    import zlib
+
+    packer = zlib.compressobj(9, wbits=31)
+    packed = b"".join([packer.compress(bytes(1 << 24)) for _ in range(12)]) + packer.compress(SECRET.encode()) + packer.flush()
+    text = f"see {base64.b64encode(packed).decode()}"
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    assert ("assign", 4, len(text), False) in secrets.scan(text)
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 150_000  # kilobytes; 192 MB unpacked
+
+
 def test_secret_base_rows(spark):
     pats = {"assign": r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", "access": "AKIA[A-Z0-9]+", "hex": "[0-9a-f]+"}
     keep = {"assign": lambda m: len(m[2]) >= 12, "access": lambda m: len(m[0]) >= 18, "hex": lambda m: len(m[0]) >= 16}
