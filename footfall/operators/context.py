@@ -4,12 +4,10 @@ Frame metrics arrive as rows ``(billboard_id, frame_id, ts, cluster_count,
 avg_density, flow_direction, dwell_avg, engagement, attention)``.
 
 X1's window ("the last 100 frames that are at most 30 s old") is not a SQL
-frame.  It is one of two: the last 100 rows where the 100th row back is still
-within 30 s, else the range of the last 30 s.  :func:`recent_context` takes
-both as plain window aggregates and picks per row; only :func:`recent_frames`,
-whose result is the list itself, collects one.  To keep a billboard with a
-large share of the frames from landing in one task, time is cut into chunks
-(default 1 h) and the last 30 s of each chunk are copied into the next one as
+frame.  :func:`recent_context` takes the figures of each window in a pass over
+sorted rows; only :func:`recent_frames`, whose result is the list itself,
+collects one.  To keep a billboard with a large share of the frames from landing
+in one task, time is cut into chunks (2 min, of lists 1 h) and the last 30 s of each chunk are copied into the next one as
 read-only context: every frame then sees exactly the rows it would see in one
 global window, and each (billboard, chunk) is its own window partition.
 """
@@ -18,9 +16,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegralType
+from pyspark.sql.types import IntegralType, StructType
 from pyspark.sql.window import Window
 
+from footfall.operators import trailing as TR
 from footfall.functions.jsmath import js_round, q9, qsum9, safe_div
 from footfall.session import materialize
 from footfall.functions.timeparts import TOD_DENSITY, dow0_of_us, hour_of_us, local_us, time_of_day
@@ -86,10 +85,10 @@ def _trend_of(n: Column, a1: Column, a2: Column) -> Column:
 
 
 _TRENDED = ("cluster_count", "avg_density", "engagement")
-_STATE = ("_n", "_s", "_h1", "_h2", "_ss", "_flow", "_flows", "_peak", "_peak_ts")
+STATE = ("_n", "_s", "_h1", "_h2", "_ss", "_flow", "_flows", "_peak", "_peak_ts")
 
 
-def _context_columns(df: DataFrame) -> DataFrame:
+def context_of(df: DataFrame) -> DataFrame:
     """X2–X6 from the state of a frame's window: size ``_n``, sums ``_s``, sums of its older and newer half ``_h1`` and
     ``_h2``, summed squared deviations ``_ss``, dominant direction ``_flow``, number of directions ``_flows``, largest
     cluster count ``_peak`` and its first time ``_peak_ts``."""
@@ -128,7 +127,7 @@ def _context_columns(df: DataFrame) -> DataFrame:
         "peak_ratio": F.when(n >= 5, F.when(mean_cc > 0, peak / mean_cc).otherwise(F.lit(1.0))),
         "is_peak": F.when(n >= 5, peak > mean_cc * 1.5),
         "peak_ts": F.when(n >= 5, F.col("_peak_ts")),
-    }).drop(*_STATE)
+    }).drop(*STATE)
 
 
 def aggregate_context(df: DataFrame, arr: str = "recent") -> DataFrame:
@@ -157,7 +156,7 @@ def aggregate_context(df: DataFrame, arr: str = "recent") -> DataFrame:
         .withColumn("_flows", F.size(F.array_distinct(F.transform(a, lambda x: x["flow_direction"])))) \
         .withColumn("_peak", F.array_max("_ccs")) \
         .withColumn("_peak_ts", F.element_at(a, F.array_position("_ccs", F.col("_peak")).cast("int"))["ts"])
-    return _context_columns(out).drop("_dirs", "_ccs")
+    return context_of(out).drop("_dirs", "_ccs")
 
 
 def _window_state(w, pos: str, us: str) -> Column:
@@ -183,56 +182,55 @@ def _window_state(w, pos: str, us: str) -> Column:
         F.timestamp_micros(-first_peak["t"]).alias("peak_ts"))
 
 
+def _undated_context(frames: DataFrame, key: str, ts: str, tie: str) -> DataFrame:
+    """The state of frames without a time: all those of their key are one window."""
+    whole = Window.partitionBy(key).orderBy(tie).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    u = frames.where(F.col(ts).isNull()).withColumn("_us", F.unix_micros(F.col(ts))) \
+        .withColumn("_pos", F.row_number().over(Window.partitionBy(key).orderBy(tie))) \
+        .withColumn("_half", F.floor(F.count(F.lit(1)).over(Window.partitionBy(key)) / 2))
+
+    def part(cond):
+        return F.struct(*[F.sum(F.when(cond, _z(F.col(m))).otherwise(0.0)).over(whole).alias(m) for m in _TRENDED])
+
+    u = u.select("*", _window_state(whole, "_pos", "_us").alias("_w"), part(F.col("_pos") <= F.col("_half")).alias("_h1"),
+                 part(F.col("_pos") > F.col("_half")).alias("_h2"))
+    return u.withColumns({f"_{f}": F.col(f"_w.{f}") for f in ("n", "s", "ss", "flow", "flows", "peak", "peak_ts")}) \
+        .select(*frames.columns, *STATE)
+
+
 def recent_context(frames: DataFrame, key: str = "billboard_id", ts: str = "ts", tie: str = "frame_id",
-                   max_frames: int = 100, horizon_s: int = 30, chunk_s: int = 3600) -> DataFrame:
+                   max_frames: int = 100, horizon_s: int = 30, chunk_s: int = 120) -> DataFrame:
     """X1 + X2–X6: each frame with the context of its window.
 
-    A row is *full* if the row ``max_frames - 1`` back is within the horizon:
-    its window is a rows frame, whose halves are rows frames too.  The window of
-    any other row is a range frame, over a place that orders time and tie in one
-    number: rows of one microsecond are ``2 * step`` away from the next one's and
-    lie within ``step`` of each other, so a range of the horizon plus almost one
-    step holds the first microsecond whole and nothing before it (``step`` leaves
-    room for 6e8 equal times per chunk of an hour).  Rows that no range needs,
-    those with ``max_frames - 1`` full rows after them and full themselves, are
-    set apart one by one, so a sensor of any rate costs ``max_frames`` updates a
-    row.  Only the halves of a range, whose border differs from row to row, are
-    folded from a list of three numbers per frame.
-
-    One shuffle on (billboard, chunk) serves all of it.  Nulls count 0 and an
-    unknown direction; equal (ts, tie) rows come in any order; no rows give none."""
+    One shuffle on (billboard, chunk) puts the frames of a chunk in order; a
+    pass over the sorted rows (:mod:`footfall.operators.trailing`) then takes
+    the figures of each frame's window, ``max_frames`` vector steps a batch,
+    and carries the last frames from batch to batch.  Nulls count 0 and an
+    unknown direction; equal (ts, tie) rows come in any order; no rows give
+    none.  Frames without a time are one window per billboard."""
     chunk_us, hz_us = chunk_s * 1_000_000, horizon_s * 1_000_000
-    step = 2 ** 61 // (chunk_us + hz_us)
-    part = Window.partitionBy(key, "_chunk")
-    seq = part.orderBy("_us", tie)
-    peers = Window.partitionBy(key, "_chunk", "_us").orderBy(tie)
-    late_half = max_frames - max_frames // 2
-
-    def halves(lo, hi):
-        w = seq.rowsBetween(lo, hi)
-        return F.struct(*[F.sum(_z(F.col(m))).over(w).alias(m) for m in _TRENDED])
-
-    since = F.col("_us") - F.col("_chunk") * F.lit(chunk_us) + F.lit(hz_us)
-    u = _chunked(frames, ts, chunk_us, hz_us).withColumn("_us", F.unix_micros(F.col(ts))) \
-        .withColumn("_place", since * F.lit(2 * step) + F.row_number().over(peers)) \
-        .withColumn("_pos", F.row_number().over(seq)) \
-        .withColumn("_full", F.coalesce(F.lag("_us", max_frames - 1).over(seq) >= F.col("_us") - F.lit(hz_us), F.lit(False))) \
-        .select("*", _window_state(seq.rowsBetween(-(max_frames - 1), 0), "_pos", "_us").alias("_rows"),
-                halves(-(max_frames - 1), -late_half).alias("_rows_h1"), halves(-(late_half - 1), 0).alias("_rows_h2"),
-                F.min("_full").over(seq.rowsBetween(0, max_frames - 1)).alias("_spare")) \
-        .withColumn("_group", F.when(F.col("_spare"), F.col("_pos")).otherwise(F.lit(0)))
-    ranged = Window.partitionBy(key, "_chunk", "_group").orderBy("_place") \
-        .rangeBetween(-(2 * step * hz_us + step - 1), 0)
-    numbers = F.collect_list(F.struct(*[_z(F.col(m)).alias(m) for m in _TRENDED])).over(ranged)
-    u = u.select("*", _window_state(ranged, "_pos", "_us").alias("_range"), numbers.alias("_list")).where("_own")
-
-    full, a = F.col("_full"), F.col("_list")
-    half = F.floor(F.size(a) / 2).cast("int")
-    state = {f"_{f}": F.when(full, F.col(f"_rows.{f}")).otherwise(F.col(f"_range.{f}"))
-             for f in ("n", "s", "ss", "flow", "flows", "peak", "peak_ts")}
-    state["_h1"] = F.when(full, F.col("_rows_h1")).otherwise(_sums(F.slice(a, F.lit(1), half), _TRENDED))
-    state["_h2"] = F.when(full, F.col("_rows_h2")).otherwise(_sums(F.slice(a, half + 1, F.size(a) - half), _TRENDED))
-    return _context_columns(u.withColumns(state)).select(*frames.columns, *CONTEXT_COLUMNS)
+    flow = F.col("flow_direction")
+    named = [d for d in DIRECTION_VALUES if d != "unknown"]
+    kind = F.when(flow.isNull(), len(named) + 1).when(flow.isin(named), F.array_position(F.array(*[F.lit(d) for d in named]), flow) - 1) \
+        .otherwise(len(named)).cast("int")
+    u = _chunked(frames.where(F.col(ts).isNotNull()), ts, chunk_us, hz_us).withColumn("_us", F.unix_micros(F.col(ts)))
+    u = u.select(*frames.columns, "_own", "_us", F.row_number().over(Window.partitionBy(key, "_chunk").orderBy("_us", tie)).alias("_pos"),
+                 kind.alias("_kind"), *[_z(F.col(m)).alias(f"_m_{m}") for m in SUMMED])
+    schema = StructType([*frames.schema.fields, *StructType.fromDDL(", ".join(f"_f_{c}" for c in TR.STATE)).fields])
+    # the last two kinds, other directions and none, are one label
+    label_of = [*range(len(named)), len(named), len(named)]
+    got = u.mapInArrow(TR.with_state(list(frames.columns), label_of, max_frames, hz_us), schema)
+
+    def group(prefix, fields):
+        return F.struct(*[F.col(f"_f_{prefix}_{f}").alias(f) for f in fields])
+
+    dated = got.select(
+        *frames.columns, F.col("_f_n").alias("_n"), group("s", SUMMED).alias("_s"), group("h1", _TRENDED).alias("_h1"),
+        group("h2", _TRENDED).alias("_h2"), group("ss", ("cc", "dn")).alias("_ss"),
+        F.element_at(F.array(*[F.lit(d) for d in [*named, "unknown"]]), (F.col("_f_label") + 1).cast("int")).alias("_flow"),
+        F.col("_f_kinds").cast("int").alias("_flows"), F.col("_f_peak").alias("_peak"), F.timestamp_micros("_f_peak_us").alias("_peak_ts"))
+    both = dated.unionByName(_undated_context(frames, key, ts, tie))
+    return context_of(both).select(*frames.columns, *CONTEXT_COLUMNS)
 
 
 # ------------------------------------------------------------------ X7
