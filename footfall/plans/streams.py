@@ -3,7 +3,7 @@
 The input is derived from the driver tables and arrives in slices by the time
 it was *received*: every tenth event is hours late, so late events lie on both
 sides of each border between slices.  Every slice is a micro-batch, and the
-stream is stopped and started again from its checkpoint half way.  A far-future
+stream is stopped and started again from its checkpoint after each.  A far-future
 row of a marker key ends the input: it moves the watermark past the data, so
 the last windows close and what is held comes out; its own rows never count.
 Queries whose job splits late rows off return both sides."""
@@ -18,7 +18,7 @@ from footfall.operators import governance as GV
 from footfall.plans import inputs as I
 from footfall.plans.context import DUCK_TICKS, duck_recent, frames_on, _HIST_SELECT, duck_history, _hist_out
 from footfall.plans.registry import register
-from footfall.session import scratch_path
+from footfall.session import materialize, scratch_path
 from footfall.sources import fixtures as fx
 from footfall.sources import uploads as UP
 from footfall.sources.fixtures import duck_sql
@@ -27,44 +27,48 @@ from footfall.streaming import jobs as ST
 US = F.unix_micros
 MARKER = "~end-of-input"
 _STORE = "spark.sql.streaming.stateStore.providerClass"
+_NO_DATA = "spark.sql.streaming.noDataMicroBatches.enabled"
 
 
 def run_slices(spark, name: str, inputs: dict[str, tuple[DataFrame, str]], build, slices: int = 4,
                markers: dict[str, DataFrame] | None = None, foreach=None) -> str:
     """Writes each input in ``slices`` by its receipt column (one border set
-    for all, so inputs stay in step), then its marker row, one file each; runs
-    ``build(streams)`` one file of each input per micro-batch, stopped and
-    resumed from its checkpoint half way.  Returns the sink path (the base
-    path for a ``foreach`` sink)."""
+    for all, so inputs stay in step), then its marker row; runs
+    ``build(streams)`` on one slice of each input per micro-batch, stopped after
+    it and resumed from its checkpoint.  A slice is as many files as its tasks
+    write.  Returns the sink path (the base path for a ``foreach`` sink)."""
     base = scratch_path(spark, name)
+    # written once: the borders and every slice are cut from it
+    inputs = {k: (materialize(df, f"{name}-{k}"), c) for k, (df, c) in inputs.items()}
     # as whole numbers: a plan may be cut by any column, also one it goes on with
     spans = [df.agg(F.min(US(c)), F.max(US(c))).first() for df, c in inputs.values()]
     lo, hi = min(x[0] for x in spans if x[0] is not None), max(x[1] for x in spans if x[1] is not None)
     width = (hi - lo) // slices + 1
 
     def run():
-        streams = {k: spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in-{k}")
-                   for k, (df, _c) in inputs.items()}
+        streams = {k: spark.readStream.schema(df.schema).parquet(f"{base}/in-{k}") for k, (df, _c) in inputs.items()}
         w = build(streams).writeStream.option("checkpointLocation", f"{base}/ck").trigger(availableNow=True)
         q = w.foreachBatch(foreach(base)) if foreach else w.format("parquet").option("path", f"{base}/out").outputMode("append")
         q.start().awaitTermination()
 
-    before = spark.conf.get(_STORE, None)
+    before = {c: spark.conf.get(c, None) for c in (_STORE, _NO_DATA)}
     spark.conf.set(_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        for i in range(slices + (1 if markers else 0)):
+        last = slices + (1 if markers else 0) - 1
+        for i in range(last + 1):
             for k, (df, c) in inputs.items():
                 at = F.floor((US(c) - F.lit(lo)) / F.lit(width))
                 part = df.where(at == i) if i < slices else markers.get(k, df.limit(0)).select(*df.columns)
-                part.coalesce(1).write.mode("append").parquet(f"{base}/in-{k}")
-            if i == slices // 2 - 1:
-                run()
-        run()
+                part.write.mode("append").parquet(f"{base}/in-{k}")
+            # what a slice makes ripe comes out with the next one, after the last with a batch of its own
+            spark.conf.set(_NO_DATA, str(i == last).lower())
+            run()
     finally:
-        if before is None:
-            spark.conf.unset(_STORE)
-        else:
-            spark.conf.set(_STORE, before)
+        for c, v in before.items():
+            if v is None:
+                spark.conf.unset(c)
+            else:
+                spark.conf.set(c, v)
     return base if foreach else f"{base}/out"
 
 

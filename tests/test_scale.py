@@ -1,6 +1,11 @@
 """Steps that must not grow into one task, one group or one list per row."""
 
+import os
+
+from pyspark.sql import functions as F
+
 from footfall.operators import context as CX
+from footfall.plans import streams as S
 from util import ts
 
 FRAMES = "billboard_id string, frame_id long, ts timestamp, cluster_count long, avg_density double, flow_direction string, dwell_avg double, engagement double, attention double"
@@ -28,3 +33,11 @@ def test_frames_without_a_time_are_one_window(spark):
     rows = [(*r[:2], None, *r[3:]) for r in frame_rows(10, 1)] + frame_rows(3, 1)
     got = CX.recent_context(spark.createDataFrame(rows, FRAMES)).where("ts is null").collect()
     assert sorted((r.billboard_id, r.n_recent) for r in got) == [("b", 8)] * 8 + [("c", 2)] * 2
+
+
+def test_slices_are_written_by_all_tasks(spark):
+    df = spark.range(4000).select("id", F.timestamp_seconds(F.col("id") + 1_704_067_200).alias("ts")).repartition(4)
+    out = S.run_incremental(spark, "slices", df, lambda s: s)
+    assert spark.read.parquet(out).count() == 4000 and spark.read.parquet(out).distinct().count() == 4000
+    files = [f for f in os.listdir(os.path.dirname(out) + "/in-a") if f.endswith(".parquet")]
+    assert len(files) > 4  # one file a slice was one task's work
