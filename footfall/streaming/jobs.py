@@ -21,6 +21,10 @@ from footfall.sources import lookups as L
 from footfall.streaming import ordered as O
 
 
+#: Groups that the users or devices of an ordered stream are dealt over by hash.
+BUCKETS = 32
+
+
 # ------------------------------------------------------------------ late rows
 def _lag_s(delay: str) -> Column:
     n, unit = delay.split()
@@ -109,7 +113,7 @@ def stream_consent_both(events: DataFrame, changes: DataFrame, delay: str = "3 h
                        O.packed(events).alias("payload"))
     ch = changes.select(F.col("uuid").alias("key"), "ts", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("id"),
                         F.col("change").alias("payload"))
-    return O.in_order(ev.unionByName(ch), O.LastMark(), delay, salts), events.schema.simpleString()
+    return O.in_order(ev.unionByName(ch), O.LastMark(), delay, salts, BUCKETS), events.schema.simpleString()
 
 
 def consented(decided: DataFrame, schema: str) -> DataFrame:
@@ -129,7 +133,7 @@ def stream_current_content(df: DataFrame, delay: str = "3 hours", salts: int = 8
     rows = df.withColumn("kind", kind).where("kind is not null").select(
         F.col("device_id").alias("key"), "ts", "kind", F.lpad(F.col("event_id").cast("string"), 20, "0").alias("id"),
         F.when(F.col("event_type") == "content_start", F.col("content_id").cast("string")).alias("payload"))
-    out = O.in_order(rows, O.LastMark(), delay, salts)
+    out = O.in_order(rows, O.LastMark(), delay, salts, BUCKETS)
     return out.select(F.col("id").cast("bigint").cast("string").alias("event_id"), F.col("key").alias("device_id"),
                       F.col("extra").alias("current_content"), "late")
 
@@ -159,33 +163,31 @@ def stream_retention(frames: DataFrame, modes: DataFrame, delay: str = "30 secon
 
 
 # ------------------------------------------------------------------ T8
-RECENT_ITEM = ("array<struct<ts:bigint,cluster_count:double,avg_density:double,flow_direction:string,dwell_avg:double,"
-               "engagement:double,attention:double>>")
-
-
 def _frame_rows(frames: DataFrame) -> DataFrame:
     """Frames as ordered rows, their metrics as JSON."""
     metrics = [F.col(m).cast("double").alias(m) if m != "flow_direction" else F.col(m) for m in CX.METRICS]
-    item = F.to_json(F.struct(F.unix_micros("ts").alias("ts"), *metrics), {"ignoreNullFields": "false"})
+    item = F.to_json(F.struct(*metrics), {"ignoreNullFields": "false"})
     return frames.select(F.col("billboard_id").alias("key"), "ts", F.lit(1).alias("kind"),
                          F.lpad(F.col("frame_id").cast("string"), 20, "0").alias("id"), item.alias("payload"))
 
 
 def _figures(out: DataFrame, keep: list[str]) -> DataFrame:
-    """X2–X6 over the lists that came with ordered rows; late rows have none."""
-    listed = out.select(F.col("key").alias("billboard_id"), F.col("id").cast("bigint").alias("frame_id"), *keep,
-                        F.from_json("extra", RECENT_ITEM).alias("recent"))
-    ctx = CX.aggregate_context(listed).drop("recent")
-    own = ["billboard_id", "frame_id", *keep]
-    return ctx.select(*own, *[F.when(~F.col("late"), F.col(c)).alias(c) for c in ctx.columns if c not in own])
+    """X2–X6 from the window figures that came with ordered rows; late rows have none."""
+    own = [F.col("key").alias("billboard_id"), F.col("id").cast("bigint").alias("frame_id"), *keep]
+    got = out.select(*own, F.from_json("extra", O.FIGURES).alias("f"))
+    ctx = CX.context_of(got.select("billboard_id", "frame_id", *keep, *[F.col(f"f{c.replace('_', '.', 1)}").alias(c) for c in CX.STATE]))
+    names = ["billboard_id", "frame_id", *keep]
+    return ctx.select(*names, *[F.when(~F.col("late"), F.col(c)).alias(c) for c in ctx.columns if c not in names])
 
 
-def stream_recent_context(frames: DataFrame, delay: str = "1 minute") -> DataFrame:
+def stream_recent_context(frames: DataFrame, delay: str = "1 minute", salts: int = 8) -> DataFrame:
     """X1–X6 per frame, in event-time order.  The state is the last 100
-    frames of at most 30 s; the figures are the same expressions as in batch
-    (``operators.context``) over the list that comes with each frame.  A frame
-    behind the watermark comes out with ``late`` and no figures."""
-    return _figures(O.in_order(_frame_rows(frames), O.Recent(100, 30_000_000), delay), ["ts_us", "late"])
+    frames of at most 30 s; the figures are those of the batch form
+    (``operators.context``).  A billboard's time is dealt over ``salts`` tasks in
+    stretches of 2 minutes.  A frame behind the watermark comes out with
+    ``late`` and no figures."""
+    out = O.in_order(_frame_rows(frames), O.Recent(100, 30_000_000), delay, salts, stretch_us=120_000_000, reach_us=30_000_000)
+    return _figures(out, ["ts_us", "late"])
 
 
 def stream_context_snapshot(frames: DataFrame, every_s: int = 5, delay: str = "1 minute", quiet_s: int = 3600) -> DataFrame:
@@ -209,7 +211,7 @@ def stream_intent_trigger(events: DataFrame, threshold: float = 3.0, window_days
     weight = F.element_at(F.create_map(*[x for k, v in wmap.items() for x in (F.lit(k), F.lit(v))]), F.col("event_type"))
     rows = events.where(F.col("event_type").isin(list(wmap))).select(
         F.col("uuid").alias("key"), "ts", F.lit(1).alias("kind"), F.col("event_id").alias("id"), weight.cast("string").alias("payload"))
-    out = O.in_order(rows, O.Crossing(window_days * 86_400_000_000, threshold), delay)
+    out = O.in_order(rows, O.Crossing(window_days * 86_400_000_000, threshold), delay, buckets=4 * BUCKETS)
     return out.select(F.col("id").alias("event_id"), F.col("key").alias("uuid"), "ts_us",
                       F.col("extra").cast("double").alias("trailing_weight"), F.lit(rule).alias("rule"), "late")
 

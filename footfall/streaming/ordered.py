@@ -6,12 +6,14 @@ then hand them on, oldest first, woken by event-time timers.  A row that comes
 behind the watermark can no longer take its place: it is put out at once with
 ``late`` set, so every input row comes out once, or is still held.
 
-A key is dealt over ``salts`` sub-keys where its rows don't depend on each
-other: rows that set a state (consent changes, content marks) go to every
-sub-key, rows that read it to one.  A hot key is then ``salts`` tasks' work.
+Many small keys share a group (``buckets``), since each group costs its own
+state calls.  A group is dealt over ``salts`` sub-groups where its rows don't
+depend on each other: rows that set a state (consent changes, content marks) go
+to every sub-group, rows that read it to one; frames go by their time.  A hot
+key is then ``salts`` tasks' work.
 
-What is held per sub-key are the rows of the watermark's delay and the small
-state named with each processor."""
+What is held per sub-group are the rows of the watermark's delay, as Arrow
+tables, and the small state named with each processor."""
 
 from __future__ import annotations
 
@@ -20,10 +22,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from footfall.operators.trailing import SUMMED, TRENDED, trailing_state, window_starts
+
 try:  # as in jobs.py: the workers need not have the package
     import sys as _sys
 
@@ -33,53 +39,64 @@ try:  # as in jobs.py: the workers need not have the package
 except Exception:  # noqa: BLE001
     pass
 
-#: What every ordered row has: its event time, its rank among rows of that time, a tie-breaker, and the rest as JSON.
-ROW = "ts_us bigint, kind int, id string, payload string"
+#: What every ordered row has: its event time, its rank among rows of that time, a tie-breaker, the rest as JSON, and its key.
+ROW = "ts_us bigint, kind int, id string, payload string, name string"
 OUT = "key string, ts_us bigint, id string, payload string, extra string, late boolean"
+#: Kind of a frame that others can reach back to but that comes out elsewhere.
+COPY = 2
 
 
 class InOrder(StatefulProcessor):
     """Holds rows, releases them in order to ``step``; late rows come out marked."""
 
-    ROWS = ROW
+    COLUMNS = (("ts_us", pa.int64()), ("kind", pa.int32()), ("id", pa.string()), ("payload", pa.string()), ("name", pa.string()))
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.ROWS)
+        self.waiting = handle.getListState("waiting", "rows binary")
         self.state = handle.getValueState("state", "value string")
-        self.names = [c.split()[0] for c in self.ROWS.split(", ")]
+        self.schema = pa.schema(self.COLUMNS)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         passed, first = max(timerValues.getCurrentWatermarkInMs(), 0) * 1000, None
         for batch in rows:
-            gone = batch[batch["ts_us"] < passed]
+            gone = batch[(batch["ts_us"] < passed) & (batch["kind"] != COPY)]
             if len(gone):
-                yield self.late(key, gone)
+                yield self.frame([(k, int(t), i, p, None, True) for k, t, i, p in zip(gone["name"], gone["ts_us"], gone["id"], gone["payload"])])
             fresh = batch[batch["ts_us"] >= passed]
             if len(fresh):
-                self.waiting.appendList([tuple(None if pd.isna(v) else getattr(v, "item", lambda v=v: v)() for v in r) for r in fresh[self.names].itertuples(index=False)])
+                self.waiting.appendValue((self.packed(pa.Table.from_pandas(fresh[self.schema.names], self.schema, preserve_index=False)),))
                 first = min(int(fresh["ts_us"].min()), first if first is not None else 2**62)
         if first is not None:
             self.wake(first)
 
+    def packed(self, table: pa.Table) -> bytes:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, self.schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as w:
+            w.write_table(table)
+        return sink.getvalue().to_pybytes()
+
     def wake(self, ts_us: int) -> None:
         """A timer for the moment at which ``ts_us`` lies behind the watermark."""
         self.handle.registerTimer(ts_us // 1000 + 1)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        held = list(self.waiting.get()) if self.waiting.exists() else []
-        ripe = sorted((tuple(r) for r in held if r[0] < passed), key=lambda r: (r[0], r[1], r[2] is None, r[2]))
-        if ripe:
-            rest = [tuple(r) for r in held if r[0] >= passed]
-            if rest:
-                self.waiting.put(rest)
-                self.wake(min(r[0] for r in rest))
+        held = [pa.ipc.open_stream(bytes(r[0])).read_all() for r in self.waiting.get()] if self.waiting.exists() else []
+        table = pa.concat_tables(held) if held else self.schema.empty_table()
+        ripe = table.filter(pc.less(table["ts_us"], passed))
+        if len(ripe):
+            rest = table.filter(pc.greater_equal(table["ts_us"], passed))
+            if len(rest):
+                self.waiting.put([(self.packed(t),) for t in (rest.slice(a, 100_000) for a in range(0, len(rest), 100_000))])
+                self.wake(pc.min(rest["ts_us"]).as_py())
             else:
                 self.waiting.clear()
-        out = self.step(key, ripe, passed)
-        if out is not None and len(out):
-            yield out
+            ripe = ripe.take(pc.sort_indices(ripe, [("ts_us", "ascending"), ("kind", "ascending"), ("id", "ascending")]))
+        del held, table
+        out = self.step(key[0], zip(*(ripe[c].to_pylist() for c in self.schema.names)), passed)
+        for a in range(0, len(out), 10_000):
+            yield self.frame(out[a : a + 10_000])
 
     def recall(self, default):
         return json.loads(self.state.get()[0]) if self.state.exists() else default
@@ -87,14 +104,12 @@ class InOrder(StatefulProcessor):
     def remember(self, value) -> None:
         self.state.update((json.dumps(value),))
 
-    def late(self, key, rows: pd.DataFrame) -> pd.DataFrame:
-        return self.frame(key, [(int(t), i, p, None, True) for t, i, p in zip(rows["ts_us"], rows["id"], rows["payload"])])
-
-    def frame(self, key, rows: list[tuple]) -> pd.DataFrame:
-        ts, ids, payload, extra, late = zip(*rows) if rows else ((),) * 5
-        return pd.DataFrame({"key": [key[0]] * len(rows), "ts_us": np.array(ts, np.int64), "id": list(ids), "payload": list(payload), "extra": list(extra), "late": np.array(late, bool)})
+    def frame(self, rows: list[tuple]) -> pd.DataFrame:
+        name, ts, ids, payload, extra, late = zip(*rows)
+        return pd.DataFrame({"key": list(name), "ts_us": np.array(ts, np.int64), "id": list(ids), "payload": list(payload), "extra": list(extra), "late": np.array(late, bool)})
 
-    def step(self, key, rows: list[tuple], passed_us: int) -> pd.DataFrame | None:
+    def step(self, key, rows: Iterator[tuple], passed_us: int) -> list[tuple]:
+        """What comes out, as tuples of OUT, for the rows (tuples of ROW) behind ``passed_us``."""
         raise NotImplementedError
 
     def close(self) -> None:
@@ -102,19 +117,18 @@ class InOrder(StatefulProcessor):
 
 
 class LastMark(InOrder):
-    """Rows of kind 0 set the key's mark (payload; null clears it), rows of kind 1 come out with it as ``extra``."""
+    """Rows of kind 0 set their key's mark (payload; null clears it), rows of kind 1 come out with it as ``extra``."""
 
     def step(self, key, rows, passed_us):
-        if not rows:
-            return None
-        mark, out = self.recall(None), []
-        for ts, kind, ident, payload in rows:
+        marks, out, known = dict(self.recall([])), [], False
+        for ts, kind, ident, payload, name in rows:
             if kind == 0:
-                mark = payload
+                marks[name], known = payload, True
             else:
-                out.append((ts, ident, payload, mark, False))
-        self.remember(mark)
-        return self.frame(key, out)
+                out.append((name, ts, ident, payload, marks.get(name), False))
+        if known:
+            self.remember([[name, mark] for name, mark in marks.items() if mark is not None])
+        return out
 
 
 class Retained(InOrder):
@@ -123,7 +137,7 @@ class Retained(InOrder):
     Rows of kind 0 switch the mode (payload), rows of kind 1 are frames.  Out
     comes ``hold`` for each frame, then once ``expire`` at its time plus the
     mode's seconds or ``clear`` at the moment the mode turns to ``wipe``.
-    A frame leaves the state with that row.
+    A frame leaves the state with that row.  A group is one key.
     """
 
     def __init__(self, seconds: dict[str, int], default: str, wipe: str) -> None:
@@ -132,65 +146,92 @@ class Retained(InOrder):
     def step(self, key, rows, passed_us):
         state = self.recall({"mode": self.default, "held": []})
         held, out = state["held"], []
-        for ts, kind, ident, payload in rows:
+        for ts, kind, ident, payload, _ in rows:
             if kind == 0:
                 state["mode"] = payload
                 if payload == self.wipe:
-                    out += [(e, i, m, "expire", False) if e <= ts else (ts, i, m, "clear", False) for e, i, m in held]
+                    out += [(key, e, i, m, "expire", False) if e <= ts else (key, ts, i, m, "clear", False) for e, i, m in held]
                     held = []
             else:
                 held.append((ts + self.seconds[state["mode"]] * 1_000_000, ident, state["mode"]))
-                out.append((ts, ident, state["mode"], "hold", False))
-        out += [(e, i, m, "expire", False) for e, i, m in held if e < passed_us]
+                out.append((key, ts, ident, state["mode"], "hold", False))
+        out += [(key, e, i, m, "expire", False) for e, i, m in held if e < passed_us]
         state["held"] = [h for h in held if h[0] >= passed_us]
         if state["held"]:
             self.wake(min(h[0] for h in state["held"]))
         self.remember(state)
-        return self.frame(key, out)
+        return out
+
+
+#: A window's figures as JSON, see :func:`footfall.operators.trailing.trailing_state`.
+FIGURES = ("struct<n:bigint,s:struct<{s}>,h1:struct<{h}>,h2:struct<{h}>,ss:struct<cc:double,dn:double>,flow:string,flows:int,"
+           "peak:double,peak_ts:bigint>").format(s=",".join(f"{m}:double" for m in SUMMED), h=",".join(f"{m}:double" for m in TRENDED))
 
 
 class Recent(InOrder):
-    """Frames with the list of the last ``most`` frames that are at most ``horizon_us`` old, oldest first."""
+    """Frames with the figures of the last ``most`` frames that are at most ``horizon_us`` old.
+
+    ``payload`` is a frame's metrics as JSON, ``extra`` of what comes out the
+    figures as JSON.  A group is one key, or every n-th stretch of its time with
+    copies of the frames that the stretch can reach back to."""
 
     def __init__(self, most: int, horizon_us: int) -> None:
         self.most, self.horizon_us = most, horizon_us
 
-    def lists(self, rows: list[tuple]) -> list[str]:
-        """The list of each row as JSON; ``self.recent`` goes on to what the next row can reach."""
+    def figures(self, rows: list[tuple], wanted: list[int]) -> list[str]:
+        """The figures at the places ``wanted`` of ``rows``; ``self.recent`` goes on to what the next row can reach."""
+        every, old = [*self.recent, *rows], len(self.recent)
         if not rows:
             return []
-        every = [tuple(r) for r in self.recent] + rows
-        ts, new = np.array([r[0] for r in every], np.int64), len(self.recent)
-        place = np.arange(len(every))
-        start = np.maximum(np.searchsorted(ts, ts - self.horizon_us, side="left"), place - self.most + 1)
-        # The next frame can reach back no further than the last one's list, less its oldest if that is full.
-        self.recent = every[max(int(start[-1]), len(every) - self.most + 1) :]
-        return ["[" + ",".join(r[3] for r in every[a : i + 1]) + "]" for i, a in zip(place[new:], start[new:])]
+        us = np.array([r[0] for r in every], np.int64)
+        start = window_starts(us, np.arange(1, len(us) + 1), self.most, self.horizon_us)
+        # The next frame can reach back no further than the last one's window, less its oldest if that is full.
+        self.recent = [list(r) for r in every[max(int(start[-1]), len(every) - self.most + 1) :]]
+        out, hi = [], np.array(wanted, np.int64) + old
+        for at in (hi[a : a + 8192] for a in range(0, len(hi), 8192)):
+            lo, base = start[at], int(start[at[0]])
+            need = np.cumsum(np.bincount(lo - base, minlength=at[-1] - base + 2) - np.bincount(at - base + 1, minlength=at[-1] - base + 2)) > 0
+            items = [json.loads(every[base + i][3]) if need[i] else {} for i in range(at[-1] - base + 1)]
+            x = {m: np.nan_to_num(np.array([i.get(m) or 0.0 for i in items], float), nan=0.0, posinf=np.inf, neginf=-np.inf) for m in SUMMED}
+            flows = [i.get("flow_direction") for i in items]
+            kinds = {f: n for n, f in enumerate(dict.fromkeys(flows))}
+            labels = list(dict.fromkeys("unknown" if f is None else f for f in kinds))
+            label_of = np.array([labels.index("unknown" if f is None else f) for f in kinds])
+            f = {c: v.tolist() for c, v in trailing_state(x, np.array([kinds[f] for f in flows]), label_of, lo - base, at - base).items()}
+            out += [json.dumps({
+                "n": f["n"][i], "s": {m: f[f"s_{m}"][i] for m in SUMMED}, "h1": {m: f[f"h1_{m}"][i] for m in TRENDED},
+                "h2": {m: f[f"h2_{m}"][i] for m in TRENDED}, "ss": {"cc": f["ss_cc"][i], "dn": f["ss_dn"][i]}, "flow": labels[f["label"][i]],
+                "flows": f["kinds"][i], "peak": f["peak"][i], "peak_ts": int(us[base + f["peak_at"][i]])}) for i in range(len(at))]
+        return out
 
     def step(self, key, rows, passed_us):
+        rows = list(rows)
         if not rows:
-            return None
+            return []
         self.recent = self.recall([])
-        out = [(r[0], r[2], r[3], x, False) for r, x in zip(rows, self.lists(rows))]
+        wanted = [i for i, r in enumerate(rows) if r[1] != COPY]
+        out = [(rows[i][4], rows[i][0], rows[i][2], None, x, False) for i, x in zip(wanted, self.figures(rows, wanted))]
         self.remember(self.recent)
-        return self.frame(key, out)
+        return out
 
 
 class Ticks(Recent):
-    """The list of :class:`Recent` as it stands at the end of every tick of ``every_us``.
+    """The figures of :class:`Recent` as they stand at the end of every tick of ``every_us``.
 
-    A tick without a frame repeats the last one's list (payload ``repeated``),
+    A tick without a frame repeats the last one's figures (payload ``repeated``),
     woken by a timer, until ``quiet_us`` after the last frame; then the key is
-    silent until it sends again.  ``ts_us`` is the tick's end."""
+    silent until it sends again.  ``ts_us`` is the tick's end.  A group is one key."""
 
     def __init__(self, most: int, horizon_us: int, every_us: int, quiet_us: int) -> None:
         super().__init__(most, horizon_us)
         self.every_us, self.quiet_us = every_us, quiet_us
 
     def step(self, key, rows, passed_us):
-        state = self.recall({"recent": [], "tick": None})
+        state, rows = self.recall({"recent": [], "tick": None}), list(rows)
         self.recent = state["recent"]
-        listed, out = self.lists(rows), []
+        ticks = [r[0] // self.every_us for r in rows]
+        last = [i for i, t in enumerate(ticks) if i + 1 == len(ticks) or ticks[i + 1] != t]
+        out = []
 
         def until(end):
             """Puts out the open tick and its repeats that end at or before ``end``."""
@@ -198,67 +239,89 @@ class Ticks(Recent):
                 if state["tick"] > state["last"] + self.quiet_us + self.every_us:
                     state["tick"] = None
                     break
-                out.append((state["tick"], state["id"], state["is"], state["list"], False))
+                out.append((key, state["tick"], state["id"], state["is"], state["list"], False))
                 state["tick"], state["is"] = state["tick"] + self.every_us, "repeated"
 
-        for row, text in zip(rows, listed):
-            end = (row[0] // self.every_us + 1) * self.every_us
+        for i, text in zip(last, self.figures(rows, last)):
+            end = (ticks[i] + 1) * self.every_us
             until(end - self.every_us)
-            state.update({"tick": end, "last": row[0], "id": row[2], "is": "frame", "list": text})
+            state.update({"tick": end, "last": rows[i][0], "id": rows[i][2], "is": "frame", "list": text})
         until(passed_us)
         if state["tick"] is not None:
             self.wake(state["tick"])
         state["recent"] = self.recent
         self.remember(state)
-        return self.frame(key, out)
+        return out
 
 
 class Crossing(InOrder):
     """Rows of a key whose trailing weight of ``horizon_us`` reaches ``threshold`` while the row before was under it.
 
     ``payload`` is a row's weight; ``extra`` of what comes out the trailing
-    weight, all rows of one time counted.  The state is a ring of the last
-    days' weights, a list per day; days behind the horizon are dropped."""
+    weight, all rows of one time counted.  The state per key is the weights that
+    its last row could still reach, and its trailing weight."""
 
-    def __init__(self, horizon_us: int, threshold: float, day_us: int = 86_400_000_000) -> None:
-        self.horizon_us, self.threshold, self.day_us = horizon_us, threshold, day_us
+    def __init__(self, horizon_us: int, threshold: float) -> None:
+        self.horizon_us, self.threshold = horizon_us, threshold
 
     def step(self, key, rows, passed_us):
-        if not rows:
-            return None
-        state = self.recall({"days": {}, "before": None})
-        days, before, out, i = state["days"], state["before"], [], 0
-        while i < len(rows):
-            ts, j = rows[i][0], i
-            while j < len(rows) and rows[j][0] == ts:
-                days.setdefault(str(ts // self.day_us), []).append([ts, float(rows[j][3])])
-                j += 1
-            oldest = ts - self.horizon_us
-            for day in [d for d in days if (int(d) + 1) * self.day_us <= oldest]:
-                del days[day]
-            weight = sum(w for of in days.values() for t, w in of if t > oldest)
-            for row in rows[i:j]:
-                if weight >= self.threshold and (before is None or before < self.threshold):
-                    out.append((ts, row[2], row[3], repr(weight), False))
-                before = weight
-            i = j
-        self.remember({"days": days, "before": before})
-        return self.frame(key, out)
-
-
-def in_order(rows: DataFrame, processor: StatefulProcessor, delay: str, salts: int = 1) -> DataFrame:
+        keys, out = {}, []
+        for row in rows:
+            keys.setdefault(row[4], []).append(row)
+        if not keys:
+            return out
+        state = {name: (recent, before) for name, recent, before in self.recall([])}
+        for name, mine in keys.items():
+            recent, before = state.get(name, ([], None))
+            n = len(recent)
+            recent = recent + [[r[0], float(r[3])] for r in mine]
+            whole = all(w.is_integer() for _, w in recent)
+            weight, a, b, i = 0.0, 0, 0, 0
+            while i < len(mine):
+                ts, j = mine[i][0], i
+                while j < len(mine) and mine[j][0] == ts:
+                    j += 1
+                while b < n + j:
+                    weight, b = weight + recent[b][1], b + 1
+                while recent[a][0] <= ts - self.horizon_us:
+                    weight, a = weight - recent[a][1], a + 1
+                if not whole:  # fractions are added up afresh, so that no error stays behind
+                    weight = sum(w for _, w in recent[a:b])
+                for row in mine[i:j]:
+                    if weight >= self.threshold and (before is None or before < self.threshold):
+                        out.append((name, ts, row[2], row[3], repr(weight), False))
+                    before = weight
+                i = j
+            state[name] = (recent[a:], before)
+        self.remember([[name, recent, before] for name, (recent, before) in state.items()])
+        return out
+
+
+def in_order(rows: DataFrame, processor: StatefulProcessor, delay: str, salts: int = 1, buckets: int | None = None,
+             stretch_us: int = 0, reach_us: int = 0) -> DataFrame:
     """Runs ``rows`` (key, ts, kind, id, payload) through ``processor``: columns OUT.
 
-    Rows of kind 0 go to all ``salts`` sub-keys of their key, others to one by their id.
-    Only marks may come with more than one salt, and a late mark then comes out once per sub-key."""
-    own = F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")
+    A group is a key, or with ``buckets`` the keys of one hash.  Rows of kind 0 go to all ``salts`` sub-groups,
+    others to one by their id, or with ``stretch_us`` by the stretch of time they lie in; then the last ``reach_us``
+    of a stretch also go to the next one, as kind ``COPY``.  Only marks may come with more than one salt by id, and
+    a late mark then comes out once per sub-group."""
+    us = F.unix_micros("ts")
     dealt = rows.withWatermark("ts", delay)
-    if salts > 1:
+    kind = F.col("kind").cast("int")
+    if salts > 1 and stretch_us:
+        at = F.floor(us / F.lit(stretch_us))
+        near = us - at * stretch_us >= F.lit(stretch_us - reach_us)
+        to = F.when(near, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+        dealt = dealt.withColumn("_on", F.explode(to)).withColumn("salt", F.coalesce(F.pmod(at + F.col("_on"), F.lit(salts)), F.lit(0)).cast("int"))
+        kind = F.when(F.col("_on") == 1, COPY).otherwise(kind)
+    elif salts > 1:
+        own = F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")
         dealt = dealt.withColumn("salt", F.explode(F.when(F.col("kind") == 0, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(own))))
     else:
         dealt = dealt.withColumn("salt", F.lit(0))
+    group = F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("string") if buckets else F.col("key")
     # As plain micros the time is no watermark column any more, so late rows reach the processor instead of being dropped.
-    dealt = dealt.select("key", "salt", F.unix_micros("ts").alias("ts_us"), F.col("kind").cast("int").alias("kind"), "id", "payload")
+    dealt = dealt.select(group.alias("key"), "salt", us.alias("ts_us"), kind.alias("kind"), "id", "payload", F.col("key").alias("name"))
     return dealt.groupBy("key", "salt").transformWithStateInPandas(processor, OUT, "Append", "EventTime")
 
 
