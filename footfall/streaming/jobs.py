@@ -163,10 +163,10 @@ def stream_retention(frames: DataFrame, modes: DataFrame, delay: str = "30 secon
 
 
 # ------------------------------------------------------------------ T8
-def _frame_rows(frames: DataFrame) -> DataFrame:
-    """Frames as ordered rows, their metrics as JSON."""
+def _frame_rows(frames: DataFrame, text: bool = True) -> DataFrame:
+    """Frames as ordered rows, their metrics as JSON or (without ``text``) as a struct."""
     metrics = [F.col(m).cast("double").alias(m) if m != "flow_direction" else F.col(m) for m in CX.METRICS]
-    item = F.to_json(F.struct(*metrics), {"ignoreNullFields": "false"})
+    item = F.to_json(F.struct(*metrics), {"ignoreNullFields": "false"}) if text else F.struct(*metrics)
     return frames.select(F.col("billboard_id").alias("key"), "ts", F.lit(1).alias("kind"),
                          F.lpad(F.col("frame_id").cast("string"), 20, "0").alias("id"), item.alias("payload"))
 
@@ -194,10 +194,12 @@ def stream_context_snapshot(frames: DataFrame, every_s: int = 5, delay: str = "1
     """X11 on a stream: the context of each billboard at the end of every tick
     (``tick_us``), put out by a timer when the watermark has passed it.  A tick
     without a frame repeats the last context (``repeated``), until ``quiet_s``
-    after the last frame.  Late frames come out with ``late`` and no figures."""
+    after the last frame.  Late frames come out with ``late`` and no figures.
+    Only the last 100 frames of a tick are shuffled and held one by one: no
+    window that ends at a tick's last frame holds others."""
     ticks = O.Ticks(100, 30_000_000, every_s * 1_000_000, quiet_s * 1_000_000)
-    out = O.in_order(_frame_rows(frames), ticks, delay)
-    out = out.withColumn("tick_us", F.col("ts_us")).withColumn("repeated", F.col("payload") == "repeated")
+    out = O.in_order(_frame_rows(frames, text=False), ticks, delay, newest=(ticks.most, ticks.every_us))
+    out = out.withColumn("tick_us", F.col("ts_us")).withColumn("repeated", F.coalesce(F.col("payload") == "repeated", F.lit(False)))
     return _figures(out, ["tick_us", "repeated", "late"])
 
 
